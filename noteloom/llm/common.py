@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -61,3 +63,20 @@ def plan_only(docs: DataFrame, *needed: str) -> DataFrame:
     """Only the named columns; those that are missing are null strings (extra columns never clash)."""
     have = set(docs.columns)
     return docs.select(*[F.col(f"`{c}`") if c in have else F.lit(None).cast("string").alias(c) for c in needed])
+
+
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Gives the executors' Python workers this package, once for each application."""
+    context = spark.sparkContext
+    if context.applicationId in _shipped:
+        return
+    root = Path(__file__).resolve().parent.parent
+    held = Path(tempfile.mkdtemp(prefix="noteloom-package-")) / "noteloom_package.zip"
+    with zipfile.ZipFile(held, "w", zipfile.ZIP_DEFLATED) as archive:
+        for path in sorted(root.rglob("*.py")):
+            archive.write(path, path.relative_to(root.parent))
+    context.addPyFile(str(held))
+    _shipped.add(context.applicationId)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from noteloom.llm import mixing
+from noteloom.llm import mixing, packing
 from noteloom.llm.common import table
 
 #: Weights that the sources take in turn, the share of all sizes that the targets sum to, the cap per source.
@@ -16,5 +16,16 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
 
 
-QUERIES = {"op4_mixing": op4_mixing}
+def tokenizer_files() -> dict[str, str]:
+    """The public byte-level BPE vocabulary, the same as ranks, and its splitting pattern."""
+    import public_tokenizers
+
+    return {"vocabulary": public_tokenizers.path("byte_bpe_50k.json"), "ranks": public_tokenizers.path("byte_bpe_50k.tiktoken"), "pattern": public_tokenizers.PATTERN}
+
+
+def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(table(spark, sf_dir, "documents"), **tokenizer_files(), size=1024, closing_id=2)
+
+
+QUERIES = {"op4_mixing": op4_mixing, "op8_packing": op8_packing}
 ORACLE: dict[str, str] = {}
