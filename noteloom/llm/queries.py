@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from noteloom.llm import mixing, packing, simhash
+from noteloom.llm import mixing, packing, secrets, simhash
 from noteloom.llm.common import table
 
 #: Weights that the sources take in turn, the share of all sizes that the targets sum to, the cap per source.
@@ -17,6 +17,12 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
 
 
+def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = secrets.scan(table(spark, sf_dir, "documents"))
+    base = F.filter("spans", lambda s: s["rank"] < len(secrets.BASE))
+    return rows.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2(secrets.listed(base), 256).alias("base_sha256"), secrets.listed(F.col("spans")).alias("spans"), "n_owned", "n_live", "n_copied")
+
+
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = simhash.near_duplicates(table(spark, sf_dir, "documents"), width=3, most=2)
     return rows.select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
@@ -33,5 +39,5 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), **tokenizer_files(), size=1024, closing_id=2)
 
 
-QUERIES = {"op4_mixing": op4_mixing, "op5_simhash": op5_simhash, "op8_packing": op8_packing}
+QUERIES = {"op3_secrets": op3_secrets, "op4_mixing": op4_mixing, "op5_simhash": op5_simhash, "op8_packing": op8_packing}
 ORACLE: dict[str, str] = {}
