@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from noteloom.llm import mixing, packing, quality, secrets, simhash
+from noteloom.llm import gif, mixing, packing, quality, secrets, simhash
 from noteloom.llm.common import table
 
 #: Weights that the sources take in turn, the share of all sizes that the targets sum to, the cap per source.
@@ -33,6 +33,10 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", *quality.COUNTS, "base_failed", "kept", "distance")
 
 
+def op9_gif(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return gif.media_features(gif.store_texts(table(spark, sf_dir, "documents")))
+
+
 def tokenizer_files() -> dict[str, str]:
     """The public byte-level BPE vocabulary, the same as ranks, and its splitting pattern."""
     import public_tokenizers
@@ -44,5 +48,5 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), **tokenizer_files(), size=1024, closing_id=2)
 
 
-QUERIES = {"op3_secrets": op3_secrets, "op4_mixing": op4_mixing, "op5_simhash": op5_simhash, "op7_quality": op7_quality, "op8_packing": op8_packing}
+QUERIES = {"op3_secrets": op3_secrets, "op4_mixing": op4_mixing, "op5_simhash": op5_simhash, "op7_quality": op7_quality, "op8_packing": op8_packing, "op9_gif": op9_gif}
 ORACLE: dict[str, str] = {}
