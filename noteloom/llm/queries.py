@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from noteloom.llm import gif, mixing, packing, quality, secrets, simhash
+from noteloom.llm import gif, mixing, packing, quality, secrets, simhash, warc
 from noteloom.llm.common import table
 
 #: Weights that the sources take in turn, the share of all sizes that the targets sum to, the cap per source.
@@ -37,6 +37,11 @@ def op9_gif(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gif.media_features(gif.store_texts(table(spark, sf_dir, "documents")))
 
 
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = warc.round_trip(table(spark, sf_dir, "pages"), least=1000)
+    return rows.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def tokenizer_files() -> dict[str, str]:
     """The public byte-level BPE vocabulary, the same as ranks, and its splitting pattern."""
     import public_tokenizers
@@ -48,5 +53,14 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), **tokenizer_files(), size=1024, closing_id=2)
 
 
-QUERIES = {"op3_secrets": op3_secrets, "op4_mixing": op4_mixing, "op5_simhash": op5_simhash, "op7_quality": op7_quality, "op8_packing": op8_packing, "op9_gif": op9_gif}
-ORACLE: dict[str, str] = {}
+QUERIES = {"op3_secrets": op3_secrets, "op4_mixing": op4_mixing, "op5_simhash": op5_simhash, "op7_quality": op7_quality, "op8_packing": op8_packing, "op9_gif": op9_gif, "op10_warc": op10_warc}
+ORACLE: dict[str, str] = {
+    "op10_warc": """
+        WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS b FROM pages),
+        d AS (SELECT page_id, octet_length(b) AS n, sha1(b) AS h FROM p),
+        r AS (SELECT h, max(page_id) AS last FROM d WHERE n >= 1000 GROUP BY h)
+        SELECT page_id, n AS payload_bytes, d.h AS payload_digest,
+               CASE WHEN last IS NULL OR last = page_id THEN 'response' ELSE 'revisit' END AS record_type,
+               CASE WHEN last <> page_id THEN last END AS refers_to
+        FROM d LEFT JOIN r ON d.h = r.h AND n >= 1000""",
+}
