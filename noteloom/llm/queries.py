@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from noteloom.llm import gif, mixing, packing, quality, secrets, simhash, warc
+from noteloom.llm import gif, mixing, packing, quality, secrets, simhash, toxicity, warc
 from noteloom.llm.common import table
 
 #: Weights that the sources take in turn, the share of all sizes that the targets sum to, the cap per source.
@@ -17,6 +17,20 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
 
 
+#: Documents are called toxic from this score on.
+TOXIC = 0.3
+
+
+def held_out() -> Column:
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False))
+
+
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    scored = toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels"), ~held_out()))
+    return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= TOXIC).cast("int").alias("predicted"))
+
+
 def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = secrets.scan(table(spark, sf_dir, "documents"))
     base = F.filter("spans", lambda s: s["rank"] < len(secrets.BASE))
@@ -53,7 +67,7 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), **tokenizer_files(), size=1024, closing_id=2)
 
 
-QUERIES = {"op3_secrets": op3_secrets, "op4_mixing": op4_mixing, "op5_simhash": op5_simhash, "op7_quality": op7_quality, "op8_packing": op8_packing, "op9_gif": op9_gif, "op10_warc": op10_warc}
+QUERIES = {"op2_toxicity": op2_toxicity, "op3_secrets": op3_secrets, "op4_mixing": op4_mixing, "op5_simhash": op5_simhash, "op7_quality": op7_quality, "op8_packing": op8_packing, "op9_gif": op9_gif, "op10_warc": op10_warc}
 ORACLE: dict[str, str] = {
     "op10_warc": """
         WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS b FROM pages),
