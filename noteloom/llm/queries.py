@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from noteloom.llm import gif, mixing, packing, quality, secrets, simhash, toxicity, warc
+from noteloom.llm import gif, mixing, packing, quality, secrets, simhash, substring, toxicity, warc
 from noteloom.llm.common import table
 
 #: Weights that the sources take in turn, the share of all sizes that the targets sum to, the cap per source.
@@ -42,6 +42,11 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op6_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = substring.strip(table(spark, sf_dir, "documents"), width=20)
+    return rows.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = quality.judge(table(spark, sf_dir, "documents"))
     return rows.select("doc_id", *quality.COUNTS, "base_failed", "kept", "distance")
@@ -67,8 +72,19 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), **tokenizer_files(), size=1024, closing_id=2)
 
 
-QUERIES = {"op2_toxicity": op2_toxicity, "op3_secrets": op3_secrets, "op4_mixing": op4_mixing, "op5_simhash": op5_simhash, "op7_quality": op7_quality, "op8_packing": op8_packing, "op9_gif": op9_gif, "op10_warc": op10_warc}
+QUERIES = {"op2_toxicity": op2_toxicity, "op3_secrets": op3_secrets, "op4_mixing": op4_mixing, "op5_simhash": op5_simhash, "op6_substring": op6_substring, "op7_quality": op7_quality, "op8_packing": op8_packing, "op9_gif": op9_gif, "op10_warc": op10_warc}
 ORACLE: dict[str, str] = {
+    "op6_substring": r"""
+        WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+        s AS (SELECT doc_id, unnest(range(1, len(w) - 18)) AS p, w FROM d WHERE len(w) >= 20),
+        k AS (SELECT doc_id, p, md5(array_to_string(w[p:p + 19], ' ')) AS h FROM s),
+        m AS (SELECT doc_id, p, row_number() OVER (PARTITION BY h ORDER BY doc_id, p) AS n FROM k),
+        c AS (SELECT DISTINCT doc_id, unnest(range(p, p + 20)) AS i FROM m WHERE n > 1),
+        x AS (SELECT doc_id, list(i) AS gone FROM c GROUP BY doc_id)
+        SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(len(gone), 0)::BIGINT AS n_removed,
+               sha256(array_to_string(CASE WHEN gone IS NULL THEN w ELSE
+                   list_filter(list_transform(range(1, len(w) + 1), lambda i: CASE WHEN list_contains(gone, i) THEN NULL ELSE w[i] END), lambda v: v IS NOT NULL) END, ' ')) AS kept_sha256
+        FROM d LEFT JOIN x USING (doc_id)""",
     "op10_warc": """
         WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS b FROM pages),
         d AS (SELECT page_id, octet_length(b) AS n, sha1(b) AS h FROM p),
