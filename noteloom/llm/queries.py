@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from noteloom.llm import gif, mixing, packing, quality, secrets, simhash, substring, toxicity, warc
+from noteloom.llm import gif, lines, mixing, packing, quality, secrets, simhash, substring, toxicity, warc
 from noteloom.llm.common import table
 
 #: Weights that the sources take in turn, the share of all sizes that the targets sum to, the cap per source.
@@ -17,6 +17,11 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
 
 
+def op1_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = lines.strip(table(spark, sf_dir, "documents"))
+    return rows.select("doc_id", F.col("_lines").alias("n_lines"), F.col("_removed").alias("n_removed"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
 #: Documents are called toxic from this score on.
 TOXIC = 0.3
 
@@ -72,7 +77,7 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), **tokenizer_files(), size=1024, closing_id=2)
 
 
-QUERIES = {"op2_toxicity": op2_toxicity, "op3_secrets": op3_secrets, "op4_mixing": op4_mixing, "op5_simhash": op5_simhash, "op6_substring": op6_substring, "op7_quality": op7_quality, "op8_packing": op8_packing, "op9_gif": op9_gif, "op10_warc": op10_warc}
+QUERIES = {"op1_lines": op1_lines, "op2_toxicity": op2_toxicity, "op3_secrets": op3_secrets, "op4_mixing": op4_mixing, "op5_simhash": op5_simhash, "op6_substring": op6_substring, "op7_quality": op7_quality, "op8_packing": op8_packing, "op9_gif": op9_gif, "op10_warc": op10_warc}
 ORACLE: dict[str, str] = {
     "op6_substring": r"""
         WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
