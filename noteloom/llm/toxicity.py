@@ -318,3 +318,16 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([scorer(t.as_py()) for t in batch.column(1)], pa.float64())], ["doc_id", "score"])
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(work, "doc_id long, score double")
+
+
+def keep_clean(docs: DataFrame, model: Model, below: float) -> DataFrame:
+    """The rows of docs, with all their columns, whose score is below ``below``."""
+    sent = docs.sparkSession.sparkContext.broadcast(model)
+    at = docs.columns.index("text")
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer = sent.value.scorer()
+        for batch in batches:
+            yield batch.filter(pa.array([scorer(t.as_py()) < below for t in batch.column(at)], pa.bool_()))
+
+    return docs.mapInArrow(work, docs.schema)
