@@ -1,6 +1,275 @@
-"""Named queries of the library and their DuckDB counterparts."""
+"""Named queries of the library over the notes made from the test tables, and their DuckDB counterparts.
+
+Arrays are rendered as text, counts are longs and floats are rounded to four places, so that results of both
+engines can be held against each other.
+"""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE: dict[str, str] = {}
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from noteloom.config import Config
+from noteloom.operators import analyze, clusters, components, dates, edit, graph, ingest, lint, moc, research, suggest, tags, tfidf
+from noteloom.plans.oracle import ORACLE  # noqa: F401
+from noteloom.sources import overlay, vault
+from noteloom.storage import cut
+
+#: The overlay's daily notes take part in the graph, so that exclusion rules have something to exclude.
+CONFIG = Config(graph_dirs=("atoms", "daily notes"), excluded_suggestion_tags=("need-processing", "daily-note"))
+TOPIC = "EN quality src3 notes"
+
+
+def joined(names: Column | str, sep: str = ",") -> Column:
+    return F.array_join(names, sep)
+
+
+def _notes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return overlay.notes(spark, sf_dir)
+
+
+def _graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """(parsed, nodes), the parsed links and tags written once."""
+    parsed = vault.parse(_notes(spark, sf_dir)).select("fname", "path", "source_dir", "tags", "links_fm", "links_body")
+    parsed = cut(parsed, "parsed")
+    return parsed, cut(graph.nodes(parsed), "nodes")
+
+
+def _tags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tags.note_tags(_notes(spark, sf_dir), CONFIG.excluded_index_tags)
+
+
+def _described(index: DataFrame) -> DataFrame:
+    """index with descriptions as if earlier ones had been carried over: tags whose name ends in an even digit have none."""
+    prior = index.select("tag", F.when(F.col("tag").rlike("[13579]$"), F.concat(F.lit(" about "), "tag", F.lit(" "))).otherwise(F.lit("  ")).alias("description"))
+    return tags.tag_index(index.select("tag", F.explode("files").alias("fname")), prior)
+
+
+def _components(nodes: DataFrame) -> DataFrame:
+    return components.components(nodes, graph.links_between(nodes))
+
+
+def tag_index_counts(spark, sf_dir):
+    return tags.tag_counts(_tags(spark, sf_dir))
+
+
+def tag_index_files(spark, sf_dir):
+    return tags.tag_index(_tags(spark, sf_dir)).select("tag", joined("files").alias("files"))
+
+
+def tag_search(spark, sf_dir):
+    return tags.search(_tags(spark, sf_dir), "EN")
+
+
+def tags_consolidated(spark, sf_dir):
+    return tags.consolidated(_described(tags.tag_index(_tags(spark, sf_dir))))
+
+
+def stale_tags(spark, sf_dir):
+    """Tags of all notes' frontmatter, the excluded ones too, against the index."""
+    existing = tags.note_tags(_notes(spark, sf_dir), ()).select("tag").distinct()
+    return tags.stale(existing, _tags(spark, sf_dir), "tag")
+
+
+def graph_edges(spark, sf_dir):
+    return graph.edges(_graph(spark, sf_dir)[0]).select("src", "dst")
+
+
+def graph_nodes_degrees(spark, sf_dir):
+    nodes = _graph(spark, sf_dir)[1]
+    return nodes.select("fname", "source_dir", joined("tags").alias("tags"), "degree_out", "degree_in", joined("links_in").alias("links_in"))
+
+
+def graph_stats(spark, sf_dir):
+    return graph.stats(*_graph(spark, sf_dir))
+
+
+def orphans(spark, sf_dir):
+    return analyze.orphans(_graph(spark, sf_dir)[1])
+
+
+def hubs_top20(spark, sf_dir):
+    return analyze.hubs(_graph(spark, sf_dir)[1], CONFIG.top_n).withColumn("tags", joined("tags"))
+
+
+def components_(spark, sf_dir):
+    return _components(_graph(spark, sf_dir)[1])
+
+
+def component_size_classes(spark, sf_dir):
+    return components.size_classes(_components(_graph(spark, sf_dir)[1]))
+
+
+def clusters_lpa(spark, sf_dir):
+    nodes = _graph(spark, sf_dir)[1]
+    between = graph.links_between(nodes)
+    return clusters.clusters(nodes, between, components.components(nodes, between), CONFIG.max_sweeps)
+
+
+def _report(nodes, members):
+    rows = clusters.report(members, nodes.select("fname", F.explode("tags").alias("tag")))
+    top = F.transform("top_tags", lambda t: F.concat(t["tag"], F.lit(":"), t["count"].cast("string")))
+    return rows.select("cluster", "size", joined(top).alias("top_tags"), joined("members").alias("members"))
+
+
+def cluster_tag_report(spark, sf_dir):
+    nodes = _graph(spark, sf_dir)[1]
+    return _report(nodes, _components(nodes).select(F.col("component").alias("cluster"), "fname"))
+
+
+def cluster_tag_report_lpa(spark, sf_dir):
+    nodes = _graph(spark, sf_dir)[1]
+    between = graph.links_between(nodes)
+    return _report(nodes, clusters.clusters(nodes, between, components.components(nodes, between)))
+
+
+def bridges(spark, sf_dir):
+    rows = analyze.bridges(_graph(spark, sf_dir)[1], CONFIG.top_n)
+    return rows.select("name", "degree", *[joined(c).alias(c) for c in ("tags", "neighbor_tags", "overlap")])
+
+
+def link_suggestions(spark, sf_dir):
+    rows = suggest.link_suggestions(_graph(spark, sf_dir)[1], CONFIG)
+    return rows.select("rank", "a", "b", "common", "jaccard", *[joined(c).alias(c) for c in ("shared_neighbors", "shared_tags", "tags_a", "tags_b")])
+
+
+def link_pairs_all(spark, sf_dir):
+    return suggest.link_pairs(_graph(spark, sf_dir)[1], CONFIG).select("a", "b", "common", "jaccard")
+
+
+def _semantic(spark, sf_dir, config=CONFIG):
+    return _graph(spark, sf_dir)[1], _notes(spark, sf_dir), config
+
+
+def semantic_suggestions(spark, sf_dir):
+    rows = tfidf.semantic_suggestions(*_semantic(spark, sf_dir))
+    return rows.select("rank", "a", "b", "similarity", joined("tags_a").alias("tags_a"), joined("tags_b").alias("tags_b"))
+
+
+def semantic_pairs_all(spark, sf_dir):
+    return tfidf.pairs(*_semantic(spark, sf_dir)).select("a", "b", "similarity")
+
+
+def tfidf_weights(spark, sf_dir):
+    return tfidf.weights(tfidf.corpus(*_semantic(spark, sf_dir))).select("fname", "term", "df", (F.round("w", 4) + 0.0).alias("w"))
+
+
+def moc_index(spark, sf_dir):
+    nodes = _graph(spark, sf_dir)[1]
+    clustered = nodes.drop("cluster").join(_components(nodes).withColumnRenamed("component", "cluster"), "fname")
+    rows = moc.moc_index(clustered, CONFIG)
+    return rows.withColumns({"tags": joined("tags"), "linked": joined("linked")})
+
+
+def dates_index(spark, sf_dir):
+    names = _notes(spark, sf_dir).select("fname", "source_dir")
+    return dates.months(dates.dated(names)).select("year", "month", F.size("files").cast("long").alias("n_files"), joined("files").alias("files"))
+
+
+def needs_processing(spark, sf_dir):
+    return ingest.needs_processing(_notes(spark, sf_dir), CONFIG)
+
+
+def analyze_plan(spark, sf_dir):
+    nodes, notes, config = _semantic(spark, sf_dir)
+    return suggest.analyze_plan(suggest.link_suggestions(nodes, config), tfidf.semantic_suggestions(nodes, notes, config), nodes, config)
+
+
+def _queue(spark, sf_dir):
+    queue = cut(ingest.needs_processing(_notes(spark, sf_dir), CONFIG), "queue")
+    return queue, ingest.keywords(queue)
+
+
+def ingest_tags(spark, sf_dir):
+    """The title of a note holds its document number, so a description that names numbers is what keywords can meet."""
+    queue, words = _queue(spark, sf_dir)
+    held = _tags(spark, sf_dir)
+    index = tags.tag_counts(held).select("tag", F.concat(F.lit("as n"), (F.col("n_files") * 10).cast("string"), F.lit(" and n10 n20 n30")).alias("description"))
+    return ingest.tag_suggestions(words, index, held.select("fname", "tag"))
+
+
+def ingest_links(spark, sf_dir):
+    queue, words = _queue(spark, sf_dir)
+    links = graph.edge_list(_graph(spark, sf_dir)[1])
+    return ingest.link_suggestions(queue, words, _tags(spark, sf_dir), links)
+
+
+def ingest_project(spark, sf_dir):
+    """Projects are notes of src1 under another name that shares a keyword with every tenth note."""
+    _, words = _queue(spark, sf_dir)
+    projects = _tags(spark, sf_dir).filter("tag = 'quality'").select(F.concat(F.lit("plan "), F.regexp_extract("fname", r"(n\d+)\.md$", 1), F.lit("0.md")).alias("fname"))
+    return ingest.project_suggestions(words, projects)
+
+
+def research_notes(spark, sf_dir):
+    held = cut(_tags(spark, sf_dir), "note-tags")
+    index = tags.tag_counts(held).select("tag", F.lit(None).cast("string").alias("description"))
+    return research.notes_for(research.matching_tags(index, TOPIC), held)
+
+
+def research_tags(spark, sf_dir):
+    return research.matching_tags(tags.tag_counts(_tags(spark, sf_dir)).select("tag", F.lit(None).cast("string").alias("description")), TOPIC)
+
+
+def lint_broken_links(spark, sf_dir):
+    parsed, nodes = _graph(spark, sf_dir)
+    return lint.broken_links(graph.edges(parsed), nodes)
+
+
+def lint_missing_desc(spark, sf_dir):
+    return lint.missing_descriptions(_described(tags.tag_index(_tags(spark, sf_dir))))
+
+
+def lint_index_drift(spark, sf_dir):
+    index = _described(tags.tag_index(_tags(spark, sf_dir)))
+    return lint.index_drift(index, tags.consolidated(index))
+
+
+def lint_orphans(spark, sf_dir):
+    nodes = _graph(spark, sf_dir)[1]
+    return lint.orphan_count(analyze.orphans(nodes), nodes)
+
+
+def lint_moc(spark, sf_dir):
+    nodes = _graph(spark, sf_dir)[1]
+    return lint.broken_moc(moc.moc_index(nodes, CONFIG), nodes)
+
+
+def lint_malformed(spark, sf_dir):
+    return lint.malformed_links(_notes(spark, sf_dir))
+
+
+def _edited(spark, sf_dir):
+    return vault.parse(_notes(spark, sf_dir))
+
+
+def edit_add_link(spark, sf_dir):
+    parsed = _edited(spark, sf_dir)
+    rows = edit.add_links(parsed, parsed.select("fname", F.lit("target.md").alias("target")))
+    return rows.select("fname", F.md5("content").alias("digest"))
+
+
+def edit_merge_tags(spark, sf_dir):
+    parsed = _edited(spark, sf_dir)
+    rows = edit.merge_tags(parsed, parsed.select("fname", F.explode(F.array(F.lit("quality"), F.lit("new"))).alias("tag")))
+    return rows.select("fname", F.md5("content").alias("digest"))
+
+
+def edit_project(spark, sf_dir):
+    parsed = _edited(spark, sf_dir)
+    rows = edit.set_project(parsed, parsed.select("fname", F.concat(F.lit("P "), "source_dir").alias("project")))
+    return rows.select("fname", F.md5("content").alias("digest"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    f.__name__.rstrip("_"): f
+    for f in (
+        tag_index_counts, tag_index_files, tag_search, tags_consolidated, stale_tags, graph_edges, graph_nodes_degrees, graph_stats, orphans, hubs_top20,
+        components_, component_size_classes, clusters_lpa, cluster_tag_report, cluster_tag_report_lpa, bridges, link_suggestions, link_pairs_all,
+        semantic_suggestions, semantic_pairs_all, tfidf_weights, moc_index, dates_index, needs_processing, analyze_plan, ingest_tags, ingest_links,
+        ingest_project, research_notes, research_tags, lint_broken_links, lint_missing_desc, lint_index_drift, lint_orphans, lint_moc, lint_malformed,
+        edit_add_link, edit_merge_tags, edit_project,
+    )
+}
