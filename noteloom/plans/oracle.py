@@ -140,7 +140,7 @@ ORACLE: dict[str, str] = {
         s AS (SELECT row_number() OVER (ORDER BY kind, own) AS rank, * FROM w)
         SELECT rank, type, a, b, score FROM s WHERE rank <= 20""",
     "ingest_tags": BASE + QUEUE + """,
-        s AS (SELECT z.fname, i.tag, 1 AS score FROM z JOIN i ON i.n_files * 10 = z.doc_id OR z.doc_id IN (10, 20, 30) WHERE NOT EXISTS (SELECT 1 FROM t WHERE t.fname = z.fname AND t.tag = i.tag)),
+        s AS (SELECT z.fname, i.tag, 1 AS score FROM z JOIN i ON i.n_files * 10 = z.doc_id OR z.doc_id IN (0, 60, 420, 840) WHERE NOT EXISTS (SELECT 1 FROM t WHERE t.fname = z.fname AND t.tag = i.tag)),
         r AS (SELECT fname, row_number() OVER (PARTITION BY fname ORDER BY score DESC, tag) AS rank, tag, score::BIGINT AS score FROM s)
         SELECT * FROM r WHERE rank <= 5""",
     "ingest_links": BASE + QUEUE + """,
@@ -149,7 +149,7 @@ ORACLE: dict[str, str] = {
         r AS (SELECT fname, row_number() OVER (PARTITION BY fname ORDER BY score DESC, candidate) AS rank, candidate, score FROM s)
         SELECT * FROM r WHERE rank <= 5""",
     "ingest_project": BASE + QUEUE + """
-        SELECT z.fname, 1::BIGINT AS rank, concat('plan n', o.doc_id, '0.md') AS project, 1::BIGINT AS score FROM z JOIN p o ON o.doc_id * 10 = z.doc_id WHERE o.quality = 1""",
+        SELECT z.fname, 1::BIGINT AS rank, concat('plan n', o.doc_id, '0.md') AS project, 1::BIGINT AS score FROM z JOIN p o ON o.doc_id * 10 = z.doc_id WHERE o.quality = 1 AND o.doc_id > 0""",
     "research_tags": BASE + " SELECT tag, len(list_filter(['en', 'quality', 'src3', 'notes'], lambda v: contains(tag, v)))::BIGINT AS score FROM i WHERE score > 0 ORDER BY score DESC, tag LIMIT 10",
     "research_notes": BASE + """,
         g AS (SELECT tag FROM i WHERE contains(tag, 'en') OR contains(tag, 'quality') OR contains(tag, 'src3') OR contains(tag, 'notes')

@@ -186,7 +186,7 @@ def ingest_tags(spark, sf_dir):
     """The title of a note holds its document number, so a description that names numbers is what keywords can meet."""
     queue, words = _queue(spark, sf_dir)
     held = _tags(spark, sf_dir)
-    index = tags.tag_counts(held).select("tag", F.concat(F.lit("as n"), (F.col("n_files") * 10).cast("string"), F.lit(" and n10 n20 n30")).alias("description"))
+    index = tags.tag_counts(held).select("tag", F.concat(F.lit("as n"), (F.col("n_files") * 10).cast("string"), F.lit(" and n0 n60 n420 n840")).alias("description"))
     return ingest.tag_suggestions(words, index, held.select("fname", "tag"))
 
 
