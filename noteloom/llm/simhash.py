@@ -6,10 +6,10 @@ level holds one pattern of the leading bits, and its children the patterns of th
 search walks down level by level, adds up the differences seen so far, and drops a node with all
 that lies under it as soon as the sum passes the limit.
 
-Blocks of the index are the top nodes: all fingerprints with the same leading bits. A fingerprint is
-sent to its own block and, as a probe, to the later blocks whose leading bits differ in no more than
-the limit, so every pair within the limit meets in exactly one block. A block answers with links to
-the smallest member of what it found connected, at most one for each fingerprint it was given.
+Fingerprints within the limit of k bits agree in one of k + 1 stretches of bits, so there is an index
+for each stretch, turned to lead; its blocks are ranges of the Gray order, and every fingerprint is
+dealt out k + 1 times. A block answers with links to the smallest member of what it found connected, at
+most one for each fingerprint it was given.
 
 Defined results: words are runs of characters other than the six ASCII white-space characters; a
 text with fewer words than a shingle is one shingle; a null, empty or blank text has fingerprint 0
@@ -19,8 +19,8 @@ null keep their fingerprint and get no component.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
-from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 
 from noteloom.llm.common import cut, ship
 from noteloom.llm.links import components
+from noteloom.llm.substring import mix
 
 SEED = 42
 BITS = 64
@@ -86,41 +87,37 @@ def gray_rank(prints: np.ndarray) -> np.ndarray:
 
 
 class GrayIndex:
-    """A hierarchy over distinct fingerprints in Gray order."""
+    """A hierarchy over distinct fingerprints in Gray order, whose top nodes are the patterns of the ``lead`` leading bits."""
 
-    def __init__(self, prints: np.ndarray, top: int):
-        self.order = np.argsort(gray_rank(prints), kind="stable")
+    def __init__(self, prints: np.ndarray, lead: int = 0):
+        rank = gray_rank(prints)
+        self.order = np.argsort(rank, kind="stable")
         self.prints = prints[self.order]
-        self.levels: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []  # first child, end child, and last leaf by node; a node's pattern is its first leaf's
-        self.bits = [*range(min(top + SEGMENT, BITS), BITS, SEGMENT), BITS]
+        self.bits = [lead, *range(lead + SEGMENT, BITS, SEGMENT), BITS]
         n = len(prints)
-        self.leaf: list[np.ndarray] = []
+        self.leaf: list[np.ndarray] = []  # by level: the first leaf below each node, whose leading bits are the node's pattern
         for b in self.bits:
-            key = self.prints >> np.uint64(BITS - b)
+            key = _leading(self.prints, b)
             new = np.ones(n, bool)
             new[1:] = key[1:] != key[:-1]
             self.leaf.append(np.flatnonzero(new))
         self.ends = [np.append(x[1:], n) for x in self.leaf]
+        self.children = []
         for upper, lower in zip(self.leaf[:-1], self.leaf[1:], strict=True):
             first = np.searchsorted(lower, upper)
-            self.levels.append((first, np.append(first[1:], len(lower))))
+            self.children.append((first, np.append(first[1:], len(lower))))
+        self.top = _leading(rank[self.order][self.leaf[0]], lead)
 
     def search(self, queries: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
-        """Pairs (query, place in the given prints) that differ in at most ``most`` bits."""
-        found_q, found_p = [], []
+        """Pairs (query, place in the given prints) with the same leading bits that differ in at most ``most`` bits."""
+        found_q, found_p = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
         for at in range(0, len(queries), AT_ONCE):
             part = queries[at : at + AT_ONCE]
-            q = np.repeat(np.arange(len(part)), len(self.leaf[0]))
-            node = np.tile(np.arange(len(self.leaf[0])), len(part))
-            seen = 0
-            so_far = np.zeros(len(q), np.uint8)
-            for level, b in enumerate(self.bits):
-                mask = np.uint64(((1 << (b - seen)) - 1) << (BITS - b)) if seen else np.uint64(((1 << b) - 1) << (BITS - b))
-                so_far = so_far + np.bitwise_count((part[q] ^ self.prints[self.leaf[level][node]]) & mask)
-                keep = so_far <= most
-                q, node, so_far, seen = q[keep], node[keep], so_far[keep], b
-                if b == BITS:
-                    break
+            lead = _leading(gray_rank(part), self.bits[0])
+            node = np.minimum(np.searchsorted(self.top, lead), len(self.top) - 1)
+            q = np.flatnonzero(self.top[node] == lead)
+            node, so_far = node[q], np.zeros(len(q), np.uint8)
+            for level, b in enumerate(self.bits[:-1]):
                 single = self.ends[level][node] - self.leaf[level][node] == 1
                 if single.any():  # nothing is shared below: the leaf itself is compared
                     leaf = self.leaf[level][node[single]]
@@ -128,17 +125,29 @@ class GrayIndex:
                     found_q.append(q[single][near] + at)
                     found_p.append(leaf[near])
                     q, node, so_far = q[~single], node[~single], so_far[~single]
-                first, end = self.levels[level]
+                first, end = self.children[level]
                 many = end[node] - first[node]
                 step = np.arange(int(many.sum())) - np.repeat(np.cumsum(many) - many, many)
                 q, so_far, node = np.repeat(q, many), np.repeat(so_far, many), np.repeat(first[node], many) + step
+                below = self.bits[level + 1]
+                mask = np.uint64(((1 << (below - b)) - 1) << (BITS - below))
+                so_far = so_far + np.bitwise_count((part[q] ^ self.prints[self.leaf[level + 1][node]]) & mask)
+                keep = so_far <= most
+                q, node, so_far = q[keep], node[keep], so_far[keep]
             found_q.append(q + at)
             found_p.append(self.leaf[-1][node])
-        if not found_q:
-            return np.empty(0, np.int64), np.empty(0, np.int64)
         return np.concatenate(found_q), self.order[np.concatenate(found_p)]
 
 
+def _leading(values: np.ndarray, bits: int) -> np.ndarray:
+    return values >> np.uint64(BITS - bits) if bits else np.zeros(len(values), np.uint64)
+
+
+def turned(prints: np.ndarray, by: int) -> np.ndarray:
+    """The patterns turned left by so many bits."""
+    return (prints << np.uint64(by)) | (prints >> np.uint64(BITS - by)) if by else prints
+
+
 def least_labels(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """For each of n nodes the smallest node that the links a-b connect it to."""
     label = np.arange(n)
@@ -153,51 +162,37 @@ def least_labels(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
             label = up
 
 
-def leading_bits(distinct: int, per_block: int = PER_BLOCK) -> int:
-    return min(24, max(0, (max(distinct, 1) - 1) // per_block).bit_length())
-
+def links(prints: DataFrame, most: int, distinct: int, per_block: int = PER_BLOCK) -> DataFrame:
+    """(a, b): links between ids of prints(id, fingerprint), distinct fingerprints, that connect what differs in at most ``most`` bits.
 
-def _blocks(prints: DataFrame, top: int, most: int) -> DataFrame:
-    """(block, probe, id, fingerprint): each member in its own block, and its probes in later blocks."""
-    flips = [sum(1 << x for x in c) for k in range(most + 1) for c in combinations(range(top), k)]
+    The bits are cut into ``most`` + 1 stretches. Fingerprints within the limit agree in one stretch at
+    least, so there is an index for each stretch, with the bits turned until it leads; the index's
+    blocks are ranges of its Gray order. Each fingerprint is dealt out ``most`` + 1 times, however many there are.
+    """
+    cuts = np.linspace(0, BITS, most + 2).astype(int)
+    stretches = [(int(a), int(b - a)) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+    block_bits = min(int(min(w for _, w in stretches)), max(0, (max(distinct, 1) - 1) // per_block).bit_length())
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, fps = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            own = (fps.view(np.uint64) >> np.uint64(BITS - top)).astype(np.int64) if top else np.zeros(len(fps), np.int64)
-            for flip in flips:
-                other = own ^ flip
-                keep = other >= own
-                if keep.any():
-                    yield pa.RecordBatch.from_arrays([pa.array(other[keep]), pa.array(np.full(keep.sum(), flip != 0)), pa.array(ids[keep]), pa.array(fps[keep])], ["block", "probe", "id", "fingerprint"])
-
-    return prints.mapInArrow(route, "block long, probe boolean, id long, fingerprint long")
+            prints = batch.column(1).to_numpy().view(np.uint64)
+            for k, (by, _) in enumerate(stretches):
+                own = turned(prints, by)
+                block = _leading(gray_rank(own), block_bits).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(block * len(stretches) + k), batch.column(0), pa.array(own.view(np.int64))], ["block", "id", "fingerprint"])
 
-
-def links(prints: DataFrame, most: int, distinct: int, per_block: int = PER_BLOCK) -> DataFrame:
-    """(a, b): links between ids of prints(id, fingerprint), distinct fingerprints, that connect what differs in at most ``most`` bits."""
-    top = leading_bits(distinct, per_block)
-
-    def search(table: pa.Table) -> pa.Table:
-        probe = table.column("probe").to_numpy()
+    def search(key: tuple, table: pa.Table) -> pa.Table:
         ids = table.column("id").to_numpy()
-        fps = table.column("fingerprint").to_numpy().view(np.uint64)
-        order = np.lexsort((ids, probe))  # members first
-        ids, fps, members = ids[order], fps[order], int((~probe).sum())
-        out = [np.empty(0, np.int64)] * 2
-        if members:
-            q, p = GrayIndex(fps[:members], top).search(fps, most)
-            other = q != p
-            by_id = np.argsort(ids, kind="stable")  # so that the smallest label is the smallest id
-            place = np.empty(len(ids), np.int64)
-            place[by_id] = np.arange(len(ids))
-            label = least_labels(len(ids), place[q[other]], place[p[other]])
-            moved = np.flatnonzero(label != np.arange(len(ids)))
-            out = [ids[by_id][moved], ids[by_id][label[moved]]]
-        return pa.table({"a": pa.array(out[0], pa.int64()), "b": pa.array(out[1], pa.int64())})
+        order = np.argsort(ids, kind="stable")  # so that the smallest label is the smallest id
+        ids, prints = ids[order], table.column("fingerprint").to_numpy().view(np.uint64)[order]
+        q, p = GrayIndex(prints, stretches[key[0].as_py() % len(stretches)][1]).search(prints, most)
+        label = least_labels(len(ids), q, p)
+        moved = np.flatnonzero(label != np.arange(len(ids)))
+        return pa.table({"a": pa.array(ids[moved], pa.int64()), "b": pa.array(ids[label[moved]], pa.int64())})
 
     ship(prints.sparkSession)
-    return _blocks(prints.select("id", "fingerprint"), top, most).groupBy("block").applyInArrow(search, "a long, b long")
+    dealt = prints.select("id", "fingerprint").mapInArrow(route, "block long, id long, fingerprint long")
+    return dealt.groupBy("block").applyInArrow(search, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, width: int = 3, most: int = 2) -> DataFrame:
@@ -208,3 +203,107 @@ def near_duplicates(docs: DataFrame, width: int = 3, most: int = 2) -> DataFrame
     roots = groups.join(found, groups["id"] == found["node"], "left").select(F.col("fingerprint").alias("_fingerprint"), F.coalesce("root", "id").alias("component_id"))
     rows = prints.join(roots, prints["fingerprint"] == roots["_fingerprint"], "left")
     return rows.select("doc_id", "fingerprint", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
+
+
+#: Words of 64 bits in a wide fingerprint, bits of one of its keys, and bits in which a key of a near pair may differ.
+WIDE, KEY, KEY_MOST = 4, 32, 3
+
+
+def wide_fingerprint(hashes: np.ndarray) -> list[int]:
+    """WIDE fingerprints of the same shingles, each of hashes mixed anew."""
+    return [fingerprint(mix(hashes + np.uint64(k) * np.uint64(0x9E3779B97F4A7C15))) for k in range(WIDE)]
+
+
+def most_bits(similarity: float) -> int:
+    """Bits of a wide fingerprint in which texts whose shingle sets have this Jaccard similarity differ, on average."""
+    return int(WIDE * BITS * math.acos(2 * similarity / (1 + similarity)) / math.pi)
+
+
+def near_groups(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFrame:
+    """(doc_id, component_id) by wide fingerprints: linked are texts whose estimated Jaccard similarity is at least ``similarity``.
+
+    At 0.8 single fingerprints of near texts differ in too many bits for any index to prune. A wide one has
+    WIDE * BITS / KEY keys; near texts agree in KEY - KEY_MOST bits of one key at least with a chance of over nine in
+    ten at the limit and nearly always above it. Keys are searched in hierarchical Gray-order indexes, and what they
+    find is held against all bits of the fingerprints.
+    """
+    names = [f"f{k}" for k in range(WIDE)]
+    most = most_bits(similarity)
+
+    def prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = np.array([wide_fingerprint(shingle_hashes(t.as_py(), width)) for t in batch.column(1)], np.uint64).reshape(-1, WIDE).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(made[:, k]) for k in range(WIDE)]], ["doc_id", *names])
+
+    turns = range(0, KEY, KEY // (KEY_MOST + 1))
+    lead = KEY // (KEY_MOST + 1)
+
+    def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(WIDE * BITS // KEY):
+                word = batch.column(1 + k // 2).to_numpy().view(np.uint64)
+                key = (word >> np.uint64(KEY * (k % 2))) & np.uint64((1 << KEY) - 1)
+                for turn in turns:
+                    own = ((key << np.uint64(turn)) | (key >> np.uint64(KEY - turn))) << np.uint64(BITS - KEY) if turn else key << np.uint64(BITS - KEY)
+                    block = _leading(gray_rank(own), block_bits).astype(np.int64)
+                    yield pa.RecordBatch.from_arrays([pa.array((block * 64 + k) * 64 + turn), pa.array(own.view(np.int64)), *batch.columns], ["block", "key", "id", *names])
+
+    def search(table: pa.Table) -> pa.Table:
+        ids = table.column("id").to_numpy()
+        order = np.argsort(ids, kind="stable")
+        ids, keys = ids[order], table.column("key").to_numpy().view(np.uint64)[order]
+        wide = np.stack([table.column(n).to_numpy().view(np.uint64)[order] for n in names])
+        unique, which, many = np.unique(keys, return_inverse=True, return_counts=True)
+        member = np.argsort(which, kind="stable")
+        start = np.cumsum(many) - many
+        q, p = GrayIndex(unique, lead).search(unique, KEY_MOST)
+        q, p = q[q <= p], p[q <= p]
+        label = np.arange(len(ids))
+        size = np.cumsum(many[q] * many[p])
+        at = 0
+        while at < len(q):  # lots of about PAIRS pairs of members
+            end = max(at + 1, int(np.searchsorted(size, (size[at - 1] if at else 0) + PAIRS)))
+            for a, b in _pairs(start, many, q[at:end], p[at:end]):
+                a, b = member[a], member[b]
+                near = (a != b) & (np.bitwise_count(wide[:, a] ^ wide[:, b]).sum(axis=0) <= most)
+                label = least_labels(len(ids), np.concatenate([np.arange(len(ids)), label[a[near]]]), np.concatenate([label, label[b[near]]]))
+            at = end
+        moved = np.flatnonzero(label != np.arange(len(ids)))
+        return pa.table({"a": pa.array(ids[moved], pa.int64()), "b": pa.array(ids[label[moved]], pa.int64())})
+
+    ship(docs.sparkSession)
+    made = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).filter("doc_id is not null").mapInArrow(prints, "doc_id long, " + ", ".join(f"{n} long" for n in names))
+    made = cut(made, "wide-fingerprints")
+    groups = cut(made.groupBy(*names).agg(F.min("doc_id").alias("id")).select("id", *names), "distinct-wide")
+    block_bits = min(lead, max(0, (max(groups.count(), 1) - 1) // PER_BLOCK).bit_length())
+    edges = groups.mapInArrow(route, "block long, key long, id long, " + ", ".join(f"{n} long" for n in names)).groupBy("block").applyInArrow(search, "a long, b long")
+    found = components(edges)
+    roots = groups.join(found, groups["id"] == found["node"], "left").select(*names, F.coalesce("root", "id").alias("component_id"))
+    return made.join(roots, names).select("doc_id", "component_id")
+
+
+#: Pairs of members that are compared at once.
+PAIRS = 1 << 21
+
+
+def _pairs(start: np.ndarray, many: np.ndarray, q: np.ndarray, p: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All places (a, b) of members of the keys q and p, in lots of about PAIRS."""
+    product = many[q] * many[p]
+    if product.sum() <= 2 * PAIRS:
+        step = np.arange(int(product.sum())) - np.repeat(np.cumsum(product) - product, product)
+        inner = np.repeat(many[p], product)
+        yield np.repeat(start[q], product) + step // inner, np.repeat(start[p], product) + step % inner
+        return
+    for u, v in zip(q, p, strict=True):
+        right = np.arange(start[v], start[v] + many[v])
+        rows = max(1, PAIRS // max(1, len(right)))
+        for at in range(start[u], start[u] + many[u], rows):
+            left = np.arange(at, min(at + rows, start[u] + many[u]))
+            yield np.repeat(left, len(right)), np.tile(right, len(left))
+
+
+def keep_first(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFrame:
+    """The rows of docs without those whose group holds a smaller doc_id; rows without a doc_id stay."""
+    groups = near_groups(docs, width, similarity)
+    gone = groups.filter("component_id < doc_id").select(F.col("doc_id").alias("_doc_id")).distinct()
+    return docs.join(gone, F.col("doc_id").cast("long") == F.col("_doc_id"), "left_anti")
