@@ -118,8 +118,15 @@ def token_pieces(docs: DataFrame, vocabulary: str, ranks: str, pattern: str, siz
 def plan_slots(counts: dict[int, int], size: int) -> list[tuple[int, int, int, int, int]]:
     """Slots (length, first_rank, sequences, first_sequence, offset) that place counts[length] pieces of each length.
 
-    Each bulk step uses up a length or a combination, so the plan grows with ``size``, not with the counts.
+    Of the plans that use exact complements of up to three, two, one and no further pieces before best fit, the one with
+    the fewest sequences: combinations of small pieces can cost more later than they fill now.
     """
+    plans = [_plan(counts, size, depth) for depth in (3, 2, 1, 0)]
+    return min(plans, key=lambda slots: max((s[3] + s[2] for s in slots), default=0))
+
+
+def _plan(counts: dict[int, int], size: int, depth: int) -> list[tuple[int, int, int, int, int]]:
+    """One plan. Each bulk step uses up a length or a combination, so it grows with ``size``, not with the counts."""
     left = {k: n for k, n in counts.items() if n > 0}
     if any(not 0 < k <= size for k in left):
         raise ValueError("a length does not fit a sequence")
@@ -141,21 +148,19 @@ def plan_slots(counts: dict[int, int], size: int) -> list[tuple[int, int, int, i
     def most(pattern: tuple[int, ...]) -> int:
         return min(left.get(k, 0) // pattern.count(k) for k in pattern)
 
-    def complements(head: int, gap: int) -> Iterator[tuple[int, ...]]:
-        """Combinations of one, two and three present lengths, none above head, that sum to gap; larger parts first."""
-        if gap == 0:
-            yield (head,)
+    def complements(head: int, gap: int, parts: int) -> Iterator[tuple[int, ...]]:
+        """Combinations of so many present lengths, none above head, that sum to gap; larger parts first."""
+        if parts == 1:
+            if gap in left and gap <= head:
+                yield (head, gap)
             return
-        if gap in left and gap <= head:
-            yield (head, gap)
-        for a in reversed(lengths[: bisect_left(lengths, min(head, gap - 1) + 1)]):
-            if 2 * a < gap:
-                break
-            if gap - a in left:
-                yield (head, a, gap - a)
-        for a in reversed(lengths[: bisect_left(lengths, min(head, gap - 2) + 1)]):
-            if 3 * a < gap:
+        for a in reversed(lengths[: bisect_left(lengths, min(head, gap - parts + 1) + 1)]):
+            if parts * a < gap:
                 break
+            if parts == 2:
+                if gap - a in left:
+                    yield (head, a, gap - a)
+                continue
             rest = gap - a
             for b in reversed(lengths[: bisect_left(lengths, min(a, rest - 1) + 1)]):
                 if 2 * b < rest:
@@ -163,14 +168,19 @@ def plan_slots(counts: dict[int, int], size: int) -> list[tuple[int, int, int, i
                 if rest - b in left:
                     yield (head, a, b, rest - b)
 
-    for head in sorted(left, reverse=True):
-        while left.get(head, 0):
-            pattern = next((p for p in complements(head, size - head) if most(p)), None)
-            if pattern is None:
-                break
-            times = most(pattern)
-            take(pattern, times, sequences, 0)
-            sequences += times
+    if size in left:
+        times = left[size]
+        take((size,), times, sequences, 0)
+        sequences += times
+    for parts in range(1, depth + 1):  # all single complements before the first pair, and so on
+        for head in sorted(left, reverse=True):
+            while left.get(head, 0):
+                pattern = next((p for p in complements(head, size - head, parts) if most(p)), None)
+                if pattern is None:
+                    break
+                times = most(pattern)
+                take(pattern, times, sequences, 0)
+                sequences += times
     # Best fit of the rest, longest first: groups of equally filled sequences, by gap.
     groups: dict[int, list[tuple[int, int]]] = {}  # gap: (first sequence, how many)
     gaps: list[int] = []
