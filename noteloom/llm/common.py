@@ -3,49 +3,18 @@
 from __future__ import annotations
 
 import tempfile
-import uuid
 import zipfile
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from noteloom.storage import cut  # noqa: F401
+
 #: A word is a run of characters other than space and \t \n \v \f \r.
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, set here only where it is unset."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        held = spark.sparkContext._jsc.sc().getCheckpointDir()
-        if held.isDefined():
-            return held.get()
-        found = tempfile.mkdtemp(prefix="noteloom-checkpoint-")
-        spark.sparkContext.setCheckpointDir(found)
-        return found
-    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        spark.sparkContext.setCheckpointDir(found)
-    return found
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    """A path for a table of its own in the shared folder."""
-    return f"{shared_dir(spark).rstrip('/')}/noteloom-{name}-{uuid.uuid4().hex}"
-
-
-def cut(df: DataFrame, name: str) -> DataFrame:
-    """Writes df as a table in the shared folder and reads it back.
-
-    The lineage is cut, an executor lost later costs nothing, and columns that are not
-    needed later are not read. The table's name tells which operator wrote it.
-    """
-    spark = df.sparkSession
-    path = new_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -59,10 +28,12 @@ def parts(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
-def plan_only(docs: DataFrame, *needed: str) -> DataFrame:
-    """Only the named columns; those that are missing are null strings (extra columns never clash)."""
-    have = set(docs.columns)
-    return docs.select(*[F.col(f"`{c}`") if c in have else F.lit(None).cast("string").alias(c) for c in needed])
+def free(docs: DataFrame, name: str) -> str:
+    """name, with underscores before it until docs has no such column."""
+    held = {c.lower() for c in docs.columns}
+    while name.lower() in held:
+        name = "_" + name
+    return name
 
 
 _shipped: set[str] = set()

@@ -1,50 +1,12 @@
-"""Connected components of links between 64-bit or text keys, without gathering them anywhere."""
+"""Connected components of links between document ids."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from noteloom.llm.common import cut
-
-#: More rounds than any graph of 2^60 nodes needs; reached only if something is wrong.
-MOST_ROUNDS = 60
+from noteloom.operators.components import roots
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(node, root) for every node of edges(a, b): root is the smallest node reachable.
-
-    Alternating large-star and small-star rounds (Kiveris et al., 2014). Both stars replace each link
-    by a link to the smallest neighbour, so the number of links never grows and a node with very many
-    links costs one partial aggregate, not a group in one task. Each round is written to the shared
-    folder. Ties and repeated links change nothing; an empty table gives no rows.
-    """
-    links = cut(edges.select(F.col("a").alias("u"), F.col("b").alias("v")).filter("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "links")
-    if links.isEmpty():
-        return links.select(F.col("u").alias("node"), F.col("v").alias("root"))
-    before = None
-    for _ in range(MOST_ROUNDS):
-        links = cut(_small_star(_large_star(links)), "links")
-        # Sums over the links; equal sums after a round in which nothing moved.
-        now = links.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if now == before:
-            break
-        before = now
-    else:
-        raise RuntimeError("components did not settle")
-    roots = links.select("v").distinct().select(F.col("v").alias("node"), F.col("v").alias("root"))
-    return links.select(F.col("u").alias("node"), F.col("v").alias("root")).union(roots)
-
-
-def _large_star(links: DataFrame) -> DataFrame:
-    """Links each larger neighbour of a node to the smallest of the node and its neighbours."""
-    both = links.union(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    return both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u != v").distinct()
-
-
-def _small_star(links: DataFrame) -> DataFrame:
-    """Links a node and its smaller neighbours to the smallest of them; links run from larger to smaller."""
-    least = links.groupBy("u").agg(F.min("v").alias("m"))
-    moved = links.join(least, "u")
-    return moved.select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v"))).filter("u != v").distinct()
+    """(node, root) for every node of edges(a, b) that is linked to another: root is the smallest node reachable."""
+    return roots(edges)

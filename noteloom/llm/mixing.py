@@ -17,7 +17,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from noteloom.llm.common import WORD, cut
+from noteloom.llm.common import WORD, cut, free
 
 #: Seeds tried for each source: the one whose Bernoulli copies come nearest to the target is used.
 SEEDS = 64
@@ -98,8 +98,8 @@ def _join(left: DataFrame, right: DataFrame) -> DataFrame:
 
 def repeat_documents(docs: DataFrame, weights: Sequence[float], share: float, cap: float, seeds: int = SEEDS) -> DataFrame:
     """The rows of docs, each repeated as often as the mixture takes it, with the columns of docs."""
-    counted = mixture(docs, weights, share, cap, seeds).select(F.col("doc_id").alias("_doc_id"), "copies").filter("copies > 0")
-    once = counted.dropDuplicates(["_doc_id"])
-    rows = docs.join(once, docs["doc_id"].eqNullSafe(once["_doc_id"]))
+    key, copies, copy = free(docs, "_key"), free(docs, "_copies"), free(docs, "_copy")
+    counted = mixture(docs, weights, share, cap, seeds).filter("copies > 0").select(F.col("doc_id").alias(key), F.col("copies").alias(copies)).dropDuplicates([key])
+    rows = docs.join(counted, F.col("doc_id").eqNullSafe(F.col(key)))
     columns = [F.col(f"`{c}`") for c in docs.columns]
-    return rows.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*columns)
+    return rows.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(copies)))).select(*columns)

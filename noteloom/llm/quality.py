@@ -22,7 +22,7 @@ from itertools import combinations_with_replacement
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from noteloom.llm.common import cut, ship
@@ -115,9 +115,10 @@ def levels(rows: DataFrame, least: int) -> DataFrame:
     """
     per_group = rows.groupBy("group", "lang").agg(F.count(F.when(~F.col("base_failed"), 1)).alias("n"))
     per_lang = per_group.groupBy("lang").agg(F.sum("n").alias("lang_n"), F.max((F.col("n") < least).cast("int")).alias("lang_needed")).withColumn("_lang", F.col("lang")).drop("lang")
-    needed = per_lang.agg(F.max(((F.col("lang_n") < least) & (F.col("lang_needed") == 1)).cast("int")).alias("all_needed"))
+    everything = Window.partitionBy(F.lit(1))  # over the rows of the languages
+    per_lang = per_lang.withColumn("all_needed", F.max(((F.col("lang_n") < least) & (F.col("lang_needed") == 1)).cast("int")).over(everything))
     lang_level = F.concat(F.lit("lang:"), F.coalesce(F.concat(F.lit("="), F.col("lang")), F.lit("")))
-    table = per_group.join(per_lang, per_group["lang"].eqNullSafe(per_lang["_lang"])).crossJoin(F.broadcast(needed))  # needed is a single row
+    table = per_group.join(per_lang, per_group["lang"].eqNullSafe(per_lang["_lang"]))
     judge = F.when(F.col("n") >= least, F.col("group")).when(F.col("lang_n") >= least, lang_level).otherwise(F.lit("all"))
     feeds = F.array(F.when(F.col("n") >= least, F.col("group")), F.when((F.col("lang_needed") == 1) & (F.col("lang_n") >= least), lang_level), F.when(F.col("all_needed") == 1, F.lit("all")))
     return table.select("group", judge.alias("judge"), F.array_compact(feeds).alias("feeds"))

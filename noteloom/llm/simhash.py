@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from noteloom.llm.common import cut, ship
+from noteloom.llm.common import cut, free, ship
 from noteloom.llm.links import components
 from noteloom.llm.substring import mix
 
@@ -305,5 +305,6 @@ def _pairs(start: np.ndarray, many: np.ndarray, q: np.ndarray, p: np.ndarray) ->
 def keep_first(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFrame:
     """The rows of docs without those whose group holds a smaller doc_id; rows without a doc_id stay."""
     groups = near_groups(docs, width, similarity)
-    gone = groups.filter("component_id < doc_id").select(F.col("doc_id").alias("_doc_id")).distinct()
-    return docs.join(gone, F.col("doc_id").cast("long") == F.col("_doc_id"), "left_anti")
+    key = free(docs, "_key")
+    gone = groups.filter("component_id < doc_id").select(F.col("doc_id").alias(key)).distinct()
+    return docs.join(gone, F.col("doc_id").cast("long") == F.col(key), "left_anti")

@@ -131,6 +131,7 @@ def write(pages: DataFrame, least: int = 1000, date: str = "1970-01-01T00:00:00Z
             yield closed()
 
     ship(pages.sparkSession)
+    pages = pages.select("page_id", "url", "html")
     known = revisits(pages, least).withColumnRenamed("page_id", "_page_id")
     rows = pages.filter("page_id is not null").join(known, F.col("page_id") == F.col("_page_id"), "left")
     rows = rows.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.col("html").cast("string"), "refers_to")
