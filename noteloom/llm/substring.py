@@ -34,6 +34,8 @@ from noteloom.llm.common import parts, ship
 ROUNDS = 6
 #: Bytes of text worked on at once; a longer text is worked on alone.
 SLICE_BYTES = 3_000_000
+#: Windows that a task compares at once.
+AT_ONCE = 400_000
 SEND = "bucket int, doc_id long, start int, stop int, entries binary"
 BASE = np.uint64(0x9E3779B97F4A7C15)
 INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
@@ -183,7 +185,13 @@ def _pack(name: np.ndarray, hashed: np.ndarray, doc: np.ndarray, start: np.ndarr
     return np.array([len(docs), len(head), len(name)], "<u4").tobytes() + b"".join(c.tobytes() for c in columns)
 
 
-def _unpack(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def _count(data: bytes) -> int:
+    """Windows in a packed entry list."""
+    return int(np.frombuffer(data, "<u4", 3)[2])
+
+
+def _unpack(data: bytes, share: int = 0, shares: int = 1) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The windows whose name falls into one of ``shares`` shares."""
     n_docs, heads, n = np.frombuffer(data, "<u4", 3).tolist()
     at, out = 12, []
     for kind, count in (("<i8", n_docs), ("<u4", heads), ("<u4", heads), ("<u4", heads), ("<u4", heads), ("<u4", n), ("u1", heads), ("u1", n)):
@@ -193,6 +201,11 @@ def _unpack(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray
     name = name_low.astype(np.uint64) | (name_high.astype(np.uint64) << U(32))
     hashed = hash_low.astype(np.uint64) | (hash_high.astype(np.uint64) << U(32))
     many = many.astype(np.int64)
+    if shares > 1:
+        mine = (mix(name + U(3)) % U(shares)) == U(share)
+        hashed = hashed[np.repeat(mine, many)]
+        name, which, start, many = name[mine], which[mine], start[mine], many[mine]
+    n = len(hashed)
     step = np.arange(n) - np.repeat(np.cumsum(many) - many, many)
     return np.repeat(name, many), hashed, np.repeat(docs[which], many), np.repeat(start.astype(np.int64), many) + step
 
@@ -256,9 +269,10 @@ def covered(docs: DataFrame, width: int = 20) -> DataFrame:
             if settled.num_rows:
                 yield settled.select(["doc_id", "start", "stop"])
             held += [x.as_py() for x in batch.column("entries") if x.is_valid]
-        if held:
-            columns = [np.concatenate(c) for c in zip(*map(_unpack, held), strict=True)]
-            del held
+        # Equal windows have equal names, so the names are taken in shares of a size that memory holds.
+        shares = -(-sum(map(_count, held)) // AT_ONCE)
+        for share in range(shares):
+            columns = [np.concatenate(c) for c in zip(*(_unpack(x, share, shares) for x in held), strict=True)]
             later, _ = repeated(*columns)
             d, a, b = stretches(columns[2][later], columns[3][later], width)
             yield pa.RecordBatch.from_arrays([pa.array(d, pa.int64()), pa.array(a, pa.int32()), pa.array(b, pa.int32())], ["doc_id", "start", "stop"])
