@@ -31,7 +31,7 @@ BASE = {
 MIXED = r"[A-Za-z0-9+/_-]{20,}"
 #: From so many owners on a value counts as a widely copied example.
 COPIED_OWNERS = 3
-OPEN, MIDDLE, CLOSE = "", "", ""
+OPEN, MIDDLE, CLOSE = "\ue000", "\ue001", "\ue002"
 SPAN = "array<struct<start:int,rank:int,end:int,value:bigint>>"
 
 
@@ -57,7 +57,7 @@ def candidates(docs: DataFrame, source: str = "source") -> DataFrame:
     """(row, doc_id, owner, spans): every candidate of every text, base kinds and mixed tokens."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     held = docs.select("doc_id", F.col(source).cast("string").alias("owner"), text.alias("text"))
-    held = held.withColumn("text", F.when(F.col("text").rlike(f"[{OPEN}{MIDDLE}{CLOSE}]"), F.translate("text", OPEN + MIDDLE + CLOSE, "�" * 3)).otherwise(F.col("text")))
+    held = held.withColumn("text", F.when(F.col("text").rlike(f"[{OPEN}{MIDDLE}{CLOSE}]"), F.translate("text", OPEN + MIDDLE + CLOSE, "\ufffd" * 3)).otherwise(F.col("text")))
     found = [_marked_spans(F.col("text"), *rule, rank) for rank, rule in enumerate(BASE.values())]
     found.append(_marked_spans(F.col("text"), MIXED, 0, 20, len(BASE), mixed=True))
     return held.select(F.monotonically_increasing_id().alias("row"), "doc_id", "owner", F.concat(*found).alias("spans"))

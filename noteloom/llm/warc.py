@@ -57,7 +57,7 @@ def url_key(url: str | None) -> str:
 
 def _line(text: str) -> str:
     """text without characters that end or split a line."""
-    return re.sub(r"[\x00-\x20\x7f\x85  ]", lambda m: "".join(f"%{b:02X}" for b in m[0].encode()), text)
+    return re.sub(r"[\x00-\x20\x7f]", lambda m: "".join(f"%{b:02X}" for b in m[0].encode()), text)
 
 
 def capture_key(url: str | None, page_id: int) -> str:
