@@ -1,12 +1,13 @@
 """Line dedup: an exact set-similarity join of lines with prefix, positional and length filters.
 
 A line is the set of its words. Its tokens are put in one order for the whole corpus, rarest first: by
-a sketch of how often each word occurs (CELLS sums, whatever the corpus), then by hash; the order is
+a sketch of how often each word occurs (CELLS bytes, whatever the corpus), then by hash; the order is
 the same for all lines, which is all that exactness needs. Two sets with a Jaccard similarity of at
 least t share a token among the first |x| - ceil(t|x|) + 1 of each.
 
 1. Every line's prefix tokens meet by token. Lines with equal sets are settled there; tokens of which
    no other line of fitting length and position holds a copy, nearly all of them, end there.
+   (64-bit sketches of the sets rule out nearly all pairs that share a token by chance.)
 2. Lines that hold a token another line may match by are sent once more, with their whole sets, and
    verified against earlier lines under that token.
 3. A line that an earlier line (by doc_id, then place in the text) matches is removed. Matches are
@@ -31,10 +32,14 @@ import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from noteloom.llm.common import cut, parts, ship
+from noteloom.llm.common import cut, free, parts, ship
 from noteloom.llm.substring import Namer, mix
 
-CELLS = 1 << 16
+#: Cells of the sketch of word frequencies: one byte each, whatever the corpus. And the cells of a row that travels.
+CELLS, ROW = 1 << 22, 1 << 13
+#: A token is a word's hash of 40 bits, so that line, rarity and token sort as one number.
+TOKEN_BITS, RARITY_BITS = 40, 5
+TOKEN = np.uint64((1 << TOKEN_BITS) - 1)
 #: Bytes of text worked on at once; a longer text is worked on alone.
 SLICE_BYTES = 3_000_000
 LEAST, SIMILARITY = 5, 0.8
@@ -67,10 +72,15 @@ class Lines:
                         place.append(k)
                         many.append(len(words))
                         flat += map(namer.__getitem__, words)
-        token = np.array(flat, np.uint64)
+        token = np.array(flat, np.uint64) & TOKEN
         line = np.repeat(np.arange(len(many)), many)
-        order = np.lexsort((token, counts[(token % U(CELLS)).astype(np.int64)], line))
-        token, line = token[order], line[order]
+        rarity = counts[(token % U(CELLS)).astype(np.int64)]
+        if len(many) < 1 << (64 - TOKEN_BITS - RARITY_BITS):
+            key = np.sort((line.astype(np.uint64) << U(TOKEN_BITS + RARITY_BITS)) | (rarity.astype(np.uint64) << U(TOKEN_BITS)) | token)
+            token, line = key & TOKEN, (key >> U(TOKEN_BITS + RARITY_BITS)).astype(np.int64)
+        else:
+            order = np.lexsort((token, rarity, line))
+            token, line = token[order], line[order]
         new = np.ones(len(token), bool)
         new[1:] = (token[1:] != token[:-1]) | (line[1:] != line[:-1])
         token, line = token[new], line[new]
@@ -81,6 +91,7 @@ class Lines:
         self.token, self.line = token[keep], (np.cumsum(good) - 1)[line[keep]] if len(line) else line
         self.at = np.cumsum(self.size) - self.size
         self.set = np.add.reduceat(mix(self.token), self.at) if len(self.size) else np.empty(0, np.uint64)
+        self.bits = np.bitwise_or.reduceat(U(1) << (mix(self.token + U(1)) >> U(58)), self.at) if len(self.size) else np.empty(0, np.uint64)
         self.position = np.arange(len(self.token)) - np.repeat(self.at, self.size)
 
 
@@ -89,37 +100,62 @@ def _prefix(size: np.ndarray, t: float) -> np.ndarray:
 
 
 def word_counts(docs: DataFrame) -> np.ndarray:
-    """How often words of each of CELLS hash cells occur in all texts."""
+    """For each of CELLS hash cells the binary logarithm of how often its words occur in all texts, in a byte.
+
+    Sums travel in rows of ROW cells; the driver gets CELLS bytes.
+    """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        namer, total = Namer(), np.zeros(CELLS, np.int64)
+        namer, total = Namer(), np.zeros(CELLS, np.uint32)
         for part in _texts(batches):
             for text in part.column(1):
                 words = text.as_py().encode().split()
                 np.add.at(total, (np.fromiter(map(namer.__getitem__, words), np.uint64, len(words)) % U(CELLS)).astype(np.int64), 1)
-        used = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), pa.array(total[used])], ["cell", "n"])
+        rows = total.reshape(-1, ROW)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(rows)), pa.int32()), pa.array([_planes(r.astype("<u4")) for r in rows], pa.binary())], ["row", "sums"])
+
+    def add(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(ROW, np.uint64)
+        for batch in batches:
+            for sums in batch.column("sums"):
+                total += _from_planes(sums.as_py(), "<u4", ROW)
+        yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([np.minimum(np.ceil(np.log2(total.astype(float) + 1)), 31).astype(np.uint8).tobytes()], pa.binary())], ["row", "sums"])
+
+    counts = np.zeros((CELLS // ROW, ROW), np.uint8)
+    for row in docs.mapInArrow(count, "row int, sums binary").groupBy("row").applyInArrow(add, "row int, sums binary").collect():
+        counts[row["row"]] = np.frombuffer(row["sums"], np.uint8)
+    return counts.ravel()
+
+
+def _planes(values: np.ndarray) -> bytes:
+    """The bytes of little-endian numbers, all lowest bytes first, so that high bytes of zero compress to nothing."""
+    return values.view(np.uint8).reshape(len(values), -1).T.tobytes()
+
 
-    counts = np.zeros(CELLS, np.int64)
-    for row in docs.mapInArrow(count, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).collect():  # at most CELLS rows
-        counts[row["cell"]] = row["n"]
-    return counts
+def _from_planes(data: bytes, kind: str, n: int, at: int = 0) -> np.ndarray:
+    width = np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8, n * width, at).reshape(width, n).T).reshape(-1).view(kind)
 
 
-def _entries(token, owner, place, size, position, same) -> bytes:
+def _entries(token, owner, place, size, position, same, bits) -> bytes:
+    """Entries of lines under tokens.
+
+    Sets go by 32 bits of their hash and by 64 bits of which each token sets one; both are only held against each
+    other under one token.
+    """
     docs, which = np.unique(owner, return_inverse=True)
-    columns = [docs.astype("<i8"), token.astype("<u8"), same.astype("<u8"), which.astype("<u4"), place.astype("<u4"), size.astype("<u4"), position.astype("<u4")]
-    return np.array([len(docs), len(token)], "<u4").tobytes() + b"".join(c.tobytes() for c in columns)
+    columns = [docs.astype("<i8"), token.astype("<u8"), bits.astype("<u8"), (same & U(0xFFFFFFFF)).astype("<u4"), which.astype("<u4"), place.astype("<u4"), size.astype("<u4"), position.astype("<u4")]
+    return np.array([len(docs), len(token)], "<u4").tobytes() + b"".join(map(_planes, columns))
 
 
 def _read_entries(data: bytes) -> tuple[np.ndarray, ...]:
     n_docs, n = np.frombuffer(data, "<u4", 2).tolist()
     at, out = 8, []
-    for kind, count in (("<i8", n_docs), ("<u8", n), ("<u8", n), ("<u4", n), ("<u4", n), ("<u4", n), ("<u4", n)):
-        out.append(np.frombuffer(data, kind, count, at))
+    for kind, count in (("<i8", n_docs), ("<u8", n), ("<u8", n), ("<u4", n), ("<u4", n), ("<u4", n), ("<u4", n), ("<u4", n)):
+        out.append(_from_planes(data, kind, count, at))
         at += out[-1].nbytes
-    docs, token, same, which, place, size, position = out
-    return token, docs[which], place.astype(np.int64), size.astype(np.int64), position.astype(np.int64), same
+    docs, token, bits, same, which, place, size, position = out
+    return token, docs[which], place.astype(np.int64), size.astype(np.int64), position.astype(np.int64), same.astype(np.uint64), bits
 
 
 #: What a task says of lines: verify under the tokens (kind 1), or removed (kind 2).
@@ -138,6 +174,35 @@ def _first_of_sets(token, same, owner, place) -> tuple[np.ndarray, np.ndarray]:
     return order, first
 
 
+#: Neighbours that a line of a token's group is held against one by one; lines of larger groups all go on to be verified.
+NEIGHBOURS = 256
+
+
+def _may_match(token, size, position, bits, t: float) -> np.ndarray:
+    """Which rows, sorted by token and size, may have a partner under their token.
+
+    A pair passes if its lengths fit, if enough tokens are left from the shared one on in both, and if the two sets of
+    bits differ in no more places than sets of that overlap can.
+    """
+    found = np.zeros(len(token), bool)
+    left = np.arange(len(token))
+    for shift in range(1, len(token)):
+        left = left[left + shift < len(token)]
+        left = left[(token[left] == token[left + shift]) & (size[left] >= np.ceil(t * size[left + shift] - 1e-9))]
+        if not len(left):
+            break
+        if shift > NEIGHBOURS:  # what is left has more neighbours: it and all that follow in its group are verified
+            big = np.isin(token, token[left])
+            found |= big
+            break
+        other = left + shift
+        need = np.ceil(t / (1 + t) * (size[left] + size[other]) - 1e-9)
+        good = np.minimum(size[left] - position[left], size[other] - position[other]) >= need
+        good &= np.bitwise_count(bits[left] ^ bits[other]) <= size[left] + size[other] - 2 * need
+        found[left[good]] = found[other[good]] = True
+    return found
+
+
 def shared_tokens(docs: DataFrame, counts: np.ndarray, t: float, least: int) -> DataFrame:
     """SAID after the first meeting."""
     spark = docs.sparkSession
@@ -168,7 +233,7 @@ def shared_tokens(docs: DataFrame, counts: np.ndarray, t: float, least: int) ->
             data = []
             for k in used:
                 w = by[edges[k] : edges[k + 1]]
-                data.append(_entries(token[w], lines.owner[line[w]], lines.place[line[w]], lines.size[line[w]], lines.position[pick[w]], lines.set[line[w]]))
+                data.append(_entries(token[w], lines.owner[line[w]], lines.place[line[w]], lines.size[line[w]], lines.position[pick[w]], lines.set[line[w]], lines.bits[line[w]]))
             n = len(used)
             yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int32()), pa.array(data, pa.binary())], ["bucket", "doc_id", "line", "token", "kind", "entries"])
 
@@ -181,26 +246,18 @@ def shared_tokens(docs: DataFrame, counts: np.ndarray, t: float, least: int) ->
             held += [_read_entries(x.as_py()) for x in batch.column("entries") if x.is_valid]
         if not held:
             return
-        token, owner, place, size, position, same = (np.concatenate(c) for c in zip(*held, strict=True))
+        token, owner, place, size, position, same, bits = (np.concatenate(c) for c in zip(*held, strict=True))
         del held
+        same = mix(same ^ mix(bits))
         order, first = _first_of_sets(token, same, owner, place)
         head = order[np.flatnonzero(first)[np.cumsum(first) - 1]]
-        gone = order[(owner[order] != owner[head]) | (place[order] != place[head])]
-        once = np.unique(np.column_stack([owner[gone], place[gone]]), axis=0)
-        yield _said(once[:, 0], once[:, 1], [], 2)
-        # Of the first lines of each set: those under whose token another set of fitting length and position stands.
+        # Equal sets have the same first token, under which they are settled.
+        gone = order[((owner[order] != owner[head]) | (place[order] != place[head])) & (position[order] == 0)]
+        yield _said(owner[gone], place[gone], [], 2)
         kept = order[first]
         kept = kept[np.lexsort((size[kept], token[kept]))]
-        near = np.zeros(len(kept), bool)
-        a, b = kept[:-1], kept[1:]  # sorted by size, the next one is the nearest in length from above
-        fits = (token[a] == token[b]) & (size[a] >= np.ceil(t * size[b] - 1e-9))
-        near[:-1] |= fits
-        near[1:] |= fits
-        # The positional filter by the best partner that the token can have: an equally long set, the token first.
-        kept = kept[near]
-        need = np.ceil(2 * t / (1 + t) * np.ceil(t * size[kept] - 1e-9) - 1e-9)
-        kept = kept[size[kept] - position[kept] >= need]
-        yield _said(owner[kept], place[kept], token[kept], 1)
+        near = kept[_may_match(token[kept], size[kept], position[kept], bits[kept], t)]
+        yield _said(owner[near], place[near], token[near], 1)
 
     sent = docs.mapInArrow(send, "bucket int, doc_id long, line int, token long, kind int, entries binary")
     return sent.repartition(buckets, "bucket").mapInArrow(meet, SAID)
@@ -224,7 +281,7 @@ def verified(docs: DataFrame, asked: DataFrame, counts: np.ndarray, t: float, le
             known = {key: found for key, found in zip(part.column(0).to_pylist(), by_line, strict=True)}
             out = []
             for k in range(len(lines.size)):
-                tokens = np.sort(lines.token[lines.at[k] : lines.at[k] + lines.size[k]]).tobytes()
+                tokens = np.ascontiguousarray(np.sort(lines.token[lines.at[k] : lines.at[k] + lines.size[k]]).view(np.uint8).reshape(-1, 8)[:, :5]).tobytes()
                 owner, place = int(lines.owner[k]), int(lines.place[k])
                 out += [(token % buckets, token, owner, place, tokens) for token in set(known[owner][place])]
             if out:
@@ -241,7 +298,7 @@ def verified(docs: DataFrame, asked: DataFrame, counts: np.ndarray, t: float, le
             earlier: dict[int, list[frozenset[int]]] = {}  # by size
             seen: set[bytes] = set()
             for owner, place, tokens in group:
-                mine = frozenset(np.frombuffer(tokens, np.uint64).tolist())
+                mine = frozenset(tokens[k : k + 5] for k in range(0, len(tokens), 5))
                 n = len(mine)
                 if (owner, place) not in gone:
                     for size in range(math.ceil(t * n - 1e-9), int(n / t + 1e-9) + 1):
@@ -272,14 +329,16 @@ def later_matches(docs: DataFrame, t: float = SIMILARITY, least: int = LEAST) ->
     return gone.groupBy("doc_id").agg(F.array_sort(F.collect_set("line")).alias("lines"))
 
 
-def strip(docs: DataFrame, t: float = SIMILARITY, least: int = LEAST) -> DataFrame:
-    """The rows and columns of docs, text without later matches, and two columns more: _lines and _removed."""
-    gone = later_matches(docs, t, least).withColumnRenamed("doc_id", "_doc_id").withColumnRenamed("lines", "_gone")
-    rows = docs.join(gone, F.col("doc_id").cast("long") == F.col("_doc_id"), "left").drop("_doc_id")
+def strip(docs: DataFrame, t: float = SIMILARITY, least: int = LEAST) -> tuple[DataFrame, str, str]:
+    """The rows and columns of docs, text without later matches, and the names of two columns more: lines and removed."""
+    key, gone, n_lines, n_removed = (free(docs, n) for n in ("_key", "_gone", "_lines", "_removed"))
+    marks = later_matches(docs, t, least).select(F.col("doc_id").alias(key), F.col("lines").alias(gone))
+    rows = docs.join(marks, F.col("doc_id").cast("long") == F.col(key), "left").drop(key)
     lines = F.split(F.col("text").cast("string"), "\n")
-    kept = F.array_join(F.filter(lines, lambda line, k: ~F.array_contains("_gone", k)), "\n")
-    return rows.select(
-        *[F.when(F.col("_gone").isNull(), F.col("text").cast("string")).otherwise(kept).alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns],
-        F.coalesce(F.size(lines), F.lit(0)).cast("long").alias("_lines"),
-        F.coalesce(F.size("_gone"), F.lit(0)).cast("long").alias("_removed"),
+    kept = F.array_join(F.filter(lines, lambda line, k: ~F.array_contains(gone, k)), "\n")
+    held = rows.select(
+        *[F.when(F.col(gone).isNull(), F.col("text").cast("string")).otherwise(kept).alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns],
+        F.coalesce(F.size(lines), F.lit(0)).cast("long").alias(n_lines),
+        F.coalesce(F.size(gone), F.lit(0)).cast("long").alias(n_removed),
     )
+    return held, n_lines, n_removed

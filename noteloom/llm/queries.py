@@ -18,8 +18,8 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op1_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = lines.strip(table(spark, sf_dir, "documents"))
-    return rows.select("doc_id", F.col("_lines").alias("n_lines"), F.col("_removed").alias("n_removed"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+    rows, n_lines, n_removed = lines.strip(table(spark, sf_dir, "documents"))
+    return rows.select("doc_id", F.col(n_lines).alias("n_lines"), F.col(n_removed).alias("n_removed"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
 #: Documents are called toxic from this score on.
