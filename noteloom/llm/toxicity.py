@@ -37,7 +37,6 @@ LEXICONS = {
 MINED = ("word", "stem", "sized")
 VOTERS = len(LEXICONS) + len(MINED) + 3
 WORD = re.compile(r"[^\W\d_]+")
-KINDS = (*MINED, "lexicon")
 FEATURES = 1 << 22
 #: Least toxic training rows with a mined entry, and least share of toxic rows among all that have it.
 MINED_ROWS, MINED_SHARE = 3, 0.75
@@ -49,27 +48,33 @@ def words_of(text: str | None) -> set[str]:
     return set(WORD.findall((text or "").lower()))
 
 
-def entries(word: str) -> list[tuple[str, str]]:
-    """The (kind, entry) features of a word: itself, its stems, and short stems with its length."""
-    out = [("word", word)]
-    for k in (4, 5, 6, 7):
-        if len(word) > k:
-            out.append(("stem", word[:k]))
-            if k != 5:
-                out.append(("sized", f"{word[:k]}{len(word)}"))
-    out += [("lexicon", name) for name, held in LEXICONS.items() if word in held.split()]
-    return out
+IN_LEXICONS = {w: [k for k, held in enumerate(LEXICONS.values()) if w in held.split()] for w in " ".join(LEXICONS.values()).split()}
 
 
 def feature_ids(word: str) -> list[int]:
-    """The word's entries as numbers below FEATURES; what is left by division by 4 tells the kind."""
-    return [zlib.crc32(f"{kind}:{entry}".encode()) % (FEATURES // 4) * 4 + KINDS.index(kind) for kind, entry in entries(word)]
+    """The word's features as numbers below FEATURES; what is left by division by 4 tells the kind.
 
+    Features are the word itself, its stems of 4 to 7 letters, stems with the word's length, and the lexicons it is in. The
+    start value of each checksum keeps the kinds and lengths apart.
+    """
+    n, crc = len(word), zlib.crc32
+    out = [crc(word.encode(), 1) % (FEATURES // 4) * 4]
+    for k in (4, 5, 6, 7):
+        if n <= k:
+            break
+        stem = word[:k].encode()
+        out.append(crc(stem, 2) % (FEATURES // 4) * 4 + 1)
+        if k != 5:
+            out.append(crc(stem, 100 + n) % (FEATURES // 4) * 4 + 2)
+    for k in IN_LEXICONS.get(word, ()):
+        out.append(4 * k + 3)
+    return out
 
-def votes(words: set[str], text: str, masks: Masks) -> list[int]:
-    """One vote in (-1, 0, 1) for each voter but the annotators."""
+
+def votes(words: set[str], text: str, masks: Masks | list[int]) -> list[int]:
+    """One vote in (-1, 0, 1) for each voter but the annotators; masks may be those of the words that have any."""
     seen = [0] * (len(LEXICONS) + len(MINED))
-    for mask in filter(None, map(masks.__getitem__, words)):
+    for mask in filter(None, map(masks.__getitem__, words)) if isinstance(masks, dict) else masks:
         for k in range(len(seen)):
             seen[k] += mask >> k & 1
     n = max(len(words), 1)
@@ -87,18 +92,22 @@ class Masks(dict):
     def __init__(self, mined: set[int], kept: int = 300_000):
         super().__init__()
         self.mined, self.kept = mined, kept
-        self.lexicon = {w: 1 << k for k, held in enumerate(LEXICONS.values()) for w in held.split()}
 
-    def __missing__(self, word: str) -> int:
-        if len(self) >= self.kept:
-            self.clear()
-        mask = self.lexicon.get(word, 0)
-        for f in feature_ids(word):
+    def mask(self, word: str, ids: list[int]) -> int:
+        mask = 0
+        for k in IN_LEXICONS.get(word, ()):
+            mask |= 1 << k
+        for f in ids:
             if f in self.mined:
                 mask |= 1 << (len(LEXICONS) + f % 4)
-        self[word] = mask
         return mask
 
+    def __missing__(self, word: str) -> int:
+        if len(self) >= self.kept:
+            self.clear()
+        found = self[word] = self.mask(word, feature_ids(word))
+        return found
+
 
 class Rows:
     """The distinct features of bounded training rows, as places in one list of features."""
@@ -127,6 +136,10 @@ class Rows:
         return set(self.feature[good].tolist())
 
 
+#: Annotated rows from which correlations are taken from them alone.
+TOLD_ROWS = 100
+
+
 class LabelModel:
     """Class-conditional vote rates by EM over (votes, count) combinations, with shared weight for correlated voters."""
 
@@ -148,15 +161,18 @@ class LabelModel:
                 held = np.einsum("c,cvk->vk", n * q, onehot) + 2.0 * self.rates[y]
                 self.rates[y] = held / held.sum(axis=1, keepdims=True)
             self.prior = float(np.clip((n * p).sum() / n.sum(), 1e-3, 0.5))
-            if turn == rounds // 2:
+            if turn == rounds // 5:
                 self.weight = self._weights(patterns, n, p)
         return self
 
     def _weights(self, patterns: np.ndarray, n: np.ndarray, p: np.ndarray) -> np.ndarray:
         """1 over 1 + the sum of a voter's correlations, given the class, with others."""
         self.correlation = np.zeros((patterns.shape[1],) * 2)
+        told = patterns[:, -1] != 0
+        if n[told].sum() >= TOLD_ROWS:  # voters that copy each other pull the posterior to them; annotated rows do not follow
+            patterns, n, p = patterns[told], n[told], (patterns[told, -1] + 1) / 2
         for q in (1 - p, p):
-            w = n * q
+            w = n * q + 1e-9
             share = w.sum() / n.sum()
             mean = (w[:, None] * patterns).sum(axis=0) / w.sum()
             off = patterns - mean
@@ -175,6 +191,10 @@ class LabelModel:
         return 1 / (1 + np.exp(-np.clip(logit, -30, 30)))
 
 
+#: Weights of the classifier below this are dropped: there are very many of them, and they carry chance more than meaning.
+LEAST_WEIGHT = 0.06
+
+
 class Linear:
     """Logistic regression with soft labels on a text's distinct features and its votes."""
 
@@ -198,7 +218,7 @@ class Linear:
             m, v = 0.9 * m + 0.1 * grad, 0.99 * v + 0.01 * grad * grad
             step = rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-6)
             coef, bias = coef - step[:-1], bias - step[-1]
-        heavy = np.abs(coef[:k]) > 1e-3
+        heavy = np.abs(coef[:k]) > LEAST_WEIGHT
         self.words = dict(zip(rows.feature[used[heavy]].tolist(), coef[:k][heavy].tolist(), strict=True))
         self.votes, self.bias = coef[k:], float(bias)
         return self
@@ -240,21 +260,28 @@ class Model:
 
     def scorer(self):
         masks = Masks(self.mined)
-        known: dict[str, tuple[int, ...]] = {}
         held = self.linear.words
+        known: dict[str, tuple[int, tuple[int, ...]] | None] = {}
+
+        def look_up(word: str) -> tuple[int, tuple[int, ...]] | None:
+            if len(known) >= 300_000:
+                known.clear()
+            ids = feature_ids(word)
+            mask, found = masks.mask(word, ids), tuple(f for f in ids if f in held)
+            known[word] = (mask, found) if mask or found else None
+            return known[word]
 
         def score(text: str | None) -> float:
             words = words_of(text)
             features: set[int] = set()
+            met = []
             for w in words:
-                found = known.get(w)
-                if found is None:
-                    if len(known) >= 300_000:
-                        known.clear()
-                    found = known[w] = tuple(f for f in feature_ids(w) if f in held)
-                if found:
-                    features.update(found)
-            return self.linear.score(features, votes(words, text or "", masks))
+                item = known[w] if w in known else look_up(w)
+                if item:
+                    features.update(item[1])
+                    if item[0]:
+                        met.append(item[0])
+            return self.linear.score(features, votes(words, text or "", met))
 
         return score
 
@@ -268,6 +295,7 @@ def train(docs: DataFrame, labels: DataFrame, train_rows: Column, most_positive:
     """
     spark = docs.sparkSession
     ship(spark)
+    docs = docs.select("doc_id", "text")
     known = cut(learnable(labels, train_rows), "labels")
     counted = {r["toxic"]: r["n"] for r in known.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     most = {0: most_negative, 1: most_positive}
