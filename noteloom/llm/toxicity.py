@@ -19,6 +19,7 @@ from __future__ import annotations
 import math
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -191,10 +192,6 @@ class LabelModel:
         return 1 / (1 + np.exp(-np.clip(logit, -30, 30)))
 
 
-#: Weights of the classifier below this are dropped: there are very many of them, and they carry chance more than meaning.
-LEAST_WEIGHT = 0.06
-
-
 class Linear:
     """Logistic regression with soft labels on a text's distinct features and its votes."""
 
@@ -203,9 +200,9 @@ class Linear:
         if not rows.n:  # nothing to learn from: a vote for outweighs the bias
             self.words, self.votes, self.bias = {}, np.repeat([3.0, 0.0], cast.shape[1]), -2.5
             return self
-        row, column, used = rows.row, rows.column, np.arange(len(rows.feature))
+        row, column = rows.row, rows.column
         dense = np.concatenate([cast == 1, cast == -1], axis=1).astype(float)
-        k = len(used)
+        k = len(rows.feature)
         coef, bias = np.zeros(k + dense.shape[1]), float(np.log((weight * target).sum() + 0.1) - np.log((weight * (1 - target)).sum() + 0.1))
         m, v = np.zeros(len(coef) + 1), np.zeros(len(coef) + 1)
         pull = np.concatenate([np.full(k, ridge), np.full(dense.shape[1], ridge / 50)])
@@ -218,14 +215,14 @@ class Linear:
             m, v = 0.9 * m + 0.1 * grad, 0.99 * v + 0.01 * grad * grad
             step = rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-6)
             coef, bias = coef - step[:-1], bias - step[-1]
-        heavy = np.abs(coef[:k]) > LEAST_WEIGHT
-        self.words = dict(zip(rows.feature[used[heavy]].tolist(), coef[:k][heavy].tolist(), strict=True))
+        self.words = dict(zip(rows.feature.tolist(), coef[:k].tolist(), strict=True))
         self.votes, self.bias = coef[k:], float(bias)
         return self
 
-    def score(self, features: set[int], cast: list[int]) -> float:
+    def score(self, total: float, cast: list[int]) -> float:
+        """total: the sum of the weights of a text's distinct features."""
         n = len(cast)
-        z = self.bias + sum(map(self.words.__getitem__, features))
+        z = self.bias + total
         z += sum(self.votes[i] if v == 1 else self.votes[n + i] for i, v in enumerate(cast) if v)
         return 1 / (1 + math.exp(-min(max(z, -30.0), 30.0)))
 
@@ -259,33 +256,46 @@ class Model:
         self.mined, self.linear = mined, linear
 
     def scorer(self):
-        masks = Masks(self.mined)
-        held = self.linear.words
-        known: dict[str, tuple[int, tuple[int, ...]] | None] = {}
-
-        def look_up(word: str) -> tuple[int, tuple[int, ...]] | None:
-            if len(known) >= 300_000:
-                known.clear()
-            ids = feature_ids(word)
-            mask, found = masks.mask(word, ids), tuple(f for f in ids if f in held)
-            known[word] = (mask, found) if mask or found else None
-            return known[word]
+        known = Known(self)
 
         def score(text: str | None) -> float:
             words = words_of(text)
-            features: set[int] = set()
-            met = []
-            for w in words:
-                item = known[w] if w in known else look_up(w)
-                if item:
-                    features.update(item[1])
-                    if item[0]:
-                        met.append(item[0])
-            return self.linear.score(features, votes(words, text or "", met))
+            total = known.total(words)
+            return self.linear.score(total, votes(words, text or "", [known.masked[w] for w in words & known.masked.keys()]))
 
         return score
 
 
+class Known(dict):
+    """Word to the places of its weights, as bytes, worked out when a word is first met; ``masked`` holds the masks of words that have any."""
+
+    def __init__(self, model: Model, kept: int = 300_000):
+        super().__init__()
+        self.masks, self.masked, self.kept = Masks(model.mined), {}, kept
+        self.place = {f: k for k, f in enumerate(model.linear.words)}
+        self.weight = np.fromiter(model.linear.words.values(), float, len(self.place))
+        self.last, self.step = np.zeros(len(self.place), np.int32), np.arange(1 << 12, dtype=np.int32)
+
+    def __missing__(self, word: str) -> bytes:
+        ids = feature_ids(word)
+        if mask := self.masks.mask(word, ids):
+            self.masked[word] = mask
+        found = self[word] = array("i", [self.place[f] for f in ids if f in self.place]).tobytes()
+        return found
+
+    def total(self, words: set[str]) -> float:
+        """The sum of the weights of the words' features, each feature counted once."""
+        if len(self) >= self.kept:  # between texts, so that no word of a text is forgotten before its masks are read
+            self.clear()
+            self.masked.clear()
+        place = np.frombuffer(b"".join(map(self.__getitem__, words)), np.int32)
+        if len(place) > len(self.step):
+            self.step = np.arange(2 * len(place), dtype=np.int32)
+        step = self.step[: len(place)]
+        self.last[place] = step  # of several places of a feature one is left, which stands for it
+        return float(self.weight[place[self.last[place] == step]].sum())
+
+
 def train(docs: DataFrame, labels: DataFrame, train_rows: Column, most_positive: int = 1500, most_negative: int = 3000) -> Model:
     """Fits the model on docs(doc_id, text) and labels(doc_id, toxic) where train_rows (of labels) holds.
 

@@ -243,6 +243,24 @@ def test_toxicity_on_held_out_rows(spark):
     assert hit >= 0.8 * sum(r["toxic"] == 1 for r in rows) and hit >= 0.9 * sum(r["said"] for r in rows)
 
 
+def test_toxicity_scores_with_every_fitted_weight():
+    rng = random.Random(11)
+    bags = [set(rng.sample(WORDS, 60)) for _ in range(300)]
+    target = np.array([rng.random() for _ in bags])
+    rows = toxicity.Rows(bags)
+    voters = toxicity.VOTERS - 1
+    cast = np.zeros((len(bags), voters), int)
+    linear = toxicity.Linear().fit(rows, cast, target, np.ones(len(bags)))
+    assert sorted(linear.words) == rows.feature.tolist() and any(0 < abs(w) <= 0.06 for w in linear.words.values())
+    model = toxicity.Model({toxicity.feature_ids(w)[0] for w in WORDS[:9]}, linear)
+    score = model.scorer()
+    for words in [*bags[:40], set(), {"unseen"}]:
+        z = linear.bias + sum(linear.words.get(f, 0.0) for f in {f for w in words for f in toxicity.feature_ids(w)})
+        said = toxicity.votes(words, "", toxicity.Masks(model.mined))
+        z += sum(linear.votes[k if v == 1 else voters + k] for k, v in enumerate(said) if v)
+        assert abs(score(" ".join(words)) - 1 / (1 + math.exp(-z))) < 1e-9
+
+
 def test_label_model_learns_rates_and_correlation():
     rng = np.random.default_rng(1)
     y = rng.random(20_000) < 0.2
