@@ -206,7 +206,9 @@ def near_duplicates(docs: DataFrame, width: int = 3, most: int = 2) -> DataFrame
 
 
 #: Words of 64 bits in a wide fingerprint, bits of one of its keys, and bits in which a key of a near pair may differ.
-WIDE, KEY, KEY_MOST = 4, 32, 3
+WIDE, KEY, KEY_MOST = 4, 32, 4
+#: Standard deviations by which the bits of a candidate pair may exceed those expected at the limit.
+SPREADS = 3.7
 
 
 def wide_fingerprint(hashes: np.ndarray) -> list[int]:
@@ -215,71 +217,139 @@ def wide_fingerprint(hashes: np.ndarray) -> list[int]:
 
 
 def most_bits(similarity: float) -> int:
-    """Bits of a wide fingerprint in which texts whose shingle sets have this Jaccard similarity differ, on average."""
-    return int(WIDE * BITS * math.acos(2 * similarity / (1 + similarity)) / math.pi)
+    """Bits of a wide fingerprint that texts whose shingle sets have this Jaccard similarity differ in at most, but for rare chance."""
+    n, p = WIDE * BITS, math.acos(2 * similarity / (1 + similarity)) / math.pi
+    return int(n * p + SPREADS * math.sqrt(n * p * (1 - p)))
 
 
 def near_groups(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFrame:
-    """(doc_id, component_id) by wide fingerprints: linked are texts whose estimated Jaccard similarity is at least ``similarity``.
+    """(doc_id, component_id): linked are texts whose shingle sets have a Jaccard similarity of at least ``similarity``.
 
-    At 0.8 single fingerprints of near texts differ in too many bits for any index to prune. A wide one has
-    WIDE * BITS / KEY keys; near texts agree in KEY - KEY_MOST bits of one key at least with a chance of over nine in
-    ten at the limit and nearly always above it. Keys are searched in hierarchical Gray-order indexes, and what they
-    find is held against all bits of the fingerprints.
+    Wide fingerprints only find candidates. At 0.8 single fingerprints of near texts differ in too many bits for any
+    index to prune. A wide one has WIDE * BITS / KEY keys; near texts agree in KEY - KEY_MOST bits of one key at least
+    with a chance of about 0.99 at the limit and nearly always above it. Keys are searched in hierarchical Gray-order
+    indexes, and what they find is held against all bits of the fingerprints. Every link is then verified on the sets.
     """
     names = [f"f{k}" for k in range(WIDE)]
     most = most_bits(similarity)
 
     def prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            made = np.array([wide_fingerprint(shingle_hashes(t.as_py(), width)) for t in batch.column(1)], np.uint64).reshape(-1, WIDE).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(made[:, k]) for k in range(WIDE)]], ["doc_id", *names])
+            sets = [np.unique(shingle_hashes(t.as_py(), width)) for t in batch.column(1)]
+            made = np.array([wide_fingerprint(x) for x in sets], np.uint64).reshape(-1, WIDE).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(made[:, k]) for k in range(WIDE)], pa.array([_name(x) for x in sets], pa.int64())], ["doc_id", *names, "same"])
 
-    turns = range(0, KEY, KEY // (KEY_MOST + 1))
     lead = KEY // (KEY_MOST + 1)
+    turns = range(0, lead * (KEY_MOST + 1), lead)
+    columns = "id long, " + ", ".join(f"{n} long" for n in names) + ", same long"
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(WIDE * BITS // KEY):
-                word = batch.column(1 + k // 2).to_numpy().view(np.uint64)
-                key = (word >> np.uint64(KEY * (k % 2))) & np.uint64((1 << KEY) - 1)
+                key = _key(batch.column(1 + k // 2).to_numpy().view(np.uint64), k)
                 for turn in turns:
-                    own = ((key << np.uint64(turn)) | (key >> np.uint64(KEY - turn))) << np.uint64(BITS - KEY) if turn else key << np.uint64(BITS - KEY)
+                    own = _turned_key(key, turn) << np.uint64(BITS - KEY)
                     block = _leading(gray_rank(own), block_bits).astype(np.int64)
-                    yield pa.RecordBatch.from_arrays([pa.array((block * 64 + k) * 64 + turn), pa.array(own.view(np.int64)), *batch.columns], ["block", "key", "id", *names])
-
-    def search(table: pa.Table) -> pa.Table:
-        ids = table.column("id").to_numpy()
-        order = np.argsort(ids, kind="stable")
-        ids, keys = ids[order], table.column("key").to_numpy().view(np.uint64)[order]
-        wide = np.stack([table.column(n).to_numpy().view(np.uint64)[order] for n in names])
+                    yield pa.RecordBatch.from_arrays([pa.array((block * 64 + k) * 64 + turn), pa.array(own.view(np.int64)), *batch.columns], ["block", "key", "id", *names, "same"])
+
+    def first_met(differ: np.ndarray, k: int, turn: int) -> np.ndarray:
+        """Which pairs, given by the bits in which they differ, meet under no earlier key and turn."""
+        good = np.ones(differ.shape[1], bool)
+        for j in range(k):
+            good &= np.bitwise_count(_key(differ[j // 2], j)) > KEY_MOST
+        own = _key(differ[k // 2], k)
+        for before in range(0, turn, lead):
+            good &= _turned_key(own, before) >> np.uint64(KEY - lead) != 0
+        return good
+
+    def search(block: tuple, table: pa.Table) -> pa.Table:
+        k, turn = block[0].as_py() // 64 % 64, block[0].as_py() % 64
+        ids, same = table.column("id").to_numpy(), table.column("same").to_numpy()
+        keys = table.column("key").to_numpy().view(np.uint64)
+        wide = np.stack([table.column(n).to_numpy().view(np.uint64) for n in names])
         unique, which, many = np.unique(keys, return_inverse=True, return_counts=True)
         member = np.argsort(which, kind="stable")
         start = np.cumsum(many) - many
         q, p = GrayIndex(unique, lead).search(unique, KEY_MOST)
         q, p = q[q <= p], p[q <= p]
-        label = np.arange(len(ids))
         size = np.cumsum(many[q] * many[p])
-        at = 0
+        at, found = 0, [np.empty((2, 0), np.int64)]
         while at < len(q):  # lots of about PAIRS pairs of members
             end = max(at + 1, int(np.searchsorted(size, (size[at - 1] if at else 0) + PAIRS)))
             for a, b in _pairs(start, many, q[at:end], p[at:end]):
                 a, b = member[a], member[b]
-                near = (a != b) & (np.bitwise_count(wide[:, a] ^ wide[:, b]).sum(axis=0) <= most)
-                label = least_labels(len(ids), np.concatenate([np.arange(len(ids)), label[a[near]]]), np.concatenate([label, label[b[near]]]))
+                differ = wide[:, a] ^ wide[:, b]
+                near = np.flatnonzero(((which[a] != which[b]) | (a < b)) & (np.bitwise_count(differ).sum(axis=0) <= most))
+                near = near[first_met(differ[:, near], k, turn)]
+                found.append(np.stack([a[near], b[near]]))
             at = end
-        moved = np.flatnonzero(label != np.arange(len(ids)))
-        return pa.table({"a": pa.array(ids[moved], pa.int64()), "b": pa.array(ids[label[moved]], pa.int64())})
+        a, b = np.concatenate(found, axis=1)
+        a, b = np.where(ids[a] <= ids[b], a, b), np.where(ids[a] <= ids[b], b, a)
+        return pa.table({"a": ids[a], "a_same": same[a], "b": ids[b], "b_same": same[b]})
 
     ship(docs.sparkSession)
-    made = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).filter("doc_id is not null").mapInArrow(prints, "doc_id long, " + ", ".join(f"{n} long" for n in names))
-    made = cut(made, "wide-fingerprints")
-    groups = cut(made.groupBy(*names).agg(F.min("doc_id").alias("id")).select("id", *names), "distinct-wide")
+    texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).filter("doc_id is not null")
+    made = cut(texts.mapInArrow(prints, columns.replace("id", "doc_id", 1)), "wide-fingerprints")
+    groups = cut(made.groupBy(*names, "same").agg(F.min("doc_id").alias("id")).select("id", *names, "same"), "distinct-wide")
     block_bits = min(lead, max(0, (max(groups.count(), 1) - 1) // PER_BLOCK).bit_length())
-    edges = groups.mapInArrow(route, "block long, key long, id long, " + ", ".join(f"{n} long" for n in names)).groupBy("block").applyInArrow(search, "a long, b long")
-    found = components(edges)
-    roots = groups.join(found, groups["id"] == found["node"], "left").select(*names, F.coalesce("root", "id").alias("component_id"))
-    return made.join(roots, names).select("doc_id", "component_id")
+    pairs = groups.mapInArrow(route, "block long, key long, " + columns).groupBy("block").applyInArrow(search, "a long, a_same long, b long, b_same long")
+    found = components(_verified(texts, cut(pairs.filter("a != b"), "near-candidates"), width, similarity))
+    roots = groups.join(found, groups["id"] == found["node"], "left").select(*names, "same", F.coalesce("root", "id").alias("component_id"))
+    return made.join(roots, [*names, "same"]).select("doc_id", "component_id")
+
+
+def _key(words: np.ndarray, k: int) -> np.ndarray:
+    """Key k of wide fingerprints, given their word that holds it."""
+    return (words >> np.uint64(KEY * (k % 2))) & np.uint64((1 << KEY) - 1)
+
+
+def _turned_key(keys: np.ndarray, by: int) -> np.ndarray:
+    return ((keys << np.uint64(by)) | (keys >> np.uint64(KEY - by))) & np.uint64((1 << KEY) - 1)
+
+
+def _name(hashes: np.ndarray) -> int:
+    """A number for a set of hashes."""
+    return int(np.asarray([mix(hashes).sum(dtype=np.uint64)], np.uint64).view(np.int64)[0])
+
+
+def _verified(texts: DataFrame, pairs: DataFrame, width: int, similarity: float) -> DataFrame:
+    """(a, b): the pairs(a, a_same, b, b_same) whose shingle sets are similar, less some that others already connect.
+
+    Each b is first held against its smallest a. Of the other pairs only those that this left apart are verified, so
+    that sets of large groups of near copies do not travel once for each pair.
+    """
+
+    def shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [np.unique(shingle_hashes(t.as_py(), width)) for t in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([_name(x) for x in sets], pa.int64()), pa.array([x.tobytes() for x in sets], pa.binary())], ["id", "same", "held"])
+
+    def similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            good = []
+            for x, y in zip(batch.column(2), batch.column(3), strict=True):
+                x, y = np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                good.append(both >= similarity * (len(x) + len(y) - both) - 1e-9)
+            yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
+
+    asked = pairs.select(F.explode(F.array("a", "b")).alias("_id")).distinct()
+    rows = texts.join(asked, F.col("doc_id") == F.col("_id")).select("doc_id", "text")
+    sets = cut(rows.mapInArrow(shingled, "id long, same long, held binary").dropDuplicates(["id", "same"]), "near-sets")
+
+    def verify(some: DataFrame) -> DataFrame:
+        one, two = (sets.select(F.col("id").alias(c), F.col("same").alias(f"{c}_same"), F.col("held").alias(f"{c}_held")) for c in "ab")
+        joined = some.join(one, ["a", "a_same"]).join(two, ["b", "b_same"])
+        return joined.select("a", "b", "a_held", "b_held").mapInArrow(similar, "a long, b long")
+
+    first = pairs.groupBy("b", "b_same").agg(F.min(F.struct("a", "a_same")).alias("x")).select("x.a", "x.a_same", "b", "b_same")
+    sure = cut(verify(first), "near-sure")
+    root = cut(components(sure), "near-roots")
+    left = pairs.join(first, ["a", "a_same", "b", "b_same"], "left_anti")
+    for c in "ab":
+        own = root.select(F.col("node").alias(c), F.col("root").alias(f"{c}_root"))
+        left = left.join(own, c, "left").withColumn(f"{c}_root", F.coalesce(f"{c}_root", c))
+    return sure.union(verify(left.filter("a_root != b_root").select("a", "a_same", "b", "b_same")))
 
 
 #: Pairs of members that are compared at once.

@@ -132,6 +132,21 @@ def test_near_groups_find_near_copies(spark, copies):
     assert not any(found[a] == found[b] for a, b, j in pairs if j < 0.3 and len(sets[a]) > 20 and len(sets[b]) > 20)
 
 
+def test_near_groups_verify_similarity(spark):
+    """Pairs just above the limit are linked and pairs just below it are not."""
+    rng, rows = random.Random(5), {}
+    for k in range(150):
+        words = [f"{k}w{i}" for i in range(304)]
+        other = list(words)
+        # n replaced words far apart spoil 5 shingles each: of 300, a Jaccard similarity of (300 - 5n) / (300 + 5n)
+        for at in rng.sample(range(5, 299, 6), 6 if k % 2 else 8):
+            other[at] = "new" + other[at]
+        rows[2 * k], rows[2 * k + 1] = " ".join(words), " ".join(other)
+    found = {r["doc_id"]: r["component_id"] for r in simhash.near_groups(frame(spark, rows)).collect()}
+    assert not any(found[2 * k] == found[2 * k + 1] for k in range(0, 150, 2))  # 0.76
+    assert sum(found[2 * k] == found[2 * k + 1] for k in range(1, 150, 2)) >= 73  # 0.82
+
+
 def test_plans_fill_sequences():
     for counts in ({1024: 5, 1000: 3, 24: 9}, Counter(RNG.randint(1, 1024) for _ in range(3000)), {600: 10}, {512: 3}, {1: 5000}, {}):
         slots = packing.plan_slots(dict(counts), 1024)
