@@ -16,8 +16,8 @@ least t share a token among the first |x| - ceil(t|x|) + 1 of each.
 Lines that very many documents hold send one entry for each slice of documents; equal sets under one
 token are reduced to their first before any pair is looked at.
 
-Defined results: lines with fewer than ``least`` distinct words are kept and match nothing; null and
-empty texts stay as they are; case and punctuation count; documents with a null doc_id are left as
+Defined results: lines without words are kept and match nothing, as are lines with fewer than ``least``
+distinct words where a caller asks for more than 1; null and empty texts stay as they are; case and punctuation count; documents with a null doc_id are left as
 they are; rows that repeat a doc_id do not remove each other's equal lines.
 """
 
@@ -42,7 +42,7 @@ TOKEN_BITS, RARITY_BITS = 40, 5
 TOKEN = np.uint64((1 << TOKEN_BITS) - 1)
 #: Bytes of text worked on at once; a longer text is worked on alone.
 SLICE_BYTES = 3_000_000
-LEAST, SIMILARITY = 5, 0.8
+LEAST, SIMILARITY = 1, 0.8
 U = np.uint64
 
 

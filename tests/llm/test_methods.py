@@ -97,6 +97,12 @@ def test_lines(spark):
     assert found == wanted and wanted
 
 
+def test_short_lines_match_too(spark):
+    rows = {1: "All rights reserved.\nx\n\na b c d\na a a a a a", 2: "reserved. All rights\nx x\n\na b c d e\na", 3: "All rights\n \ny\nb c d e", 4: "All rights reserved.\n\nx"}
+    found = {r["doc_id"]: r["lines"] for r in lines.later_matches(frame(spark, rows)).collect()}
+    assert found == {2: [0, 1, 3, 4], 3: [3], 4: [0, 2]}
+
+
 def test_simhash_index_against_all_pairs(spark):
     rng = np.random.default_rng(3)
     prints = rng.integers(0, 1 << 63, 900).astype(np.uint64)
