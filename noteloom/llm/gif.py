@@ -243,7 +243,7 @@ def read(data: bytes, render: bool = True) -> tuple[tuple[int, int], list[Frame]
 
 
 def _draw(canvas: np.ndarray, frame: Frame) -> None:
-    index = frame.index[: canvas.shape[0] - frame.top, : canvas.shape[1] - frame.left]
+    index = frame.index[: max(0, canvas.shape[0] - frame.top), : max(0, canvas.shape[1] - frame.left)]
     h, w = index.shape
     colours = frame.palette[np.minimum(index, len(frame.palette) - 1)]
     area = canvas[frame.top : frame.top + h, frame.left : frame.left + w]
@@ -264,6 +264,13 @@ def histogram(frame: Frame) -> np.ndarray:
     return np.bincount(bins, weights=used, minlength=HIST**3).astype(np.int64)
 
 
+def shown_histogram(canvas: np.ndarray) -> np.ndarray:
+    """Counts of HIST x HIST x HIST colours over the opaque samples of a picture."""
+    step = 256 // HIST
+    opaque = canvas[canvas[..., 3] == 255, :3]
+    return np.bincount((opaque // step).astype(np.int64) @ np.array([HIST * HIST, HIST, 1]), minlength=HIST**3)
+
+
 UNIT = 64
 MEDIA = "doc_id long, n_bytes long, media binary"
 FEATURES = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
@@ -313,20 +320,26 @@ def media_features(stored: DataFrame) -> DataFrame:
 
 
 def frame_columns(media: DataFrame, key: str, column: str) -> DataFrame:
-    """One row per frame: key, frame, start and length in hundredths of a second, place, size, histogram, samples, error."""
-    schema = f"{key} long, frame int, starts long, lasts long, place array<int>, size array<int>, histogram array<long>, samples binary, error string"
+    """One row per frame: key, frame, start and length in hundredths of a second, place, size, histogram, samples, error,
+    canvas size, picture and shown.
+
+    place, size, histogram and samples are those of the part that the frame itself draws. picture is what is shown while
+    the frame lasts, with palettes, transparency and disposal applied: RGBA, row by row, of the canvas size (width,
+    height). shown is the histogram of its opaque colours.
+    """
+    schema = f"{key} long, frame int, starts long, lasts long, place array<int>, size array<int>, histogram array<long>, samples binary, error string, canvas array<int>, picture binary, shown array<long>"
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["frame", "starts", "lasts", "place", "size", "histogram", "samples", "error"]
+        names = ["frame", "starts", "lasts", "place", "size", "histogram", "samples", "error", "canvas", "picture", "shown"]
         for batch in batches:
             for k, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                _, frames, error = read(data.as_py() or b"", render=False) if data.is_valid else (None, [], None)
+                canvas, frames, error = read(data.as_py() or b"") if data.is_valid else (None, [], None)
                 starts, rows = 0, []
                 for i, f in enumerate(frames):
-                    rows.append((i, starts, f.delay, [f.left, f.top], [f.index.shape[1], f.index.shape[0]], histogram(f).tolist(), f.index.tobytes(), error))
+                    rows.append((i, starts, f.delay, [f.left, f.top], [f.index.shape[1], f.index.shape[0]], histogram(f).tolist(), f.index.tobytes(), error, list(canvas), *((None, None) if f.canvas is None else (f.canvas.tobytes(), shown_histogram(f.canvas).tolist()))))
                     starts += f.delay
-                rows = rows or [(0, 0, 0, None, None, None, None, error)]
-                types = (pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.binary(), pa.string())
+                rows = rows or [(0, 0, 0, None, None, None, None, error, None, None, None)]
+                types = (pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.binary(), pa.string(), pa.list_(pa.int32()), pa.binary(), pa.list_(pa.int64()))
                 yield pa.RecordBatch.from_arrays([pa.array([k] * len(rows), pa.int64()), *[pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)]], [key, *names])
 
     ship(media.sparkSession)

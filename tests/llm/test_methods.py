@@ -327,6 +327,24 @@ def test_frame_columns(spark):
     assert sum(rows[0]["histogram"]) == 64 * gif.FRAME_ROWS
 
 
+def test_frame_columns_hold_what_is_shown(spark):
+    import struct
+
+    def image(left, top, w, h, samples, disposal, clear=None):
+        control = b"\x21\xf9\x04" + struct.pack("<BHB", disposal << 2 | (clear is not None), 5, clear or 0) + b"\0"
+        return control + b"\x2c" + struct.pack("<HHHHB", left, top, w, h, 0) + b"\x02" + gif._blocks(gif.lzw_encode(bytes(samples), 2))
+
+    head = b"GIF89a" + struct.pack("<HHBBB", 2, 2, 0x81, 0, 0) + bytes([0, 0, 0, 255, 0, 0, 0, 255, 0, 0, 0, 255])
+    data = head + image(0, 0, 2, 2, [1, 1, 1, 1], 1) + image(0, 0, 2, 1, [2, 0], 3, clear=0) + image(1, 1, 1, 1, [3], 2) + image(0, 0, 1, 1, [2], 0) + b"\x3b"
+    rows = gif.frame_columns(spark.createDataFrame([(1, data)], "k long, data binary"), "k", "data").orderBy("frame").collect()
+    red, green, blue, empty = bytes([255, 0, 0, 255]), bytes([0, 255, 0, 255]), bytes([0, 0, 255, 255]), bytes(4)
+    assert [bytes(r["picture"]) for r in rows] == [red * 4, green + red * 3, red * 3 + blue, green + red * 2 + empty]
+    off = gif.frame_columns(spark.createDataFrame([(1, head + image(0, 0, 2, 2, [1] * 4, 1) + image(5, 7, 3, 3, [2] * 9, 0) + b"\x3b")], "k long, data binary"), "k", "data")
+    assert [bytes(r["picture"]) for r in off.collect()] == [red * 4] * 2
+    assert all(r["canvas"] == [2, 2] and r["error"] is None for r in rows)
+    assert [sum(r["shown"]) for r in rows] == [4, 4, 4, 3] and [sorted(n for n in r["shown"] if n) for r in rows] == [[4], [1, 3], [1, 3], [1, 2]]
+
+
 def test_index_finds_every_capture(spark):
     pages = spark.createDataFrame([(k, f"http://{'www.' if k % 3 else ''}host{k % 11}.example/{k % 50}", f"page {k % 40} " * 200) for k in range(500)], "page_id long, url string, html string")
     segments, captures = warc.write(pages)
