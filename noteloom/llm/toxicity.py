@@ -122,11 +122,13 @@ class Rows:
         self.row = np.repeat(np.arange(self.n, dtype=np.int32), [len(h) for h in held])
         every = np.concatenate([*held, np.empty(0, np.int32)])
         del held, cache
-        often = np.bincount(every, minlength=FEATURES)[every] >= MINED_ROWS
-        self.row = self.row[often]
-        self.feature, column = np.unique(every[often], return_inverse=True)
-        self.column = column.astype(np.int32)
-        self.df = np.bincount(self.column, minlength=len(self.feature))
+        df = np.bincount(every, minlength=FEATURES)
+        often = df >= MINED_ROWS
+        self.feature, place = np.flatnonzero(often).astype(np.int32), np.cumsum(often, dtype=np.int32) - 1
+        kept = often[every]
+        self.row, every = self.row[kept], every[kept]
+        self.column = place[every]
+        self.df = df[self.feature]
 
     def mine(self, toxic: np.ndarray, weight: np.ndarray) -> set[int]:
         """Features that mostly toxic rows have."""
