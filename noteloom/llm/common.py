@@ -6,6 +6,7 @@ import tempfile
 import zipfile
 from pathlib import Path
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 
 from noteloom.storage import cut  # noqa: F401
@@ -19,7 +20,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def parts(spark: SparkSession) -> int:
-    """The session's number of shuffle partitions, which follows the size of the input."""
+    """The session's number of shuffle partitions, which whoever starts the session sets to suit the input."""
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
@@ -46,3 +47,17 @@ def ship(spark: SparkSession) -> None:
             archive.write(path, path.relative_to(root.parent))
     context.addPyFile(str(held))
     _shipped.add(context.applicationId)
+
+
+def least_labels(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """For each of n nodes the smallest node that the links a-b connect it to."""
+    label = np.arange(n)
+    while True:
+        la, lb = label[a], label[b]
+        if (la == lb).all():
+            return label
+        low = np.minimum(la, lb)
+        np.minimum.at(label, la, low)
+        np.minimum.at(label, lb, low)
+        while not np.array_equal(up := label[label], label):
+            label = up

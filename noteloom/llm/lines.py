@@ -5,79 +5,93 @@ a sketch of how often each word occurs (CELLS bytes, whatever the corpus), then
 the same for all lines, which is all that exactness needs. Two sets with a Jaccard similarity of at
 least t share a token among the first |x| - ceil(t|x|) + 1 of each.
 
-1. Every line's prefix tokens meet by token. Lines with equal sets are settled there; tokens of which
-   no other line of fitting length and position holds a copy, nearly all of them, end there.
-   (64-bit sketches of the sets rule out nearly all pairs that share a token by chance.)
-2. Lines that hold a token another line may match by are sent once more, with their whole sets, and
-   verified against earlier lines under that token.
+1. Every line's prefix tokens meet by token, as packed entries. Lines with equal sets (128 bits) are settled
+   under their first token. Of the others each is held against those of fitting length and position under the
+   token; 64-bit sketches of the sets rule out most pairs that share a token by chance. What passes is
+   joined to groups, and a group is named by its first line, so that lines which meet under several tokens
+   ask for one group, not for each token.
+2. The sets of lines with a group are written once by a second scan, with wide sketches. In each group the sketches
+   pick for each line the likeliest of the earlier lines that it may match, and those two sets are verified. Only for
+   lines that this does not settle, though another earlier line may match, whole groups meet and are verified.
 3. A line that an earlier line (by doc_id, then place in the text) matches is removed. Matches are
    judged on the input, not on what is left, so the result depends on no order of work.
 
 Lines that very many documents hold send one entry for each slice of documents; equal sets under one
-token are reduced to their first before any pair is looked at.
+token are reduced to their first before any pair is looked at. A group of more than BLOCK sets is cut into
+blocks by size, and every two blocks whose sizes fit meet in a task of their own. Texts move once, and only those
+that may lose a line, by a filter of fixed size over the ids: beyond some ten million such documents
+the filter fills and all texts move, which changes no result.
 
 Defined results: lines without words are kept and match nothing, as are lines with fewer than ``least``
-distinct words where a caller asks for more than 1; null and empty texts stay as they are; case and punctuation count; documents with a null doc_id are left as
-they are; rows that repeat a doc_id do not remove each other's equal lines.
+distinct words where a caller asks for more than 1; null and empty texts stay as they are; case and punctuation count;
+very long texts are judged line by line like any other; documents with a null doc_id are left as
+they are; rows that repeat a doc_id do not remove each other's lines of one place; other columns, whatever their
+names, are carried along.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from noteloom.llm.common import cut, free, parts, ship
-from noteloom.llm.substring import Namer, mix
+from noteloom.llm.common import cut, free, least_labels, parts, ship
+from noteloom.llm.words import mix, slices, words
 
 #: Cells of the sketch of word frequencies: one byte each, whatever the corpus. And the cells of a row that travels.
 CELLS, ROW = 1 << 22, 1 << 13
+#: Bits of the filters over lines that ask for a group, and over documents that lose a line.
+LINE_BITS, DOC_BITS = 1 << 25, 1 << 24
 #: A token is a word's hash of 40 bits, so that line, rarity and token sort as one number.
 TOKEN_BITS, RARITY_BITS = 40, 5
-TOKEN = np.uint64((1 << TOKEN_BITS) - 1)
-#: Bytes of text worked on at once; a longer text is worked on alone.
-SLICE_BYTES = 3_000_000
-LEAST, SIMILARITY = 1, 0.8
 U = np.uint64
+TOKEN = U((1 << TOKEN_BITS) - 1)
+WIDTH = TOKEN_BITS // 8
+LEAST, SIMILARITY = 1, 0.8
+#: Entries that a task compares at once, and sets of a group that meet in one task.
+AT_ONCE, BLOCK = 600_000, 1024
+#: Fitting neighbours that an entry is held against one by one; a token's group in which one has more is verified whole.
+NEIGHBOURS = 8192
+#: Words of 64 bits in a wide sketch, and rows whose sketches are compared at once.
+WIDE, SKETCHES = 4, 1 << 16
 
 
-def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The batches in slices of about SLICE_BYTES, without rows that have no key or text."""
-    for batch in batches:
-        batch = batch.filter(pa.compute.and_(batch.column(0).is_valid(), batch.column(1).is_valid()))
-        size = np.cumsum(pa.compute.binary_length(batch.column(1)).to_numpy(zero_copy_only=False)) if batch.num_rows else []
-        at = 0
-        while at < batch.num_rows:
-            end = max(at + 1, int(np.searchsorted(size, (size[at - 1] if at else 0) + SLICE_BYTES)))
-            yield batch.slice(at, end - at)
-            at = end
+def _line_key(owner: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """A number for a line of a document."""
+    return mix(mix(owner.astype(np.int64).view(np.uint64)) + place.astype(np.uint64))
 
 
 class Lines:
-    """The judged lines of a slice: owner, place, size and set, and their tokens, rarest first."""
-
-    def __init__(self, slice_: pa.RecordBatch, namer: Namer, counts: np.ndarray, least: int, wanted: list[set[int]] | None = None):
-        owner, place, many, flat = [], [], [], []
-        for row, (key, text) in enumerate(zip(slice_.column(0).to_pylist(), slice_.column(1), strict=True)):
-            for k, line in enumerate(text.as_py().encode().split(b"\n")):
-                if wanted is None or k in wanted[row]:
-                    words = line.split()
-                    if len(words) >= least:
-                        owner.append(key)
-                        place.append(k)
-                        many.append(len(words))
-                        flat += map(namer.__getitem__, words)
-        token = np.array(flat, np.uint64) & TOKEN
+    """The judged lines of a slice: owner, place and size, and their tokens, rarest first.
+
+    ``set`` and ``other`` are two independent hashes of the set, ``bits`` its sketch.
+    """
+
+    def __init__(self, part: pa.RecordBatch, counts: np.ndarray, least: int, asked: Callable | None = None):
+        found, key = words(part.column(1)), part.column(0).to_numpy()
+        breaks = np.flatnonzero(found.data == 10)
+        edge = np.unique(np.concatenate([found.edges[:-1], breaks + 1]))
+        edge = edge[edge < len(found.data)]
+        row = np.searchsorted(found.edges, edge, side="right") - 1
+        place = np.searchsorted(breaks, edge) - np.searchsorted(breaks, found.edges[row])
+        many = np.diff(np.searchsorted(found.start, np.append(edge, len(found.data))))
+        good = many >= max(least, 1)
+        owner = key[row]
+        if asked is not None:
+            good &= asked(owner, place)
+        token = found.hash[np.repeat(good, many)] & TOKEN
+        owner, place, many = owner[good], place[good], many[good]
+        del found
         line = np.repeat(np.arange(len(many)), many)
-        rarity = counts[(token % U(CELLS)).astype(np.int64)]
+        rarity = counts[(token & U(CELLS - 1)).astype(np.int64)]
         if len(many) < 1 << (64 - TOKEN_BITS - RARITY_BITS):
-            key = np.sort((line.astype(np.uint64) << U(TOKEN_BITS + RARITY_BITS)) | (rarity.astype(np.uint64) << U(TOKEN_BITS)) | token)
-            token, line = key & TOKEN, (key >> U(TOKEN_BITS + RARITY_BITS)).astype(np.int64)
+            order = (line.astype(np.uint64) << U(TOKEN_BITS + RARITY_BITS)) | (rarity.astype(np.uint64) << U(TOKEN_BITS)) | token
+            order.sort()
+            token, line = order & TOKEN, (order >> U(TOKEN_BITS + RARITY_BITS)).astype(np.int64)
         else:
             order = np.lexsort((token, rarity, line))
             token, line = token[order], line[order]
@@ -85,237 +99,390 @@ class Lines:
         new[1:] = (token[1:] != token[:-1]) | (line[1:] != line[:-1])
         token, line = token[new], line[new]
         size = np.bincount(line, minlength=len(many))
-        good = size >= least
-        keep = good[line] if len(line) else np.zeros(0, bool)
-        self.owner, self.place, self.size = np.array(owner, np.int64)[good], np.array(place, np.int64)[good], size[good]
-        self.token, self.line = token[keep], (np.cumsum(good) - 1)[line[keep]] if len(line) else line
-        self.at = np.cumsum(self.size) - self.size
-        self.set = np.add.reduceat(mix(self.token), self.at) if len(self.size) else np.empty(0, np.uint64)
-        self.bits = np.bitwise_or.reduceat(U(1) << (mix(self.token + U(1)) >> U(58)), self.at) if len(self.size) else np.empty(0, np.uint64)
-        self.position = np.arange(len(self.token)) - np.repeat(self.at, self.size)
+        if least > 1:
+            good = size >= least
+            keep = good[line]
+            token, line, owner, place, size = token[keep], (np.cumsum(good) - 1)[line[keep]], owner[good], place[good], size[good]
+        self.owner, self.place, self.size, self.token, self.line = owner, place, size, token, line
+        self.at = np.cumsum(size) - size
+        none = np.empty(0, np.uint64)
+        once = mix(token)
+        self.set, self.other, self.bits = (
+            (np.add.reduceat(once, self.at), np.add.reduceat(mix(once ^ TOKEN), self.at), np.bitwise_xor.reduceat(U(1) << (once >> U(58)), self.at)) if len(size) else (none, none, none)
+        )
+        self.position = np.arange(len(token)) - np.repeat(self.at, size)
+
+    def wide(self) -> np.ndarray:
+        """Sketches of WIDE words: each token turns one bit, so two sets differ in as many tokens as their sketches in bits, at least."""
+        spread = mix(self.token ^ U(0xA5A5))
+        bit, word = U(1) << (spread & U(63)), (spread >> U(6)) % U(WIDE)
+        return np.stack([np.bitwise_xor.reduceat(np.where(word == U(k), bit, U(0)), self.at) for k in range(WIDE)], axis=1)
 
 
 def _prefix(size: np.ndarray, t: float) -> np.ndarray:
     return size - np.ceil(t * size - 1e-9).astype(np.int64) + 1
 
 
-def word_counts(docs: DataFrame) -> np.ndarray:
-    """For each of CELLS hash cells the binary logarithm of how often its words occur in all texts, in a byte.
+def _fixed_table(rows: DataFrame, fill: Callable, kind: type, cells: int, packed: Callable) -> np.ndarray:
+    """A table of ``cells`` cells that tasks fill and that is added up: fill(batches) gives a task's, packed(sums) the bytes of a sum.
 
-    Sums travel in rows of ROW cells; the driver gets CELLS bytes.
+    Rows of ROW cells travel; the driver gets len(packed(...)) bytes for each, whatever the number of rows of the input.
     """
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        namer, total = Namer(), np.zeros(CELLS, np.uint32)
-        for part in _texts(batches):
-            for text in part.column(1):
-                words = text.as_py().encode().split()
-                np.add.at(total, (np.fromiter(map(namer.__getitem__, words), np.uint64, len(words)) % U(CELLS)).astype(np.int64), 1)
-        rows = total.reshape(-1, ROW)
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(rows)), pa.int32()), pa.array([_planes(r.astype("<u4")) for r in rows], pa.binary())], ["row", "sums"])
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = fill(batches).reshape(-1, ROW)
+        used = np.flatnonzero(table.any(axis=1))
+        yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array([_planes(table[k]) for k in used], pa.binary())], ["row", "sums"])
 
     def add(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(ROW, np.uint64)
         for batch in batches:
             for sums in batch.column("sums"):
-                total += _from_planes(sums.as_py(), "<u4", ROW)
-        yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([np.minimum(np.ceil(np.log2(total.astype(float) + 1)), 31).astype(np.uint8).tobytes()], pa.binary())], ["row", "sums"])
+                total += _from_planes(sums.as_py(), kind, ROW)
+        yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([packed(total).tobytes()], pa.binary())], ["row", "sums"])
+
+    out: list = [packed(np.zeros(ROW, np.uint64))] * (cells // ROW)
+    for row in rows.mapInArrow(work, "row int, sums binary").groupBy("row").applyInArrow(add, "row int, sums binary").collect():
+        out[row["row"]] = np.frombuffer(row["sums"], np.uint8)
+    return np.concatenate(out)
+
 
-    counts = np.zeros((CELLS // ROW, ROW), np.uint8)
-    for row in docs.mapInArrow(count, "row int, sums binary").groupBy("row").applyInArrow(add, "row int, sums binary").collect():
-        counts[row["row"]] = np.frombuffer(row["sums"], np.uint8)
-    return counts.ravel()
+def word_counts(docs: DataFrame) -> np.ndarray:
+    """For each of CELLS hash cells the binary logarithm of how often its words occur in all texts, in a byte."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> np.ndarray:
+        total = np.zeros(CELLS, np.uint32)
+        for part in slices(batches):
+            cell = np.sort((words(part.column(1)).hash & U(CELLS - 1)).astype(np.uint32))
+            first = np.flatnonzero(np.append(True, cell[1:] != cell[:-1])) if len(cell) else np.empty(0, np.int64)
+            total[cell[first]] += np.diff(np.append(first, len(cell))).astype(np.uint32)
+        return total
+
+    return _fixed_table(docs, count, np.uint32, CELLS, lambda sums: np.minimum(np.ceil(np.log2(sums.astype(float) + 1)), 31).astype(np.uint8))
+
+
+def line_filter(lines: DataFrame) -> np.ndarray:
+    """A filter of LINE_BITS bits over lines(doc_id, line): bytes in which the bit of each line is set."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> np.ndarray:
+        total = np.zeros(LINE_BITS, np.uint8)
+        for batch in batches:
+            total[_line_key(batch.column(0).to_numpy(), batch.column(1).to_numpy()) & U(LINE_BITS - 1)] = 1
+        return total
+
+    return _fixed_table(lines, count, np.uint8, LINE_BITS, lambda sums: np.packbits(sums > 0, bitorder="little"))
 
 
 def _planes(values: np.ndarray) -> bytes:
     """The bytes of little-endian numbers, all lowest bytes first, so that high bytes of zero compress to nothing."""
-    return values.view(np.uint8).reshape(len(values), -1).T.tobytes()
+    return values.view(np.uint8).reshape(len(values), values.itemsize).T.tobytes()
 
 
-def _from_planes(data: bytes, kind: str, n: int, at: int = 0) -> np.ndarray:
+def _from_planes(data: bytes, kind: type, n: int, at: int = 0) -> np.ndarray:
     width = np.dtype(kind).itemsize
     return np.ascontiguousarray(np.frombuffer(data, np.uint8, n * width, at).reshape(width, n).T).reshape(-1).view(kind)
 
 
-def _entries(token, owner, place, size, position, same, bits) -> bytes:
-    """Entries of lines under tokens.
+#: What entries of lines under tokens hold: the token, the sketch, 32 bits of the set's hash, the line, its size and the token's
+#: position in it. Entries under a line's first token, by which equal sets are settled, also hold both hashes whole.
+ENTRY = (("token", np.uint64), ("bits", np.uint64), ("same", np.uint32), ("owner", np.uint32), ("place", np.uint32), ("size", np.uint32), ("position", np.uint32))
 
-    Sets go by 32 bits of their hash and by 64 bits of which each token sets one; both are only held against each
-    other under one token.
-    """
-    docs, which = np.unique(owner, return_inverse=True)
-    columns = [docs.astype("<i8"), token.astype("<u8"), bits.astype("<u8"), (same & U(0xFFFFFFFF)).astype("<u4"), which.astype("<u4"), place.astype("<u4"), size.astype("<u4"), position.astype("<u4")]
-    return np.array([len(docs), len(token)], "<u4").tobytes() + b"".join(map(_planes, columns))
 
+def _pack(lines: Lines, at: np.ndarray) -> bytes:
+    """The entries of the tokens at these places, compressed; owners are places in a list of documents."""
+    line = lines.line[at]
+    docs, owner = np.unique(lines.owner[line], return_inverse=True)
+    first = line[lines.position[at] == 0]
+    columns = (lines.token[at], lines.bits[line], lines.set[line], owner, lines.place[line], lines.size[line], lines.position[at])
+    data = [docs.astype(np.int64), lines.set[first], lines.other[first], *(c.astype(kind) for c, (_, kind) in zip(columns, ENTRY, strict=True))]
+    raw = b"".join(map(_planes, data))
+    return np.array([len(docs), len(first), len(at), len(raw)], np.uint32).tobytes() + pa.compress(raw, "zstd", asbytes=True)
 
-def _read_entries(data: bytes) -> tuple[np.ndarray, ...]:
-    n_docs, n = np.frombuffer(data, "<u4", 2).tolist()
-    at, out = 8, []
-    for kind, count in (("<i8", n_docs), ("<u8", n), ("<u8", n), ("<u4", n), ("<u4", n), ("<u4", n), ("<u4", n), ("<u4", n)):
-        out.append(_from_planes(data, kind, count, at))
-        at += out[-1].nbytes
-    docs, token, bits, same, which, place, size, position = out
-    return token, docs[which], place.astype(np.int64), size.astype(np.int64), position.astype(np.int64), same.astype(np.uint64), bits
 
+def _count(data: bytes) -> int:
+    return int(np.frombuffer(data, np.uint32, 4)[2])
 
-#: What a task says of lines: verify under the tokens (kind 1), or removed (kind 2).
-SAID = "doc_id long, line int, token long, kind int"
 
+def _unpack(data: bytes, share: int, shares: int) -> dict[str, np.ndarray]:
+    """The entries whose token falls into one of ``shares`` shares."""
+    n_docs, n_first, n, size = np.frombuffer(data, np.uint32, 4).tolist()
+    raw = pa.decompress(data[16:], size, "zstd", asbytes=True)
+    at, out = 0, []
+    for kind, count in ((np.int64, n_docs), (np.uint64, n_first), (np.uint64, n_first), *((kind, n) for _, kind in ENTRY)):
+        out.append(_from_planes(raw, kind, count, at))
+        at += out[-1].nbytes
+    docs, whole, other = out[:3]
+    held = dict(zip((name for name, _ in ENTRY), out[3:], strict=True))
+    held["owner"] = docs[held["owner"]]
+    for name in ("place", "size", "position"):
+        held[name] = held[name].astype(np.int64)
+    first = np.flatnonzero(held["position"] == 0)
+    held["set"], held["other"] = np.zeros(n, np.uint64), np.zeros(n, np.uint64)
+    held["set"][first], held["other"][first] = whole, other
+    if shares > 1:
+        mine = mix(held["token"] + U(3)) % U(shares) == U(share)
+        held = {k: v[mine] for k, v in held.items()}
+    return held
 
-def _said(owner, place, token, kind: int) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(owner, pa.int64()), pa.array(place, pa.int32()), pa.array(np.asarray(token).view(np.int64) if len(token) else np.zeros(len(owner), np.int64)), pa.array(np.full(len(owner), kind, np.int32))], ["doc_id", "line", "token", "kind"])
 
+#: What is said of a line: a group in which it is to be verified, or (null) that it goes.
+SAID = "doc_id long, line int, root long"
 
-def _first_of_sets(token, same, owner, place) -> tuple[np.ndarray, np.ndarray]:
-    """Order by token, set and place; and which rows of that order come first of their token and set."""
-    order = np.lexsort((place, owner, same, token))
-    first = np.ones(len(order), bool)
-    first[1:] = (token[order][1:] != token[order][:-1]) | (same[order][1:] != same[order][:-1])
-    return order, first
 
+def _said(owner: np.ndarray, place: np.ndarray, root: np.ndarray | None = None) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(owner, pa.int64()), pa.array(place, pa.int32()), pa.nulls(len(owner), pa.int64()) if root is None else pa.array(root.view(np.int64))], ["doc_id", "line", "root"])
 
-#: Neighbours that a line of a token's group is held against one by one; lines of larger groups all go on to be verified.
-NEIGHBOURS = 256
 
+def _firsts(keys: tuple, owner: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For rows grouped by equal keys: the row that comes first of each row's group, and which rows are first."""
+    order = np.lexsort((place, owner, *keys))
+    new = np.ones(len(order), bool)
+    new[1:] = np.logical_or.reduce([k[order][1:] != k[order][:-1] for k in keys])
+    head = np.empty(len(order), np.int64)
+    head[order] = order[np.flatnonzero(new)[np.cumsum(new) - 1]] if len(order) else order
+    return head, head == np.arange(len(order))
 
-def _may_match(token, size, position, bits, t: float) -> np.ndarray:
-    """Which rows, sorted by token and size, may have a partner under their token.
+
+def _groups(token, size, position, bits, t: float) -> np.ndarray:
+    """A label for each row, sorted by token and size: rows joined by pairs that may match under their token share one.
 
     A pair passes if its lengths fit, if enough tokens are left from the shared one on in both, and if the two sets of
-    bits differ in no more places than sets of that overlap can.
+    bits differ in no more places than sets of that overlap can. Rows that share a label already are held against each other no more.
     """
-    found = np.zeros(len(token), bool)
-    left = np.arange(len(token))
-    for shift in range(1, len(token)):
-        left = left[left + shift < len(token)]
+    n = len(token)
+    label, pairs = np.arange(n), [np.empty((2, 0), np.int64)]
+    left, shift = np.arange(n), 1
+    while True:
+        left = left[left + shift < n]
         left = left[(token[left] == token[left + shift]) & (size[left] >= np.ceil(t * size[left + shift] - 1e-9))]
         if not len(left):
             break
-        if shift > NEIGHBOURS:  # what is left has more neighbours: it and all that follow in its group are verified
-            big = np.isin(token, token[left])
-            found |= big
+        if shift > NEIGHBOURS:
+            rest = np.flatnonzero(np.isin(token[:-1], token[left]) & (token[:-1] == token[1:]))
+            pairs.append(np.stack([rest, rest + 1]))
             break
-        other = left + shift
-        need = np.ceil(t / (1 + t) * (size[left] + size[other]) - 1e-9)
-        good = np.minimum(size[left] - position[left], size[other] - position[other]) >= need
-        good &= np.bitwise_count(bits[left] ^ bits[other]) <= size[left] + size[other] - 2 * need
-        found[left[good]] = found[other[good]] = True
-    return found
-
-
-def shared_tokens(docs: DataFrame, counts: np.ndarray, t: float, least: int) -> DataFrame:
+        one = left[label[left] != label[left + shift]]
+        two = one + shift
+        need = np.ceil(t / (1 + t) * (size[one] + size[two]) - 1e-9)
+        good = np.minimum(size[one] - position[one], size[two] - position[two]) >= need
+        good &= np.bitwise_count(bits[one] ^ bits[two]) <= size[one] + size[two] - 2 * need
+        pairs.append(np.stack([one[good], two[good]]))
+        if not shift & (shift - 1) or sum(p.shape[1] for p in pairs) > AT_ONCE:
+            label, pairs = _joined(label, pairs)
+        shift += 1
+    return _joined(label, pairs)[0]
+
+
+def _joined(label: np.ndarray, pairs: list[np.ndarray]) -> tuple[np.ndarray, list[np.ndarray]]:
+    moved = np.flatnonzero(label != np.arange(len(label)))
+    a, b = np.concatenate([*pairs, np.stack([moved, label[moved]])], axis=1)
+    return least_labels(len(label), a, b), [np.empty((2, 0), np.int64)]
+
+
+def _asks(label, owner, place, size, t: float) -> tuple[np.ndarray, np.ndarray]:
+    """(row, group) for each row that shares its label: the number of the group's first line, or of each two blocks that may match."""
+    many = np.bincount(label, minlength=len(label))
+    row = np.flatnonzero(many[label] > 1)
+    head, _ = _firsts((label[row],), owner[row], place[row])
+    root = _line_key(owner[row], place[row])[head]
+    small = many[label[row]] <= BLOCK
+    rows, roots = [row[small]], [root[small]]
+    big = row[~small]
+    for one in np.unique(label[big]):
+        group = big[label[big] == one]
+        group = group[np.lexsort((place[group], owner[group], size[group]))]
+        blocks = np.array_split(group, -(-len(group) // BLOCK))
+        name = root[np.searchsorted(row, group[0])]
+        for i, a in enumerate(blocks):
+            for j, b in enumerate(blocks[i:], i):
+                if size[a[-1]] >= t * size[b[0]] - 1e-9:
+                    both = a if i == j else np.concatenate([a, b])
+                    rows.append(both)
+                    roots.append(np.full(len(both), mix(np.array([name + U(i << 32 | j) + U(1)]))[0]))
+    return np.concatenate(rows), np.concatenate(roots)
+
+
+def met(docs: DataFrame, counts: np.ndarray, t: float, least: int) -> DataFrame:
     """SAID after the first meeting."""
     spark = docs.sparkSession
     buckets = parts(spark)
     sent_counts = spark.sparkContext.broadcast(counts)
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        namer = Namer()
-        for part in _texts(batches):
-            lines = Lines(part, namer, sent_counts.value, least)
+        names = ["bucket", "doc_id", "line", "root", "entries"]
+        for part in slices(batches):
+            lines = Lines(part, sent_counts.value, least)
             if not len(lines.size):
                 continue
             # Equal sets of this slice: the first is sent, the others are settled.
-            order, first = _first_of_sets(np.zeros_like(lines.set), lines.set, lines.owner, lines.place)
-            head = order[np.flatnonzero(first)[np.cumsum(first) - 1]]
-            later = ~first & ((lines.owner[order] != lines.owner[head]) | (lines.place[order] != lines.place[head]))
+            head, first = _firsts((lines.other, lines.set), lines.owner, lines.place)
+            later = (lines.owner != lines.owner[head]) | (lines.place != lines.place[head])
             if later.any():
-                gone = _said(lines.owner[order[later]], lines.place[order[later]], [], 2)
-                yield pa.RecordBatch.from_arrays([pa.array(lines.owner[order[later]] % buckets, pa.int32()), *gone.columns, pa.nulls(gone.num_rows, pa.binary())], ["bucket", *gone.schema.names, "entries"])
-            sent = np.zeros(len(lines.size), bool)
-            sent[order[first]] = True
-            pick = np.flatnonzero(sent[lines.line] & (lines.position < _prefix(lines.size, t)[lines.line]))
-            token, line = lines.token[pick], lines.line[pick]
-            bucket = (mix(token) % U(buckets)).astype(np.int64)
+                gone = _said(lines.owner[later], lines.place[later])
+                yield pa.RecordBatch.from_arrays([pa.array(lines.owner[later] % buckets, pa.int32()), *gone.columns, pa.nulls(gone.num_rows, pa.binary())], names)
+            pick = np.flatnonzero(first[lines.line] & (lines.position < _prefix(lines.size, t)[lines.line]))
+            bucket = (mix(lines.token[pick]) % U(buckets)).astype(np.int64)
             by = np.argsort(bucket, kind="stable")
             edges = np.searchsorted(bucket[by], np.arange(buckets + 1))
-            used = [k for k in range(buckets) if edges[k] < edges[k + 1]]
-            data = []
-            for k in used:
-                w = by[edges[k] : edges[k + 1]]
-                data.append(_entries(token[w], lines.owner[line[w]], lines.place[line[w]], lines.size[line[w]], lines.position[pick[w]], lines.set[line[w]], lines.bits[line[w]]))
-            n = len(used)
-            yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int32()), pa.array(data, pa.binary())], ["bucket", "doc_id", "line", "token", "kind", "entries"])
+            used = np.flatnonzero(np.diff(edges))
+            for at in range(0, len(used), 256):
+                some = used[at : at + 256]
+                data = [_pack(lines, pick[by[edges[k] : edges[k + 1]]]) for k in some]
+                n = len(some)
+                yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.int64()), pa.array(data, pa.binary())], names)
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = []
         for batch in batches:
             said = batch.filter(batch.column("doc_id").is_valid())
             if said.num_rows:
-                yield said.select(["doc_id", "line", "token", "kind"])
-            held += [_read_entries(x.as_py()) for x in batch.column("entries") if x.is_valid]
-        if not held:
-            return
-        token, owner, place, size, position, same, bits = (np.concatenate(c) for c in zip(*held, strict=True))
-        del held
-        same = mix(same ^ mix(bits))
-        order, first = _first_of_sets(token, same, owner, place)
-        head = order[np.flatnonzero(first)[np.cumsum(first) - 1]]
-        # Equal sets have the same first token, under which they are settled.
-        gone = order[((owner[order] != owner[head]) | (place[order] != place[head])) & (position[order] == 0)]
-        yield _said(owner[gone], place[gone], [], 2)
-        kept = order[first]
-        kept = kept[np.lexsort((size[kept], token[kept]))]
-        near = kept[_may_match(token[kept], size[kept], position[kept], bits[kept], t)]
-        yield _said(owner[near], place[near], token[near], 1)
-
-    sent = docs.mapInArrow(send, "bucket int, doc_id long, line int, token long, kind int, entries binary")
+                yield said.select(["doc_id", "line", "root"])
+            held += [x.as_py() for x in batch.column("entries") if x.is_valid]
+        # Lines that may match share a token, so the tokens are taken in shares of a size that memory holds.
+        shares = -(-sum(map(_count, held)) // AT_ONCE)
+        for share in range(shares):
+            taken = [_unpack(x, share, shares) for x in held]
+            e = {name: np.concatenate([x[name] for x in taken]) for name in taken[0]}
+            del taken
+            # Equal sets have the same first token, under which they are settled.
+            first = np.flatnonzero(e["position"] == 0)
+            owner, place = e["owner"][first], e["place"][first]
+            head, _ = _firsts((e["other"][first], e["set"][first]), owner, place)
+            gone = (owner != owner[head]) | (place != place[head])
+            yield _said(owner[gone], place[gone])
+            # Tokens of a single entry end here.
+            order = np.argsort(e["token"])
+            alone = np.ones(len(order), bool)
+            same = e["token"][order][1:] == e["token"][order][:-1]
+            alone[1:] &= ~same
+            alone[:-1] &= ~same
+            order = order[~alone]
+            e = {name: e[name][order] for name in ("token", "bits", "same", "owner", "place", "size", "position")}
+            _, first = _firsts((mix(e["same"].astype(np.uint64) ^ mix(e["bits"])), e["token"]), e["owner"], e["place"])
+            order = np.flatnonzero(first)
+            order = order[np.lexsort((e["size"][order], e["token"][order]))]
+            e = {name: column[order] for name, column in e.items()}
+            row, root = _asks(_groups(e["token"], e["size"], e["position"], e["bits"], t), e["owner"], e["place"], e["size"], t)
+            owner, place = e["owner"][row], e["place"][row]
+            once = np.unique(np.stack([owner, place, root.view(np.int64)]), axis=1) if len(row) else np.empty((3, 0), np.int64)
+            yield _said(once[0], once[1], np.ascontiguousarray(once[2]))
+
+    sent = docs.mapInArrow(send, "bucket int, doc_id long, line int, root long, entries binary")
     return sent.repartition(buckets, "bucket").mapInArrow(meet, SAID)
 
 
-def verified(docs: DataFrame, asked: DataFrame, counts: np.ndarray, t: float, least: int) -> DataFrame:
-    """(doc_id, line) of the lines that an earlier line matches under one of the asked tokens."""
+def sets_of(docs: DataFrame, lines: DataFrame, counts: np.ndarray, least: int) -> DataFrame:
+    """(doc_id, line, size, sketch, tokens) of at least the given lines(doc_id, line): those that a filter of fixed size lets through."""
     spark = docs.sparkSession
-    buckets = parts(spark)
-    sent_counts = spark.sparkContext.broadcast(counts)
+    sent_counts, sent_filter = spark.sparkContext.broadcast(counts), spark.sparkContext.broadcast(line_filter(lines))
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        namer = Namer()
-        for part in _texts(batches):
-            by_line: list[dict[int, list[int]]] = []
-            for asks in part.column(2).to_pylist():
-                by_line.append({})
-                for x in asks:
-                    by_line[-1].setdefault(x["line"], []).append(x["token"])
-            lines = Lines(part, namer, sent_counts.value, least, [set(x) for x in by_line])
-            known = {key: found for key, found in zip(part.column(0).to_pylist(), by_line, strict=True)}
-            out = []
-            for k in range(len(lines.size)):
-                tokens = np.ascontiguousarray(np.sort(lines.token[lines.at[k] : lines.at[k] + lines.size[k]]).view(np.uint8).reshape(-1, 8)[:, :5]).tobytes()
-                owner, place = int(lines.owner[k]), int(lines.place[k])
-                out += [(token % buckets, token, owner, place, tokens) for token in set(known[owner][place])]
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), (pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.binary()), strict=True)], ["bucket", "token", "doc_id", "line", "tokens"])
-
-    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        groups: dict[int, list[tuple[int, int, bytes]]] = {}
+        asked = sent_filter.value
+
+        def hit(owner: np.ndarray, place: np.ndarray) -> np.ndarray:
+            bit = _line_key(owner, place) & U(LINE_BITS - 1)
+            return (asked[bit >> U(3)] >> (bit & U(7)).astype(np.uint8) & 1).astype(bool)
+
+        for part in slices(batches):
+            lines = Lines(part, sent_counts.value, least, hit)
+            if len(lines.size):
+                tokens = np.ascontiguousarray(lines.token.view(np.uint8).reshape(-1, 8)[:, :WIDTH]).reshape(-1)
+                columns = [pa.array(lines.owner, pa.int64()), pa.array(lines.place, pa.int32()), pa.array(lines.size, pa.int32()), _binary(lines.wide().view(np.uint8), np.arange(len(lines.size) + 1) * 8 * WIDE), _binary(tokens, np.append(lines.at, len(lines.token)) * WIDTH)]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "line", "size", "sketch", "tokens"])
+
+    return cut(docs.mapInArrow(send, "doc_id long, line int, size int, sketch binary, tokens binary"), "line-sets")
+
+
+def _binary(data: np.ndarray, ends: np.ndarray) -> pa.Array:
+    return pa.Array.from_buffers(pa.binary(), len(ends) - 1, [None, pa.py_buffer(ends.astype(np.int32).tobytes()), pa.py_buffer(data.tobytes())])
+
+
+#: The likeliest match of a line in a group: in how many bits the sketches differ and which line it is; and the smallest and
+#: the largest number of a line that may match.
+LIKELY = "doc_id long, line int, root long, differ int, to_doc long, to_line int, low long, high long"
+
+
+def likely(sets: DataFrame, said: DataFrame, t: float) -> DataFrame:
+    """LIKELY for each line and group of said in which an earlier line may match, by the sketches."""
+
+    def compare(root, owner, place, size, sketch) -> pa.RecordBatch:
+        order = np.lexsort((place, owner, size, root))
+        root, owner, place, size, sketch = root[order], owner[order], place[order], size[order], sketch[order]
+        n, number = len(root), _line_key(owner, place)
+        best, to = np.full(n, 1 << 30), np.zeros(n, np.int64)
+        low, high = np.full(n, np.iinfo(np.uint64).max), np.zeros(n, np.uint64)
+        left, shift = np.arange(n), 1
+        while len(left := left[left + shift < n]):
+            left = left[(root[left] == root[left + shift]) & (size[left] >= np.ceil(t * size[left + shift] - 1e-9))]
+            one, two = left, left + shift
+            need = np.ceil(t / (1 + t) * (size[one] + size[two]) - 1e-9)
+            differ = np.bitwise_count(sketch[one] ^ sketch[two]).sum(axis=1, dtype=np.int64)
+            good = (differ <= size[one] + size[two] - 2 * need) & (number[one] != number[two])
+            one, two, differ = one[good], two[good], differ[good]
+            before = (owner[one] < owner[two]) | ((owner[one] == owner[two]) & (place[one] < place[two]))
+            for x, y, d in ((two[before], one[before], differ[before]), (one[~before], two[~before], differ[~before])):
+                low[x], high[x] = np.minimum(low[x], number[y]), np.maximum(high[x], number[y])
+                first = (owner[y] < owner[to[x]]) | ((owner[y] == owner[to[x]]) & (place[y] < place[to[x]]))
+                better = (d < best[x]) | ((d == best[x]) & first)
+                best[x[better]], to[x[better]] = d[better], y[better]
+            shift += 1
+        x = np.flatnonzero(best < 1 << 30)
+        columns = (owner[x], place[x], root[x], best[x], owner[to[x]], place[to[x]], low[x].view(np.int64), high[x].view(np.int64))
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.int64()), strict=True)], [c.split()[0] for c in LIKELY.split(", ")])
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
         for batch in batches:
-            for token, owner, place, tokens in zip(*(batch.column(k).to_pylist() for k in (1, 2, 3, 4)), strict=True):
-                groups.setdefault(token, []).append((owner, place, tokens))
-        gone: set[tuple[int, int]] = set()
-        for group in groups.values():
-            group = sorted(set(group))  # repeated rows are one
-            earlier: dict[int, list[frozenset[int]]] = {}  # by size
-            seen: set[bytes] = set()
-            for owner, place, tokens in group:
-                mine = frozenset(tokens[k : k + 5] for k in range(0, len(tokens), 5))
+            sketch = np.frombuffer(b"".join(batch.column("sketch").to_pylist()), np.uint64).reshape(-1, WIDE)
+            held.append((*(batch.column(c).to_numpy() for c in ("root", "doc_id", "line", "size")), sketch))
+            if sum(len(h[0]) for h in held) >= SKETCHES:  # what is left of the last group waits for the next batch
+                columns = [np.concatenate(c) for c in zip(*held, strict=True)]
+                end = int(np.searchsorted(columns[0], columns[0][-1]))
+                if end:
+                    yield compare(*(c[:end].astype(np.int64) if k != 4 else c[:end] for k, c in enumerate(columns)))
+                held = [tuple(c[end:] for c in columns)]
+        if held:
+            columns = [np.concatenate(c) for c in zip(*held, strict=True)]
+            yield compare(*(c.astype(np.int64) if k != 4 else c for k, c in enumerate(columns)))
+
+    rows = _joined_sets(sets.select("doc_id", "line", "size", "sketch"), said).select("root", "doc_id", "line", "size", "sketch")
+    return rows.repartition(parts(rows.sparkSession), "root").sortWithinPartitions("root").mapInArrow(work, LIKELY)
+
+
+def _joined_sets(sets: DataFrame, said: DataFrame) -> DataFrame:
+    """The sets' rows, once for each group of said."""
+    asked = said.groupBy(F.col("doc_id").alias("_doc_id"), F.col("line").alias("_line")).agg(F.collect_set("root").alias("_roots"))
+    return sets.join(asked, (F.col("doc_id") == F.col("_doc_id")) & (F.col("line") == F.col("_line"))).withColumn("root", F.explode("_roots")).drop("_doc_id", "_line", "_roots")
+
+
+def verified(sets: DataFrame, said: DataFrame, t: float) -> DataFrame:
+    """(doc_id, line) of the lines that an earlier line matches in one of the groups of said(doc_id, line, root)."""
+
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group = None
+        earlier: dict[int, list[tuple]] = {}  # by size: sets of the group, each with the first line that holds it
+        seen: set[bytes] = set()
+        for batch in batches:
+            gone = []
+            for root, owner, place, tokens in zip(*(batch.column(c).to_pylist() for c in ("root", "doc_id", "line", "tokens")), strict=True):
+                if root != group:
+                    group, earlier, seen = root, {}, set()
+                mine = frozenset([tokens[k : k + WIDTH] for k in range(0, len(tokens), WIDTH)])
                 n = len(mine)
-                if (owner, place) not in gone:
-                    for size in range(math.ceil(t * n - 1e-9), int(n / t + 1e-9) + 1):
-                        need = math.ceil(t / (1 + t) * (n + size) - 1e-9)
-                        if any(len(mine & other) >= need for other in earlier.get(size, ())):
-                            gone.add((owner, place))
-                            break
+                for size in sorted(range(math.ceil(t * n - 1e-9), int(n / t + 1e-9) + 1), key=lambda s: abs(s - n)) if earlier else ():
+                    need = math.ceil(t / (1 + t) * (n + size) - 1e-9)
+                    if any(len(mine & other) >= need and (o, p) != (owner, place) for other, o, p in earlier.get(size, ())):
+                        gone.append((owner, place))
+                        break
                 if tokens not in seen:
                     seen.add(tokens)
-                    earlier.setdefault(n, []).append(mine)
-        if gone:
-            owner, place = zip(*sorted(gone), strict=True)
-            yield pa.RecordBatch.from_arrays([pa.array(owner, pa.int64()), pa.array(place, pa.int32())], ["doc_id", "line"])
+                    earlier.setdefault(n, []).append((mine, owner, place))
+            if gone:
+                owner, place = zip(*gone, strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(owner, pa.int64()), pa.array(place, pa.int32())], ["doc_id", "line"])
 
-    per_doc = asked.groupBy("doc_id").agg(F.collect_list(F.struct("line", "token")).alias("asks")).withColumnRenamed("doc_id", "_doc_id")
-    rows = docs.join(per_doc, F.col("doc_id") == F.col("_doc_id")).select("doc_id", "text", "asks")
-    return rows.mapInArrow(send, "bucket int, token long, doc_id long, line int, tokens binary").repartition(buckets, "bucket").mapInArrow(meet, "doc_id long, line int")
+    rows = _joined_sets(sets.select("doc_id", "line", "tokens"), said).select("root", "doc_id", "line", "tokens")
+    return rows.repartition(parts(rows.sparkSession), "root").sortWithinPartitions("root", "doc_id", "line").mapInArrow(judge, "doc_id long, line int").distinct()
 
 
 def later_matches(docs: DataFrame, t: float = SIMILARITY, least: int = LEAST) -> DataFrame:
@@ -323,22 +490,44 @@ def later_matches(docs: DataFrame, t: float = SIMILARITY, least: int = LEAST) ->
     ship(docs.sparkSession)
     texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     counts = word_counts(texts)
-    said = cut(shared_tokens(texts, counts, t, least), "line-tokens")
-    more = verified(texts, said.filter("kind = 1"), counts, t, least)
-    gone = said.filter("kind = 2").select("doc_id", "line").union(more)
+    said = cut(met(texts, counts, t, least), "line-groups")
+    asked = said.filter("root is not null")
+    sets = sets_of(texts, asked, counts, least)
+    found = cut(likely(sets, asked, t), "line-likely")
+    best = found.groupBy("doc_id", "line").agg(F.min(F.struct("differ", "to_doc", "to_line")).alias("to"), (F.min(F.least("low", "high")) < F.max(F.greatest("low", "high"))).alias("several"))
+    best = best.select("doc_id", "line", "several", "to.to_doc", "to.to_line", F.xxhash64("to.to_doc", "to.to_line").alias("root"))
+    best = cut(best, "line-best")
+    one = cut(verified(sets, best.select("doc_id", "line", "root").union(best.select("to_doc", "to_line", "root").distinct()), t), "line-one")
+    open_ = best.filter("several").join(one, ["doc_id", "line"], "left_anti").select("doc_id", "line")
+    groups = found.join(open_, ["doc_id", "line"], "left_semi").select("root").distinct()
+    rest = verified(sets, asked.join(groups, "root", "left_semi"), t)
+    gone = said.filter("root is null").select("doc_id", "line").union(one).union(rest)
     return gone.groupBy("doc_id").agg(F.array_sort(F.collect_set("line")).alias("lines"))
 
 
+def _bit(key: Column) -> Column:
+    return F.pmod(F.xxhash64(key), F.lit(DOC_BITS))
+
+
 def strip(docs: DataFrame, t: float = SIMILARITY, least: int = LEAST) -> tuple[DataFrame, str, str]:
     """The rows and columns of docs, text without later matches, and the names of two columns more: lines and removed."""
-    key, gone, n_lines, n_removed = (free(docs, n) for n in ("_key", "_gone", "_lines", "_removed"))
-    marks = later_matches(docs, t, least).select(F.col("doc_id").alias(key), F.col("lines").alias(gone))
-    rows = docs.join(marks, F.col("doc_id").cast("long") == F.col(key), "left").drop(key)
-    lines = F.split(F.col("text").cast("string"), "\n")
-    kept = F.array_join(F.filter(lines, lambda line, k: ~F.array_contains(gone, k)), "\n")
-    held = rows.select(
-        *[F.when(F.col(gone).isNull(), F.col("text").cast("string")).otherwise(kept).alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns],
-        F.coalesce(F.size(lines), F.lit(0)).cast("long").alias(n_lines),
-        F.coalesce(F.size(gone), F.lit(0)).cast("long").alias(n_removed),
-    )
-    return held, n_lines, n_removed
+    key, gone, n_lines, n_removed, cell, bits = (free(docs, n) for n in ("_key", "_gone", "_lines", "_removed", "_cell", "_bits"))
+    marks = cut(later_matches(docs, t, least), "line-marks").select(F.col("doc_id").alias(key), F.col("lines").alias(gone))
+    own = F.col("doc_id").cast("long")
+    # At most DOC_BITS / 64 rows, whatever the input.
+    held = F.broadcast(marks.groupBy(F.shiftright(_bit(F.col(key)), 6).alias(cell)).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(pmod(xxhash64(`{key}`), 64) as int))")).alias(bits)))
+    filtered = docs.join(held, F.shiftright(_bit(own), 6) == F.col(cell), "left")
+    hit = F.expr(f"coalesce(shiftright(`{bits}`, cast(pmod(xxhash64(cast(doc_id as bigint)), 64) as int)) & 1L, 0L) = 1L")
+    text, columns = F.col("text").cast("string"), [F.col(f"`{c}`") for c in docs.columns]
+    lines = F.split(text, "\n")
+    count = F.coalesce(F.octet_length(text) - F.octet_length(F.replace(text, F.lit("\n"), F.lit(""))) + 1, F.lit(0)).cast("long").alias(n_lines)
+    left = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col(gone))
+    kept = F.array_join(F.transform(left, lambda k: F.get(lines, k)), "\n")
+
+    def shown(value: Column) -> list[Column]:
+        return [value.alias("text") if c == "text" else column for c, column in zip(docs.columns, columns, strict=True)]
+
+    may = filtered.filter(hit).select(*columns).join(marks.hint("shuffle_hash"), own == F.col(key), "left")
+    may = may.select(*shown(F.when(F.col(gone).isNull(), text).otherwise(kept)), count, F.coalesce(F.size(gone), F.lit(0)).cast("long").alias(n_removed))
+    rest = filtered.filter(~hit).select(*shown(text), count, F.lit(0).cast("long").alias(n_removed))
+    return may.union(rest), n_lines, n_removed

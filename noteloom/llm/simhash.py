@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from noteloom.llm.common import cut, free, ship
+from noteloom.llm.common import cut, free, least_labels, ship
 from noteloom.llm.links import components
 from noteloom.llm.substring import mix
 
@@ -148,20 +148,6 @@ def turned(prints: np.ndarray, by: int) -> np.ndarray:
     return (prints << np.uint64(by)) | (prints >> np.uint64(BITS - by)) if by else prints
 
 
-def least_labels(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """For each of n nodes the smallest node that the links a-b connect it to."""
-    label = np.arange(n)
-    while True:
-        la, lb = label[a], label[b]
-        if (la == lb).all():
-            return label
-        low = np.minimum(la, lb)
-        np.minimum.at(label, la, low)
-        np.minimum.at(label, lb, low)
-        while (up := label[label]).tolist() != label.tolist():
-            label = up
-
-
 def links(prints: DataFrame, most: int, distinct: int, per_block: int = PER_BLOCK) -> DataFrame:
     """(a, b): links between ids of prints(id, fingerprint), distinct fingerprints, that connect what differs in at most ``most`` bits.
 
