@@ -153,25 +153,83 @@ def test_near_groups_verify_similarity(spark):
     assert sum(found[2 * k] == found[2 * k + 1] for k in range(1, 150, 2)) >= 73  # 0.82
 
 
-def test_plans_fill_sequences():
-    for counts in ({1024: 5, 1000: 3, 24: 9}, Counter(RNG.randint(1, 1024) for _ in range(3000)), {600: 10}, {512: 3}, {1: 5000}, {}):
-        slots = packing.plan_slots(dict(counts), 1024)
-        places, used = {}, Counter()
-        for length, rank, n, first, offset in slots:
-            assert rank == used[length]
-            used[length] += n
-            for k in range(n):
-                places.setdefault(first + k, []).append((offset, length))
-        assert used == Counter(counts)
-        for held in places.values():
-            at = 0
-            for offset, length in sorted(held):
-                assert offset == at
-                at += length
-            assert at <= 1024
-        least = math.ceil(sum(k * n for k, n in counts.items()) / 1024)
-        if len(counts) > 100:
-            assert len(places) <= 1.01 * least + 1
+def best_fit(counts, size):
+    """Sequences that best-fit decreasing needs."""
+    gaps, n = Counter(), 0
+    for length in sorted(counts, reverse=True):
+        for _ in range(counts[length]):
+            gap = min((g for g in gaps if g >= length), default=None)
+            if gap is None:
+                gap, n = size, n + 1
+            else:
+                gaps[gap] -= 1
+                gaps += Counter()
+            if gap > length:
+                gaps[gap - length] += 1
+    return n
+
+
+def held_by_sequence(slots, counts):
+    places, used = {}, Counter()
+    for length, rank, n, first, offset in slots:
+        assert rank == used[length]
+        used[length] += n
+        for k in range(n):
+            places.setdefault(first + k, []).append((offset, length))
+    assert used == Counter(counts)
+    for held in places.values():
+        at = 0
+        for offset, length in sorted(held):
+            assert offset == at
+            at += length
+        assert at <= 1024
+    return places
+
+
+@pytest.mark.parametrize("seed", range(20))
+def test_plans_need_no_more_sequences_than_best_fit(seed):
+    rng = random.Random(seed)
+    if seed % 2:
+        counts = Counter(rng.randint(1, 1024) for _ in range(1500))
+    else:
+        counts = Counter(min(1024, max(1, int(rng.lognormvariate(5 + seed / 20, 1)))) for _ in range(2500))
+    assert len(held_by_sequence(packing.plan_slots(dict(counts), 1024), counts)) <= best_fit(counts, 1024)
+
+
+def test_plans_fill_gaps_exactly():
+    for counts, least in (({1024: 5, 1000: 3, 24: 9}, 9), ({600: 10}, 10), ({512: 3}, 2), ({1: 5000}, 5), ({}, 0)):
+        assert len(held_by_sequence(packing.plan_slots(dict(counts), 1024), counts)) == least
+    # One piece more, two more, and three to a sequence: all are filled to the last token.
+    for counts, least in (({1000: 7, 24: 7}, 7), ({900: 4, 100: 4, 24: 4}, 4), ({500: 6, 300: 6, 224: 6}, 6), ({341: 30, 342: 15}, 15)):
+        places = held_by_sequence(packing.plan_slots(dict(counts), 1024), counts)
+        assert len(places) == least and all(sum(n for _, n in held) == 1024 for held in places.values())
+
+
+def test_sums_look_combinations_up():
+    sums = packing.Sums({300: 1, 200: 2, 100: 1, 50: 3}, 1024)
+    assert sums.filling(300, 300) == (300,) and sums.filling(300, 400) == (300, 100) and sums.filling(300, 550) == (300, 200, 50)
+    assert sums.filling(200, 400) == (200, 200) and sums.filling(300, 401) is None
+    sums.use(200, 1)
+    assert sums.filling(200, 400) is None and sums.filling(300, 550) == (300, 200, 50)
+    sums.use(200, 1)
+    assert sums.filling(300, 550) is None and sums.pair(100) == (50, 50) and sums.filling(300, 400) == (300, 100)
+    sums.use(100, 1)
+    assert sums.filling(300, 400) == (300, 50, 50)
+
+
+def test_packed_pieces_lie_gapless(spark):
+    rng = random.Random(2)
+    rows = [(k, j, rng.choice([1024, 1000, 24, 3, 700, rng.randint(1, 1024)])) for k in range(700) for j in range(rng.randint(1, 2))]
+    pieces = spark.createDataFrame(rows, "doc_id long, piece int, length long").withColumn("start", packing.F.lit(0))
+    found = packing.pack(pieces, 1024).collect()
+    assert Counter((r["doc_id"], r["piece"], r["length"]) for r in found) == Counter(rows)
+    places = {}
+    for r in found:
+        places.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+    for held in places.values():
+        held.sort()
+        assert [o for o, _ in held] == [sum(n for _, n in held[:k]) for k in range(len(held))] and sum(n for _, n in held) <= 1024
+    assert len(places) <= best_fit(Counter(n for *_, n in rows), 1024)
 
 
 def test_packing_round_trip(spark):
@@ -268,7 +326,7 @@ def test_toxicity_scores_with_every_fitted_weight():
     rng = random.Random(11)
     bags = [set(rng.sample(WORDS, 60)) for _ in range(300)]
     target = np.array([rng.random() for _ in bags])
-    rows = toxicity.Rows(bags)
+    rows = toxicity.Rows([toxicity.distinct_features(b) for b in bags])
     voters = toxicity.VOTERS - 1
     cast = np.zeros((len(bags), voters), int)
     linear = toxicity.Linear().fit(rows, cast, target, np.ones(len(bags)))
