@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import gc
+import shutil
 import tempfile
 import uuid
 
@@ -10,12 +12,15 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir, set here only where it is unset."""
+    """spark.checkpoint.dir; where it is unset, a folder of this machine in local mode and an error on a cluster, whose machines share none."""
     context = spark.sparkContext
     held = context._jsc.sc().getCheckpointDir()
     found = spark.conf.get("spark.checkpoint.dir", None) or (held.get() if held.isDefined() else None)
     if not found:
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         found = tempfile.mkdtemp(prefix="noteloom-shared-")
+        atexit.register(shutil.rmtree, found, ignore_errors=True)
     if not held.isDefined():
         context.setCheckpointDir(found)
     return found
