@@ -2,10 +2,15 @@
 
 ``read`` parses a GIF, decodes its LZW code streams, applies palettes, interlacing, transparency and
 disposal, and gives timed frames. ``write`` stores 8-bit samples losslessly as frames of a GIF89a.
-``frame_columns`` turns a table of GIF files into one row per frame with its colour histogram.
+``frame_columns`` turns a table of GIF files into one row per frame with its colour histogram. ``store_texts`` keeps
+each text as such a file, whose zeros are transparent and whose frames clear their place when they end, and
+``media_features`` reads the bytes back from the pictures shown, one frame at a time.
 
 Defined results: a file that is cut short or is no GIF gives the frames that can be read and an
-error text; a null file has no frames and no error; an empty payload is one frame of zeros.
+error text, as does one whose header states, or whose kept frames sum to, more than MOST_SAMPLES samples; samples beyond
+the palette show its last colour; a null file has no frames and no error; a null or empty text is one row of zeros; very long
+texts are files of many frames; equal texts give equal files, rows that repeat are stored each; a null doc_id stays null; other
+columns, whatever their names, are not looked at; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -13,7 +18,7 @@ from __future__ import annotations
 import hashlib
 import struct
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 
@@ -29,6 +34,8 @@ ROW, FRAME_ROWS, DELAY = 64, 512, 4
 #: Colour-histogram bins along each of red, green and blue.
 HIST = 4
 MOST_CODES = 4096
+#: Samples of a canvas or frame above which a file is not read: its header may state any size.
+MOST_SAMPLES = 1 << 26
 
 
 @dataclass
@@ -162,14 +169,14 @@ def _blocks(data: bytes) -> bytes:
 
 
 def write(payload: bytes, row: int = ROW, frame_rows: int = FRAME_ROWS, delay: int = DELAY) -> bytes:
-    """A GIF whose frames' palette indices, one after another, are the payload (a positive multiple of ``row``)."""
+    """A GIF whose frames show the payload (a positive multiple of ``row``), one after another: a byte is a grey, and zero is transparent."""
     if not payload or len(payload) % row:
         raise ValueError("the payload is no positive multiple of a row")
     rows = len(payload) // row
     out = [b"GIF89a", struct.pack("<HHBBB", row, min(rows, frame_rows), 0xF7, 0, 0), grey_palette().tobytes()]
     for at in range(0, rows, frame_rows):
         part = payload[at * row : (at + frame_rows) * row]
-        out += [b"\x21\xf9\x04", struct.pack("<BHB", 1 << 2, delay, 0), b"\0\x2c", struct.pack("<HHHHB", 0, 0, row, len(part) // row, 0), b"\x08", _blocks(lzw_encode(part))]
+        out += [b"\x21\xf9\x04", struct.pack("<BHB", 2 << 2 | 1, delay, 0), b"\0\x2c", struct.pack("<HHHHB", 0, 0, row, len(part) // row, 0), b"\x08", _blocks(lzw_encode(part))]
     return b"".join(out) + b"\x3b"
 
 
@@ -181,12 +188,14 @@ def _joined(data: bytes, at: int) -> tuple[bytes, int]:
     return b"".join(parts), at + 1
 
 
-def read(data: bytes, render: bool = True) -> tuple[tuple[int, int], list[Frame], str | None]:
+def read(data: bytes, render: bool = True, take: Callable[[Frame], None] | None = None) -> tuple[tuple[int, int], list[Frame], str | None]:
     """Canvas size (width, height), frames in order, and what went wrong, if anything did.
 
-    With ``render`` each frame's canvas is the picture shown while it lasts: height x width x RGBA.
+    With ``render`` each frame's canvas is the picture shown while it lasts: height x width x RGBA. With ``take`` each
+    frame is given to it and none is kept; the canvas changes when the next frame is read.
     """
     frames: list[Frame] = []
+    kept = 0
     size = (0, 0)
     try:
         if data[:6] not in (b"GIF87a", b"GIF89a"):
@@ -198,6 +207,8 @@ def read(data: bytes, render: bool = True) -> tuple[tuple[int, int], list[Frame]
             common = np.frombuffer(data[at : at + 3 * n], np.uint8).reshape(n, 3)
             at += 3 * n
         control = (0, 0, None)
+        if width * height > MOST_SAMPLES:
+            raise ValueError("the canvas is too large")
         canvas = np.zeros((height, width, 4), np.uint8) if render else None
         while (kind := data[at]) != 0x3B:
             if kind == 0x21:
@@ -210,6 +221,8 @@ def read(data: bytes, render: bool = True) -> tuple[tuple[int, int], list[Frame]
             if kind != 0x2C:
                 raise ValueError("unknown block")
             left, top, w, h, flags = struct.unpack("<HHHHB", data[at + 1 : at + 10])
+            if w * h > MOST_SAMPLES:
+                raise ValueError("a frame is too large")
             at += 10
             palette = common
             if flags & 0x80:
@@ -217,6 +230,8 @@ def read(data: bytes, render: bool = True) -> tuple[tuple[int, int], list[Frame]
                 palette = np.frombuffer(data[at : at + 3 * n], np.uint8).reshape(n, 3)
                 at += 3 * n
             bits = data[at]
+            if not 0 < bits < 9:
+                raise ValueError("no width of codes")
             body, at = _joined(data, at + 1)
             samples = lzw_decode(body, bits, w * h)
             index = np.frombuffer(samples.ljust(w * h, b"\0"), np.uint8).reshape(h, w)
@@ -225,12 +240,19 @@ def read(data: bytes, render: bool = True) -> tuple[tuple[int, int], list[Frame]
                 index = index[np.argsort(order, kind="stable")]
             delay, disposal, clear = control
             frame = Frame(left, top, delay, disposal, clear, palette if palette is not None else grey_palette(), index)
-            frames.append(frame)
             control = (0, 0, None)
+            before = canvas.copy() if canvas is not None and disposal == 3 else None
             if canvas is not None:
-                before = canvas.copy() if disposal == 3 else None
                 _draw(canvas, frame)
-                frame.canvas = canvas.copy()
+                frame.canvas = canvas if take else canvas.copy()
+            if take:
+                take(frame)
+            else:
+                frames.append(frame)
+                kept += w * h + (width * height if render else 0)
+                if kept > MOST_SAMPLES:
+                    raise ValueError("the frames are too large to be kept")
+            if canvas is not None:
                 if disposal == 2:
                     canvas[top : top + h, left : left + w] = 0
                 elif disposal == 3:
@@ -245,30 +267,28 @@ def read(data: bytes, render: bool = True) -> tuple[tuple[int, int], list[Frame]
 def _draw(canvas: np.ndarray, frame: Frame) -> None:
     index = frame.index[: max(0, canvas.shape[0] - frame.top), : max(0, canvas.shape[1] - frame.left)]
     h, w = index.shape
-    colours = frame.palette[np.minimum(index, len(frame.palette) - 1)]
-    area = canvas[frame.top : frame.top + h, frame.left : frame.left + w]
-    if frame.transparent is None:
-        area[..., :3], area[..., 3] = colours, 255
-    else:
-        shown = index != frame.transparent
-        area[shown, :3], area[shown, 3] = colours[shown], 255
+    colours = np.full((256, 4), 255, np.uint8)
+    colours[: len(frame.palette), :3] = frame.palette
+    colours[len(frame.palette) :, :3] = frame.palette[-1]
+    area = canvas.view("<u4")[frame.top : frame.top + h, frame.left : frame.left + w, 0]
+    np.copyto(area, colours.view("<u4")[:, 0][index], where=True if frame.transparent is None else index != frame.transparent)
 
 
 def histogram(frame: Frame) -> np.ndarray:
     """Counts of HIST x HIST x HIST colours over the frame's own drawn samples."""
     step = 256 // HIST
     bins = (frame.palette.astype(np.int64) // step) @ np.array([HIST * HIST, HIST, 1])
-    used = np.bincount(frame.index.ravel(), minlength=len(bins))[: len(bins)].copy()
-    if frame.transparent is not None and frame.transparent < len(used):
-        used[frame.transparent] = 0
+    drawn = frame.index.ravel() if frame.transparent is None else frame.index[frame.index != frame.transparent]
+    used = np.bincount(np.minimum(drawn, len(bins) - 1), minlength=len(bins))
     return np.bincount(bins, weights=used, minlength=HIST**3).astype(np.int64)
 
 
 def shown_histogram(canvas: np.ndarray) -> np.ndarray:
     """Counts of HIST x HIST x HIST colours over the opaque samples of a picture."""
     step = 256 // HIST
-    opaque = canvas[canvas[..., 3] == 255, :3]
-    return np.bincount((opaque // step).astype(np.int64) @ np.array([HIST * HIST, HIST, 1]), minlength=HIST**3)
+    red, green, blue, alpha = (canvas[..., k] for k in range(4))
+    bins = red // step * (HIST * HIST) + green // step * HIST + blue // step
+    return np.bincount(bins[alpha == 255], minlength=HIST**3)
 
 
 UNIT = 64
@@ -292,19 +312,28 @@ def store_texts(docs: DataFrame) -> DataFrame:
 
 
 def media_features(stored: DataFrame) -> DataFrame:
-    """FEATURES of MEDIA: what the stored frames hold when they are read back.
+    """FEATURES of MEDIA: what the pictures shown hold when the stored files are read back.
 
-    feature is frames:hundredths:counts, the counts being those of the colour histogram's used bins over all frames.
+    feature is frames:hundredths:counts, the counts being those of the colour histogram's used bins over all pictures;
+    what is transparent has no colour.
     """
 
     def one(key: int, n_bytes: int, data: bytes) -> tuple:
-        _, frames, error = read(data, render=False)
+        parts: list[bytes] = []
+        counted, lasts = np.zeros(HIST**3, np.int64), 0
+
+        def take(frame: Frame) -> None:
+            nonlocal counted, lasts
+            shown = frame.canvas[: frame.index.shape[0]]
+            parts.append((shown[..., 0] * (shown[..., 3] == 255)).tobytes())
+            counted, lasts = counted + shown_histogram(shown), lasts + frame.delay
+
+        _, _, error = read(data, take=take)
         if error:
             raise ValueError(f"the stored media of {key} can't be read: {error}")
-        payload = b"".join(f.index.tobytes() for f in frames)
-        counted = sum(histogram(f) for f in frames)
+        payload = b"".join(parts)
         used = ",".join(f"{k}={counted[k]}" for k in np.flatnonzero(counted))
-        feature = f"{len(frames)}:{sum(f.delay for f in frames)}:{used}"
+        feature = f"{len(parts)}:{lasts}:{used}"
         return key, n_bytes, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-UNIT:]), len(data), hashlib.sha256(data).hexdigest(), feature
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
