@@ -6,8 +6,9 @@ probability is the rate's fraction.
 
 Defined results: a null text has size 0 and takes 0 words; a null source is a source of its
 own that sorts last; a source whose documents have no words has target 0 and rate 0; an
-empty table gives an empty result; repeated rows are judged each by its own key; other
-columns of the input are ignored by ``mixture`` and carried along by ``repeat_documents``.
+empty table gives an empty result; repeated rows are judged each by its own key and source; very long
+texts are counted whole; other columns of the input, whatever their names, are ignored by ``mixture`` and carried
+along by ``repeat_documents``; a null doc_id is a key like any other.
 """
 
 from __future__ import annotations
@@ -98,8 +99,10 @@ def _join(left: DataFrame, right: DataFrame) -> DataFrame:
 
 def repeat_documents(docs: DataFrame, weights: Sequence[float], share: float, cap: float, seeds: int = SEEDS) -> DataFrame:
     """The rows of docs, each repeated as often as the mixture takes it, with the columns of docs."""
-    key, copies, copy = free(docs, "_key"), free(docs, "_copies"), free(docs, "_copy")
-    counted = mixture(docs, weights, share, cap, seeds).filter("copies > 0").select(F.col("doc_id").alias(key), F.col("copies").alias(copies)).dropDuplicates([key])
-    rows = docs.join(counted, F.col("doc_id").eqNullSafe(F.col(key)))
+    key, source, copies, copy = (free(docs, n) for n in ("_key", "_source", "_copies", "_copy"))
+    counted = mixture(docs, weights, share, cap, seeds).select(F.col("doc_id").alias(key), F.col("source").alias(source), F.col("copies").alias(copies))
+    # Rows that repeat a doc_id in one source have equal copies; a doc_id in two sources has copies in each by that source's rate.
+    counted = counted.groupBy(key, source).agg(F.max(copies).alias(copies)).filter(F.col(copies) > 0)
+    rows = docs.join(counted, F.col("doc_id").eqNullSafe(F.col(key)) & F.col("source").cast("string").eqNullSafe(F.col(source)))
     columns = [F.col(f"`{c}`") for c in docs.columns]
     return rows.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(copies)))).select(*columns)
