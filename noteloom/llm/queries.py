@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from noteloom.llm import gif, lines, mixing, packing, quality, secrets, simhash, substring, toxicity, warc
 from noteloom.llm.common import table
+from noteloom.llm.oracle import ORACLE  # noqa: F401
 
 #: Weights that the sources take in turn, the share of all sizes that the targets sum to, the cap per source.
 MIX = {"weights": (5, 2, 1), "share": 1.5, "cap": 2.0}
@@ -39,7 +40,7 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = secrets.scan(table(spark, sf_dir, "documents"))
     base = F.filter("spans", lambda s: s["rank"] < len(secrets.BASE))
-    return rows.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2(secrets.listed(base), 256).alias("base_sha256"), secrets.listed(F.col("spans")).alias("spans"), "n_owned", "n_live", "n_copied")
+    return rows.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2(secrets.listed(base), 256).alias("base_sha256"), secrets.listed(F.col("spans")).alias("spans"), "n_owned", "n_live", "n_copied", secrets.listed(F.filter("spans", lambda s: s["verdict"] == "live")).alias("live"))
 
 
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -77,25 +78,43 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), **tokenizer_files(), size=1024, closing_id=2)
 
 
-QUERIES = {"op1_lines": op1_lines, "op2_toxicity": op2_toxicity, "op3_secrets": op3_secrets, "op4_mixing": op4_mixing, "op5_simhash": op5_simhash, "op6_substring": op6_substring, "op7_quality": op7_quality, "op8_packing": op8_packing, "op9_gif": op9_gif, "op10_warc": op10_warc}
-ORACLE: dict[str, str] = {
-    "op6_substring": r"""
-        WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
-        s AS (SELECT doc_id, unnest(range(1, len(w) - 18)) AS p, w FROM d WHERE len(w) >= 20),
-        k AS (SELECT doc_id, p, md5(array_to_string(w[p:p + 19], ' ')) AS h FROM s),
-        m AS (SELECT doc_id, p, row_number() OVER (PARTITION BY h ORDER BY doc_id, p) AS n FROM k),
-        c AS (SELECT DISTINCT doc_id, unnest(range(p, p + 20)) AS i FROM m WHERE n > 1),
-        x AS (SELECT doc_id, list(i) AS gone FROM c GROUP BY doc_id)
-        SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(len(gone), 0)::BIGINT AS n_removed,
-               sha256(array_to_string(CASE WHEN gone IS NULL THEN w ELSE
-                   list_filter(list_transform(range(1, len(w) + 1), lambda i: CASE WHEN list_contains(gone, i) THEN NULL ELSE w[i] END), lambda v: v IS NOT NULL) END, ' ')) AS kept_sha256
-        FROM d LEFT JOIN x USING (doc_id)""",
-    "op10_warc": """
-        WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS b FROM pages),
-        d AS (SELECT page_id, octet_length(b) AS n, sha1(b) AS h FROM p),
-        r AS (SELECT h, max(page_id) AS last FROM d WHERE n >= 1000 GROUP BY h)
-        SELECT page_id, n AS payload_bytes, d.h AS payload_digest,
-               CASE WHEN last IS NULL OR last = page_id THEN 'response' ELSE 'revisit' END AS record_type,
-               CASE WHEN last <> page_id THEN last END AS refers_to
-        FROM d LEFT JOIN r ON d.h = r.h AND n >= 1000""",
-}
+def secret_base_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns of op3 that SQL can express."""
+    return op3_secrets(spark, sf_dir).select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256")
+
+
+def mixing_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns of op4 that SQL can express; whether the words taken of a source come within 2 % or 1,000 words of its target."""
+    rows = op4_mixing(spark, sf_dir)
+    per = rows.groupBy("source").agg(F.sum("taken").alias("_all"), F.first("target").alias("_target")).withColumnRenamed("source", "_source")
+    near = F.abs(F.col("_all") - F.col("_target")) <= F.greatest(0.02 * F.col("_target"), F.lit(1000.0))
+    both = rows.join(per, F.col("source").eqNullSafe(F.col("_source")))
+    return both.select("doc_id", "size", "source_size", F.round("target", 4).alias("target"), near.alias("near"), (F.col("taken") <= 2 * F.col("size")).alias("bounded"))
+
+
+def quality_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns of op7 that SQL can express."""
+    return quality.measure(table(spark, sf_dir, "documents")).select("doc_id", *quality.COUNTS, "base_failed")
+
+
+def packing_invariants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What op8 has to keep: a piece 0 for each document, pieces and sequences without gaps, none longer than 1024."""
+
+    def before(key: str, order: str) -> Column:
+        return F.coalesce(F.sum("length").over(Window.partitionBy(key).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+
+    rows = op8_packing(spark, sf_dir)
+    rows = rows.withColumn("_in_doc", before("doc_id", "piece")).withColumn("_in_sequence", before("sequence_id", "offset"))
+    tests = {"documents": F.col("piece") == 0, "misplaced": F.col("start") != F.col("_in_doc"), "gaps": F.col("offset") != F.col("_in_sequence"), "overfull": F.col("offset") + F.col("length") > 1024}
+    return rows.agg(*[F.sum(test.cast("long")).alias(name) for name, test in tests.items()])
+
+
+def gif_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns of op9 that SQL can express."""
+    return op9_gif(spark, sf_dir).select("doc_id", "n_bytes", "payload_bytes", "payload_sha256")
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (op1_lines, op2_toxicity, op3_secrets, op4_mixing, op5_simhash, op6_substring, op7_quality, op8_packing, op9_gif, op10_warc, secret_base_spans, mixing_targets, quality_counts, packing_invariants, gif_payloads)
+}
