@@ -33,19 +33,18 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable, Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from noteloom.llm.common import cut, free, least_labels, parts, ship
+from noteloom.llm.common import cut, fixed_table, free, from_planes, in_filter, key_filter, key_number, least_labels, parts, planes, ship
 from noteloom.llm.words import mix, slices, words
 
-#: Cells of the sketch of word frequencies: one byte each, whatever the corpus. And the cells of a row that travels.
-CELLS, ROW = 1 << 22, 1 << 13
-#: Bits of the filters over lines that ask for a group, and over documents that lose a line.
-LINE_BITS, DOC_BITS = 1 << 25, 1 << 24
+#: Cells of the sketch of word frequencies (one byte each) and bits of the filter over documents that lose a line, whatever the corpus.
+CELLS, DOC_BITS = 1 << 22, 1 << 24
 #: A token is a word's hash of 40 bits, so that line, rarity and token sort as one number.
 TOKEN_BITS, RARITY_BITS = 40, 5
 U = np.uint64
@@ -53,18 +52,13 @@ TOKEN = U((1 << TOKEN_BITS) - 1)
 WIDTH = TOKEN_BITS // 8
 LEAST, SIMILARITY = 1, 0.8
 #: Entries that a task compares at once, and sets of a group that meet in one task.
-AT_ONCE, BLOCK = 600_000, 1024
+AT_ONCE, BLOCK = 300_000, 1024
 #: Fitting neighbours that an entry is held against one by one; a token's group in which one has more is verified whole.
 NEIGHBOURS = 8192
 #: Words of 64 bits in a wide sketch, and rows whose sketches are compared at once.
 WIDE, SKETCHES = 4, 1 << 16
 
 
-def _line_key(owner: np.ndarray, place: np.ndarray) -> np.ndarray:
-    """A number for a line of a document."""
-    return mix(mix(owner.astype(np.int64).view(np.uint64)) + place.astype(np.uint64))
-
-
 class Lines:
     """The judged lines of a slice: owner, place and size, and their tokens, rarest first.
 
@@ -123,30 +117,6 @@ def _prefix(size: np.ndarray, t: float) -> np.ndarray:
     return size - np.ceil(t * size - 1e-9).astype(np.int64) + 1
 
 
-def _fixed_table(rows: DataFrame, fill: Callable, kind: type, cells: int, packed: Callable) -> np.ndarray:
-    """A table of ``cells`` cells that tasks fill and that is added up: fill(batches) gives a task's, packed(sums) the bytes of a sum.
-
-    Rows of ROW cells travel; the driver gets len(packed(...)) bytes for each, whatever the number of rows of the input.
-    """
-
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = fill(batches).reshape(-1, ROW)
-        used = np.flatnonzero(table.any(axis=1))
-        yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array([_planes(table[k]) for k in used], pa.binary())], ["row", "sums"])
-
-    def add(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(ROW, np.uint64)
-        for batch in batches:
-            for sums in batch.column("sums"):
-                total += _from_planes(sums.as_py(), kind, ROW)
-        yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([packed(total).tobytes()], pa.binary())], ["row", "sums"])
-
-    out: list = [packed(np.zeros(ROW, np.uint64))] * (cells // ROW)
-    for row in rows.mapInArrow(work, "row int, sums binary").groupBy("row").applyInArrow(add, "row int, sums binary").collect():
-        out[row["row"]] = np.frombuffer(row["sums"], np.uint8)
-    return np.concatenate(out)
-
-
 def word_counts(docs: DataFrame) -> np.ndarray:
     """For each of CELLS hash cells the binary logarithm of how often its words occur in all texts, in a byte."""
 
@@ -158,29 +128,7 @@ def word_counts(docs: DataFrame) -> np.ndarray:
             total[cell[first]] += np.diff(np.append(first, len(cell))).astype(np.uint32)
         return total
 
-    return _fixed_table(docs, count, np.uint32, CELLS, lambda sums: np.minimum(np.ceil(np.log2(sums.astype(float) + 1)), 31).astype(np.uint8))
-
-
-def line_filter(lines: DataFrame) -> np.ndarray:
-    """A filter of LINE_BITS bits over lines(doc_id, line): bytes in which the bit of each line is set."""
-
-    def count(batches: Iterator[pa.RecordBatch]) -> np.ndarray:
-        total = np.zeros(LINE_BITS, np.uint8)
-        for batch in batches:
-            total[_line_key(batch.column(0).to_numpy(), batch.column(1).to_numpy()) & U(LINE_BITS - 1)] = 1
-        return total
-
-    return _fixed_table(lines, count, np.uint8, LINE_BITS, lambda sums: np.packbits(sums > 0, bitorder="little"))
-
-
-def _planes(values: np.ndarray) -> bytes:
-    """The bytes of little-endian numbers, all lowest bytes first, so that high bytes of zero compress to nothing."""
-    return values.view(np.uint8).reshape(len(values), values.itemsize).T.tobytes()
-
-
-def _from_planes(data: bytes, kind: type, n: int, at: int = 0) -> np.ndarray:
-    width = np.dtype(kind).itemsize
-    return np.ascontiguousarray(np.frombuffer(data, np.uint8, n * width, at).reshape(width, n).T).reshape(-1).view(kind)
+    return fixed_table(docs, count, np.uint32, CELLS, lambda sums: np.minimum(np.ceil(np.log2(sums.astype(float) + 1)), 31).astype(np.uint8))
 
 
 #: What entries of lines under tokens hold: the token, the sketch, 32 bits of the set's hash, the line, its size and the token's
@@ -195,7 +143,7 @@ def _pack(lines: Lines, at: np.ndarray) -> bytes:
     first = line[lines.position[at] == 0]
     columns = (lines.token[at], lines.bits[line], lines.set[line], owner, lines.place[line], lines.size[line], lines.position[at])
     data = [docs.astype(np.int64), lines.set[first], lines.other[first], *(c.astype(kind) for c, (_, kind) in zip(columns, ENTRY, strict=True))]
-    raw = b"".join(map(_planes, data))
+    raw = b"".join(map(planes, data))
     return np.array([len(docs), len(first), len(at), len(raw)], np.uint32).tobytes() + pa.compress(raw, "zstd", asbytes=True)
 
 
@@ -209,7 +157,7 @@ def _unpack(data: bytes, share: int, shares: int) -> dict[str, np.ndarray]:
     raw = pa.decompress(data[16:], size, "zstd", asbytes=True)
     at, out = 0, []
     for kind, count in ((np.int64, n_docs), (np.uint64, n_first), (np.uint64, n_first), *((kind, n) for _, kind in ENTRY)):
-        out.append(_from_planes(raw, kind, count, at))
+        out.append(from_planes(raw, kind, count, at))
         at += out[-1].nbytes
     docs, whole, other = out[:3]
     held = dict(zip((name for name, _ in ENTRY), out[3:], strict=True))
@@ -284,7 +232,7 @@ def _asks(label, owner, place, size, t: float) -> tuple[np.ndarray, np.ndarray]:
     many = np.bincount(label, minlength=len(label))
     row = np.flatnonzero(many[label] > 1)
     head, _ = _firsts((label[row],), owner[row], place[row])
-    root = _line_key(owner[row], place[row])[head]
+    root = key_number(owner[row], place[row])[head]
     small = many[label[row]] <= BLOCK
     rows, roots = [row[small]], [root[small]]
     big = row[~small]
@@ -374,17 +322,11 @@ def met(docs: DataFrame, counts: np.ndarray, t: float, least: int) -> DataFrame:
 def sets_of(docs: DataFrame, lines: DataFrame, counts: np.ndarray, least: int) -> DataFrame:
     """(doc_id, line, size, sketch, tokens) of at least the given lines(doc_id, line): those that a filter of fixed size lets through."""
     spark = docs.sparkSession
-    sent_counts, sent_filter = spark.sparkContext.broadcast(counts), spark.sparkContext.broadcast(line_filter(lines))
+    sent_counts, sent_filter = spark.sparkContext.broadcast(counts), spark.sparkContext.broadcast(key_filter(lines.select("doc_id", "line")))
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        asked = sent_filter.value
-
-        def hit(owner: np.ndarray, place: np.ndarray) -> np.ndarray:
-            bit = _line_key(owner, place) & U(LINE_BITS - 1)
-            return (asked[bit >> U(3)] >> (bit & U(7)).astype(np.uint8) & 1).astype(bool)
-
         for part in slices(batches):
-            lines = Lines(part, sent_counts.value, least, hit)
+            lines = Lines(part, sent_counts.value, least, partial(in_filter, sent_filter.value))
             if len(lines.size):
                 tokens = np.ascontiguousarray(lines.token.view(np.uint8).reshape(-1, 8)[:, :WIDTH]).reshape(-1)
                 columns = [pa.array(lines.owner, pa.int64()), pa.array(lines.place, pa.int32()), pa.array(lines.size, pa.int32()), _binary(lines.wide().view(np.uint8), np.arange(len(lines.size) + 1) * 8 * WIDE), _binary(tokens, np.append(lines.at, len(lines.token)) * WIDTH)]
@@ -408,7 +350,7 @@ def likely(sets: DataFrame, said: DataFrame, t: float) -> DataFrame:
     def compare(root, owner, place, size, sketch) -> pa.RecordBatch:
         order = np.lexsort((place, owner, size, root))
         root, owner, place, size, sketch = root[order], owner[order], place[order], size[order], sketch[order]
-        n, number = len(root), _line_key(owner, place)
+        n, number = len(root), key_number(owner, place)
         best, to = np.full(n, 1 << 30), np.zeros(n, np.int64)
         low, high = np.full(n, np.iinfo(np.uint64).max), np.zeros(n, np.uint64)
         left, shift = np.arange(n), 1

@@ -27,9 +27,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from noteloom.llm.common import cut, free, least_labels, ship
+from noteloom.llm.common import cut, free, in_filter, key_filter, least_labels, parts, ship
 from noteloom.llm.links import components
-from noteloom.llm.substring import mix
+from noteloom.llm.words import BASE, mix, slices, words
 
 SEED = 42
 BITS = 64
@@ -191,171 +191,292 @@ def near_duplicates(docs: DataFrame, width: int = 3, most: int = 2) -> DataFrame
     return rows.select("doc_id", "fingerprint", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
 
 
-#: Words of 64 bits in a wide fingerprint, bits of one of its keys, and bits in which a key of a near pair may differ.
-WIDE, KEY, KEY_MOST = 4, 32, 4
+#: Words of 64 bits in a wide fingerprint, and how many of them travel with an entry of the index of leads.
+WIDE, SENT = 4, 2
+#: Least bits of a lead, bits by which fingerprints outnumber leads at most, and the chance with which two texts just at the limit share a lead.
+LEAD, CROWD, FOUND = 16, 8, 0.99
 #: Standard deviations by which the bits of a candidate pair may exceed those expected at the limit.
-SPREADS = 3.7
+SPREADS = 3.0
+#: A shingle of a set is a hash of 48 bits, behind which the text's place in its slice is put where many sets are made at once.
+SHINGLE_BITS = 48
+#: Entries that a task compares at once.
+ENTRIES = 600_000
+
+
+def shingle_sets(column: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct shingles of each text of a column (at most 65,536 texts), as hashes in order, and how many each has."""
+    found = words(column, lower=True)
+    n, many, h = len(column), found.per_text(), found.hash
+    if n > 1 << (64 - SHINGLE_BITS):
+        raise ValueError("too many texts at once")
+    text, first = np.repeat(np.arange(n), many), np.cumsum(many) - many
+    step = np.uint64(BASE)
+    whole = np.flatnonzero(text[: len(h) - width + 1] == text[width - 1 :]) if len(h) >= width else np.empty(0, np.int64)
+    short = np.flatnonzero((many > 0) & (many < width))
+    out = []
+    for owner, start, size in ((text[whole], whole, np.full(len(whole), width)), (short, first[short], many[short])):
+        made = size.astype(np.uint64)
+        for k in range(width):
+            made = np.where(k < size, made * step + h[np.minimum(start + k, len(h) - 1)], made) if len(h) else made
+        out.append((owner.astype(np.uint64) << np.uint64(SHINGLE_BITS)) | (mix(made) >> np.uint64(64 - SHINGLE_BITS)))
+    key = np.sort(np.concatenate(out))
+    key = key[np.append(True, key[1:] != key[:-1])] if len(key) else key
+    return key & np.uint64((1 << SHINGLE_BITS) - 1), np.bincount((key >> np.uint64(SHINGLE_BITS)).astype(np.int64), minlength=n)
+
+
+def wide_fingerprint(hashes: np.ndarray) -> np.ndarray:
+    """WIDE fingerprints of the same shingles, each of hashes mixed anew."""
+    ones = np.zeros(WIDE * BITS, np.int64)
+    for at in range(0, len(hashes), 255 * 64):  # eight counters of a byte to a word, which 255 rows cannot overflow
+        part = hashes[at : at + 255 * 64]
+        made = mix(part[:, None] + np.arange(1, WIDE + 1, dtype=np.uint64) * np.uint64(BASE))
+        bits = np.unpackbits(made.view(np.uint8).reshape(len(part), -1), axis=1, bitorder="little").view(np.uint64)
+        for row in range(0, len(part), 255):
+            ones += bits[row : row + 255].sum(axis=0, dtype=np.uint64).view(np.uint8)
+    return np.packbits(2 * ones > len(hashes), bitorder="little").view(np.uint64)
 
 
-def wide_fingerprint(hashes: np.ndarray) -> list[int]:
-    """WIDE fingerprints of the same shingles, each of hashes mixed anew."""
-    return [fingerprint(mix(hashes + np.uint64(k) * np.uint64(0x9E3779B97F4A7C15))) for k in range(WIDE)]
+def most_bits(similarity: float, bits: int) -> int:
+    """Bits of so many in which texts whose shingle sets have this Jaccard similarity differ at most, but for rare chance."""
+    p = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    return int(bits * p + SPREADS * math.sqrt(bits * p * (1 - p)))
 
 
-def most_bits(similarity: float) -> int:
-    """Bits of a wide fingerprint that texts whose shingle sets have this Jaccard similarity differ in at most, but for rare chance."""
-    n, p = WIDE * BITS, math.acos(2 * similarity / (1 + similarity)) / math.pi
-    return int(n * p + SPREADS * math.sqrt(n * p * (1 - p)))
+def leads(distinct: int, similarity: float) -> list[np.ndarray]:
+    """The bits that lead each index: so many that few texts share a lead by chance, and so many indexes that texts at the limit do."""
+    size = max(LEAD, math.ceil(math.log2(max(distinct, 2))) - CROWD)
+    share = (1 - math.acos(2 * similarity / (1 + similarity)) / math.pi) ** size
+    rng = np.random.default_rng(SEED)
+    return [np.sort(rng.choice(WIDE * BITS, size, replace=False)) for _ in range(math.ceil(math.log(1 - FOUND) / math.log(1 - share)))]
 
 
 def near_groups(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFrame:
     """(doc_id, component_id): linked are texts whose shingle sets have a Jaccard similarity of at least ``similarity``.
 
-    Wide fingerprints only find candidates. At 0.8 single fingerprints of near texts differ in too many bits for any
-    index to prune. A wide one has WIDE * BITS / KEY keys; near texts agree in KEY - KEY_MOST bits of one key at least
-    with a chance of about 0.99 at the limit and nearly always above it. Keys are searched in hierarchical Gray-order
-    indexes, and what they find is held against all bits of the fingerprints. Every link is then verified on the sets.
+    At 0.8 fingerprints of 64 bits differ in about 10 bits, too many for an index of stretches. Wide fingerprints
+    go to one index for each of many leads (``leads``): fingerprints are sorted by the Gray rank of the bits that lead, those with
+    equal leads are a node, and within a node pairs are dropped as soon as the differences added up word by word pass the limit.
+    Texts with a similarity at the limit share some lead with a chance of FOUND, nearer ones more often. What an index joins
+    becomes a group; for each text the nearest smaller one of its groups is verified on the shingle sets themselves. Of the
+    groups only those that this leaves in several components are looked at again, and their pairs across components verified too.
+    A set is known by a hash of 64 bits.
     """
     names = [f"f{k}" for k in range(WIDE)]
-    most = most_bits(similarity)
 
     def prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sets = [np.unique(shingle_hashes(t.as_py(), width)) for t in batch.column(1)]
-            made = np.array([wide_fingerprint(x) for x in sets], np.uint64).reshape(-1, WIDE).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(made[:, k]) for k in range(WIDE)], pa.array([_name(x) for x in sets], pa.int64())], ["doc_id", *names, "same"])
-
-    lead = KEY // (KEY_MOST + 1)
-    turns = range(0, lead * (KEY_MOST + 1), lead)
-    columns = "id long, " + ", ".join(f"{n} long" for n in names) + ", same long"
-
-    def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for k in range(WIDE * BITS // KEY):
-                key = _key(batch.column(1 + k // 2).to_numpy().view(np.uint64), k)
-                for turn in turns:
-                    own = _turned_key(key, turn) << np.uint64(BITS - KEY)
-                    block = _leading(gray_rank(own), block_bits).astype(np.int64)
-                    yield pa.RecordBatch.from_arrays([pa.array((block * 64 + k) * 64 + turn), pa.array(own.view(np.int64)), *batch.columns], ["block", "key", "id", *names, "same"])
-
-    def first_met(differ: np.ndarray, k: int, turn: int) -> np.ndarray:
-        """Which pairs, given by the bits in which they differ, meet under no earlier key and turn."""
-        good = np.ones(differ.shape[1], bool)
-        for j in range(k):
-            good &= np.bitwise_count(_key(differ[j // 2], j)) > KEY_MOST
-        own = _key(differ[k // 2], k)
-        for before in range(0, turn, lead):
-            good &= _turned_key(own, before) >> np.uint64(KEY - lead) != 0
-        return good
-
-    def search(block: tuple, table: pa.Table) -> pa.Table:
-        k, turn = block[0].as_py() // 64 % 64, block[0].as_py() % 64
-        ids, same = table.column("id").to_numpy(), table.column("same").to_numpy()
-        keys = table.column("key").to_numpy().view(np.uint64)
-        wide = np.stack([table.column(n).to_numpy().view(np.uint64) for n in names])
-        unique, which, many = np.unique(keys, return_inverse=True, return_counts=True)
-        member = np.argsort(which, kind="stable")
-        start = np.cumsum(many) - many
-        q, p = GrayIndex(unique, lead).search(unique, KEY_MOST)
-        q, p = q[q <= p], p[q <= p]
-        size = np.cumsum(many[q] * many[p])
-        at, found = 0, [np.empty((2, 0), np.int64)]
-        while at < len(q):  # lots of about PAIRS pairs of members
-            end = max(at + 1, int(np.searchsorted(size, (size[at - 1] if at else 0) + PAIRS)))
-            for a, b in _pairs(start, many, q[at:end], p[at:end]):
-                a, b = member[a], member[b]
-                differ = wide[:, a] ^ wide[:, b]
-                near = np.flatnonzero(((which[a] != which[b]) | (a < b)) & (np.bitwise_count(differ).sum(axis=0) <= most))
-                near = near[first_met(differ[:, near], k, turn)]
-                found.append(np.stack([a[near], b[near]]))
-            at = end
-        a, b = np.concatenate(found, axis=1)
-        a, b = np.where(ids[a] <= ids[b], a, b), np.where(ids[a] <= ids[b], b, a)
-        return pa.table({"a": ids[a], "a_same": same[a], "b": ids[b], "b_same": same[b]})
+        for part in _some(batches):
+            held, many = shingle_sets(part.column(1), width)
+            end = np.cumsum(many)
+            made = np.array([wide_fingerprint(held[b - n : b]) if n else np.zeros(WIDE, np.uint64) for b, n in zip(end.tolist(), many.tolist(), strict=True)], np.uint64).reshape(-1, WIDE).view(np.int64)
+            yield pa.RecordBatch.from_arrays([part.column(0), *[pa.array(np.ascontiguousarray(made[:, k])) for k in range(WIDE)], pa.array(_names(held, many).view(np.int64))], ["doc_id", *names, "same"])
 
     ship(docs.sparkSession)
-    texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).filter("doc_id is not null")
-    made = cut(texts.mapInArrow(prints, columns.replace("id", "doc_id", 1)), "wide-fingerprints")
-    groups = cut(made.groupBy(*names, "same").agg(F.min("doc_id").alias("id")).select("id", *names, "same"), "distinct-wide")
-    block_bits = min(lead, max(0, (max(groups.count(), 1) - 1) // PER_BLOCK).bit_length())
-    pairs = groups.mapInArrow(route, "block long, key long, " + columns).groupBy("block").applyInArrow(search, "a long, a_same long, b long, b_same long")
-    found = components(_verified(texts, cut(pairs.filter("a != b"), "near-candidates"), width, similarity))
-    roots = groups.join(found, groups["id"] == found["node"], "left").select(*names, "same", F.coalesce("root", "id").alias("component_id"))
-    return made.join(roots, [*names, "same"]).select("doc_id", "component_id")
+    texts = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).filter("doc_id is not null")
+    made = cut(texts.mapInArrow(prints, "doc_id long, " + ", ".join(f"{n} long" for n in names) + ", same long"), "wide-fingerprints")
+    distinct = cut(made.groupBy("same").agg(*[F.min(n).alias(n) for n in names], F.min("doc_id").alias("id")), "distinct-wide")
+    met = cut(_met(distinct.select("same", *names), leads(distinct.count(), similarity), most_bits(similarity, SENT * BITS)), "near-met")
+    best = met.filter("near is not null").groupBy("same").agg(F.min(F.struct("differ", "near")).alias("x")).select(F.col("x.near").alias("a"), F.col("same").alias("b"))
+    best = cut(best, "near-best")
+    asked = cut(distinct.join(met.select("same").distinct(), "same", "left_semi").select("same", "id"), "near-asked")
+    sets = _sets(texts, asked, width)
+    sure = cut(_verified(best, sets, similarity), "near-sure")
+    known = cut(components(sure), "near-roots")
+    more = cut(_across(met.select("same", "root").distinct(), distinct.select("same", *names), known, most_bits(similarity, WIDE * BITS)), "near-across")
+    found = components(sure.union(_verified(more.join(best, ["a", "b"], "left_anti"), sets, similarity)))
+    labelled = made.select("doc_id", "same").join(found, F.col("same") == F.col("node"), "left").select("doc_id", F.coalesce("root", "same").alias("_root"))
+    first = labelled.groupBy("_root").agg(F.min("doc_id").alias("component_id"))
+    return labelled.join(first, "_root").select("doc_id", "component_id")
 
 
-def _key(words: np.ndarray, k: int) -> np.ndarray:
-    """Key k of wide fingerprints, given their word that holds it."""
-    return (words >> np.uint64(KEY * (k % 2))) & np.uint64((1 << KEY) - 1)
+def _some(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for part in slices(batches):
+        for at in range(0, part.num_rows, 1 << (64 - SHINGLE_BITS)):
+            yield part.slice(at, 1 << (64 - SHINGLE_BITS))
 
 
-def _turned_key(keys: np.ndarray, by: int) -> np.ndarray:
-    return ((keys << np.uint64(by)) | (keys >> np.uint64(KEY - by))) & np.uint64((1 << KEY) - 1)
+def _names(held: np.ndarray, many: np.ndarray) -> np.ndarray:
+    """A number for each set of hashes, by its members and size; 0 for none."""
+    total = np.append(np.uint64(0), np.cumsum(mix(held)))
+    end = np.cumsum(many)
+    return np.where(many > 0, mix(total[end] - total[end - many] + many.astype(np.uint64)), np.uint64(0))
 
 
-def _name(hashes: np.ndarray) -> int:
-    """A number for a set of hashes."""
-    return int(np.asarray([mix(hashes).sum(dtype=np.uint64)], np.uint64).view(np.int64)[0])
+#: What an index says of a set: the smallest set of its group, and the nearest smaller set that it met, if it met one.
+MET = "same long, root long, near long, differ int"
 
 
-def _verified(texts: DataFrame, pairs: DataFrame, width: int, similarity: float) -> DataFrame:
-    """(a, b): the pairs(a, a_same, b, b_same) whose shingle sets are similar, less some that others already connect.
+def _met(rows: DataFrame, tables: list[np.ndarray], most: int) -> DataFrame:
+    """MET of rows(same, f0, ...) from the indexes of all leads."""
+    buckets = parts(rows.sparkSession)
 
-    Each b is first held against its smallest a. Of the other pairs only those that this left apart are verified, so
-    that sets of large groups of near copies do not travel once for each pair.
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 2048):
+                part = batch.slice(at, 2048)
+                same, wide = part.column(0).to_numpy().view(np.uint64), np.stack([part.column(1 + k).to_numpy().view(np.uint64) for k in range(WIDE)], axis=1)
+                bits = np.unpackbits(wide.view(np.uint8), axis=1, bitorder="little").astype(np.uint64)
+                node = np.stack([gray_rank(bits[:, lead] @ (np.uint64(1) << np.arange(len(lead), dtype=np.uint64))) * np.uint64(len(tables)) + np.uint64(k) for k, lead in enumerate(tables)], axis=1).ravel()
+                row = np.repeat(np.arange(len(same)), len(tables))
+                bucket = (mix(node) % np.uint64(buckets)).astype(np.int64)
+                by = np.argsort(bucket, kind="stable")
+                edges = np.searchsorted(bucket[by], np.arange(buckets + 1))
+                used = np.flatnonzero(np.diff(edges))
+                data = [np.column_stack([node[w], same[row[w]], wide[row[w], :SENT]]).T.tobytes() for w in (by[edges[k] : edges[k + 1]] for k in used)]
+                yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array(data, pa.binary())], ["bucket", "entries"])
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [x.as_py() for batch in batches for x in batch.column(1)]
+        shares = -(-sum(map(len, held)) // (8 * (2 + SENT) * ENTRIES))
+        for share in range(shares):
+            every = [np.frombuffer(x, np.uint64).reshape(2 + SENT, -1) for x in held]
+            columns = np.concatenate([x[:, mix(x[0] + np.uint64(5)) % np.uint64(shares) == share] for x in every], axis=1)
+            del every
+            columns = columns[:, np.lexsort((columns[1], columns[0]))]
+            new = np.append(True, columns[0][1:] != columns[0][:-1]) if columns.shape[1] else np.empty(0, bool)
+            alone = new & np.append(new[1:], True) if len(new) else new
+            node, same, *wide = columns[:, ~alone]
+            row, root, near, differ = _nearest(node, same.view(np.int64), wide, most)
+            yield pa.RecordBatch.from_arrays([pa.array(same.view(np.int64)[row]), pa.array(root), pa.array(near, mask=differ < 0), pa.array(differ.astype(np.int32), mask=differ < 0)], ["same", "root", "near", "differ"])
+
+    return rows.mapInArrow(send, "bucket int, entries binary").repartition(buckets, "bucket").mapInArrow(meet, MET).distinct()
+
+
+def _nearest(node: np.ndarray, same: np.ndarray, wide: list[np.ndarray], most: int) -> tuple[np.ndarray, ...]:
+    """(row, smallest set of its group, nearest smaller set that it met, differing bits) of the rows that met another; -1 bits if none is smaller.
+
+    Rows are sorted by node. Two rows that are in one group already are not compared again if the larger one has met a smaller one.
     """
+    n = len(node)
+    label, pairs, pending = np.arange(n), [np.empty((2, 0), np.int64)], 0
+    near, differ = np.zeros(n, np.int64), np.full(n, -1)
+    left, shift = np.arange(n), 1
+    while len(left := left[left + shift < n]):
+        left = left[node[left] == node[left + shift]]
+        one, two = left, left + shift
+        small, large = np.where(same[one] < same[two], one, two), np.where(same[one] < same[two], two, one)
+        open_ = (same[one] != same[two]) & ((label[one] != label[two]) | (differ[large] < 0))
+        one, two, small, large = one[open_], two[open_], small[open_], large[open_]
+        so_far = np.zeros(len(one), np.int64)
+        for word in wide:
+            so_far += np.bitwise_count(word[one] ^ word[two])
+            keep = so_far <= most
+            one, two, small, large, so_far = one[keep], two[keep], small[keep], large[keep], so_far[keep]
+        pairs.append(np.stack([one, two]))
+        pending += len(one)
+        for part in (large == two, large == one):  # each row is once left and once right
+            x, y, d = large[part], small[part], so_far[part]
+            better = (differ[x] < 0) | (d < differ[x]) | ((d == differ[x]) & (same[y] < near[x]))
+            near[x[better]], differ[x[better]] = same[y[better]], d[better]
+        if not shift & (shift - 1) or pending > ENTRIES:
+            label, pairs, pending = _merged(label, pairs), [np.empty((2, 0), np.int64)], 0
+        shift += 1
+    label = _merged(label, pairs)
+    row = np.flatnonzero(np.bincount(label, minlength=n)[label] > 1)
+    least = np.full(n, np.iinfo(np.int64).max)
+    np.minimum.at(least, label[row], same[row])
+    return row, least[label[row]], near[row], differ[row]
+
+
+def _merged(label: np.ndarray, pairs: list[np.ndarray]) -> np.ndarray:
+    moved = np.flatnonzero(label != np.arange(len(label)))
+    return least_labels(len(label), *np.concatenate([*pairs, np.stack([moved, label[moved]])], axis=1))
+
+
+def _across(groups: DataFrame, prints: DataFrame, known: DataFrame, most: int) -> DataFrame:
+    """(a, b): the pairs of each of groups(same, root) within the limit whose sets known(node, root) has in different components."""
+
+    def compare(component: np.ndarray, same: np.ndarray, wide: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Rows of all components but the largest, in lots, against all rows of other components."""
+        value, which, many = np.unique(component, return_inverse=True, return_counts=True)
+        a, b = [], []
+        for x in np.flatnonzero(which != many.argmax()):
+            y = np.flatnonzero((np.bitwise_count(wide ^ wide[x]).sum(axis=1) <= most) & (which != which[x]))
+            a.append(np.minimum(same[x], same[y]))
+            b.append(np.maximum(same[x], same[y]))
+        return np.concatenate(a), np.concatenate(b)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+        for batch in batches:
+            held.append(np.stack([c.to_numpy() for c in batch.columns]))
+            if len(held) < 64 and sum(h.shape[1] for h in held) < ENTRIES:
+                continue
+            rows = np.concatenate(held, axis=1)
+            end = int(np.searchsorted(rows[0], rows[0][-1]))
+            yield from each(rows[:, :end])
+            held = [rows[:, end:]]
+        if held:
+            yield from each(np.concatenate(held, axis=1))
+
+    def each(rows: np.ndarray) -> Iterator[pa.RecordBatch]:
+        for part in np.split(rows, np.flatnonzero(rows[0][1:] != rows[0][:-1]) + 1, axis=1) if rows.shape[1] else ():
+            a, b = compare(part[1], part[2], np.ascontiguousarray(part[3:].T).view(np.uint64))
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+
+    own = known.select(F.col("node").alias("same"), F.col("root").alias("component"))
+    rows = cut(groups.join(own, "same", "left").withColumn("component", F.coalesce("component", "same")), "near-components")
+    split = rows.groupBy("root").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high").select("root")
+    held = rows.join(split, "root", "left_semi").join(prints, "same").select("root", "component", "same", *prints.columns[1:])
+    return held.repartition(parts(rows.sparkSession), "root").sortWithinPartitions("root").mapInArrow(work, "a long, b long").distinct()
+
+
+def _sets(texts: DataFrame, asked: DataFrame, width: int) -> DataFrame:
+    """(same, size, sketch, held) of the asked(same, id) sets, read off the texts of their first documents by a second scan."""
+    sent = texts.sparkSession.sparkContext.broadcast(key_filter(asked.select("id")))
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in _some(iter([batch.filter(pa.array(in_filter(sent.value, batch.column(0).to_numpy())))])):
+                held, many = shingle_sets(part.column(1), width)
+                end = np.cumsum(many)
+                sets = [held[b - n : b] for b, n in zip(end.tolist(), many.tolist(), strict=True)]
+                data = [np.ascontiguousarray(x.view(np.uint8).reshape(-1, 8)[:, : SHINGLE_BITS // 8]).tobytes() for x in sets]
+                yield pa.RecordBatch.from_arrays([pa.array(_names(held, many).view(np.int64)), part.column(0), pa.array(many, pa.int32()), pa.array(list(map(_sketch, sets)), pa.binary()), pa.array(data, pa.binary())], ["same", "id", "size", "sketch", "held"])
+
+    found = texts.mapInArrow(work, "same long, id long, size int, sketch binary, held binary")
+    return cut(found.join(asked.distinct(), ["same", "id"], "left_semi").dropDuplicates(["same"]).drop("id"), "near-sets")
+
+
+def _sketch(hashes: np.ndarray) -> bytes:
+    """Bits, at least two to a hash, of which each hash turns one: two sets differ in as many hashes as their sketches in bits, at least."""
+    bits = max(256, 1 << (2 * max(len(hashes), 1) - 1).bit_length())
+    return np.packbits(np.bincount((mix(hashes) & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1, bitorder="little").tobytes()
+
 
-    def shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _apart(x: bytes, y: bytes) -> int:
+    """In how many bits two sketches differ, the longer one folded to the length of the other."""
+    x, y = (np.frombuffer(s, np.uint64) for s in sorted((x, y), key=len))
+    return int(np.bitwise_count(x ^ np.bitwise_xor.reduce(y.reshape(-1, len(x)), axis=0)).sum())
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The pairs(a, b) whose sets are similar: the sketches decide what cannot be, the sets themselves the rest."""
+
+    def possible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [np.unique(shingle_hashes(t.as_py(), width)) for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([_name(x) for x in sets], pa.int64()), pa.array([x.tobytes() for x in sets], pa.binary())], ["id", "same", "held"])
+            good = []
+            for m, n, x, y in zip(*(batch.column(k).to_pylist() for k in range(2, 6)), strict=True):
+                need = math.ceil(similarity / (1 + similarity) * (m + n) - 1e-9)
+                good.append(min(m, n) >= need and _apart(x, y) <= m + n - 2 * need)
+            yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
 
     def similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kind = f"V{SHINGLE_BITS // 8}"
         for batch in batches:
             good = []
             for x, y in zip(batch.column(2), batch.column(3), strict=True):
-                x, y = np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)
-                both = len(np.intersect1d(x, y, assume_unique=True))
+                x, y = np.frombuffer(x.as_py(), kind), np.frombuffer(y.as_py(), kind)
+                both = len(set(x.tolist()) & set(y.tolist()))
                 good.append(both >= similarity * (len(x) + len(y) - both) - 1e-9)
             yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
 
-    asked = pairs.select(F.explode(F.array("a", "b")).alias("_id")).distinct()
-    rows = texts.join(asked, F.col("doc_id") == F.col("_id")).select("doc_id", "text")
-    sets = cut(rows.mapInArrow(shingled, "id long, same long, held binary").dropDuplicates(["id", "same"]), "near-sets")
-
-    def verify(some: DataFrame) -> DataFrame:
-        one, two = (sets.select(F.col("id").alias(c), F.col("same").alias(f"{c}_same"), F.col("held").alias(f"{c}_held")) for c in "ab")
-        joined = some.join(one, ["a", "a_same"]).join(two, ["b", "b_same"])
-        return joined.select("a", "b", "a_held", "b_held").mapInArrow(similar, "a long, b long")
-
-    first = pairs.groupBy("b", "b_same").agg(F.min(F.struct("a", "a_same")).alias("x")).select("x.a", "x.a_same", "b", "b_same")
-    sure = cut(verify(first), "near-sure")
-    root = cut(components(sure), "near-roots")
-    left = pairs.join(first, ["a", "a_same", "b", "b_same"], "left_anti")
-    for c in "ab":
-        own = root.select(F.col("node").alias(c), F.col("root").alias(f"{c}_root"))
-        left = left.join(own, c, "left").withColumn(f"{c}_root", F.coalesce(f"{c}_root", c))
-    return sure.union(verify(left.filter("a_root != b_root").select("a", "a_same", "b", "b_same")))
-
-
-#: Pairs of members that are compared at once.
-PAIRS = 1 << 21
-
-
-def _pairs(start: np.ndarray, many: np.ndarray, q: np.ndarray, p: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """All places (a, b) of members of the keys q and p, in lots of about PAIRS."""
-    product = many[q] * many[p]
-    if product.sum() <= 2 * PAIRS:
-        step = np.arange(int(product.sum())) - np.repeat(np.cumsum(product) - product, product)
-        inner = np.repeat(many[p], product)
-        yield np.repeat(start[q], product) + step // inner, np.repeat(start[p], product) + step % inner
-        return
-    for u, v in zip(q, p, strict=True):
-        right = np.arange(start[v], start[v] + many[v])
-        rows = max(1, PAIRS // max(1, len(right)))
-        for at in range(start[u], start[u] + many[u], rows):
-            left = np.arange(at, min(at + rows, start[u] + many[u]))
-            yield np.repeat(left, len(right)), np.tile(right, len(left))
+    def joined(some: DataFrame, *columns: str) -> DataFrame:
+        for c in "ab":
+            some = some.join(sets.select(F.col("same").alias(c), *[F.col(x).alias(f"{c}_{x}") for x in columns]), c)
+        return some.select("a", "b", *[f"{c}_{x}" for x in columns for c in "ab"])
+
+    left = cut(joined(pairs, "size", "sketch").mapInArrow(possible, "a long, b long"), "near-possible")
+    return joined(left, "held").mapInArrow(similar, "a long, b long")
 
 
 def keep_first(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFrame:

@@ -17,7 +17,7 @@ import pyarrow.compute
 
 U = np.uint64
 #: Bytes hashed at once, and bytes of text that a slice of a batch holds; a longer text is a slice of its own.
-STRETCH, SLICE_BYTES = 1 << 18, 3_000_000
+STRETCH, SLICE_BYTES = 1 << 18, 2_000_000
 BASE = 0x9E3779B97F4A7C15
 WHITE = np.zeros(256, bool)
 WHITE[[9, 10, 11, 12, 13, 32]] = True
@@ -30,8 +30,10 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U(31))
 
 
-#: A number for each byte, none of them zero.
+#: A number for each byte, none of them zero; and the same with the capitals A-Z as small letters.
 VALUE = mix(np.arange(1, 257, dtype=np.uint64)) | U(1)
+LOWERED = VALUE.copy()
+LOWERED[65:91] = VALUE[97:123]
 
 
 def powers(base: int, n: int) -> np.ndarray:
@@ -78,8 +80,8 @@ def _bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, edges - edges[0]
 
 
-def words(column: pa.Array) -> Words:
-    """The words of a column of texts, in order."""
+def words(column: pa.Array, lower: bool = False) -> Words:
+    """The words of a column of texts, in order; with ``lower``, A-Z count as a-z."""
     data, edges = _bytes(column)
     n, at, out = len(data), 0, []
     edge = np.zeros(n + 1, bool)
@@ -100,7 +102,7 @@ def words(column: pa.Array) -> Words:
         start, stop = np.flatnonzero(first), np.flatnonzero(last) + 1
         up, down = _Powers.first(len(part))
         total = np.zeros(len(part) + 1, np.uint64)
-        np.cumsum(VALUE[part] * up, out=total[1:])
+        np.cumsum((LOWERED if lower else VALUE)[part] * up, out=total[1:])
         out.append((mix((total[stop] - total[start]) * down[start]), start + at))
         at = end
     hashed, start = (np.concatenate(c) for c in zip(*out, strict=True)) if out else (np.empty(0, np.uint64), np.empty(0, np.int64))
@@ -110,10 +112,12 @@ def words(column: pa.Array) -> Words:
 def slices(batches: Iterator[pa.RecordBatch], text: int = 1, size: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """The batches in slices of about ``size`` bytes of text, without rows that have no key (the first column) or no text."""
     for batch in batches:
-        batch = batch.filter(pa.compute.and_(batch.column(0).is_valid(), batch.column(text).is_valid()))
+        if batch.column(0).null_count or batch.column(text).null_count:
+            batch = batch.filter(pa.compute.and_(batch.column(0).is_valid(), batch.column(text).is_valid()))
         ends = np.cumsum(pa.compute.binary_length(batch.column(text)).to_numpy(zero_copy_only=False)) if batch.num_rows else np.empty(0, np.int64)
         at = 0
         while at < batch.num_rows:
             end = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + size, side="right")))
             yield batch.slice(at, end - at)
             at = end
+    pa.default_memory_pool().release_unused()
