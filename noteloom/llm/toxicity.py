@@ -90,7 +90,7 @@ def votes(words: set[str], text: str, masks: Masks | list[int]) -> list[int]:
 class Masks(dict):
     """Word to voter mask, worked out when a word is first met; at most ``kept`` words are held."""
 
-    def __init__(self, mined: set[int], kept: int = 300_000):
+    def __init__(self, mined: set[int], kept: int = 200_000):
         super().__init__()
         self.mined, self.kept = mined, kept
 
@@ -110,18 +110,18 @@ class Masks(dict):
         return found
 
 
+def distinct_features(words: set[str]) -> np.ndarray:
+    """The numbers of the features of a text's words, each once, in order."""
+    return np.unique(np.fromiter((f for w in words for f in feature_ids(w)), np.int32))
+
+
 class Rows:
     """The distinct features of bounded training rows, as places in one list of features."""
 
-    def __init__(self, docs: list[set[str]]):
-        cache: dict[str, list[int]] = {}
-        for w in set().union(*docs):
-            cache[w] = feature_ids(w)
-        held = [np.unique(np.fromiter((f for w in words for f in cache[w]), np.int32)) for words in docs]
-        self.n = len(docs)
+    def __init__(self, held: list[np.ndarray]):
+        self.n = len(held)
         self.row = np.repeat(np.arange(self.n, dtype=np.int32), [len(h) for h in held])
         every = np.concatenate([*held, np.empty(0, np.int32)])
-        del held, cache
         df = np.bincount(every, minlength=FEATURES)
         often = df >= MINED_ROWS
         self.feature, place = np.flatnonzero(often).astype(np.int32), np.cumsum(often, dtype=np.int32) - 1
@@ -271,7 +271,7 @@ class Model:
 class Known(dict):
     """Word to the places of its weights, as bytes, worked out when a word is first met; ``masked`` holds the masks of words that have any."""
 
-    def __init__(self, model: Model, kept: int = 300_000):
+    def __init__(self, model: Model, kept: int = 200_000):
         super().__init__()
         self.masks, self.masked, self.kept = Masks(model.mined), {}, kept
         self.place = {f: k for k, f in enumerate(model.linear.words)}
@@ -314,18 +314,19 @@ def train(docs: DataFrame, labels: DataFrame, train_rows: Column, most_positive:
     first = lambda y: known.filter(F.col("toxic") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most[y])
     chosen = F.broadcast(first(0).union(first(1)).withColumnRenamed("doc_id", "_id"))  # at most most_positive + most_negative rows
 
-    def distinct_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [t.as_py() or "" for t in batch.column(2)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array([" ".join(sorted(words_of(t))) for t in texts], pa.string()), pa.array([t.count("!") * 20 > len(t) for t in texts])], ["doc_id", "toxic", "words", "loud"])
+            data = [distinct_features(words_of(t.as_py())).tobytes() for t in batch.column(2)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(data, pa.binary())], ["doc_id", "toxic", "features"])
 
-    sample = docs.join(chosen, F.col("doc_id") == F.col("_id")).select(F.col("doc_id").cast("long"), "toxic", F.col("text").cast("string"))
-    got = sorted(sample.mapInArrow(distinct_words, "doc_id long, toxic int, words string, loud boolean").collect(), key=lambda r: (r["doc_id"], r["words"]))
-    bags = [set(r["words"].split()) for r in got]
-    gold = np.array([r["toxic"] for r in got], float)
+    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    sample = rows.join(chosen, F.col("doc_id") == F.col("_id")).select("doc_id", "toxic", "text")
+    got = sorted(sample.mapInArrow(features, "doc_id long, toxic int, features binary").collect(), key=lambda r: (r["doc_id"], bytes(r["features"])))
+    keys, gold = [r["doc_id"] for r in got], np.array([r["toxic"] for r in got], float)
     weight = np.array([max(1.0, counted[int(y)] / most[int(y)]) for y in gold])
-    rows = Rows(bags)
-    mined = rows.mine(gold, weight)
+    held = Rows([np.frombuffer(r["features"], np.int32) for r in got])
+    del got
+    mined = held.mine(gold, weight)
 
     def cast_votes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         masks = Masks(mined)
@@ -333,7 +334,7 @@ def train(docs: DataFrame, labels: DataFrame, train_rows: Column, most_positive:
             texts = [t.as_py() or "" for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([_code(votes(words_of(t), t, masks)) for t in texts], pa.int64())], ["doc_id", "code"])
 
-    codes = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(cast_votes, "doc_id long, code long")
+    codes = cut(rows.mapInArrow(cast_votes, "doc_id long, code long"), "votes")
     combined = codes.join(known, "doc_id", "left").groupBy("code", "toxic").agg(F.count(F.lit(1)).alias("n")).collect()  # at most 3^VOTERS rows
     voters = VOTERS - 1
     if combined:
@@ -341,10 +342,11 @@ def train(docs: DataFrame, labels: DataFrame, train_rows: Column, most_positive:
         order = np.lexsort(patterns.T)
         seen = counted.get(0, 0) + counted.get(1, 0)
         label_model = LabelModel().fit(patterns[order], np.array([r["n"] for r in combined], float)[order], counted.get(1, 0) / seen if seen else 0.1)
-    masks = Masks(mined)
-    cast = np.array([votes(words, "!" if r["loud"] else " ", masks) for words, r in zip(bags, got, strict=True)], int).reshape(-1, voters)
-    target = label_model.posterior(np.column_stack([cast, (2 * gold - 1).astype(int)])) if len(got) else gold
-    return Model(mined, Linear().fit(rows, cast, target, weight))
+    # Of rows that repeat a doc_id with other texts the smallest code stands for all.
+    own = {r["doc_id"]: r["code"] for r in codes.join(chosen, F.col("doc_id") == F.col("_id")).groupBy("doc_id").agg(F.min("code").alias("code")).collect()}
+    cast = np.array([_votes(own[k], voters) for k in keys], int).reshape(-1, voters)
+    target = label_model.posterior(np.column_stack([cast, (2 * gold - 1).astype(int)])) if keys else gold
+    return Model(mined, Linear().fit(held, cast, target, weight))
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
