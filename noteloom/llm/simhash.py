@@ -199,6 +199,8 @@ LEAD, CROWD, FOUND = 16, 8, 0.99
 SPREADS = 3.0
 #: A shingle of a set is a hash of 48 bits, behind which the text's place in its slice is put where many sets are made at once.
 SHINGLE_BITS = 48
+#: Parts over which the members of one group are dealt.
+SALTS = 16
 #: Entries that a task compares at once.
 ENTRIES = 600_000
 
@@ -283,9 +285,12 @@ def near_groups(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> Dat
     known = cut(components(sure), "near-roots")
     more = cut(_across(met.select("same", "root").distinct(), distinct.select("same", *names), known, most_bits(similarity, WIDE * BITS)), "near-across")
     found = components(sure.union(_verified(more.join(best, ["a", "b"], "left_anti"), sets, similarity)))
-    labelled = made.select("doc_id", "same").join(found, F.col("same") == F.col("node"), "left").select("doc_id", F.coalesce("root", "same").alias("_root"))
-    first = labelled.groupBy("_root").agg(F.min("doc_id").alias("component_id"))
-    return labelled.join(first, "_root").select("doc_id", "component_id")
+    # A set that a third of all texts share, or a group of that size, is dealt out over SALTS; only what has several members is joined.
+    rows = made.select("doc_id", "same", F.pmod(F.hash("doc_id"), F.lit(SALTS)).alias("_salt"))
+    salted = lambda few: few.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    rows = rows.join(salted(found.select(F.col("node").alias("same"), "root")), ["same", "_salt"], "left").select("doc_id", "_salt", F.coalesce("root", "same").alias("_root"))
+    first = rows.groupBy("_root").agg(F.min("doc_id").alias("component_id"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
+    return rows.join(salted(first), ["_root", "_salt"], "left").select("doc_id", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
 def _some(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
