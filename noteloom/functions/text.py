@@ -119,7 +119,7 @@ WIKILINK = r"\[\[[^\]]+\]\]"
 
 def unwrap(value: Column) -> Column:
     """A frontmatter value as a list (P4): outer quotes off, then the wikilinks in it, or the value itself."""
-    value = F.regexp_replace(strip(value), r"""(?s)^(["'])(.*)\1$""", "$2")
+    value = strip(F.regexp_replace(strip(value), r"""(?s)^(["'])(.*)\1$""", "$2"))
     links = F.regexp_extract_all(value, F.lit(WIKILINK), 0)
     return F.when(F.size(links) > 0, links).otherwise(F.array(value))
 
@@ -167,7 +167,7 @@ def link_targets(text: Column) -> Column:
 
 def note_name(target: Column) -> Column:
     """A link target as a note's file name."""
-    bare = F.regexp_replace(strip(target), r"^[/\\]+|[/\\]+$", "")
+    bare = F.regexp_replace(F.regexp_replace(strip(target), "^/+|/+$", ""), r"^\\+|\\+$", "")
     return F.when(F.lower(bare).endswith(".md"), bare).otherwise(F.concat(bare, F.lit(".md")))
 
 
@@ -221,10 +221,38 @@ def first_n(names: Column, n: int, dash: str = "—") -> Column:
     return F.when(F.size(names) == 0, F.lit(dash)).otherwise(F.array_join(F.slice(names, 1, n), ", "))
 
 
+#: ``fields`` of a frontmatter's text as SQL, for sessions that have no Python at hand.
+FIELDS_SQL = r"""
+aggregate(transform(split(t, '\n'), l -> regexp_replace(l, '(?U)^\\s+|\\s+$', '')),
+  named_struct('open', false, 'key', '', 'held', cast(array() AS array<string>), 'out', cast(map() AS map<string, array<string>>)),
+  (h, l) -> CASE
+    WHEN l = '' THEN h
+    WHEN h.open AND startswith(l, '-') THEN named_struct('open', true, 'key', h.key, 'held', concat(h.held, filter({item}, x -> x <> '')), 'out', h.out)
+    WHEN contains(l, ':') THEN named_struct('open', {value} = '', 'key', {key}, 'held', cast(array() AS array<string>),
+      'out', CASE WHEN {value} = '' THEN {flushed} ELSE map_concat(map_filter({flushed}, (k, v) -> k <> {key}), map({key}, {whole})) END)
+    ELSE named_struct('open', false, 'key', '', 'held', cast(array() AS array<string>), 'out', {flushed}) END,
+  h -> {flushed})"""
+
+
+def _fields_sql() -> str:
+    strip_ = lambda x: f"regexp_replace({x}, '(?U)^\\\\s+|\\\\s+$', '')"
+    bare = lambda x: strip_(f"""regexp_replace({strip_(x)}, '(?s)^(["\\'])(.*)\\\\1$', '$2')""")
+    links = lambda x: f"regexp_extract_all({x}, '\\\\[\\\\[[^\\\\]]+\\\\]\\\\]', 0)"
+    listed = lambda x: f"CASE WHEN size({links(bare(x))}) > 0 THEN {links(bare(x))} ELSE array({bare(x)}) END"
+    value = strip_("regexp_replace(l, '(?s)^[^:]*:', '')")
+    flushed = "CASE WHEN h.open AND size(h.held) > 0 THEN map_concat(map_filter(h.out, (k, v) -> k <> h.key), map(h.key, h.held)) ELSE h.out END"
+    parts = {"{item}": listed("substring(l, 2)"), "{value}": value, "{key}": strip_("substring_index(l, ':', 1)"), "{whole}": listed(value), "{flushed}": f"({flushed})"}
+    out = FIELDS_SQL
+    for name, text in parts.items():
+        out = out.replace(name, text)
+    return out
+
+
 def register(spark: SparkSession) -> None:
     """The expressions most of use in SQL, as functions that Catalyst inlines."""
     for name, argument, returns, expression in (
-        ("wikilinks", "t STRING", "ARRAY<STRING>", r"array_distinct(filter(transform(regexp_extract_all(t, '\\[\\[([^\\]]+)\\]\\]', 1), x -> trim(split(split(x, '[|]', 2)[0], '#', 2)[0])), x -> x <> ''))"),
+        ("wikilinks", "t STRING", "ARRAY<STRING>", r"array_distinct(filter(transform(regexp_extract_all(t, '\\[\\[([^\\]]+)\\]\\]', 1), x -> regexp_replace(split(split(x, '[|]', 2)[0], '#', 2)[0], '(?U)^\\s+|\\s+$', '')), x -> x <> ''))"),
+        ("frontmatter_map", "t STRING", "MAP<STRING, ARRAY<STRING>>", _fields_sql()),
         ("is_valid_tag", "t STRING", "BOOLEAN", r"NOT (t RLIKE '^\\p{Nd}') AND NOT (t RLIKE '^[0-9a-fA-F]{3,8}$')"),
         ("tokenize_ru", "t STRING", "ARRAY<STRING>", "filter(regexp_extract_all(lower(t), '[а-яёa-z0-9]{2,}', 0), w -> NOT array_contains(array(" + ", ".join(f"'{w}'" for w in STOP_WORDS + MORE_STOP_WORDS) + "), w))"),
         ("note_frontmatter", "t STRING", "STRING", "CASE WHEN startswith(t, '---') AND size(split(t, '---', 3)) = 3 THEN split(t, '---', 3)[1] END"),

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -13,17 +15,25 @@ from pyspark.sql import functions as F
 from noteloom.storage import cut
 
 
-def propagate(names: list[str], neighbours: dict[str, set[str]], labels: dict[str, int], max_sweeps: int) -> dict[str, int]:
-    """Sweeps over the names in order, each taking its neighbours' most frequent label, of equal ones the smallest."""
+def propagate(labels: np.ndarray, start: np.ndarray, near: np.ndarray, max_sweeps: int) -> np.ndarray:
+    """Sweeps over the nodes in order, each taking its neighbours' most frequent label, of equal ones the smallest.
+
+    The neighbours of node k are near[start[k] : start[k + 1]], as places of nodes.
+    """
+    edges = start.tolist()
     for _ in range(max_sweeps):
         changed = False
-        for name in names:
-            around = neighbours.get(name)
-            if around:
-                counts = Counter(labels[x] for x in around)
-                best = min(counts, key=lambda k: (-counts[k], k))
-                if best != labels[name]:
-                    labels[name], changed = best, True
+        for k in range(len(labels)):
+            around = labels[near[edges[k] : edges[k + 1]]]
+            if len(around) == 1:
+                best = around[0]
+            elif len(around):
+                held, counts = np.unique(around, return_counts=True)  # in order, so the first of the largest counts is the smallest label
+                best = held[counts.argmax()]
+            else:
+                continue
+            if best != labels[k]:
+                labels[k], changed = best, True
         if not changed:
             break
     return labels
@@ -32,23 +42,27 @@ def propagate(names: list[str], neighbours: dict[str, set[str]], labels: dict[st
 def clusters(nodes: DataFrame, between: DataFrame, found: DataFrame, max_sweeps: int = 20) -> DataFrame:
     """(fname, cluster) by asynchronous label propagation.
 
-    Labels start as the names' ranks. A sweep never leaves a component, so each component is worked on by
-    itself; only components of two notes and more go to Python, and memory follows the largest one.
+    Labels start as the names' ranks, which stand for the names: a component travels as numbers. A sweep is a chain of
+    single decisions and never leaves a component, so each component of two notes and more is worked on by one
+    task, in arrays of 8 bytes for each node and link; a component of a million nodes and ten million links takes under 200 MB.
     """
-    ranked = ranks(nodes)
-    rows = ranked.join(found, "fname")
-    around = between.groupBy(F.col("a").alias("fname")).agg(F.collect_set("b").alias("near"))
-    linked = rows.join(around, "fname")
-
-    def work(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("fname")
-        names = group["fname"].tolist()
-        near = {n: set(x) for n, x in zip(names, group["near"], strict=True)}
-        labels = propagate(names, near, dict(zip(names, group["label"].tolist(), strict=True)), max_sweeps)
-        return pd.DataFrame({"fname": names, "cluster": [labels[n] for n in names]})
-
-    alone = rows.join(around, "fname", "left_anti").select("fname", F.col("label").alias("cluster"))
-    return linked.groupBy("component").applyInPandas(work, "fname string, cluster long").union(alone)
+    ranked = cut(ranks(nodes), "labels")
+    number = lambda side: between.join(ranked.select(F.col("fname").alias(side), F.col("label").alias(f"label_{side}")), side)
+    links = number("a").select("b", "label_a").join(ranked.select(F.col("fname").alias("b"), F.col("label").alias("label_b")), "b").select("label_a", "label_b")
+    around = links.groupBy(F.col("label_a").alias("label")).agg(F.collect_set("label_b").alias("near"))
+    rows = cut(ranked.join(found, "fname").join(around, "label", "left"), "linked")
+
+    def work(group: pa.Table) -> pa.Table:
+        own = group.column("label").to_numpy()
+        order = np.argsort(own)
+        lists = pa.compute.take(group.column("near").combine_chunks(), pa.array(order))
+        own = own[order]
+        start = np.concatenate([[0], np.cumsum(pa.compute.list_value_length(lists).to_numpy(zero_copy_only=False))])
+        near = np.searchsorted(own, pa.compute.list_flatten(lists).to_numpy(zero_copy_only=False))
+        return pa.table({"label": pa.array(own, pa.int64()), "cluster": pa.array(propagate(own.copy(), start, near, max_sweeps), pa.int64())})
+
+    worked = rows.filter("near is not null").select("component", "label", "near").groupBy("component").applyInArrow(work, "label long, cluster long")
+    return rows.select("fname", "label").join(worked, "label", "left").select("fname", F.coalesce("cluster", "label").alias("cluster"))
 
 
 def ranks(nodes: DataFrame) -> DataFrame:

@@ -60,6 +60,21 @@ def set_project(parsed: DataFrame, projects: DataFrame) -> DataFrame:
     return rows.select("fname", "path", serialize(_with(F.col("fields"), "project", F.array("_project")), F.col("body")).alias("content"))
 
 
+def ingest(parsed: DataFrame, suggested: DataFrame) -> DataFrame:
+    """(fname, path, content) of the notes of suggested(fname, new_tags, new_links, project) with all that is suggested added at once."""
+    empty = F.expr("map_from_entries(cast(array() as array<struct<k:string,v:array<string>>>))")
+    rows = parsed.join(suggested.select("fname", "new_tags", "new_links", F.col("project").alias("_project")), "fname")
+    fields = F.coalesce("fields", empty)
+    wrapped = F.transform("new_links", lambda x: F.concat(F.lit("[["), x, F.lit("]]")))
+    tagged = F.when(F.size("new_tags") > 0, _with(fields, "tags", F.array_union(_get(fields, "tags"), F.col("new_tags")))).otherwise(fields)
+    rows = rows.withColumn("_tagged", tagged)
+    linked = F.when(F.size("new_links") > 0, _with(F.col("_tagged"), "links", F.array_union(_get(F.col("_tagged"), "links"), wrapped))).otherwise(F.col("_tagged"))
+    rows = rows.withColumn("_linked", linked)
+    done = F.when(F.col("_project").isNotNull() & (F.size(_get(F.col("_linked"), "project")) == 0), _with(F.col("_linked"), "project", F.array("_project"))).otherwise(F.col("_linked"))
+    changed = (F.size("new_tags") > 0) | (F.size("new_links") > 0) | F.col("_project").isNotNull()
+    return rows.withColumn("_done", done).filter(changed).select("fname", "path", serialize(F.col("_done"), F.col("body")).alias("content"))
+
+
 #: Folders that no edit may touch.
 PROTECTED = ("templates", ".obsidian", ".trash")
 

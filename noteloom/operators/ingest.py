@@ -43,15 +43,16 @@ def tag_suggestions(words: DataFrame, index: DataFrame, assigned: DataFrame, n:
     return _top(scored.join(assigned, ["fname", "tag"], "left_anti"), n, "tag")
 
 
-def link_suggestions(queue: DataFrame, words: DataFrame, tags: DataFrame, links: DataFrame, n: int = 5) -> DataFrame:
+def link_suggestions(queue: DataFrame, words: DataFrame, tags: DataFrame, links: DataFrame, n: int = 5, titles: DataFrame | None = None) -> DataFrame:
     """(fname, rank, candidate, score): notes by common tags plus title keywords, without itself and what it links to.
 
-    tags(fname, tag) of all notes; links(src, dst). Tags that queue notes share with many candidates meet by key.
+    tags(fname, tag) of all notes; links(src, dst); titles(fname) of the notes whose titles count, those of tags if
+    none are given. Tags that queue notes share with many candidates meet by key.
     """
     mine = queue.select("fname").join(tags, "fname")
     other = tags.withColumnRenamed("fname", "candidate")
     common = mine.join(other, "tag").filter("fname != candidate").groupBy("fname", "candidate").agg(F.count_distinct("tag").alias("points"))
-    names = keywords(tags.select("fname").distinct()).withColumnRenamed("fname", "candidate")
+    names = keywords((tags if titles is None else titles).select("fname").distinct()).withColumnRenamed("fname", "candidate")
     hits = words.join(names, "keyword").filter("fname != candidate").groupBy("fname", "candidate").agg(F.count_distinct("keyword").alias("points"))
     scored = common.unionByName(hits).groupBy("fname", "candidate").agg(F.sum("points").alias("score"))
     linked = links.select(F.col("src").alias("fname"), F.col("dst").alias("candidate"))
@@ -65,6 +66,25 @@ def project_suggestions(words: DataFrame, projects: DataFrame) -> DataFrame:
     return _top(scored, 1, "project")
 
 
+def suggestions(queue: DataFrame, notes: DataFrame, parsed: DataFrame, index: DataFrame, tags: DataFrame, projects: DataFrame) -> DataFrame:
+    """(rank, fname, path, new_tags, new_links, project) for each note of the queue: the whole of D5.
+
+    parsed(fname, fields, ...) of the queue's folders; index(tag, description); tags(fname, tag); projects(fname). Notes that
+    have a project get no other; untagged notes are found by their titles.
+    """
+    words = keywords(queue)
+    links = parsed.select(F.col("fname").alias("src"), F.explode(F.array_union("links_fm", "links_body")).alias("dst")).distinct()
+    with_project = parsed.filter(F.size(F.coalesce(F.try_element_at("fields", F.lit("project")), F.expr("cast(array() as array<string>)"))) > 0).select("fname")
+    best = lambda rows, name, out: rows.groupBy("fname").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", name))), lambda x: x[name]).alias(out))
+    own = tags.union(parsed.select("fname", F.explode("tags").alias("tag"))).distinct()
+    found = best(tag_suggestions(words, index, own), "tag", "new_tags")
+    linked = best(link_suggestions(queue, words, tags, links, titles=notes), "candidate", "new_links")
+    project = project_suggestions(words.join(with_project, "fname", "left_anti"), projects).select("fname", "project")
+    none = F.expr("cast(array() as array<string>)")
+    rows = queue.join(found, "fname", "left").join(linked, "fname", "left").join(project, "fname", "left")
+    return rows.select("rank", "fname", "path", F.coalesce("new_tags", none).alias("new_tags"), F.coalesce("new_links", none).alias("new_links"), "project").orderBy("rank")
+
+
 def _top(scored: DataFrame, n: int, name: str) -> DataFrame:
     order = Window.partitionBy("fname").orderBy(F.desc("score"), name)
     return scored.withColumn("rank", F.row_number().over(order).cast("long")).filter(F.col("rank") <= n).select("fname", "rank", name, F.col("score").cast("long").alias("score"))

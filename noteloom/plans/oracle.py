@@ -46,8 +46,9 @@ lp AS (
 lj AS (SELECT *, round(common / (na + nb - common), 4) AS jaccard, list_sort(list_intersect(ta, tb)) AS in_both FROM lp WHERE NOT EXISTS (SELECT 1 FROM e WHERE e.src = lp.a AND e.dst = lp.b)),
 ls AS (SELECT row_number() OVER (ORDER BY common DESC, jaccard DESC, a, b) AS rank, * FROM lj QUALIFY rank <= 50)"""
 
+#: All notes, and those that the report of suggestions takes: the first 1,500 names.
 WEIGHTS = """,
-f AS (SELECT * FROM p ORDER BY fname LIMIT 1500),
+f AS (SELECT * FROM p),
 g AS (
   SELECT fname, regexp_extract_all(lower(concat(text, ' #face #2024x ', CASE WHEN lb IS NULL THEN '' ELSE ' see ' END, CASE WHEN lc IS NULL THEN '' ELSE ' and ' END, CASE WHEN ld IS NULL THEN '' ELSE ' or ' END)), '[а-яёa-z0-9]{2,}') AS w
   FROM f WHERE source_dir <> 'daily notes' AND len(list_filter(tags, lambda v: v <> 'need-processing' AND v <> 'daily-note')) > 0),
@@ -67,6 +68,8 @@ sj AS (SELECT a, b, round(s, 4) AS similarity FROM sp WHERE NOT EXISTS (SELECT 1
 ss AS (SELECT row_number() OVER (ORDER BY similarity DESC, a, b) AS rank, sj.*, na.tags AS ta, nb.tags AS tb FROM sj JOIN nd na ON na.fname = a JOIN nd nb ON nb.fname = b QUALIFY rank <= 50)"""
 )
 
+FIRST = ("f AS (SELECT * FROM p)", "f AS (SELECT * FROM p ORDER BY fname LIMIT 1500)")
+
 QUEUE = """,
 z AS (SELECT row_number() OVER (ORDER BY fname) AS rank, fname, doc_id, concat('atoms/', fname) AS path FROM p WHERE source_dir = 'atoms' AND doc_id % 10 = 0 QUALIFY rank <= 10)"""
 
@@ -122,7 +125,7 @@ ORACLE: dict[str, str] = {
     "link_suggestions": BASE + LINKS + """
         SELECT rank, a, b, common, jaccard, array_to_string(shared, ',') AS shared_neighbors, array_to_string(in_both, ',') AS shared_tags, array_to_string(ta, ',') AS tags_a, array_to_string(tb, ',') AS tags_b FROM ls""",
     "link_pairs_all": BASE + LINKS + " SELECT a, b, common, jaccard FROM lj",
-    "semantic_suggestions": BASE + SEMANTIC + " SELECT rank, a, b, similarity, array_to_string(ta, ',') AS tags_a, array_to_string(tb, ',') AS tags_b FROM ss",
+    "semantic_suggestions": BASE + SEMANTIC.replace(*FIRST) + " SELECT rank, a, b, similarity, array_to_string(ta, ',') AS tags_a, array_to_string(tb, ',') AS tags_b FROM ss",
     "semantic_pairs_all": BASE + SEMANTIC + " SELECT a, b, similarity FROM sj",
     "tfidf_weights": BASE + WEIGHTS + " SELECT fname, term, df, round(w, 4) + 0.0 AS w FROM wt",
     "moc_index": BASE + COMPONENTS + MOC + """,
@@ -133,7 +136,7 @@ ORACLE: dict[str, str] = {
         s AS (SELECT fname, lpad(cast(2023 + doc_id % 3 AS varchar), 4, '0') AS year, lpad(cast(1 + doc_id % 12 AS varchar), 2, '0') AS month FROM p)
         SELECT year, month, count(*) AS n_files, string_agg(fname, ',' ORDER BY fname) AS files FROM s GROUP BY year, month""",
     "needs_processing": BASE + QUEUE + " SELECT rank, fname, path FROM z",
-    "analyze_plan": BASE + LINKS + SEMANTIC + """,
+    "analyze_plan": BASE + LINKS + SEMANTIC.replace(*FIRST) + """,
         v AS (SELECT 0 AS kind, 'graph' AS type, rank AS own, a, b, ta, tb, jaccard AS score FROM ls WHERE jaccard > 0 OR len(in_both) > 0
           UNION ALL SELECT 1, 'semantic', rank, a, b, ta, tb, similarity FROM ss),
         w AS (SELECT * FROM v QUALIFY row_number() OVER (PARTITION BY a, b ORDER BY kind, own) = 1),

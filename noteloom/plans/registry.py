@@ -7,6 +7,7 @@ engines can be held against each other.
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -148,12 +149,16 @@ def semantic_suggestions(spark, sf_dir):
     return rows.select("rank", "a", "b", "similarity", joined("tags_a").alias("tags_a"), joined("tags_b").alias("tags_b"))
 
 
+#: The cap on notes is a setting of the report of suggestions; whole results take all notes.
+ALL_NOTES = replace(CONFIG, max_semantic_notes=None)
+
+
 def semantic_pairs_all(spark, sf_dir):
-    return tfidf.pairs(*_semantic(spark, sf_dir)).select("a", "b", "similarity")
+    return tfidf.pairs(*_semantic(spark, sf_dir, ALL_NOTES)).select("a", "b", "similarity")
 
 
 def tfidf_weights(spark, sf_dir):
-    return tfidf.weights(tfidf.corpus(*_semantic(spark, sf_dir))).select("fname", "term", "df", (F.round("w", 4) + 0.0).alias("w"))
+    return tfidf.weights(tfidf.corpus(*_semantic(spark, sf_dir, ALL_NOTES))).select("fname", "term", "df", (F.round("w", 4) + 0.0).alias("w"))
 
 
 def moc_index(spark, sf_dir):

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from datetime import datetime
 from functools import cached_property
 from pathlib import Path
 
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 
 from noteloom import config as settings
 from noteloom.functions import text as T
-from noteloom.operators import analyze, clusters, components, dates, graph, ingest, lint, moc, research, suggest, tags, tfidf
+from noteloom.operators import analyze, clusters, components, dates, edit, graph, ingest, lint, moc, research, suggest, tags, tfidf
 from noteloom.plans import render
 from noteloom.sources import vault
 from noteloom.storage import cut
@@ -76,20 +77,18 @@ class Vault:
 
     def reindex(self) -> dict[str, int]:
         """Writes all artefacts anew, deletes those of tags and months that are gone, and returns counts."""
-        index = cut(self.tag_index(), "tag-index")
-        written = render.tag_files(index, self.wiki / "tags")
-        gone = render.delete_stale(self.wiki / "tags", written, "*.md")
-        render.tags_index(tags.consolidated(index), self.wiki / "tags-index.md")
+        written = self.tags()
         totals = graph.stats(self.parsed, self.nodes).first()
         render.graph_json(self.clustered, graph.edges(self.parsed), totals, self.wiki / "data" / "links-graph.json")
-        report = clusters.report(self.clusters, self.nodes.select("fname", F.explode("tags").alias("tag")))
+        report = cut(clusters.report(self.clusters, self.nodes.select("fname", F.explode("tags").alias("tag"))), "report").orderBy(F.desc("size"), "cluster")
+        orphans = analyze.orphans(self.nodes)
         render.graph_stats(
-            components.size_classes(self.components).first(), analyze.hubs(self.nodes, self.config.top_n).collect(), [r["fname"] for r in analyze.orphans(self.nodes).collect()],
-            analyze.bridges(self.nodes, self.config.top_n).collect(), report.collect(), self.wiki / "data" / "graph-stats.md", self.config.top_n,
+            components.size_classes(self.components).first(), analyze.hubs(self.nodes, self.config.top_n).collect(), [r["fname"] for r in orphans.limit(self.config.top_n).collect()], orphans.count(),
+            analyze.bridges(self.nodes, self.config.top_n).collect(), report.toLocalIterator(), report.count(), self.wiki / "data" / "graph-stats.md",
         )
         render.moc_index(moc.moc_index(self.clustered, self.config).orderBy("rank").collect(), self.wiki / "moc-index.md")
         months = render.month_files(self.months(), self.wiki / "dates")
-        gone += render.delete_stale(self.wiki / "dates", months, "*/*.md")
+        gone = self.gone + render.delete_stale(self.wiki / "dates", months, "*/*.md")
         return {"tags": len(written), "months": len(months), "deleted": len(gone), "nodes": totals["total_nodes"], "edges": totals["total_edges"]}
 
     def link_suggestions(self) -> DataFrame:
@@ -108,11 +107,52 @@ class Vault:
     def queue(self) -> DataFrame:
         return ingest.needs_processing(self.of(self.config.ingest_dirs), self.config)
 
+    def ingest(self, projects: DataFrame | None = None) -> DataFrame:
+        """What to add to the notes of the queue; ``render.ingest_preview`` shows it and ``apply_ingest`` writes it."""
+        notes = self.of(self.config.ingest_dirs)
+        queue = cut(self.queue(), "queue")
+        parsed = vault.parse(notes.join(queue.select("path"), "path", "left_semi"))
+        if projects is None:
+            projects = vault.list_names(self.spark, self.root, ("projects",)).select("fname")
+        return ingest.suggestions(queue, self.notes.select("fname"), parsed, self.tag_index().select("tag", "description"), self.note_tags, projects)
+
+    def apply_ingest(self, suggested: DataFrame, confirmed: bool = False, at: datetime | None = None) -> list[str]:
+        return self.apply(edit.ingest(vault.parse(self.of(self.config.ingest_dirs)), suggested), "wiki-ingest", confirmed, at)
+
+    def apply_links(self, plan: DataFrame, confirmed: bool = False, at: datetime | None = None) -> list[str]:
+        """Adds a link from a to b for each row of plan(a, b)."""
+        return self.apply(edit.add_links(vault.parse(self.of(self.config.graph_dirs)), plan.select(F.col("a").alias("fname"), F.col("b").alias("target"))), "wiki-analyze", confirmed, at)
+
+    def apply(self, changed: DataFrame, command: str, confirmed: bool = False, at: datetime | None = None) -> list[str]:
+        """Writes the changes of changed(fname, path, content), at most ``max_to_validate``, the log and the tag files; refuses unless confirmed."""
+        planned = cut(edit.plan(changed, self.config.max_to_validate), "edits")
+        written = edit.apply(planned, confirmed)
+        names = [Path(p).name for p in written]
+        render.prepend_log(self.wiki / "log.md", render.log_entry(command, f"{len(names)} notes changed", [f"[[{n}]]" for n in names], at or datetime.now()))
+        for name in ("notes", "note_tags", "parsed", "nodes", "between", "components", "clusters", "clustered"):
+            self.__dict__.pop(name, None)  # what was read before the edits
+        self.tags()
+        return written
+
+    def tags(self) -> list[str]:
+        """Writes the tag files and their index anew and deletes those of tags that are gone; returns the names written."""
+        index = cut(self.tag_index(), "tag-index")
+        written = render.tag_files(index, self.wiki / "tags")
+        self.gone = render.delete_stale(self.wiki / "tags", written, "*.md")
+        render.tags_index(tags.consolidated(index), self.wiki / "tags-index.md")
+        return written
+
     def research(self, topic: str) -> tuple[DataFrame, DataFrame]:
         """(tags, notes) of a topic."""
         found = cut(research.matching_tags(self.tag_index(), topic), "topic-tags")
         return found, research.notes_for(found, self.note_tags)
 
+    def research_document(self, topic: str, findings: dict[str, list[str]] | None = None, folder: str | None = None, at: datetime | None = None) -> Path:
+        """Writes the topic's document to ``folder`` (root/research) and returns its path; findings are the caller's, by section."""
+        found, notes = self.research(topic)
+        names = [r["fname"] for r in notes.orderBy("rank").collect()]  # at most the report's limit
+        return render.research(topic, [r["tag"] for r in found.collect()], names, findings or {}, folder or f"{self.root}/research", at or datetime.now())
+
     def lint(self) -> dict[str, DataFrame]:
         index = cut(self.tag_index(), "tag-index")
         existing = self.prior_descriptions("tags").select(F.regexp_replace("name", "%2F", "/").alias("tag"), "description")

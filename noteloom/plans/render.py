@@ -58,33 +58,45 @@ def tags_index(consolidated: DataFrame, path: str | Path) -> None:
 
 def graph_json(nodes: DataFrame, edges: DataFrame, stats: Row, path: str | Path) -> None:
     """The graph as one JSON object of nodes by name, edges and totals, clusters too once nodes have them (K3, K4)."""
-    out: dict = {"nodes": {}, "edges": [], "stats": stats.asDict()}
-    clusters: dict[str, list[str]] = {}
-    for r in nodes.orderBy("fname").toLocalIterator():
-        out["nodes"][r["fname"]] = {k: r[k] for k in ("tags", "links_out", "links_in", "degree_out", "degree_in", "cluster", "path", "source_dir")}
-        if r["cluster"] != -1:
-            clusters.setdefault(str(r["cluster"]), []).append(r["fname"])
-    out["edges"] = [[r["src"], r["dst"]] for r in edges.orderBy("src", "dst").toLocalIterator()]
-    if clusters:
-        out["clusters"] = clusters
+    text = lambda x: json.dumps(x, ensure_ascii=False)
+    keys = ("tags", "links_out", "links_in", "degree_out", "degree_in", "cluster", "path", "source_dir")
+    members = nodes.filter("cluster <> -1").groupBy("cluster").agg(F.sort_array(F.collect_list("fname")).alias("names")).orderBy("cluster")
+    parts = (
+        ("nodes", "{}", (f"{text(r['fname'])}: {text({k: r[k] for k in keys})}" for r in nodes.orderBy("fname").toLocalIterator())),
+        ("edges", "[]", (text([r["src"], r["dst"]]) for r in edges.orderBy("src", "dst").toLocalIterator())),
+        ("clusters", "{}", (f"{text(str(r['cluster']))}: {text(r['names'])}" for r in members.toLocalIterator())),
+    )
     Path(path).parent.mkdir(parents=True, exist_ok=True)
-    Path(path).write_text(json.dumps(out, ensure_ascii=False, indent=2), encoding="utf-8")
-
-
-def graph_stats(sizes: Row, hubs: list[Row], orphans: list[str], bridges: list[Row], report: list[Row], path: str | Path, top_n: int = 20) -> None:
+    with Path(path).open("w", encoding="utf-8") as out:  # a line for each row, so the driver holds no more than a partition
+        out.write(f'{{"stats": {text(stats.asDict())}')
+        for name, (opening, closing), rows in parts:
+            first = next(rows, None)
+            if first is None and name == "clusters":
+                continue
+            out.write(f',\n"{name}": {opening}')
+            out.write("" if first is None else f"\n{first}")
+            out.writelines(f",\n{row}" for row in rows)
+            out.write(f"\n{closing}")
+        out.write("}\n")
+
+
+def graph_stats(sizes: Row, hubs: list[Row], orphans: list[str], n_orphans: int, bridges: list[Row], report: Iterable[Row], n_clusters: int, path: str | Path) -> None:
+    """orphans: the first ones of n_orphans; report: an iterator over n_clusters rows."""
     lines = [*_head(TEXTS["stats"]), "# Graph Statistics", "", "## Компоненты связности"]
     lines += [f"- Всего компонент: {sizes['components']}", f"- Гигантская компонента: {sizes['giant']} заметок", f"- Мелких компонент (2–5 заметок): {sizes['small']}", f"- Изолированных (размер 1): {sizes['isolated']}", ""]
     lines += [f"## Хабы (top-{len(hubs)})", "", "| # | Заметка | Degree | Out | In | Теги |", "|---|---------|--------|-----|----|------|"]
     lines += [f"| {k} | [[{h['fname']}]] | {h['degree']} | {h['degree_out']} | {h['degree_in']} | {_code(h['tags'][:3])} |" for k, h in enumerate(hubs, 1)]
-    lines += ["", "## Сироты (без связей)", f"Всего: {len(orphans)} заметок", "", *[f"- [[{o}]]" for o in orphans[:top_n]]]
-    lines += [f"- ... и ещё {len(orphans) - top_n}"] if len(orphans) > top_n else []
+    lines += ["", "## Сироты (без связей)", f"Всего: {n_orphans} заметок", "", *[f"- [[{o}]]" for o in orphans]]
+    lines += [f"- ... и ещё {n_orphans - len(orphans)}"] if n_orphans > len(orphans) else []
     lines += ["", "## Мосты (межкластерные заметки)", ""]
     for k, b in enumerate(bridges, 1):
         lines += [f"### {k}. [[{b['name']}]] (degree {b['degree']})", f"- Теги: {_code(b['tags'])}", f"- Теги соседей: {_code(b['neighbor_tags'][:5], '')}", f"- Пересечение: {_code(b['overlap'])}", ""]
-    lines += ["## Кластеры (label propagation)", f"Всего кластеров: {len(report)}", ""]
+    lines += ["## Кластеры (label propagation)", f"Всего кластеров: {n_clusters}", ""]
     for c in report:
         tags = ", ".join(f"`{t['tag']}` ({t['count']})" for t in c["top_tags"]) or "—"
-        lines += [f"### Кластер {c['cluster']} (размер: {c['size']})", f"- Топ-теги: {tags}", f"- Заметки: {_links(c['members'])}", ""]
+        lines += [f"### Кластер {c['cluster']} (размер: {c['size']})", f"- Топ-теги: {tags}", f"- Заметки: {_links(c['members'])}"]
+        lines += [f"  ... и ещё {c['size'] - len(c['members'])}"] if c["size"] > len(c["members"]) else []
+        lines.append("")
     _write(Path(path), lines)
 
 
@@ -168,6 +180,13 @@ def research(topic: str, tags: list[str], notes: list[str], findings: dict[str,
     return path
 
 
+def ingest_preview(rows: Iterable[Row]) -> str:
+    """What would be added to the notes of the queue, a table row for each."""
+    lines = ["| # | Заметка | Теги | Связи | Проект |", "|---|---------|------|-------|--------|"]
+    lines += [f"| {r['rank']} | [[{r['fname']}]] | {_code(r['new_tags'])} | {_links(r['new_links']) or '—'} | {r['project'] or '—'} |" for r in rows]
+    return "\n".join(lines) + "\n"
+
+
 def queue_listing(queue: DataFrame) -> tuple[str, str]:
     """The names, a line each, and the summary line."""
     names = [r["fname"] for r in queue.orderBy("rank").collect()]  # at most the queue's limit

@@ -5,6 +5,7 @@ import os
 import random
 import time
 from collections import Counter
+from datetime import datetime
 from pathlib import Path
 
 import pytest
@@ -14,7 +15,7 @@ from noteloom import config as settings
 from noteloom.operators import analyze, clusters, components, edit, graph, ingest, lint, suggest, tags, tfidf
 from noteloom.plans import render
 from noteloom.plans.reindex import Vault
-from noteloom.sources import vault
+from noteloom.sources import graph_json, vault
 from noteloom.streaming import incremental
 
 NOTES = {
@@ -129,7 +130,7 @@ def test_clusters_differ_from_components(spark):
     labels = {r["fname"]: r["cluster"] for r in clusters.clusters(nodes, between, found).collect()}
     order = sorted(links)
     near = {n: {m for m in links[n] if m in links} | {m for m in links if n in links[m]} for n in links}
-    assert labels == clusters.propagate(order, near, {n: i for i, n in enumerate(order)}, 20)
+    assert labels == swept(order, near, 20)
     assert len({labels[f"a{i}"] for i in range(5)}) == 1 and labels["a0"] != labels["b0"]
 
 
@@ -217,3 +218,106 @@ def test_incremental_index(spark, root, tmp_path):
     os.utime(path)
     incremental.start(spark, root, "atoms", out, check).awaitTermination()
     assert {r["tag"] for r in incremental.current(spark, out).filter(F.col("tag").isin("fresh", "food")).collect()} == {"fresh", "food"}
+
+
+def swept(names, near, sweeps):
+    """Asynchronous label propagation by its definition: a dict of labels, a full count for every node."""
+    label = {n: k for k, n in enumerate(sorted(names))}
+    for _ in range(sweeps):
+        before = dict(label)
+        for n in sorted(names):
+            votes = {}
+            for x in near[n]:
+                votes[label[x]] = votes.get(label[x], 0) + 1
+            if votes:
+                most = max(votes.values())
+                label[n] = min(k for k, v in votes.items() if v == most)
+        if label == before:
+            break
+    return label
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_clusters_of_random_graphs(spark, seed):
+    rng = random.Random(seed)
+    names = [f"n{k:03d}.md" for k in range(90)]
+    links = {n: set() for n in names}
+    for _ in range(60 + 40 * seed):
+        a, b = rng.sample(names, 2)
+        links[a].add(b)
+    links["n000.md"].add("missing.md")
+    near = {n: {b for b in links[n] if b in links} | {a for a in names if n in links[a]} for n in names}
+    _, held = nodes_of(spark, links)
+    between = graph.links_between(held)
+    for sweeps in (1, 2, 20):
+        found = dict(clusters.clusters(held, between, components.components(held, between), sweeps).select("fname", "cluster").collect())
+        assert found == swept(names, near, sweeps)
+
+
+def test_graph_json_round_trip(spark, root):
+    held = Vault(spark, root)
+    held.reindex()
+    nodes, edges = graph_json.read(spark, f"{root}/wiki/data/links-graph.json")
+    columns = ["fname", "tags", "links_out", "links_in", "degree_out", "degree_in", "cluster"]
+    key = lambda r: r["fname"]
+    assert sorted(nodes.select(columns).collect(), key=key) == sorted(held.clustered.select(columns).collect(), key=key)
+    assert set(edges.collect()) == set(graph.edges(held.parsed).select("src", "dst").collect())
+
+
+def test_ingest_and_apply(spark, root):
+    note = Path(root) / "atoms/202501010015 Разобрать.md"
+    note.rename(note.with_name("202501010015 Спорт весной.md"))
+    (Path(root) / "projects").mkdir()
+    (Path(root) / "projects/Спорт 2025.md").write_text("---\ntags: [p]\n---\n", encoding="utf-8")
+    held = Vault(spark, root)
+    suggested = held.ingest()
+    [row] = suggested.collect()
+    assert row["new_links"] == ["202501010002 Спорт.md"] and row["project"] == "Спорт 2025.md" and row["rank"] == 1
+    assert "| 1 | [[202501010015 Спорт весной.md]] |" in render.ingest_preview([row])
+    with pytest.raises(PermissionError):
+        held.apply_ingest(suggested)
+    assert "links:" not in note.with_name("202501010015 Спорт весной.md").read_text(encoding="utf-8")
+    at = datetime(2025, 1, 2, 3, 4)
+    assert len(held.apply_ingest(suggested, confirmed=True, at=at)) == 1
+    text = note.with_name("202501010015 Спорт весной.md").read_text(encoding="utf-8")
+    assert '  - "[[202501010002 Спорт.md]]"' in text and "project: Спорт 2025.md" in text and "  - Need-Processing" in text
+    log = (Path(root) / "wiki/log.md").read_text(encoding="utf-8")
+    assert log.startswith("## 2025-01-02 03:04\n\n**Command:** wiki-ingest") and "- [[202501010015 Спорт весной.md]]" in log
+    again = held.ingest().collect()[0]
+    assert again["new_links"] == [] and again["project"] is None  # linked by now, and it has a project
+    held.apply_links(spark.createDataFrame([("202501010030 Один.md", "202501010003 Бег.md")], "a string, b string"), confirmed=True, at=datetime(2025, 1, 3))
+    log = (Path(root) / "wiki/log.md").read_text(encoding="utf-8")
+    assert log.index("wiki-analyze") < log.index("wiki-ingest")
+    assert ("202501010030 Один.md", "202501010003 Бег.md") in {tuple(r) for r in graph.edges(held.parsed).select("src", "dst").collect()}
+
+
+def test_commands(spark, root, capsys):
+    from noteloom.__main__ import main
+
+    main(["queue", root], spark)
+    assert capsys.readouterr().out.splitlines()[:2] == ["202501010015 Разобрать.md", "1 notes to process"]
+    main(["research", root, "sport"], spark)
+    path = Path(capsys.readouterr().out.strip())
+    assert path.name.endswith(" sport.md") and "- [[202501010002 Спорт.md]]" in path.read_text(encoding="utf-8")
+    main(["lint", root], spark)
+    assert "broken_links: 1" in capsys.readouterr().out
+    with pytest.raises(SystemExit):
+        main(["research", root], spark)
+
+
+def test_reports_say_how_much_is_left_out(spark, tmp_path):
+    rows = [{"cluster": 3, "size": 12, "top_tags": [], "members": [f"m{k}.md" for k in range(10)]}]
+    render.graph_stats({"components": 1, "giant": 12, "small": 0, "isolated": 0}, [], ["o.md"], 5, [], iter(rows), 1, tmp_path / "s.md")
+    text = (tmp_path / "s.md").read_text(encoding="utf-8")
+    assert "  ... и ещё 2\n" in text and "- ... и ещё 4\n" in text and "Всего кластеров: 1" in text
+
+
+def test_frontmatter_map_in_sql(spark):
+    from noteloom.functions import text as T
+
+    T.register(spark)
+    texts = ["tags:\n  - a\n  - '[[b]]'\nlinks: \"[[x]], [[y]]\"\nempty:\nproject: ' P '\nproject: Q", "a: 1\nnot a field\n- lost\nb:\n\n- one\nb:\n- two", "", None, "k:v:w\nlist: [a, b]"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "k int, t string").select("k", T.fields(F.col("t")).alias("x"), F.expr("frontmatter_map(t)").alias("y")).collect()
+    for r in rows:
+        assert (r["x"] or {}) == (r["y"] or {}), r
+    assert rows[0]["x"] == {"tags": ["a", "[[b]]"], "links": ["[[x]]", "[[y]]"], "project": ["Q"]}
