@@ -1,8 +1,9 @@
 """Quality rules by robust multivariate outliers.
 
 Each text gets a vector of transformed statistics. Per language and source the location and scatter
-of the vectors are estimated by minimum covariance determinants: from a robust start, concentration
-steps refit mean and covariance on the half of the rows that lie nearest. A step is two aggregates
+of the vectors are estimated by minimum covariance determinants: from several starts, concentration
+steps refit mean and covariance on the half of the rows that lie nearest, and after TRIED steps the start whose
+covariance has the smallest determinant goes on. A step is two aggregates
 over all rows, of bounded size per group whatever a group's share of the rows is: a histogram of
 distances that gives the radius of the nearest half, then sums and products of the rows within it.
 Rows whose Mahalanobis distance to their group exceeds the cutoff are rejected.
@@ -10,7 +11,8 @@ Rows whose Mahalanobis distance to their group exceeds the cutoff are rejected.
 Groups too small for an estimate of their own take their language's, or all rows' estimate.
 
 Defined results: a null, empty or blank text has no words and fails the base rules; null languages
-and sources are groups of their own; repeated rows count each; an empty table gives no rows.
+and sources are groups of their own; repeated rows count each; very long texts are measured whole; a null doc_id stays
+null; other columns, whatever their names, are not looked at; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -35,7 +37,9 @@ VECTOR = ("f_word_length", "f_symbols", "f_dup_lines", "f_repeats", "f_capitals"
 #: Rows that a group needs for its own estimate, for each dimension of the vector.
 ROWS_PER_DIMENSION = 20
 #: Share of the rows that a concentration step keeps, its rounds, and the bins of a histogram of distances.
-SUPPORT, ROUNDS, BINS_PER_OCTAVE = 0.75, 8, 16
+SUPPORT, ROUNDS, BINS_PER_OCTAVE = 0.5, 10, 16
+#: Steps that every start takes before the smallest determinant decides.
+TRIED = 3
 #: Scatter added to each direction, in the units of the transformed statistics.
 FLOOR = (0.06, 0.03, 0.15, 0.15, 0.05)
 #: The squared distance that a normal vector passes about once in a thousand million (chi-square, 5 degrees), and
@@ -94,7 +98,7 @@ def measure(docs: DataFrame) -> DataFrame:
 
 
 
-FIT = "level string, " + ", ".join([*(f"x{k} double" for k in range(len(VECTOR))), *(f"w{i}_{j} double" for i in range(len(VECTOR)) for j in range(i, len(VECTOR))), "scale double"])
+FIT = "level string, start int, " + ", ".join([*(f"x{k} double" for k in range(len(VECTOR))), *(f"w{i}_{j} double" for i in range(len(VECTOR)) for j in range(i, len(VECTOR))), "scale double", "determinant double"])
 
 
 def _products() -> list[tuple[int, int]]:
@@ -129,12 +133,12 @@ def _refit(share: float, final: bool):
 
     def refit(key: tuple, table: pa.Table) -> pa.Table:
         d = len(VECTOR)
-        held = {c: table.column(c).to_numpy() for c in table.column_names if c != "level"}
+        held = {c: table.column(c).to_numpy() for c in table.column_names if c not in ("level", "start")}
         order = np.argsort(held["bin"], kind="stable")
         running = np.cumsum(held["n"][order])
         if final:  # the fit stays, its distances are scaled to the law's median
             at = order[np.searchsorted(running, running[-1] / 2)]
-            row = {c: held[c][0] for c in held if c[0] in "xw"}
+            row = {c: held[c][0] for c in held if c[0] in "xwd"}
             row["scale"] = MEDIAN / max(MEDIAN, 2.0 ** ((held["bin"][at] + 1) / BINS_PER_OCTAVE))
         else:
             inside = order[: int(np.searchsorted(running, share * running[-1])) + 1]
@@ -144,10 +148,11 @@ def _refit(share: float, final: bool):
             for i, j in _products():
                 scatter[i, j] = scatter[j, i] = held[f"c{i}_{j}"][inside].sum() / n - mean[i] * mean[j]
             # What the nearest part lacks in spread, by the median of its own law, is given back by the final scale.
-            inverse = np.linalg.inv(scatter + np.diag(np.square(FLOOR)))
-            row = {f"x{k}": mean[k] for k in range(d)} | {f"w{i}_{j}": inverse[i, j] for i, j in _products()} | {"scale": 1.0}
+            spread = scatter + np.diag(np.square(FLOOR))
+            inverse = np.linalg.inv(spread)
+            row = {f"x{k}": mean[k] for k in range(d)} | {f"w{i}_{j}": inverse[i, j] for i, j in _products()} | {"scale": 1.0, "determinant": np.linalg.det(spread)}
         names = [x.split()[0] for x in FIT.split(", ")]
-        return pa.table({"level": pa.array([key[0].as_py()], pa.string())} | {c: pa.array([float(row[c])]) for c in names[1:]})
+        return pa.table({"level": pa.array([key[0].as_py()], pa.string()), "start": pa.array([key[1].as_py()], pa.int32())} | {c: pa.array([float(row[c])]) for c in names[2:]})
 
     return refit
 
@@ -156,16 +161,30 @@ def fits(vectors: DataFrame, rounds: int = ROUNDS, support: float = SUPPORT) ->
     """FIT of every level of vectors(level, VECTOR)."""
     sums = [F.count(F.lit(1)).alias("n"), *[F.sum(v).alias(f"m{k}") for k, v in enumerate(VECTOR)], *[F.sum(F.col(VECTOR[i]) * F.col(VECTOR[j])).alias(f"c{i}_{j}") for i, j in _products()]]
     spark = vectors.sparkSession
-    # The start is robust by itself: distances to each coordinate's median in units of its floor.
-    middle = vectors.groupBy("level").agg(*[F.percentile_approx(v, 0.5, 10000).alias(f"x{k}") for k, v in enumerate(VECTOR)])
-    fit = middle.select("level", *[f"x{k}" for k in range(len(VECTOR))], *[F.lit(1.0 / FLOOR[i] ** 2 if i == j else 0.0).alias(f"w{i}_{j}") for i, j in _products()], F.lit(1.0).alias("scale"))
+    # Starts: distances to the coordinates' medians in units of the floor, to the medians in units of the mean distance from
+    # them, and to the means in units of the deviations. Values are rounded, so that a median needs few distinct ones.
+    near = lambda v: F.round(v, 3)
+    middle = vectors.groupBy("level").agg(*[F.percentile(near(v), 0.5).alias(f"m{k}") for k, v in enumerate(VECTOR)], *[F.avg(v).alias(f"a{k}") for k, v in enumerate(VECTOR)], *[F.coalesce(F.stddev_pop(v), F.lit(0.0)).alias(f"s{k}") for k, v in enumerate(VECTOR)])
+    middle = cut(middle, "middles")
+    around = vectors.join(middle, "level").groupBy("level").agg(*[F.avg(F.abs(F.col(v) - F.col(f"m{k}"))).alias(f"d{k}") for k, v in enumerate(VECTOR)])
+    middle = cut(middle.join(around, "level"), "starts")
+    d = range(len(VECTOR))
+    starts = None
+    for number, (place, unit) in enumerate((("m", None), ("m", "d"), ("a", "s"))):
+        width = lambda i: F.lit(FLOOR[i] ** 2) if unit is None else F.col(f"{unit}{i}") ** 2 + FLOOR[i] ** 2  # noqa: B023, E731
+        one = middle.select("level", F.lit(number).alias("start"), *[F.col(f"{place}{k}").alias(f"x{k}") for k in d], *[(1 / width(i) if i == j else F.lit(0.0)).alias(f"w{i}_{j}") for i, j in _products()], F.lit(1.0).alias("scale"), F.lit(0.0).alias("determinant"))
+        starts = one if starts is None else starts.union(one)
+    fit = starts
     ship(spark)
     for step in range(rounds + 1):
         final = step == rounds
         fit = cut(fit, "fits")
+        if step == TRIED:
+            best = fit.groupBy("level").agg(F.min(F.struct("determinant", "start")).alias("x")).select("level", "x.start")
+            fit = fit.join(best, ["level", "start"])
         binned = vectors.join(fit, "level").withColumn("bin", F.floor(F.log2(F.greatest(_distance(), F.lit(1e-3))) * BINS_PER_OCTAVE))
-        by = ["level", "bin", *([c.split()[0] for c in FIT.split(", ")[1:-1]] if final else [])]
-        fit = binned.groupBy(*by).agg(*(sums[:1] if final else sums)).groupBy("level").applyInArrow(_refit(support, final), FIT)
+        by = ["level", "start", "bin", *([c.split()[0] for c in FIT.split(", ")[2:] if not c.startswith("scale")] if final else [])]
+        fit = binned.groupBy(*by).agg(*(sums[:1] if final else sums)).groupBy("level", "start").applyInArrow(_refit(support, final), FIT)
     return cut(fit, "fits")
 
 
