@@ -10,8 +10,9 @@ it returns are places, from which ``read_ranges`` reads the records.
 Records with equal payloads of ``least`` bytes or more are stored once: that with the largest
 page_id is a response, the others are revisits that refer to it.
 
-Defined results: null html is an empty payload, a null url has the key ``-``; repeated page rows
-are written each; characters that would break a header line are percent-encoded; an empty table
+Defined results: null html is an empty payload, a null url has the key ``-``; a page without an id is a response
+that nothing refers to; repeated page rows are written each; a very long page is a record like any other, in a segment of its
+own if it fills one; other columns, whatever their names, are not looked at; characters that would break a header line are percent-encoded; an empty table
 gives empty archives and an empty index.
 """
 
@@ -60,17 +61,17 @@ def _line(text: str) -> str:
     return re.sub(r"[\x00-\x20\x7f]", lambda m: "".join(f"%{b:02X}" for b in m[0].encode()), text)
 
 
-def capture_key(url: str | None, page_id: int) -> str:
-    """A key that sorts by URL key, then page; no two pages share it."""
-    return f"{url_key(url)} {page_id:020d}"
+def capture_key(url: str | None, page_id: int | None) -> str:
+    """A key that sorts by URL key, then page; no two pages share it but those without an id under one URL."""
+    return f"{url_key(url)} {'-' if page_id is None else format(page_id, '020d')}"
 
 
-def record(page_id: int, url: str | None, payload: bytes, digest: bytes, refers_to: int | None, date: str) -> bytes:
+def record(page_id: int | None, url: str | None, payload: bytes, digest: bytes, refers_to: int | None, date: str) -> bytes:
     """One WARC record as a gzip member of its own."""
     sha = base64.b32encode(digest).decode()
     head = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(payload)
     body = head if refers_to is not None else head + payload
-    lines = ["WARC/1.0", f"WARC-Type: {'response' if refers_to is None else 'revisit'}", f"WARC-Record-ID: <urn:page:{page_id}>", f"WARC-Date: {date}"]
+    lines = ["WARC/1.0", f"WARC-Type: {'response' if refers_to is None else 'revisit'}", f"WARC-Record-ID: <urn:page:{'-' if page_id is None else page_id}>", f"WARC-Date: {date}"]
     lines += [f"WARC-Target-URI: {_line(url)}"] if url is not None else []
     lines.append(f"WARC-Payload-Digest: sha1:{sha}")
     if refers_to is not None:
@@ -88,7 +89,8 @@ def parse(member: bytes) -> dict:
     body = rest[: int(fields["Content-Length"])]
     http, _, payload = body.partition(b"\r\n\r\n")
     stated = int(re.search(rb"Content-Length: (\d+)", http)[1])
-    number = lambda name: int(fields[name].removeprefix("<urn:page:").removesuffix(">")) if name in fields else None
+    named = lambda name: fields.get(name, "-").removeprefix("<urn:page:").removesuffix(">")
+    number = lambda name: None if named(name) == "-" else int(named(name))
     response = fields["WARC-Type"] == "response"
     found = hashlib.sha1(payload).hexdigest() if response else base64.b32decode(fields["WARC-Payload-Digest"].removeprefix("sha1:")).hex()
     return {"page_id": number("WARC-Record-ID"), "record_type": fields["WARC-Type"], "url": fields.get("WARC-Target-URI"), "payload_digest": found, "payload_bytes": len(payload) if response else stated, "refers_to": number("WARC-Refers-To"), "payload": payload if response else None}
@@ -133,7 +135,7 @@ def write(pages: DataFrame, least: int = 1000, date: str = "1970-01-01T00:00:00Z
     ship(pages.sparkSession)
     pages = pages.select("page_id", "url", "html")
     known = revisits(pages, least).withColumnRenamed("page_id", "_page_id")
-    rows = pages.filter("page_id is not null").join(known, F.col("page_id") == F.col("_page_id"), "left")
+    rows = pages.join(known, F.col("page_id") == F.col("_page_id"), "left")
     rows = rows.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.col("html").cast("string"), "refers_to")
     stored = cut(rows.mapInArrow(work, WRITTEN), "warc")
     return stored.filter("kind = 'segment'").select("archive", "segment", "data"), stored.filter("kind = 'capture'").select("key", *PLACE)
@@ -234,7 +236,7 @@ def round_trip(pages: DataFrame, least: int = 1000) -> DataFrame:
     """Writes pages, finds every page by its key in the index, and reads its record back: RECORD without the payload."""
     segments, captures = write(pages, least)
     blocks, directory = build_index(captures)
-    keyed = pages.filter("page_id is not null").select(F.col("page_id").cast("long"), F.col("url").cast("string")).distinct().mapInArrow(_page_queries, "query long, low string, high string")
+    keyed = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string")).distinct().mapInArrow(_page_queries, "query long, low string, high string")
     return read_ranges(segments, lookup(blocks, directory, keyed)).drop("payload")
 
 
