@@ -26,7 +26,7 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
-def _release(spark: SparkSession) -> None:
+def release(spark: SparkSession) -> None:
     """Lets the context's cleaner see which shuffles and broadcasts no plan needs any more, so that executors' disks follow the step at hand."""
     gc.collect()
     spark.sparkContext._jvm.System.gc()
@@ -36,5 +36,4 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     """df written as a table of its own to the shared folder and read back, so that lost executors cost nothing."""
     path = f"{shared_dir(df.sparkSession).rstrip('/')}/noteloom-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    _release(df.sparkSession)
     return df.sparkSession.read.schema(df.schema).parquet(path)
