@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from noteloom.llm.words import mix
-from noteloom.storage import cut  # noqa: F401
+from noteloom import storage
 
 #: Bits of a filter over keys, whatever their number, and the cells of a row of a fixed table that travels.
 FILTER_BITS, ROW = 1 << 25, 1 << 13
@@ -21,6 +21,13 @@ FILTER_BITS, ROW = 1 << 25, 1 << 13
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+def cut(df: DataFrame, name: str) -> DataFrame:
+    """df written to the shared folder and read back; the shuffles that made it are released."""
+    held = storage.cut(df, name)
+    storage.release(df.sparkSession)
+    return held
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -17,8 +17,8 @@ least t share a token among the first |x| - ceil(t|x|) + 1 of each.
    judged on the input, not on what is left, so the result depends on no order of work.
 
 Lines that very many documents hold send one entry for each slice of documents; equal sets under one
-token are reduced to their first before any pair is looked at. A group of more than BLOCK sets is cut into
-blocks by size, and every two blocks whose sizes fit meet in a task of their own. Texts move once, and only those
+token are reduced to their first before any pair is looked at. What a token joins to a group of more than BLOCK sets is
+cut into blocks by size, and every two blocks whose sizes fit meet by themselves. Texts move once, and only those
 that may lose a line, by a filter of fixed size over the ids: beyond some ten million such documents
 the filter fills and all texts move, which changes no result.
 
