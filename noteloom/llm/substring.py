@@ -17,7 +17,8 @@ Windows are equal if name and hash (80 bits) are; positions are ordered by doc_i
 
 Defined results: words are runs of characters other than the six ASCII white-space characters; texts
 with fewer words than a window, empty and null texts keep all they have; rows with a null doc_id are
-kept whole and remove nothing; rows that repeat a doc_id do not remove each other's equal places.
+kept whole and remove nothing; rows that repeat a doc_id do not remove each other's equal places; very long texts
+are taken whole; other columns, whatever their names, are not looked at; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -30,6 +31,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from noteloom.llm.common import parts, ship
+from noteloom.llm.words import BASE as STEP
+from noteloom.llm.words import mix, slices
+from noteloom.llm.words import words as words_of
 
 ROUNDS = 6
 #: Bytes of text worked on at once; a longer text is worked on alone.
@@ -37,30 +41,10 @@ SLICE_BYTES = 3_000_000
 #: Windows that a task compares at once.
 AT_ONCE = 400_000
 SEND = "bucket int, doc_id long, start int, stop int, entries binary"
-BASE = np.uint64(0x9E3779B97F4A7C15)
-INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
+BASE, INVERSE = np.uint64(STEP), np.uint64(pow(STEP, -1, 1 << 64))
 U = np.uint64
 
 
-def mix(x: np.ndarray) -> np.ndarray:
-    """A bijection of 64-bit numbers that spreads every bit."""
-    x = (x ^ (x >> U(30))) * U(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> U(27))) * U(0x94D049BB133111EB)
-    return x ^ (x >> U(31))
-
-
-class Namer(dict):
-    """Word to its 64-bit hash; at most ``kept`` words are held."""
-
-    def __missing__(self, word: bytes) -> int:
-        import xxhash
-
-        if len(self) >= 300_000:
-            self.clear()
-        found = self[word] = xxhash.xxh64_intdigest(word, 1)
-        return found
-
-
 def names(words: np.ndarray, doc: np.ndarray, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """What recompression names in words (hashes; doc: ascending number of each word's document).
 
@@ -210,23 +194,6 @@ def _unpack(data: bytes, share: int = 0, shares: int = 1) -> tuple[np.ndarray, n
     return np.repeat(name, many), hashed, np.repeat(docs[which], many), np.repeat(start.astype(np.int64), many) + step
 
 
-def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[int], list[list[bytes]]]]:
-    keys, texts, size = [], [], 0
-    for batch in batches:
-        for key, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-            text = (text.as_py() or "").encode()
-            if key is None or not text:
-                continue
-            keys.append(key)
-            texts.append(text.split())
-            size += len(text)
-            if size >= SLICE_BYTES:
-                yield keys, texts
-                keys, texts, size = [], [], 0
-    if keys:
-        yield keys, texts
-
-
 def _rows(bucket=(), doc=(), start=(), stop=(), entries=None) -> pa.RecordBatch:
     n = len(bucket)
     return pa.RecordBatch.from_arrays([pa.array(bucket, pa.int32()), pa.array(doc, pa.int64()) if len(doc) else pa.nulls(n, pa.int64()), pa.array(start, pa.int32()) if len(start) else pa.nulls(n, pa.int32()), pa.array(stop, pa.int32()) if len(stop) else pa.nulls(n, pa.int32()), pa.array(entries, pa.binary()) if entries else pa.nulls(n, pa.binary())], ["bucket", "doc_id", "start", "stop", "entries"])
@@ -238,17 +205,16 @@ def covered(docs: DataFrame, width: int = 20) -> DataFrame:
     buckets = parts(spark)
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        namer = Namer()
-        for keys, texts in _slices(batches):
-            count = np.array([len(t) for t in texts])
+        for part in slices(batches, size=SLICE_BYTES):
+            found, keys = words_of(part.column(1)), part.column(0).to_numpy()
+            count = found.per_text()
             doc = np.repeat(np.arange(len(keys)), count)
-            words = np.fromiter((namer[w] for t in texts for w in t), np.uint64, int(count.sum()))
-            del texts
-            place, name, hashed = windows(words, doc, width)
+            place, name, hashed = windows(found.hash, doc, width)
+            del found
             if not len(place):
                 continue
             start = place - (np.cumsum(count) - count)[doc[place]]
-            owner = np.array(keys, np.int64)[doc[place]]
+            owner = keys[doc[place]]
             later, first = repeated(name, hashed, owner, start)
             if later.any():
                 d, a, b = stretches(owner[later], start[later], width)
