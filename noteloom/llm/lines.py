@@ -183,12 +183,17 @@ def _said(owner: np.ndarray, place: np.ndarray, root: np.ndarray | None = None)
 
 def _firsts(keys: tuple, owner: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """For rows grouped by equal keys: the row that comes first of each row's group, and which rows are first."""
-    order = np.lexsort((place, owner, *keys))
-    new = np.ones(len(order), bool)
-    new[1:] = np.logical_or.reduce([k[order][1:] != k[order][:-1] for k in keys])
-    head = np.empty(len(order), np.int64)
-    head[order] = order[np.flatnonzero(new)[np.cumsum(new) - 1]] if len(order) else order
-    return head, head == np.arange(len(order))
+    head = np.arange(len(owner))
+    order = np.lexsort(keys)
+    new = np.ones(len(order) + 1, bool)
+    new[1:-1] = np.logical_or.reduce([k[order][1:] != k[order][:-1] for k in keys])
+    order = order[~(new[:-1] & new[1:])]  # rows that are alone are first
+    if len(order):
+        order = order[np.lexsort((place[order], owner[order], *(k[order] for k in keys)))]
+        new = np.ones(len(order), bool)
+        new[1:] = np.logical_or.reduce([k[order][1:] != k[order][:-1] for k in keys])
+        head[order] = order[np.flatnonzero(new)[np.cumsum(new) - 1]]
+    return head, head == np.arange(len(head))
 
 
 def _groups(token, size, position, bits, t: float) -> np.ndarray:
