@@ -38,7 +38,7 @@ ENCODE_CHARS = 2_000_000
 #: A whitespace run of two or more that holds a space; texts with one are encoded in one go.
 SPACE_RUN = re.compile(r" \s|\s ")
 #: Entries of a worker's table from space-led chunks to their ids, after which it starts anew.
-CHUNKS_KEPT = 150_000
+CHUNKS_KEPT = 250_000
 
 
 class ChunkEncoder:
