@@ -46,7 +46,7 @@ def clusters(nodes: DataFrame, between: DataFrame, found: DataFrame, max_sweeps:
     single decisions and never leaves a component, so each component of two notes and more is worked on by one
     task, in arrays of 8 bytes for each node and link; a component of a million nodes and ten million links takes under 200 MB.
     """
-    ranked = cut(ranks(nodes), "labels")
+    ranked = ranks(nodes)
     number = lambda side: between.join(ranked.select(F.col("fname").alias(side), F.col("label").alias(f"label_{side}")), side)
     links = number("a").select("b", "label_a").join(ranked.select(F.col("fname").alias("b"), F.col("label").alias("label_b")), "b").select("label_a", "label_b")
     around = links.groupBy(F.col("label_a").alias("label")).agg(F.collect_set("label_b").alias("near"))
@@ -59,10 +59,11 @@ def clusters(nodes: DataFrame, between: DataFrame, found: DataFrame, max_sweeps:
         own = own[order]
         start = np.concatenate([[0], np.cumsum(pa.compute.list_value_length(lists).to_numpy(zero_copy_only=False))])
         near = np.searchsorted(own, pa.compute.list_flatten(lists).to_numpy(zero_copy_only=False))
-        return pa.table({"label": pa.array(own, pa.int64()), "cluster": pa.array(propagate(own.copy(), start, near, max_sweeps), pa.int64())})
+        names = pa.compute.take(group.column("fname"), pa.array(order))
+        return pa.table({"fname": names, "cluster": pa.array(propagate(own.copy(), start, near, max_sweeps), pa.int64())})
 
-    worked = rows.filter("near is not null").select("component", "label", "near").groupBy("component").applyInArrow(work, "label long, cluster long")
-    return rows.select("fname", "label").join(worked, "label", "left").select("fname", F.coalesce("cluster", "label").alias("cluster"))
+    worked = rows.filter("near is not null").select("component", "fname", "label", "near").groupBy("component").applyInArrow(work, "fname string, cluster long")
+    return worked.union(rows.filter("near is null").select("fname", F.col("label").alias("cluster")))
 
 
 def ranks(nodes: DataFrame) -> DataFrame:
