@@ -15,7 +15,50 @@ def _spans(kind: str, rank: int, pattern: str, group: int, least: int) -> str:
             FROM (SELECT doc_id, regexp_extract_all(t, '{pattern}', 0) AS m, regexp_extract_all(t, '{pattern}', {group}) AS v, regexp_split_to_array(t, '{pattern}') AS s FROM d)))"""
 
 
+def _repair() -> str:
+    """Cheapest edits of conversations, row by row: for each state of the pattern the least (cost, letters) and what is kept."""
+
+    def edit(state: str, cost: str, letter: str, item: str | None, when: str = "true") -> str:
+        kept = f"list_append({state}.r, {item})" if item else f"{state}.r"
+        return f"CASE WHEN {state} IS NOT NULL AND {when} THEN {{'c': {state}.c + {cost}, 'a': {state}.a || '{letter}', 'r': {kept}}} END"
+
+    def least(*held: str) -> str:
+        return f"list_min([{', '.join(held)}])"
+
+    gone = lambda s: edit(s, "4", "D", None)
+    keep = lambda s, c: edit(s, "more", "K", "concat(role, ':', text)", f"stays AND head = '{c}'")
+    other = lambda s, role: edit(s, "3 + more", "R", f"concat('{role}:', text)", "stays")
+    put = lambda s, role: edit(s, "3", "I", f"'{role}:'")
+    return f"""
+        WITH RECURSIVE t AS (SELECT list_transform(range(256), lambda b: list_reduce(range(8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, b)) AS t),
+        w AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, concat(coalesce(conv_id::VARCHAR, ' '), ':', coalesce(turn::VARCHAR, ' ')) AS k FROM conversations),
+        h AS (SELECT w.*, xor(list_reduce(list_transform(range(1, length(k) + 1), lambda i: ascii(substr(k, i::INT, 1))::BIGINT), lambda c, b: xor(c >> 8, t[xor(c & 255, b) + 1]), 4294967295), 4294967295) % 20 AS m FROM w, t),
+        d AS (SELECT conv_id, turn, CASE WHEN m = 4 THEN 'user' ELSE role END AS role, CASE m WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+          unnest(CASE m WHEN 0 THEN [] WHEN 3 THEN [1, 2] ELSE [1] END) AS copy FROM h),
+        o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS i, left(role, 1) AS head FROM d),
+        f AS (SELECT *, CASE WHEN NOT regexp_matches(text, '[^\x20\x09-\x0D]') THEN 'blank' WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 'duplicate'
+            WHEN NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*$') THEN 'truncated' ELSE '' END AS fault,
+          CASE WHEN i > 1 THEN concat(lag(head) OVER (PARTITION BY conv_id ORDER BY i), head) END AS step FROM o),
+        g AS (SELECT *, fault NOT IN ('blank', 'duplicate') AS stays, CASE WHEN fault = 'truncated' THEN 3 ELSE 0 END AS more FROM f),
+        z AS (
+          SELECT DISTINCT conv_id, 0::BIGINT AS i, {{'c': 0, 'a': '', 'r': []::VARCHAR[]}} AS s0, NULL::STRUCT(c INTEGER, a VARCHAR, r VARCHAR[]) AS s1, {{'c': 3, 'a': 'I', 'r': ['user:']}} AS s2, {{'c': 6, 'a': 'II', 'r': ['user:', 'assistant:']}} AS s3 FROM conversations
+          UNION ALL
+          SELECT conv_id, i, n0, n1, m2, {least("n3", put("m2", "assistant"))} FROM (
+            SELECT *, {least("n2", put("n0", "user"), put("n1", "user"), put("n3", "user"))} AS m2 FROM (
+              SELECT g.conv_id, g.i, {gone("s0")} AS n0, {least(gone("s1"), keep("s0", "s"))} AS n1,
+                {least(gone("s2"), *[x(s, c) for s in ("s0", "s1", "s3") for x, c in ((keep, "u"), (other, "user"))])} AS n2,
+                {least(gone("s3"), keep("s2", "a"), other("s2", "assistant"))} AS n3
+              FROM z JOIN g ON g.conv_id IS NOT DISTINCT FROM z.conv_id AND g.i = z.i + 1))),
+        e AS (SELECT conv_id, {least("s0", "s3")} AS s FROM z QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY i DESC) = 1),
+        c AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate, count(*) FILTER (fault = 'truncated') AS truncated,
+          count(*) FILTER (step NOT IN ('su', 'ua', 'au')) AS illegal FROM g GROUP BY conv_id)
+        SELECT e.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+          s.c::BIGINT AS cost, s.a AS audit, sha256(array_to_string(s.r, chr(10))) AS repaired_sha256
+        FROM e LEFT JOIN c ON c.conv_id IS NOT DISTINCT FROM e.conv_id"""
+
+
 ORACLE: dict[str, str] = {
+    "op11_conversations": _repair(),
     "op1_lines": r"""
         WITH l AS (SELECT doc_id, text, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
         p AS (SELECT doc_id, unnest(range(1, len(ls) + 1)) AS i, unnest(ls) AS line FROM l),

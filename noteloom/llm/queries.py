@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from noteloom.llm import gif, lines, mixing, packing, quality, secrets, simhash, substring, toxicity, warc
+from noteloom.llm import dialogs, gif, lines, mixing, packing, quality, secrets, simhash, substring, toxicity, warc
 from noteloom.llm.common import table
 from noteloom.llm.oracle import ORACLE  # noqa: F401
 
@@ -67,6 +67,21 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def damaged(rows: DataFrame) -> DataFrame:
+    """rows(conv_id, turn, role, text) with faults by a hash of conversation and turn; the rows to drop are marked ``dropped``."""
+    blank = lambda name: F.coalesce(F.col(name).cast("string"), F.lit(" "))
+    fault = F.crc32(F.concat(blank("conv_id"), F.lit(":"), blank("turn"))) % 20
+    text = F.when(fault == 1, "").when(fault == 2, F.regexp_replace(blank("text"), "[.!?]", "")).otherwise(blank("text"))
+    held = rows.select("conv_id", "turn", F.when(fault == 4, "user").otherwise(blank("role")).alias("role"), text.alias("text"), (fault == 0).alias("dropped"), F.explode(F.when(fault == 3, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1)))).alias("copy"))
+    return held.drop("copy")
+
+
+def op11_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    reports, edited = dialogs.repair(damaged(table(spark, sf_dir, "conversations")), dropped=F.col("dropped"))
+    digests = dialogs.digests(edited).withColumnRenamed("conv_id", "_conv_id")
+    return reports.join(digests, F.col("conv_id").eqNullSafe(F.col("_conv_id"))).drop("_conv_id")
+
+
 def tokenizer_files() -> dict[str, str]:
     """The public byte-level BPE vocabulary, the same as ranks, and its splitting pattern."""
     import public_tokenizers
@@ -116,5 +131,5 @@ def gif_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_lines, op2_toxicity, op3_secrets, op4_mixing, op5_simhash, op6_substring, op7_quality, op8_packing, op9_gif, op10_warc, secret_base_spans, mixing_targets, quality_counts, packing_invariants, gif_payloads)
+    for f in (op1_lines, op2_toxicity, op3_secrets, op4_mixing, op5_simhash, op6_substring, op7_quality, op8_packing, op9_gif, op10_warc, op11_conversations, secret_base_spans, mixing_targets, quality_counts, packing_invariants, gif_payloads)
 }
