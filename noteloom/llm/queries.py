@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from zlib import crc32
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from noteloom.llm import dialogs, gif, lines, mixing, packing, quality, secrets, simhash, substring, toxicity, warc
+from noteloom.llm import dialogs, gif, lines, mixing, packing, quality, runs, secrets, simhash, substring, toxicity, warc
 from noteloom.llm.common import table
 from noteloom.llm.oracle import ORACLE  # noqa: F401
 
@@ -82,6 +84,28 @@ def op11_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports.join(digests, F.col("conv_id").eqNullSafe(F.col("_conv_id"))).drop("_conv_id")
 
 
+def periodic(doc_id: int | None, words: list[bytes]) -> list[bytes]:
+    """The words, of every tenth document by hash repeated with some period from some place on."""
+    h, n = 1 if doc_id is None else crc32(str(doc_id).encode()), len(words)
+    if h % 10 or not n:
+        return words
+    g = h // 10
+    a = g % n
+    p = 1 + (n - a) // (3 + g % 8)
+    return words[:a] + (words[a : a + p] * (-(-(n - a) // p)))[: n - a]
+
+
+def op13_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = runs.find(table(spark, sf_dir, "documents"), prepare=periodic)
+    line = F.transform("runs", lambda r: F.concat_ws(",", r["start"].cast("string"), r["length"].cast("string"), r["period"].cast("string")))
+    rows = rows.withColumn("best", F.array_max(F.transform("runs", lambda r: F.struct(r["length"].alias("length"), (-r["start"]).alias("start"), (-r["period"]).alias("period")))))
+    length, period = F.col("best.length"), -F.col("best.period")
+    return rows.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), (-F.col("best.start")).alias("start"), length.alias("length"), period.alias("period"), F.floor(1000 * length / period).cast("long").alias("exponent_milli"),
+        F.sha2(F.array_join(F.transform(line, lambda x: F.concat(x, F.lit("\n"))), ""), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
 def tokenizer_files() -> dict[str, str]:
     """The public byte-level BPE vocabulary, the same as ranks, and its splitting pattern."""
     import public_tokenizers
@@ -131,5 +155,5 @@ def gif_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_lines, op2_toxicity, op3_secrets, op4_mixing, op5_simhash, op6_substring, op7_quality, op8_packing, op9_gif, op10_warc, op11_conversations, secret_base_spans, mixing_targets, quality_counts, packing_invariants, gif_payloads)
+    for f in (op1_lines, op2_toxicity, op3_secrets, op4_mixing, op5_simhash, op6_substring, op7_quality, op8_packing, op9_gif, op10_warc, op11_conversations, op13_runs, secret_base_spans, mixing_targets, quality_counts, packing_invariants, gif_payloads)
 }
