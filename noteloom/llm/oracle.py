@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from noteloom.llm import licenses
+
 WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 ASSIGN = r"""(?i)(?:password|passwd|secret|token|api_?key)["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)"""
 
@@ -15,6 +17,24 @@ def _spans(kind: str, rank: int, pattern: str, group: int, least: int) -> str:
             FROM (SELECT doc_id, regexp_extract_all(t, '{pattern}', 0) AS m, regexp_extract_all(t, '{pattern}', {group}) AS v, regexp_split_to_array(t, '{pattern}') AS s FROM d)))"""
 
 
+def _licenses() -> str:
+    """Phrases by their words at each place, and every block held against every template word by word."""
+    phrases = ", ".join(f"([{', '.join(repr(w) for w in phrase.split())}], '{label}')" for phrase, label in licenses.PHRASES)
+    words = ", ".join(f"({k}, '{label}', {len(held)}, {licenses.needed(len(held))}, '{w}')" for k, (label, held) in enumerate(licenses.template_words()) for w in held)
+    return rf"""
+        WITH p(p, label) AS (VALUES {phrases}), v(k, label, n, need, word) AS (VALUES {words}),
+        d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), '{licenses.CAPITALS}', '{licenses.SMALL}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+        x AS (SELECT r, w, unnest(range(len(w))) AS i FROM d),
+        b AS (SELECT r, i, label FROM x, p WHERE w[i + 1] = p[1] AND w[i + 1:i + len(p)] = p),
+        a AS (SELECT r, count(*) AS n_base, min(i) AS first_word, max(i) AS last_word, list_sort(list_distinct(list(label))) AS labels FROM b GROUP BY r),
+        t AS (SELECT r, i, k, label, n, need, word FROM (SELECT r, i, w[i + 1] AS word FROM x) JOIN v USING (word)),
+        m AS (SELECT r, block, label, count(DISTINCT word) / any_value(n) AS c FROM (SELECT *, unnest([i // 32, i // 32 - 1]) AS block FROM t) WHERE block >= 0 GROUP BY r, block, k, label HAVING count(DISTINCT word) >= any_value(need)),
+        s AS (SELECT r, list(label) AS labels, max(c) AS c, count(*) AS n FROM m GROUP BY r)
+        SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_base, 0) AS n_base, first_word::BIGINT AS first_word, last_word::BIGINT AS last_word, coalesce(array_to_string(a.labels, ','), '') AS base_labels,
+          coalesce(array_to_string(list_sort(list_distinct(list_concat(coalesce(a.labels, []), coalesce(s.labels, [])))), ','), '') AS labels, CASE WHEN n_base > 0 THEN 1.0 ELSE coalesce(c, 0.0) END::DOUBLE AS score, coalesce(n, 0) AS n_blocks
+        FROM d LEFT JOIN a USING (r) LEFT JOIN s USING (r)"""
+
+
 def _repair() -> str:
     """Cheapest edits of conversations, row by row: for each state of the pattern the least (cost, letters) and what is kept."""
 
@@ -59,6 +79,7 @@ def _repair() -> str:
 
 ORACLE: dict[str, str] = {
     "op11_conversations": _repair(),
+    "op12_licenses": _licenses(),
     "op1_lines": r"""
         WITH l AS (SELECT doc_id, text, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
         p AS (SELECT doc_id, unnest(range(1, len(ls) + 1)) AS i, unnest(ls) AS line FROM l),

@@ -7,7 +7,7 @@ from zlib import crc32
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from noteloom.llm import dialogs, gif, lines, mixing, packing, quality, runs, secrets, simhash, substring, toxicity, warc
+from noteloom.llm import dialogs, gif, licenses, lines, mixing, packing, quality, runs, secrets, simhash, substring, toxicity, warc
 from noteloom.llm.common import table
 from noteloom.llm.oracle import ORACLE  # noqa: F401
 
@@ -84,6 +84,12 @@ def op11_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports.join(digests, F.col("conv_id").eqNullSafe(F.col("_conv_id"))).drop("_conv_id")
 
 
+def op12_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = licenses.scan(table(spark, sf_dir, "documents"))
+    listed = lambda name: F.array_join(name, ",").alias(name)
+    return rows.select("doc_id", "n_words", "n_base", "first_word", "last_word", listed("base_labels"), listed("labels"), "score", F.size("blocks").cast("long").alias("n_blocks"))
+
+
 def periodic(doc_id: int | None, words: list[bytes]) -> list[bytes]:
     """The words, of every tenth document by hash repeated with some period from some place on."""
     h, n = 1 if doc_id is None else crc32(str(doc_id).encode()), len(words)
@@ -155,5 +161,5 @@ def gif_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_lines, op2_toxicity, op3_secrets, op4_mixing, op5_simhash, op6_substring, op7_quality, op8_packing, op9_gif, op10_warc, op11_conversations, op13_runs, secret_base_spans, mixing_targets, quality_counts, packing_invariants, gif_payloads)
+    for f in (op1_lines, op2_toxicity, op3_secrets, op4_mixing, op5_simhash, op6_substring, op7_quality, op8_packing, op9_gif, op10_warc, op11_conversations, op12_licenses, op13_runs, secret_base_spans, mixing_targets, quality_counts, packing_invariants, gif_payloads)
 }
