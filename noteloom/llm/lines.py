@@ -1,6 +1,6 @@
 """Line dedup: an exact set-similarity join of lines with prefix, positional and length filters.
 
-A line is the set of its words. Its tokens are put in one order for the whole corpus, rarest first: by
+A line is the set of its words, each a hash of 64 bits. Its tokens are put in one order for the whole corpus, rarest first: by
 a sketch of how often each word occurs (CELLS bytes, whatever the corpus), then by hash; the order is
 the same for all lines, which is all that exactness needs. Two sets with a Jaccard similarity of at
 least t share a token among the first |x| - ceil(t|x|) + 1 of each.
@@ -45,11 +45,12 @@ from noteloom.llm.words import mix, slices, words
 
 #: Cells of the sketch of word frequencies (one byte each) and bits of the filter over documents that lose a line, whatever the corpus.
 CELLS, DOC_BITS = 1 << 22, 1 << 24
-#: A token is a word's hash of 40 bits, so that line, rarity and token sort as one number.
-TOKEN_BITS, RARITY_BITS = 40, 5
+#: A token is a word's hash of 64 bits. Lines meet by MEET of its bits, which only adds candidates; sets are compared by all.
 U = np.uint64
-TOKEN = U((1 << TOKEN_BITS) - 1)
-WIDTH = TOKEN_BITS // 8
+MEET = U((1 << 40) - 1)
+WIDTH = 8
+#: Bits of a sorting key: line, rarity, the top of the token, and its place in the slice.
+LINE_BITS, RARITY_BITS, TOP_BITS, PLACE_BITS = 21, 5, 16, 22
 LEAST, SIMILARITY = 1, 0.8
 #: Entries that a task compares at once, and sets of a group that meet in one task.
 AT_ONCE, BLOCK = 300_000, 1024
@@ -59,6 +60,27 @@ NEIGHBOURS = 8192
 WIDE, SKETCHES = 4, 1 << 16
 
 
+def _rarest_first(token: np.ndarray, line: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Tokens and their lines by line, then rarity, then token."""
+    rarity = counts[(token & U(CELLS - 1)).astype(np.int64)]
+    n = len(token)
+    if n >= 1 << PLACE_BITS or (n and line[-1] >= 1 << LINE_BITS):
+        order = np.lexsort((token, rarity, line))
+        return token[order], line[order]
+    key = (line.astype(np.uint64) << U(RARITY_BITS + TOP_BITS + PLACE_BITS)) | (rarity.astype(np.uint64) << U(TOP_BITS + PLACE_BITS))
+    key |= (token >> U(64 - TOP_BITS) << U(PLACE_BITS)) | np.arange(n, dtype=np.uint64)
+    key.sort()
+    token = token[(key & U((1 << PLACE_BITS) - 1)).astype(np.int64)]
+    key >>= U(PLACE_BITS)
+    line = (key >> U(RARITY_BITS + TOP_BITS)).astype(np.int64)
+    # Different tokens whose line, rarity and top are equal are few; they are put in order by themselves.
+    same = np.flatnonzero((key[1:] == key[:-1]) & (token[1:] != token[:-1]))
+    if len(same):
+        at = np.flatnonzero(np.isin(key, key[same]))
+        token[at] = token[at[np.lexsort((token[at], key[at]))]]
+    return token, line
+
+
 class Lines:
     """The judged lines of a slice: owner, place and size, and their tokens, rarest first.
 
@@ -77,18 +99,11 @@ class Lines:
         owner = key[row]
         if asked is not None:
             good &= asked(owner, place)
-        token = found.hash[np.repeat(good, many)] & TOKEN
+        token = found.hash[np.repeat(good, many)]
         owner, place, many = owner[good], place[good], many[good]
         del found
         line = np.repeat(np.arange(len(many)), many)
-        rarity = counts[(token & U(CELLS - 1)).astype(np.int64)]
-        if len(many) < 1 << (64 - TOKEN_BITS - RARITY_BITS):
-            order = (line.astype(np.uint64) << U(TOKEN_BITS + RARITY_BITS)) | (rarity.astype(np.uint64) << U(TOKEN_BITS)) | token
-            order.sort()
-            token, line = order & TOKEN, (order >> U(TOKEN_BITS + RARITY_BITS)).astype(np.int64)
-        else:
-            order = np.lexsort((token, rarity, line))
-            token, line = token[order], line[order]
+        token, line = _rarest_first(token, line, counts)
         new = np.ones(len(token), bool)
         new[1:] = (token[1:] != token[:-1]) | (line[1:] != line[:-1])
         token, line = token[new], line[new]
@@ -102,7 +117,7 @@ class Lines:
         none = np.empty(0, np.uint64)
         once = mix(token)
         self.set, self.other, self.bits = (
-            (np.add.reduceat(once, self.at), np.add.reduceat(mix(once ^ TOKEN), self.at), np.bitwise_xor.reduceat(U(1) << (once >> U(58)), self.at)) if len(size) else (none, none, none)
+            (np.add.reduceat(once, self.at), np.add.reduceat(mix(once ^ MEET), self.at), np.bitwise_xor.reduceat(U(1) << (once >> U(58)), self.at)) if len(size) else (none, none, none)
         )
         self.position = np.arange(len(token)) - np.repeat(self.at, size)
 
@@ -131,7 +146,7 @@ def word_counts(docs: DataFrame) -> np.ndarray:
     return fixed_table(docs, count, np.uint32, CELLS, lambda sums: np.minimum(np.ceil(np.log2(sums.astype(float) + 1)), 31).astype(np.uint8))
 
 
-#: What entries of lines under tokens hold: the token, the sketch, 32 bits of the set's hash, the line, its size and the token's
+#: What entries of lines under tokens hold: the token's MEET bits, the sketch, 32 bits of the set's hash, the line, its size and the token's
 #: position in it. Entries under a line's first token, by which equal sets are settled, also hold both hashes whole.
 ENTRY = (("token", np.uint64), ("bits", np.uint64), ("same", np.uint32), ("owner", np.uint32), ("place", np.uint32), ("size", np.uint32), ("position", np.uint32))
 
@@ -141,7 +156,7 @@ def _pack(lines: Lines, at: np.ndarray) -> bytes:
     line = lines.line[at]
     docs, owner = np.unique(lines.owner[line], return_inverse=True)
     first = line[lines.position[at] == 0]
-    columns = (lines.token[at], lines.bits[line], lines.set[line], owner, lines.place[line], lines.size[line], lines.position[at])
+    columns = (lines.token[at] & MEET, lines.bits[line], lines.set[line], owner, lines.place[line], lines.size[line], lines.position[at])
     data = [docs.astype(np.int64), lines.set[first], lines.other[first], *(c.astype(kind) for c, (_, kind) in zip(columns, ENTRY, strict=True))]
     raw = b"".join(map(planes, data))
     return np.array([len(docs), len(first), len(at), len(raw)], np.uint32).tobytes() + pa.compress(raw, "zstd", asbytes=True)
@@ -274,7 +289,7 @@ def met(docs: DataFrame, counts: np.ndarray, t: float, least: int) -> DataFrame:
                 gone = _said(lines.owner[later], lines.place[later])
                 yield pa.RecordBatch.from_arrays([pa.array(lines.owner[later] % buckets, pa.int32()), *gone.columns, pa.nulls(gone.num_rows, pa.binary())], names)
             pick = np.flatnonzero(first[lines.line] & (lines.position < _prefix(lines.size, t)[lines.line]))
-            bucket = (mix(lines.token[pick]) % U(buckets)).astype(np.int64)
+            bucket = (mix(lines.token[pick] & MEET) % U(buckets)).astype(np.int64)
             by = np.argsort(bucket, kind="stable")
             edges = np.searchsorted(bucket[by], np.arange(buckets + 1))
             used = np.flatnonzero(np.diff(edges))

@@ -7,6 +7,7 @@ import pyarrow as pa
 import pytest
 import xxhash
 
+import corpus_pipeline
 from noteloom.llm import lines, quality, queries, simhash, words
 from noteloom.llm.common import in_filter, key_filter, table
 
@@ -81,7 +82,7 @@ def test_every_similar_pair_shares_a_group(monkeypatch, neighbours, block):
 def test_lines_whose_hashes_share_32_bits_stay(spark):
     """Equal sets are settled by 128 bits: two lines with equal low halves of one hash are no match."""
     seen, pair = {}, None
-    tokens = words.words(pa.array([" ".join(f"a{k} b{k}" for k in range(200_000))])).hash & lines.TOKEN
+    tokens = words.words(pa.array([" ".join(f"a{k} b{k}" for k in range(200_000))])).hash
     sums = words.mix(tokens).reshape(-1, 2).sum(axis=1, dtype=np.uint64) & np.uint64(0xFFFFFFFF)
     for k, low in enumerate(sums.tolist()):
         if low in seen:
@@ -93,6 +94,32 @@ def test_lines_whose_hashes_share_32_bits_stay(spark):
     assert lines.later_matches(rows).count() == 0
 
 
+def test_lines_whose_words_share_40_bits_stay(spark):
+    """Lines meet by 40 bits of a word's hash and are compared by all 64: two words of equal low bits are no match, alone or in a longer line."""
+    one, two = "w4638035", "w5472269"
+    hashes = words.words(pa.array([f"{one} {two}"])).hash
+    assert hashes[0] != hashes[1] and hashes[0] & lines.MEET == hashes[1] & lines.MEET
+    texts = [one, two, f"{one} a b c", f"{two} a b c", f"a b {one}\n{two} b a"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert lines.later_matches(rows).count() == 0
+    staged = {r["doc_id"]: r["text"] for r in corpus_pipeline.line_stage(spark, rows, "").collect()}
+    assert staged == dict(enumerate(texts))
+    again = spark.createDataFrame([*enumerate(texts), (9, f"c b a {two}")], "doc_id long, text string")
+    assert [(r["doc_id"], r["lines"]) for r in lines.later_matches(again).collect()] == [(9, [0])]
+
+
+def test_tokens_are_in_one_order_for_all_lines():
+    rng = np.random.default_rng(4)
+    token = rng.integers(0, 1 << 63, 4000).astype(np.uint64)
+    token[1000:2000] = token[:1000] & np.uint64(0xFFFF000000000000) | rng.integers(0, 1 << 20, 1000).astype(np.uint64)  # equal tops
+    token = rng.choice(token, 60_000)
+    line = np.sort(rng.integers(0, 500, len(token)))
+    counts = rng.integers(0, 3, lines.CELLS).astype(np.uint8)
+    order = np.lexsort((token, counts[(token & np.uint64(lines.CELLS - 1)).astype(np.int64)], line))
+    found = lines._rarest_first(token, line, counts)
+    assert np.array_equal(found[0], token[order]) and np.array_equal(found[1], line[order])
+
+
 def test_whole_line_query_against_brute_force(spark):
     docs = table(spark, "/root/testdata/sf0.001", "documents")
     texts = {r["doc_id"]: r["text"] or "" for r in docs.collect()}
