@@ -84,6 +84,14 @@ def test_pages(spark):
     assert found[1]["payload_bytes"] == found[2]["payload_bytes"] == 2007 and found[1]["payload_digest"] == found[2]["payload_digest"]
     assert found[4]["record_type"] == found[5]["record_type"] == "response" and found[3]["payload_bytes"] == 0
     assert warc.round_trip(pages.limit(0)).count() == 0
+    other = "<p>" + "y" * 3000 + "</p>"
+    held = spark.createDataFrame([(5, "http://a/", big), (5, "http://a/", other), (9, "http://b/", big), (10, "http://long/", "z" * 3_000_000)], "page_id long, url string, html string")
+    found = warc.round_trip(held).collect()
+    assert sorted((r["page_id"], r["payload_bytes"], r["record_type"], r["refers_to"]) for r in found if r["page_id"] == 5) == [(5, 2007, "revisit", 9), (5, 3007, "response", None)]
+    assert {(r["page_id"], r["payload_bytes"], r["record_type"]) for r in found if r["page_id"] > 5} == {(9, 2007, "response"), (10, 3_000_000, "response")}
+    folder, captures = warc.write(held)
+    stored = warc.read_ranges(folder, captures).collect()
+    assert {r["payload"].decode() for r in stored if r["payload"] is not None} == {big, other, "z" * 3_000_000}
 
 
 @pytest.mark.parametrize("number", range(len(corpus_pipeline.STAGES)))

@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import os
 import random
 from collections import Counter
 
@@ -453,12 +454,33 @@ def test_frame_columns_hold_what_is_shown(spark):
 
 def test_index_finds_every_capture(spark):
     pages = spark.createDataFrame([(k, f"http://{'www.' if k % 3 else ''}host{k % 11}.example/{k % 50}", f"page {k % 40} " * 200) for k in range(500)], "page_id long, url string, html string")
-    segments, captures = warc.write(pages)
+    folder, captures = warc.write(pages)
     blocks, directory = warc.build_index(captures, lines=16)
     asked = spark.createDataFrame([(1, "example,host3)", "example,host3)~"), (2, "a", "b"), (3, "", "~")], "query long, low string, high string")
     found = warc.lookup(blocks, directory, asked).collect()
     keys = [r["key"] for r in captures.collect()]
     assert Counter(r["query"] for r in found) == Counter({1: sum("example,host3)" <= k <= "example,host3)~" for k in keys), 3: 500})
-    read = warc.read_ranges(segments, spark.createDataFrame([r for r in found if r["query"] == 1])).collect()
+    read = warc.read_ranges(folder, spark.createDataFrame([r for r in found if r["query"] == 1])).collect()
     assert all(hashlib.sha1(r["payload"]).hexdigest() == r["payload_digest"] for r in read if r["payload"] is not None)
+    assert len(read) == sum(r["query"] == 1 for r in found)
     assert warc.url_key("HTTP://WWW.Example.com:80/a?b#c") == "com,example,www)/a?b"
+
+
+def test_only_the_wanted_ranges_are_read(spark, monkeypatch):
+    """Places of one host in archives of 500 pages: what is read of the files is little more than the records themselves."""
+    rng = random.Random(9)
+    pages = spark.createDataFrame([(k, f"http://host{k % 50}.example/{k}", "".join(rng.choices("abcdefgh ", k=20_000))) for k in range(500)], "page_id long, url string, html string").coalesce(2)
+    folder, captures = warc.write(pages)
+    held = captures.collect()
+    assert {r["archive"] for r in held} == set(os.listdir(folder))
+    sizes = {name: os.path.getsize(f"{folder}/{name}") for name in os.listdir(folder)}
+    assert all(sum(r["length"] for r in held if r["archive"] == name) == size for name, size in sizes.items())
+    wanted = sorted((r["archive"], r["offset"], r["length"]) for r in held if r["key"].startswith("example,host7)"))
+    found = warc.read_ranges(folder, spark.createDataFrame(wanted, "archive string, offset long, length long")).collect()
+    assert sorted(r["page_id"] for r in found) == list(range(7, 500, 50))
+    read = 0
+    for name in sizes:
+        mine = [(o, n) for a, o, n in wanted if a == name]
+        read += sum(end - mine[first][0] for first, _, end in warc.spans([o for o, _ in mine], [n for _, n in mine])) if mine else 0
+    assert sum(n for *_, n in wanted) <= read < 0.1 * sum(sizes.values())
+    assert warc.spans([0, 10, 30, 10**9], [10, 5, 5, 7]) == [(0, 3, 35), (3, 4, 10**9 + 7)]
