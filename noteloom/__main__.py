@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import argparse
+import sys
 
 from pyspark.sql import SparkSession
 
@@ -23,8 +24,9 @@ def main(arguments: list[str] | None = None, spark: SparkSession | None = None)
     if given.command == "reindex":
         print(vault.reindex())
     elif given.command == "queue":
-        names, summary = render.queue_listing(vault.queue())
-        print(names + summary)
+        names, summary = render.queue_listing(vault.queue(), vault.config.max_ingest)
+        print(names, end="")
+        print(summary, file=sys.stderr)
     elif given.command == "ingest":
         suggested = vault.ingest()
         print(render.ingest_preview(suggested.collect()))  # at most the queue's limit

@@ -2,13 +2,29 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from noteloom.config import Config
 from noteloom.functions import text as T
+from noteloom.operators import phrases
+from noteloom.operators.suggest import only_tags
 
-TAG = "need-processing"
+TAG, PROJECT, DAILY = "need-processing", "project", ("daily-note",)
+
+
+def _tagged(notes: DataFrame, config: Config, tag: str) -> tuple[DataFrame, list[str]]:
+    """The notes of the queue's folders whose frontmatter has the tag in any case, and the columns that order them."""
+    has = F.exists(T.ingest_tags(T.frontmatter(F.col("content"))), lambda t: F.lower(t) == tag.lower())
+    place = F.array_position(F.array(*[F.lit(d) for d in config.ingest_dirs]), F.col("source_dir"))
+    folder = F.regexp_replace("path", r"[^/]*$", "")
+    rows = notes.filter(F.col("source_dir").isin(*config.ingest_dirs) & F.coalesce(has, F.lit(False))).select(place.alias("_place"), folder.alias("_folder"), "fname", "path")
+    return rows, ["_place", "_folder", "fname", "path"]
+
+
+def unprocessed(notes: DataFrame, config: Config, tag: str = TAG) -> DataFrame:
+    """(fname, path) of all notes whose frontmatter has the tag; no limit and no order."""
+    return _tagged(notes, config, tag)[0].select("fname", "path")
 
 
 def needs_processing(notes: DataFrame, config: Config, tag: str = TAG, n: int | None = None) -> DataFrame:
@@ -16,11 +32,7 @@ def needs_processing(notes: DataFrame, config: Config, tag: str = TAG, n: int |
 
     The limit is never below one.
     """
-    tagged = F.exists(T.ingest_tags(T.frontmatter(F.col("content"))), lambda t: F.lower(t) == tag.lower())
-    place = F.array_position(F.array(*[F.lit(d) for d in config.ingest_dirs]), F.col("source_dir"))
-    folder = F.regexp_replace("path", r"[^/]*$", "")
-    rows = notes.filter(F.col("source_dir").isin(*config.ingest_dirs) & F.coalesce(tagged, F.lit(False))).select(place.alias("_place"), folder.alias("_folder"), "fname", "path")
-    order = ["_place", "_folder", "fname", "path"]
+    rows, order = _tagged(notes, config, tag)
     limit = config.max_ingest if n is None else n
     return rows.orderBy(*order).limit(max(1, limit)).select(F.row_number().over(Window.orderBy(*order)).cast("long").alias("rank"), "fname", "path")
 
@@ -32,59 +44,71 @@ def keywords(queue: DataFrame) -> DataFrame:
 
 
 def tag_suggestions(words: DataFrame, index: DataFrame, assigned: DataFrame, n: int = 5) -> DataFrame:
-    """(fname, rank, tag, score): tags whose name or description words hold a keyword, without those assigned(fname, tag).
+    """(fname, rank, tag, score): tags by how many of a note's keywords their name or description contains, without those assigned(fname, tag).
 
-    index(tag, description). The join is on whole words: a tag's name, its parts between ``-`` and ``_``, and the words
-    of its description.
+    index(tag, description) holds no excluded tags.
     """
-    parts = F.array_union(F.array(F.lower("tag")), F.array_union(F.split(F.lower("tag"), "[-_]"), F.coalesce(T.title_keywords(F.col("description")), F.expr("cast(array() as array<string>)"))))
-    entries = index.select("tag", F.explode(F.array_distinct(parts)).alias("keyword"))
-    scored = words.join(entries, "keyword").groupBy("fname", "tag").agg(F.count_distinct("keyword").alias("score"))
-    return _top(scored.join(assigned, ["fname", "tag"], "left_anti"), n, "tag")
+    texts = index.select(F.col("tag").alias("key"), F.concat_ws(" ", "tag", "description").alias("text"))
+    found = phrases.containing(words, texts)
+    scored = words.join(found, "keyword").groupBy("fname", F.col("key").alias("tag")).agg(F.count_distinct("keyword").alias("score"))
+    return phrases.best(scored.join(assigned, ["fname", "tag"], "left_anti"), "fname", n, "tag")
+
 
+def only_daily(notes: DataFrame) -> DataFrame:
+    """(fname) of the notes that have tags, and none but those of daily notes; a name of several notes is one if all are."""
+    found = F.transform(F.array_union(T.index_tags(T.frontmatter(F.col("content"))), T.hashtags(T.body(F.col("content")))), lambda t: F.lower(t))
+    return notes.select("fname", only_tags(found, DAILY).alias("daily")).groupBy("fname").agg(F.bool_and("daily").alias("daily")).filter("daily").select("fname")
 
-def link_suggestions(queue: DataFrame, words: DataFrame, tags: DataFrame, links: DataFrame, n: int = 5, titles: DataFrame | None = None) -> DataFrame:
-    """(fname, rank, candidate, score): notes by common tags plus title keywords, without itself and what it links to.
 
-    tags(fname, tag) of all notes; links(src, dst); titles(fname) of the notes whose titles count, those of tags if
-    none are given. Tags that queue notes share with many candidates meet by key.
+def link_suggestions(queue: DataFrame, notes: DataFrame, tags: DataFrame, links: DataFrame, suggested: DataFrame, n: int = 5) -> DataFrame:
+    """(fname, rank, candidate, score) of the notes of queue(fname): candidates by common tags and key phrases of the title.
+
+    A tag counts if the candidate has it and the note has it or is to get it by suggested(fname, tag); a phrase counts if the
+    candidate's title or body holds it. Left out are the note itself, what links(src, dst) says it links to, and notes with
+    only the tag of daily notes. tags(fname, tag) and notes(fname, path, content) are those of all notes.
     """
-    mine = queue.select("fname").join(tags, "fname")
-    other = tags.withColumnRenamed("fname", "candidate")
-    common = mine.join(other, "tag").filter("fname != candidate").groupBy("fname", "candidate").agg(F.count_distinct("tag").alias("points"))
-    names = keywords((tags if titles is None else titles).select("fname").distinct()).withColumnRenamed("fname", "candidate")
-    hits = words.join(names, "keyword").filter("fname != candidate").groupBy("fname", "candidate").agg(F.count_distinct("keyword").alias("points"))
-    scored = common.unionByName(hits).groupBy("fname", "candidate").agg(F.sum("points").alias("score"))
-    linked = links.select(F.col("src").alias("fname"), F.col("dst").alias("candidate"))
-    return _top(scored.join(linked, ["fname", "candidate"], "left_anti"), n, "candidate")
+    asked = queue.select("fname").distinct()
+    mine = asked.join(tags, "fname").select("fname", "tag").union(suggested.select("fname", "tag")).distinct()
+    common = mine.join(tags.select(F.col("fname").alias("candidate"), "tag"), "tag").groupBy("fname", "candidate").agg(F.count_distinct("tag").alias("points"))
+    wanted = phrases.key_phrases(asked)
+    held = phrases.holders(notes, wanted).withColumnRenamed("fname", "candidate")
+    hits = wanted.join(held, "phrase").groupBy("fname", "candidate").agg(F.count(F.lit(1)).alias("points"))
+    scored = common.unionByName(hits).filter("fname != candidate").groupBy("fname", "candidate").agg(F.sum("points").alias("score"))
+    scored = scored.join(links.select(F.col("src").alias("fname"), F.col("dst").alias("candidate")), ["fname", "candidate"], "left_anti")
+    scored = scored.join(only_daily(notes).withColumnRenamed("fname", "candidate"), "candidate", "left_anti")
+    return phrases.best(scored, "fname", n, "candidate")
+
+
+def projects(tags: DataFrame) -> DataFrame:
+    """(fname) of the notes that have the tag of projects."""
+    return tags.filter(F.col("tag") == PROJECT).select("fname").distinct()
 
 
 def project_suggestions(words: DataFrame, projects: DataFrame) -> DataFrame:
     """(fname, rank, project, score): for each note the project whose title shares most keywords with its own."""
     titles = keywords(projects.select("fname")).withColumnRenamed("fname", "project")
     scored = words.join(titles, "keyword").filter("fname != project").groupBy("fname", "project").agg(F.count_distinct("keyword").alias("score"))
-    return _top(scored, 1, "project")
+    return phrases.best(scored, "fname", 1, "project")
 
 
-def suggestions(queue: DataFrame, notes: DataFrame, parsed: DataFrame, index: DataFrame, tags: DataFrame, projects: DataFrame) -> DataFrame:
-    """(rank, fname, path, new_tags, new_links, project) for each note of the queue: the whole of D5.
+def suggestions(queue: DataFrame, notes: DataFrame, parsed: DataFrame, index: DataFrame, tags: DataFrame) -> DataFrame:
+    """(rank, fname, path, tags, new_tags, new_links, project) for each note of the queue: the whole of D5.
 
-    parsed(fname, fields, ...) of the queue's folders; index(tag, description); tags(fname, tag); projects(fname). Notes that
-    have a project get no other; untagged notes are found by their titles.
+    notes(fname, path, content) and tags(fname, tag) of all notes; parsed(fname, fields, ...) of the queue's; index(tag, description). Notes
+    that have a project get no other, and what they have is never taken away.
     """
     words = keywords(queue)
     links = parsed.select(F.col("fname").alias("src"), F.explode(F.array_union("links_fm", "links_body")).alias("dst")).distinct()
-    with_project = parsed.filter(F.size(F.coalesce(F.try_element_at("fields", F.lit("project")), F.expr("cast(array() as array<string>)"))) > 0).select("fname")
+    with_project = parsed.filter(F.size(F.coalesce(F.try_element_at("fields", F.lit("project")), _none())) > 0).select("fname")
     best = lambda rows, name, out: rows.groupBy("fname").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", name))), lambda x: x[name]).alias(out))
-    own = tags.union(parsed.select("fname", F.explode("tags").alias("tag"))).distinct()
-    found = best(tag_suggestions(words, index, own), "tag", "new_tags")
-    linked = best(link_suggestions(queue, words, tags, links, titles=notes), "candidate", "new_links")
-    project = project_suggestions(words.join(with_project, "fname", "left_anti"), projects).select("fname", "project")
-    none = F.expr("cast(array() as array<string>)")
-    rows = queue.join(found, "fname", "left").join(linked, "fname", "left").join(project, "fname", "left")
-    return rows.select("rank", "fname", "path", F.coalesce("new_tags", none).alias("new_tags"), F.coalesce("new_links", none).alias("new_links"), "project").orderBy("rank")
-
-
-def _top(scored: DataFrame, n: int, name: str) -> DataFrame:
-    order = Window.partitionBy("fname").orderBy(F.desc("score"), name)
-    return scored.withColumn("rank", F.row_number().over(order).cast("long")).filter(F.col("rank") <= n).select("fname", "rank", name, F.col("score").cast("long").alias("score"))
+    own = tags.select("fname", "tag").union(parsed.select("fname", F.explode("tags").alias("tag"))).distinct()
+    new_tags = tag_suggestions(words, index, own)
+    linked = link_suggestions(queue, notes, tags, links, new_tags)
+    project = project_suggestions(words.join(with_project, "fname", "left_anti"), projects(tags)).select("fname", "project")
+    current = parsed.groupBy("path").agg(F.first("tags").alias("tags"))
+    rows = queue.join(best(new_tags, "tag", "new_tags"), "fname", "left").join(best(linked, "candidate", "new_links"), "fname", "left").join(project, "fname", "left").join(current, "path", "left")
+    return rows.select("rank", "fname", "path", F.coalesce("tags", _none()).alias("tags"), F.coalesce("new_tags", _none()).alias("new_tags"), F.coalesce("new_links", _none()).alias("new_links"), "project").orderBy("rank")
+
+
+def _none() -> Column:
+    return F.expr("cast(array() as array<string>)")

@@ -73,6 +73,16 @@ FIRST = ("f AS (SELECT * FROM p)", "f AS (SELECT * FROM p ORDER BY fname LIMIT 1
 QUEUE = """,
 z AS (SELECT row_number() OVER (ORDER BY fname) AS rank, fname, doc_id, concat('atoms/', fname) AS path FROM p WHERE source_dir = 'atoms' AND doc_id % 10 = 0 QUALIFY rank <= 10)"""
 
+#: Suggested tags: those whose name or description contains the keyword of a title, at most five.
+SUGGESTED = """,
+sx AS (SELECT z.fname, i.tag, 1 AS score FROM z JOIN i ON contains(concat(tag, ' as n', n_files * 10, ' and n0 n60 n420 n840'), concat('n', z.doc_id)) WHERE NOT EXISTS (SELECT 1 FROM t WHERE t.fname = z.fname AND t.tag = i.tag)),
+st AS (SELECT fname, row_number() OVER (PARTITION BY fname ORDER BY score DESC, tag) AS rank, tag, score::BIGINT AS score FROM sx QUALIFY rank <= 5)"""
+
+#: Title and body of each note as terms with spaces around them.
+HAY = r""",
+h AS (SELECT fname, concat(' ', array_to_string(regexp_extract_all(lower(regexp_replace(regexp_replace(fname, '\.md$', ''), '^\d{12}\s+', '')), '[\p{L}\p{N}_-]+'), ' '), ' | ',
+  array_to_string(regexp_extract_all(lower(concat_ws(chr(10), text, '#face #2024x #hidden', regexp_replace(lb, '\.md$', ' alias'), regexp_replace(lc, '\.md$', ' heading'), regexp_replace(ld, '\.md$', ''))), '[\p{L}\p{N}_-]+'), ' '), ' ') AS hay FROM p)"""
+
 MOC = """,
 m AS (SELECT row_number() OVER (ORDER BY degree_out + degree_in DESC, fname) AS rank, * FROM nd WHERE degree_out + degree_in >= 5 QUALIFY rank <= 50)"""
 
@@ -98,7 +108,7 @@ ORACLE: dict[str, str] = {
     "tag_index_files": BASE + " SELECT tag, string_agg(fname, ',' ORDER BY fname) AS files FROM t GROUP BY tag",
     "tag_search": BASE + " SELECT fname FROM t WHERE tag = 'en'",
     "tags_consolidated": BASE + " SELECT tag, concat('about ', tag) AS description FROM i WHERE regexp_matches(tag, '[13579]$')",
-    "stale_tags": BASE + " SELECT DISTINCT 'need-processing' AS tag FROM p WHERE doc_id % 10 = 0",
+    "stale_tags": BASE + " SELECT DISTINCT lower(unnest(tags)) AS tag FROM p EXCEPT SELECT tag FROM i",
     "graph_edges": BASE + " SELECT src, dst FROM e",
     "graph_nodes_degrees": BASE + " SELECT fname, source_dir, array_to_string(tags, ',') AS tags, degree_out, degree_in, array_to_string(links_in, ',') AS links_in FROM nd",
     "graph_stats": BASE + """
@@ -142,17 +152,23 @@ ORACLE: dict[str, str] = {
         w AS (SELECT * FROM v QUALIFY row_number() OVER (PARTITION BY a, b ORDER BY kind, own) = 1),
         s AS (SELECT row_number() OVER (ORDER BY kind, own) AS rank, * FROM w)
         SELECT rank, type, a, b, score FROM s WHERE rank <= 20""",
-    "ingest_tags": BASE + QUEUE + """,
-        s AS (SELECT z.fname, i.tag, 1 AS score FROM z JOIN i ON i.n_files * 10 = z.doc_id OR z.doc_id IN (0, 60, 420, 840) WHERE NOT EXISTS (SELECT 1 FROM t WHERE t.fname = z.fname AND t.tag = i.tag)),
-        r AS (SELECT fname, row_number() OVER (PARTITION BY fname ORDER BY score DESC, tag) AS rank, tag, score::BIGINT AS score FROM s)
-        SELECT * FROM r WHERE rank <= 5""",
-    "ingest_links": BASE + QUEUE + """,
-        s AS (SELECT z.fname, b.fname AS candidate, count(*) AS score FROM z JOIN t a ON a.fname = z.fname JOIN t b ON b.tag = a.tag AND b.fname <> z.fname
-          WHERE NOT EXISTS (SELECT 1 FROM e WHERE e.src = z.fname AND e.dst = b.fname) GROUP BY z.fname, b.fname),
+    "ingest_tags": BASE + QUEUE + SUGGESTED + " SELECT * FROM st",
+    "ingest_links": BASE + QUEUE + SUGGESTED + HAY + """,
+        g AS (SELECT fname, tag FROM z JOIN t USING (fname) UNION SELECT fname, tag FROM st),
+        v AS (SELECT g.fname, b.fname AS candidate, count(*) AS n FROM g JOIN t b ON b.tag = g.tag GROUP BY g.fname, b.fname
+          UNION ALL SELECT z.fname, h.fname, 1 FROM z JOIN h ON contains(h.hay, concat(' n', z.doc_id, ' '))),
+        s AS (SELECT fname, candidate, sum(n)::BIGINT AS score FROM v WHERE candidate <> fname AND NOT EXISTS (SELECT 1 FROM e WHERE e.src = v.fname AND e.dst = v.candidate) GROUP BY fname, candidate),
         r AS (SELECT fname, row_number() OVER (PARTITION BY fname ORDER BY score DESC, candidate) AS rank, candidate, score FROM s)
         SELECT * FROM r WHERE rank <= 5""",
+    "ingest_phrase_links": BASE + HAY + """
+        SELECT z.fname, concat('n', z.doc_id) AS phrase, h.fname AS candidate FROM p z JOIN h ON contains(h.hay, concat(' n', z.doc_id, ' ')) WHERE z.source_dir = 'atoms' AND z.doc_id % 10 = 0""",
     "ingest_project": BASE + QUEUE + """
         SELECT z.fname, 1::BIGINT AS rank, concat('plan n', o.doc_id, '0.md') AS project, 1::BIGINT AS score FROM z JOIN p o ON o.doc_id * 10 = z.doc_id WHERE o.quality = 1 AND o.doc_id > 0""",
+    "research_topics": BASE + """,
+        w AS (SELECT DISTINCT concat_ws(' ', upper(lang), source, 'quality and rc1') AS topic FROM documents),
+        s AS (SELECT topic, tag, len(list_filter(list_distinct(string_split(lower(topic), ' ')), lambda k: contains(lower(concat(tag, ' about ', tag, ' notes')), k)))::BIGINT AS score FROM w, i),
+        r AS (SELECT topic, row_number() OVER (PARTITION BY topic ORDER BY score DESC, tag) AS rank, tag, score FROM s WHERE score > 0)
+        SELECT * FROM r WHERE rank <= 10""",
     "research_tags": BASE + " SELECT tag, len(list_filter(['en', 'quality', 'src3', 'notes'], lambda v: contains(tag, v)))::BIGINT AS score FROM i WHERE score > 0 ORDER BY score DESC, tag LIMIT 10",
     "research_notes": BASE + """,
         g AS (SELECT tag FROM i WHERE contains(tag, 'en') OR contains(tag, 'quality') OR contains(tag, 'src3') OR contains(tag, 'notes')
@@ -162,11 +178,11 @@ ORACLE: dict[str, str] = {
         SELECT * FROM r WHERE rank <= 50""",
     "lint_broken_links": BASE + " SELECT src, dst FROM e WHERE dst NOT IN (SELECT fname FROM p)",
     "lint_missing_desc": BASE + " SELECT count(*) AS tags, count(CASE WHEN NOT regexp_matches(tag, '[13579]$') THEN 1 END) AS missing FROM i",
-    "lint_index_drift": BASE + " SELECT count(*) AS files, count(CASE WHEN regexp_matches(tag, '[13579]$') THEN 1 END) AS entries, true AS consistent FROM i",
+    "lint_index_drift": BASE + " SELECT count(*) AS files, count(CASE WHEN regexp_matches(tag, '[13579]$') THEN 1 END) AS entries, entries <= files AS consistent FROM i",
     "lint_orphans": BASE + " SELECT count(*) AS orphans FROM nd WHERE degree_in = 0 AND degree_out = 0 AND source_dir <> 'daily notes'",
     "lint_moc": BASE + MOC + ", s AS (SELECT fname, unnest(links_out[1:5]) AS linked FROM m) SELECT fname, linked FROM s WHERE linked NOT IN (SELECT fname FROM p)",
     "lint_malformed": BASE + " SELECT fname, concat('[[', regexp_replace(la, '\\.md$', ''), ']]') AS item FROM p WHERE la IS NOT NULL AND doc_id % 3 = 2",
     "edit_add_link": BASE + f" SELECT fname, {_content('tags', NEW_LINKS)} AS digest FROM p",
     "edit_merge_tags": BASE + f" SELECT fname, {_content("list_concat(tags, CASE WHEN quality = 1 THEN ['new'] ELSE ['new', 'quality'] END)", OWN_LINKS)} AS digest FROM p",
-    "edit_project": BASE + f" SELECT fname, {_content('tags', OWN_LINKS, f"concat('project: P ', source_dir, {NL})")} AS digest FROM p",
+    "edit_project": BASE + f" SELECT fname, {_content('tags', OWN_LINKS, f"concat('project: \"[[P ', source_dir, ']]\"', {NL})")} AS digest FROM p",
 }

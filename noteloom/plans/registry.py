@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from noteloom.config import Config
-from noteloom.operators import analyze, clusters, components, dates, edit, graph, ingest, lint, moc, research, suggest, tags, tfidf
+from noteloom.operators import analyze, clusters, components, dates, edit, graph, ingest, lint, moc, phrases, research, suggest, tags, tfidf
 from noteloom.plans.oracle import ORACLE  # noqa: F401
 from noteloom.sources import overlay, vault
 from noteloom.storage import cut
@@ -187,27 +187,47 @@ def _queue(spark, sf_dir):
     return queue, ingest.keywords(queue)
 
 
-def ingest_tags(spark, sf_dir):
+def _suggested_tags(words, held):
     """The title of a note holds its document number, so a description that names numbers is what keywords can meet."""
-    queue, words = _queue(spark, sf_dir)
-    held = _tags(spark, sf_dir)
     index = tags.tag_counts(held).select("tag", F.concat(F.lit("as n"), (F.col("n_files") * 10).cast("string"), F.lit(" and n0 n60 n420 n840")).alias("description"))
     return ingest.tag_suggestions(words, index, held.select("fname", "tag"))
 
 
+def ingest_tags(spark, sf_dir):
+    _, words = _queue(spark, sf_dir)
+    return _suggested_tags(words, cut(_tags(spark, sf_dir), "note-tags"))
+
+
 def ingest_links(spark, sf_dir):
+    """Candidates by own and suggested tags and by phrases in all bodies."""
     queue, words = _queue(spark, sf_dir)
-    links = graph.edge_list(_graph(spark, sf_dir)[1])
-    return ingest.link_suggestions(queue, words, _tags(spark, sf_dir), links)
+    held, links = cut(_tags(spark, sf_dir), "note-tags"), graph.edge_list(_graph(spark, sf_dir)[1])
+    return ingest.link_suggestions(queue, _notes(spark, sf_dir), held, links, _suggested_tags(words, held))
+
+
+def ingest_phrase_links(spark, sf_dir):
+    """For every unprocessed note, whatever their number, the notes whose title or body holds a key phrase of its title."""
+    notes = _notes(spark, sf_dir)
+    wanted = phrases.key_phrases(ingest.unprocessed(notes, CONFIG).select("fname"))
+    return wanted.join(phrases.holders(notes, wanted).withColumnRenamed("fname", "candidate"), "phrase").select("fname", "phrase", "candidate")
 
 
 def ingest_project(spark, sf_dir):
-    """Projects are notes of src1 under another name that shares a keyword with every tenth note."""
+    """Projects are the notes of the tag quality under another name that shares a keyword with every tenth note."""
     _, words = _queue(spark, sf_dir)
-    projects = _tags(spark, sf_dir).filter("tag = 'quality'").select(F.concat(F.lit("plan "), F.regexp_extract("fname", r"(n\d+)\.md$", 1), F.lit("0.md")).alias("fname"))
+    tagged = _tags(spark, sf_dir).filter("tag = 'quality'").select("fname", F.lit(ingest.PROJECT).alias("tag"))
+    projects = ingest.projects(tagged).select(F.concat(F.lit("plan "), F.regexp_extract("fname", r"(n\d+)\.md$", 1), F.lit("0.md")).alias("fname"))
     return ingest.project_suggestions(words, projects)
 
 
+def research_topics(spark, sf_dir):
+    """The tags of many topics at once: one topic for each pair of language and source."""
+    documents = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    topics = documents.select(F.concat_ws(" ", F.upper("lang"), "source", F.lit("quality and rc1")).alias("topic")).distinct()
+    index = tags.tag_counts(_tags(spark, sf_dir)).select("tag", F.concat(F.lit("about "), "tag", F.lit(" notes")).alias("description"))
+    return research.matching_tags_of(index, topics)
+
+
 def research_notes(spark, sf_dir):
     held = cut(_tags(spark, sf_dir), "note-tags")
     index = tags.tag_counts(held).select("tag", F.lit(None).cast("string").alias("description"))
@@ -274,7 +294,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         tag_index_counts, tag_index_files, tag_search, tags_consolidated, stale_tags, graph_edges, graph_nodes_degrees, graph_stats, orphans, hubs_top20,
         components_, component_size_classes, clusters_lpa, cluster_tag_report, cluster_tag_report_lpa, bridges, link_suggestions, link_pairs_all,
         semantic_suggestions, semantic_pairs_all, tfidf_weights, moc_index, dates_index, needs_processing, analyze_plan, ingest_tags, ingest_links,
-        ingest_project, research_notes, research_tags, lint_broken_links, lint_missing_desc, lint_index_drift, lint_orphans, lint_moc, lint_malformed,
+        ingest_phrase_links, ingest_project, research_notes, research_tags, research_topics, lint_broken_links, lint_missing_desc, lint_index_drift, lint_orphans, lint_moc, lint_malformed,
         edit_add_link, edit_merge_tags, edit_project,
     )
 }

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from datetime import datetime
 from functools import cached_property
 from pathlib import Path
@@ -12,8 +13,9 @@ from pyspark.sql import functions as F
 from noteloom import config as settings
 from noteloom.functions import text as T
 from noteloom.operators import analyze, clusters, components, dates, edit, graph, ingest, lint, moc, research, suggest, tags, tfidf
-from noteloom.plans import render
-from noteloom.sources import vault
+from noteloom.plans import artefacts, render, snapshots
+from noteloom.plans.oplog import OpLog
+from noteloom.sources import markdown, vault
 from noteloom.storage import cut
 
 
@@ -37,14 +39,31 @@ class Vault:
     def note_tags(self) -> DataFrame:
         return cut(tags.note_tags(self.of(self.config.tag_dirs), self.config.excluded_index_tags), "note-tags")
 
+    @cached_property
+    def all_tags(self) -> DataFrame:
+        """(tag, fname) with the excluded tags too."""
+        return tags.note_tags(self.of(self.config.tag_dirs), ())
+
+    @cached_property
+    def log(self) -> OpLog:
+        return OpLog(self.spark, self.wiki)
+
+    def _written(self, folder: str) -> DataFrame:
+        """(fname, path, content) of the artefacts of an earlier run below wiki/folder."""
+        return vault.read_notes(self.spark, str(self.wiki), (folder,)).select("fname", "path", "content")
+
     def prior_descriptions(self, folder: str) -> DataFrame:
         """(name, description) of the artefacts of an earlier run below wiki/folder."""
-        found = vault.read_notes(self.spark, str(self.wiki), (folder,))
-        return found.select(F.regexp_replace("fname", r"\.md$", "").alias("name"), T.description(T.frontmatter(F.col("content"))).alias("description"))
+        return self._written(folder).select(F.regexp_replace("fname", r"\.md$", "").alias("name"), T.description(T.frontmatter(F.col("content"))).alias("description"))
 
-    def tag_index(self) -> DataFrame:
-        prior = self.prior_descriptions("tags").select(F.regexp_replace("name", "%2F", "/").alias("tag"), "description")
-        return tags.tag_index(self.note_tags, prior)
+    def existing_tags(self) -> DataFrame:
+        """(tag, description) of the tag files that are there."""
+        return self.prior_descriptions("tags").select(F.regexp_replace("name", "%2F", "/").alias("tag"), "description")
+
+    def described_tags(self) -> DataFrame:
+        """(tag, description) of every tag of the notes, descriptions carried over from earlier files."""
+        prior = self.existing_tags().select("tag", tags.blank_is_null(F.col("description")).alias("description"))
+        return self.note_tags.select("tag").distinct().join(prior, "tag", "left").select("tag", "description")
 
     @cached_property
     def parsed(self) -> DataFrame:
@@ -71,15 +90,37 @@ class Vault:
         """nodes with their cluster."""
         return cut(self.nodes.drop("cluster").join(self.clusters, "fname", "left").withColumn("cluster", F.coalesce("cluster", F.lit(-1).cast("long"))), "clustered")
 
-    def months(self) -> DataFrame:
-        prior = self.prior_descriptions("dates").filter(F.col("name").rlike(r"^\d{4}-\d{2}$")).select(F.substring("name", 1, 4).alias("year"), F.substring("name", 6, 2).alias("month"), "description")
-        return dates.months(dates.dated(vault.list_names(self.spark, self.root, self.config.date_dirs)), prior)
-
-    def reindex(self) -> dict[str, int]:
-        """Writes all artefacts anew, deletes those of tags and months that are gone, and returns counts."""
-        written = self.tags()
-        totals = graph.stats(self.parsed, self.nodes).first()
-        render.graph_json(self.clustered, graph.edges(self.parsed), totals, self.wiki / "data" / "links-graph.json")
+    def months(self) -> artefacts.Published:
+        """Writes the files of months that differ and deletes those of months that are gone."""
+        prior = self.prior_descriptions("dates").filter(F.col("name").rlike(r"^\d{4}-\d{2}$")).select(F.substring("name", 1, 4).alias("year"), F.substring("name", 6, 2).alias("month"), tags.blank_is_null(F.col("description")).alias("description"))
+        found = cut(dates.dated(vault.list_names(self.spark, self.root, self.config.date_dirs)), "dated")
+        described = found.select("year", "month").distinct().join(prior, ["year", "month"], "left")
+        there = self._written("dates").filter(F.col("path").rlike(r"/dates/[^/]+/[^/]+\.md$")).select("path", "content")
+        return artefacts.publish(artefacts.month_lines(found, described, f"{self.wiki}/dates"), there)
+
+    def tags(self) -> artefacts.Published:
+        """Writes the tag files and their index where they differ and deletes the files of tags that are gone."""
+        described = cut(self.described_tags(), "described-tags")
+        done = artefacts.publish(artefacts.tag_lines(self.note_tags, described, f"{self.wiki}/tags"), self._written("tags").filter(F.col("path").rlike(r"/tags/[^/]+\.md$")).select("path", "content"))
+        index = f"{self.wiki}/tags-index.md"
+        there = self.spark.read.text(index, wholetext=True) if Path(index).exists() else self.spark.createDataFrame([], "value string")
+        artefacts.publish(artefacts.index_lines(described, index), there.select(F.lit(index).alias("path"), F.col("value").alias("content")))
+        return done
+
+    def publish_graph(self, totals: DataFrame) -> str:
+        """A new version of the graph, and its export as JSON; returns the version's name."""
+        edges = graph.edges(self.parsed)
+        version = snapshots.publish(self.wiki, self.clustered, edges, totals)
+        nodes, edges, totals = snapshots.read(self.spark, self.wiki, version)
+        markdown.write(artefacts.graph_lines(nodes, edges, totals, f"{self.wiki}/data/links-graph.json"))
+        return version
+
+    def reindex(self, at: datetime | None = None) -> dict[str, int]:
+        """Brings all artefacts up to date, deletes those of tags and months that are gone, logs it, and returns counts."""
+        tagged = self.tags()
+        held = cut(graph.stats(self.parsed, self.nodes), "totals")
+        self.publish_graph(held)
+        totals = held.first()
         report = cut(clusters.report(self.clusters, self.nodes.select("fname", F.explode("tags").alias("tag"))), "report").orderBy(F.desc("size"), "cluster")
         orphans = analyze.orphans(self.nodes)
         render.graph_stats(
@@ -87,9 +128,10 @@ class Vault:
             analyze.bridges(self.nodes, self.config.top_n).collect(), report.toLocalIterator(), report.count(), self.wiki / "data" / "graph-stats.md",
         )
         render.moc_index(moc.moc_index(self.clustered, self.config).orderBy("rank").collect(), self.wiki / "moc-index.md")
-        months = render.month_files(self.months(), self.wiki / "dates")
-        gone = self.gone + render.delete_stale(self.wiki / "dates", months, "*/*.md")
-        return {"tags": len(written), "months": len(months), "deleted": len(gone), "nodes": totals["total_nodes"], "edges": totals["total_edges"]}
+        dated = self.months()
+        done = {"tags": tagged.files, "months": dated.files, "written": tagged.written + dated.written, "deleted": tagged.deleted + dated.deleted, "nodes": totals["total_nodes"], "edges": totals["total_edges"]}
+        self.log.append("wiki-reindex", f"{done['tags']} tags, {done['months']} months, {done['nodes']} nodes, {done['edges']} edges; {done['written']} files written, {done['deleted']} deleted", at=at)
+        return done
 
     def link_suggestions(self) -> DataFrame:
         return suggest.link_suggestions(self.nodes, self.config)
@@ -97,24 +139,23 @@ class Vault:
     def semantic_suggestions(self) -> DataFrame:
         return tfidf.semantic_suggestions(self.nodes, self.of(self.config.graph_dirs), self.config)
 
-    def analyze(self) -> DataFrame:
+    def analyze(self, at: datetime | None = None) -> DataFrame:
         """Writes both suggestion reports and returns the merged plan; nothing in the notes is changed."""
         links, semantic = cut(self.link_suggestions(), "links"), cut(self.semantic_suggestions(), "semantic")
         render.link_suggestions(links.orderBy("rank").collect(), graph.stats(self.parsed, self.nodes).first(), self.wiki / "data" / "link-suggestions.md")
         render.semantic_suggestions(semantic.orderBy("rank").collect(), self.config.min_similarity, self.wiki / "data" / "semantic-suggestions.md")
-        return suggest.analyze_plan(links, semantic, self.nodes, self.config)
+        plan = cut(suggest.analyze_plan(links, semantic, self.nodes, self.config), "plan")
+        self.log.append("wiki-analyze", f"{links.count()} link suggestions, {semantic.count()} semantic suggestions, {plan.count()} to validate", at=at)
+        return plan
 
     def queue(self) -> DataFrame:
         return ingest.needs_processing(self.of(self.config.ingest_dirs), self.config)
 
-    def ingest(self, projects: DataFrame | None = None) -> DataFrame:
+    def ingest(self) -> DataFrame:
         """What to add to the notes of the queue; ``render.ingest_preview`` shows it and ``apply_ingest`` writes it."""
-        notes = self.of(self.config.ingest_dirs)
         queue = cut(self.queue(), "queue")
-        parsed = vault.parse(notes.join(queue.select("path"), "path", "left_semi"))
-        if projects is None:
-            projects = vault.list_names(self.spark, self.root, ("projects",)).select("fname")
-        return ingest.suggestions(queue, self.notes.select("fname"), parsed, self.tag_index().select("tag", "description"), self.note_tags, projects)
+        parsed = vault.parse(self.of(self.config.ingest_dirs).join(queue.select("path"), "path", "left_semi"))
+        return ingest.suggestions(queue, self.notes, parsed, self.described_tags(), self.note_tags)
 
     def apply_ingest(self, suggested: DataFrame, confirmed: bool = False, at: datetime | None = None) -> list[str]:
         return self.apply(edit.ingest(vault.parse(self.of(self.config.ingest_dirs)), suggested), "wiki-ingest", confirmed, at)
@@ -124,44 +165,46 @@ class Vault:
         return self.apply(edit.add_links(vault.parse(self.of(self.config.graph_dirs)), plan.select(F.col("a").alias("fname"), F.col("b").alias("target"))), "wiki-analyze", confirmed, at)
 
     def apply(self, changed: DataFrame, command: str, confirmed: bool = False, at: datetime | None = None) -> list[str]:
-        """Writes the changes of changed(fname, path, content), at most ``max_to_validate``, the log and the tag files; refuses unless confirmed."""
+        """Writes the changes of changed(fname, path, content, change), at most ``max_to_validate``, the log and the tag files; refuses unless confirmed.
+
+        Returns the paths below the vault of what was written.
+        """
         planned = cut(edit.plan(changed, self.config.max_to_validate), "edits")
-        written = edit.apply(planned, confirmed)
-        names = [Path(p).name for p in written]
-        render.prepend_log(self.wiki / "log.md", render.log_entry(command, f"{len(names)} notes changed", [f"[[{n}]]" for n in names], at or datetime.now()))
-        for name in ("notes", "note_tags", "parsed", "nodes", "between", "components", "clusters", "clustered"):
+        done = edit.apply(planned, confirmed)
+        below = done.select(F.regexp_replace("path", f"^(file:/*(?=/))?{re.escape(self.root)}/", "").alias("path"), "change").orderBy("path")
+        written = [r["path"] for r in below.collect()]  # at most the plan's limit
+        self.log.append(command, f"{len(written)} notes changed", below, at=at)
+        for name in ("notes", "note_tags", "all_tags", "parsed", "nodes", "between", "components", "clusters", "clustered"):
             self.__dict__.pop(name, None)  # what was read before the edits
         self.tags()
         return written
 
-    def tags(self) -> list[str]:
-        """Writes the tag files and their index anew and deletes those of tags that are gone; returns the names written."""
-        index = cut(self.tag_index(), "tag-index")
-        written = render.tag_files(index, self.wiki / "tags")
-        self.gone = render.delete_stale(self.wiki / "tags", written, "*.md")
-        render.tags_index(tags.consolidated(index), self.wiki / "tags-index.md")
-        return written
-
     def research(self, topic: str) -> tuple[DataFrame, DataFrame]:
         """(tags, notes) of a topic."""
-        found = cut(research.matching_tags(self.tag_index(), topic), "topic-tags")
+        found = cut(research.matching_tags(self.described_tags(), topic), "topic-tags")
         return found, research.notes_for(found, self.note_tags)
 
-    def research_document(self, topic: str, findings: dict[str, list[str]] | None = None, folder: str | None = None, at: datetime | None = None) -> Path:
-        """Writes the topic's document to ``folder`` (root/research) and returns its path; findings are the caller's, by section."""
+    def research_document(self, topic: str, findings: dict[str, list[str]] | None = None, at: datetime | None = None) -> Path:
+        """Writes the topic's document to wiki/research and returns its path; findings are the caller's, by section."""
+        at = at or datetime.now()
         found, notes = self.research(topic)
-        names = [r["fname"] for r in notes.orderBy("rank").collect()]  # at most the report's limit
-        return render.research(topic, [r["tag"] for r in found.collect()], names, findings or {}, folder or f"{self.root}/research", at or datetime.now())
-
-    def lint(self) -> dict[str, DataFrame]:
-        index = cut(self.tag_index(), "tag-index")
-        existing = self.prior_descriptions("tags").select(F.regexp_replace("name", "%2F", "/").alias("tag"), "description")
-        return {
-            "stale_tags": lint.stale_tags(existing.select("tag"), index, "tag"),
+        names, used = [r["fname"] for r in notes.orderBy("rank").collect()], [r["tag"] for r in found.collect()]  # at most the report's limits
+        path = render.research(topic, used, names, findings or {}, self.wiki / "research", at)
+        self.log.append("wiki-research", f"{topic}: {len(used)} tags, {len(names)} notes; saved as research/{path.name}", at=at)
+        return path
+
+    def lint(self, at: datetime | None = None) -> dict[str, DataFrame]:
+        existing = cut(self.existing_tags(), "existing-tags")
+        described = existing.select("tag", tags.blank_is_null(F.col("description")).alias("description"))
+        found = {
+            "stale_tags": lint.stale_tags(existing.select("tag"), self.note_tags, "tag"),
             "missing_descriptions": lint.missing_descriptions(existing),
             "broken_links": lint.broken_links(graph.edges(self.parsed), self.notes),
             "orphans": lint.orphan_count(analyze.orphans(self.nodes), self.nodes),
-            "index_drift": lint.index_drift(existing, tags.consolidated(existing.filter("description is not null"))),
+            "index_drift": lint.index_drift(existing, tags.consolidated(described)),
             "broken_moc": lint.broken_moc(moc.moc_index(self.clustered, self.config), self.nodes),
             "malformed_links": lint.malformed_links(self.of(self.config.graph_dirs)),
         }
+        found = {name: cut(rows, f"lint-{name}") for name, rows in found.items()}
+        self.log.append("wiki-lint", "; ".join(f"{name}: {found[name].count()}" for name in ("stale_tags", "broken_links", "broken_moc", "malformed_links")), at=at)
+        return found

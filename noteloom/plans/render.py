@@ -1,18 +1,16 @@
-"""Markdown and JSON artefacts (K1-K13). Results are DataFrames first; these writers only lay out their rows.
+"""Markdown reports of bounded size (K5-K8, K10, K13). Results are DataFrames first; these writers only lay out their rows.
 
-Small results are collected; indexes that grow with the vault are written from an iterator over their rows.
-Files go to folders that the driver can open.
+Artefacts that grow with the vault are written by tasks (``artefacts``). Reports go to folders that the driver can open.
 """
 
 from __future__ import annotations
 
-import json
+import re
 from collections.abc import Iterable
 from datetime import datetime
 from pathlib import Path
 
 from pyspark.sql import DataFrame, Row
-from pyspark.sql import functions as F
 
 #: Fixed texts of the artefacts.
 TEXTS = {
@@ -22,16 +20,18 @@ TEXTS = {
     "moc": "Индекс MOC-хабов (Maps of Content) — заметки-оглавления с высоким количеством связей.",
 }
 
+#: Fixed texts: the sections of a research document, and the columns of the preview of suggestions for the queue.
+SECTIONS = ("Краткий снимок", "Ключевые находки", "Выводы", "Источники")
+PREVIEW = ("#", "Заметка", "Текущие теги", "Предлагаемые теги", "Предлагаемые связи", "Проект")
+
 
 def _write(path: Path, lines: Iterable[str]) -> None:
     path.parent.mkdir(parents=True, exist_ok=True)
     path.write_text("\n".join(lines) + "\n", encoding="utf-8")
 
 
-def _head(description: str | None, always: bool = False) -> list[str]:
-    if description:
-        return ["---", f"description: {description}", "---", ""]
-    return ["---", "description:", "---", ""] if always else []
+def _head(description: str) -> list[str]:
+    return ["---", f"description: {description}", "---", ""]
 
 
 def _code(names: Iterable[str], empty: str = "—") -> str:
@@ -42,44 +42,6 @@ def _links(names: Iterable[str]) -> str:
     return ", ".join(f"[[{n}]]" for n in names)
 
 
-def tag_files(index: DataFrame, folder: str | Path) -> list[str]:
-    """One file for each tag of index(tag, description, files); a ``/`` in a tag is written as ``%2F`` (K1)."""
-    written = []
-    for row in index.toLocalIterator():
-        path = Path(folder) / f"{row['tag'].replace('/', '%2F')}.md"
-        _write(path, [*_head(row["description"]), f"# #{row['tag']}", "", *[f"- [[{f}]]" for f in row["files"]]])
-        written.append(path.name)
-    return written
-
-
-def tags_index(consolidated: DataFrame, path: str | Path) -> None:
-    _write(Path(path), ["# Tags index", "", *[f"- #{r['tag']} — {r['description']}" for r in consolidated.toLocalIterator()]])
-
-
-def graph_json(nodes: DataFrame, edges: DataFrame, stats: Row, path: str | Path) -> None:
-    """The graph as one JSON object of nodes by name, edges and totals, clusters too once nodes have them (K3, K4)."""
-    text = lambda x: json.dumps(x, ensure_ascii=False)
-    keys = ("tags", "links_out", "links_in", "degree_out", "degree_in", "cluster", "path", "source_dir")
-    members = nodes.filter("cluster <> -1").groupBy("cluster").agg(F.sort_array(F.collect_list("fname")).alias("names")).orderBy("cluster")
-    parts = (
-        ("nodes", "{}", (f"{text(r['fname'])}: {text({k: r[k] for k in keys})}" for r in nodes.orderBy("fname").toLocalIterator())),
-        ("edges", "[]", (text([r["src"], r["dst"]]) for r in edges.orderBy("src", "dst").toLocalIterator())),
-        ("clusters", "{}", (f"{text(str(r['cluster']))}: {text(r['names'])}" for r in members.toLocalIterator())),
-    )
-    Path(path).parent.mkdir(parents=True, exist_ok=True)
-    with Path(path).open("w", encoding="utf-8") as out:  # a line for each row, so the driver holds no more than a partition
-        out.write(f'{{"stats": {text(stats.asDict())}')
-        for name, (opening, closing), rows in parts:
-            first = next(rows, None)
-            if first is None and name == "clusters":
-                continue
-            out.write(f',\n"{name}": {opening}')
-            out.write("" if first is None else f"\n{first}")
-            out.writelines(f",\n{row}" for row in rows)
-            out.write(f"\n{closing}")
-        out.write("}\n")
-
-
 def graph_stats(sizes: Row, hubs: list[Row], orphans: list[str], n_orphans: int, bridges: list[Row], report: Iterable[Row], n_clusters: int, path: str | Path) -> None:
     """orphans: the first ones of n_orphans; report: an iterator over n_clusters rows."""
     lines = [*_head(TEXTS["stats"]), "# Graph Statistics", "", "## Компоненты связности"]
@@ -129,65 +91,25 @@ def moc_index(rows: list[Row], path: str | Path) -> None:
     _write(Path(path), lines)
 
 
-def month_files(months: DataFrame, folder: str | Path) -> list[str]:
-    """YYYY/YYYY-MM.md for each row of months(year, month, description, files); the description line is always there (K9)."""
-    written = []
-    for r in months.toLocalIterator():
-        name = f"{r['year']}-{r['month']}"
-        _write(Path(folder) / r["year"] / f"{name}.md", [*_head(r["description"], always=True), f"# {name}", "", *[f"- [[{f}]]" for f in r["files"]]])
-        written.append(f"{r['year']}/{name}.md")
-    return written
-
-
-def delete_stale(folder: str | Path, keep: Iterable[str], pattern: str) -> list[str]:
-    """Deletes the files of earlier runs that this one did not write."""
-    folder, kept, gone = Path(folder), set(keep), []
-    for path in sorted(folder.glob(pattern)):
-        name = path.relative_to(folder).as_posix()
-        if name not in kept:
-            path.unlink()
-            gone.append(name)
-    return gone
-
-
-def log_entry(command: str, summary: str, changes: list[str], at: datetime) -> str:
-    lines = [f"## {at:%Y-%m-%d %H:%M}", "", f"**Command:** {command}", "", summary]
-    if changes:
-        lines += ["", "### Changes", *[f"- {c}" for c in changes]]
-    return "\n".join(lines) + "\n"
-
-
-def prepend_log(path: str | Path, entry: str) -> None:
-    """The newest entry comes first."""
-    path = Path(path)
-    before = path.read_text(encoding="utf-8") if path.exists() else ""
-    path.parent.mkdir(parents=True, exist_ok=True)
-    path.write_text(entry + ("\n" + before if before else ""), encoding="utf-8")
-
-
-def render_log(log: DataFrame) -> str:
-    """The table oplog(ts, command, summary, changes), newest first."""
-    return "\n".join(log_entry(r["command"], r["summary"], r["changes"] or [], r["ts"]) for r in log.orderBy(F.desc("ts")).toLocalIterator())
-
-
 def research(topic: str, tags: list[str], notes: list[str], findings: dict[str, list[str]], folder: str | Path, at: datetime) -> Path:
     """The research document (K13); its prose is the caller's: findings by section title."""
-    path = Path(folder) / f"{at:%Y%m%d%H%M} {topic}.md"
+    path = Path(folder) / f"{at:%Y%m%d%H%M} {re.sub(r'[/\\]', '-', topic)}.md"
     lines = ["---", f'topic: "{topic}"', f'date: "{at:%Y-%m-%d}"', "tags:", *[f"  - {t}" for t in tags], "---", "", f"# {topic}", ""]
-    for title in ("Краткий снимок", "Ключевые находки", "Выводы"):
+    for title in SECTIONS[:-1]:
         lines += [f"## {title}", *findings.get(title, []), ""]
-    _write(path, [*lines, "## Источники", *[f"- [[{n}]]" for n in notes]])
+    _write(path, [*lines, f"## {SECTIONS[-1]}", *[f"- [[{n}]]" for n in notes]])
     return path
 
 
 def ingest_preview(rows: Iterable[Row]) -> str:
-    """What would be added to the notes of the queue, a table row for each."""
-    lines = ["| # | Заметка | Теги | Связи | Проект |", "|---|---------|------|-------|--------|"]
-    lines += [f"| {r['rank']} | [[{r['fname']}]] | {_code(r['new_tags'])} | {_links(r['new_links']) or '—'} | {r['project'] or '—'} |" for r in rows]
+    """What the notes of the queue have and what would be added to them, a table row for each."""
+    plain = lambda names: ", ".join(names) or "—"
+    lines = [f"| {' | '.join(PREVIEW)} |", f"|{'|'.join('---' for _ in PREVIEW)}|"]
+    lines += [f"| {r['rank']} | [[{r['fname']}]] | {plain(r['tags'])} | {plain(r['new_tags'])} | {_links(r['new_links']) or '—'} | {'[[' + r['project'] + ']]' if r['project'] else '—'} |" for r in rows]
     return "\n".join(lines) + "\n"
 
 
-def queue_listing(queue: DataFrame) -> tuple[str, str]:
+def queue_listing(queue: DataFrame, limit: int, tag: str = "need-processing") -> tuple[str, str]:
     """The names, a line each, and the summary line."""
     names = [r["fname"] for r in queue.orderBy("rank").collect()]  # at most the queue's limit
-    return "".join(f"{n}\n" for n in names), f"{len(names)} notes to process"
+    return "".join(f"{n}\n" for n in names), f"Found {len(names)} note(s) with #{tag} in frontmatter (limit {limit})."

@@ -1,7 +1,7 @@
 """Notes from folders of Markdown files (S1, S2, S6, S8) and their parsed form.
 
-Names are taken from the raw path of the binary reader, which does not percent-encode them. Notes
-that are no valid UTF-8 are kept apart by ``broken``.
+Files are read by the ``vault`` format (``markdown``), or by Spark's binary reader where only Spark reaches the path; neither
+percent-encodes names. Notes that are no valid UTF-8 are kept apart by ``broken``.
 """
 
 from __future__ import annotations
@@ -10,57 +10,51 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from noteloom.functions import text as T
+from noteloom.sources import markdown
 
 NOTES = "fname string, path string, source_dir string, content string"
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    jvm = spark.sparkContext._jvm
-    held = jvm.org.apache.hadoop.fs.Path(path)
-    return held.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(held)
+def file_name(path: Column) -> Column:
+    return F.element_at(F.split(path, "/"), -1)
 
 
-def _files(spark: SparkSession, root: str, dirs: tuple[str, ...], recursive: bool) -> DataFrame | None:
-    found = None
-    for name in dirs:
-        path = f"{root.rstrip('/')}/{name}"
-        if not _exists(spark, path):
+def _files(spark: SparkSession, root: str, dirs: tuple[str, ...], content: bool = True, recursive: bool = True) -> DataFrame:
+    """fname, path, source_dir, and with content the text (null where it is no UTF-8) of the .md files of the folders that exist."""
+    root = root.rstrip("/")
+    if markdown.known(root):
+        return markdown.read(spark, root, dirs, content, recursive)
+    jvm, found = spark.sparkContext._jvm, None
+    for name in dirs:  # a scheme that only Spark reaches
+        place = jvm.org.apache.hadoop.fs.Path(f"{root}/{name}")
+        if not place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(place):
             continue
-        reader = spark.read.format("binaryFile").option("pathGlobFilter", "*.md")
-        if recursive:
-            reader = reader.option("recursiveFileLookup", "true")
-        files = reader.load(path).withColumn("source_dir", F.lit(name))
+        reader = spark.read.format("binaryFile").option("pathGlobFilter", "*.md").option("recursiveFileLookup", str(recursive).lower())
+        files = reader.load(f"{root}/{name}").withColumn("source_dir", F.lit(name))
         found = files if found is None else found.unionByName(files)
-    return found
-
-
-def file_name(path: Column) -> Column:
-    return F.element_at(F.split(path, "/"), -1)
+    if found is None:
+        return spark.createDataFrame([], markdown.ROWS if content else markdown.NAMES)
+    rows = found.withColumn("fname", file_name(F.col("path")))
+    if not content:
+        return rows.select("fname", "path", "source_dir")
+    text = F.try_validate_utf8(F.col("content").cast("string"))
+    return rows.select("fname", "path", "source_dir", text.alias("content"), text.isNull().alias("broken"))
 
 
 def read_notes(spark: SparkSession, root: str, dirs: tuple[str, ...]) -> DataFrame:
     """NOTES of all .md files below the folders that exist."""
-    files = _files(spark, root, dirs, recursive=True)
-    if files is None:
-        return spark.createDataFrame([], NOTES)
-    content = T.normal_newlines(F.try_validate_utf8(F.col("content").cast("string")))
-    return files.select(file_name(F.col("path")).alias("fname"), "path", "source_dir", content.alias("content")).filter("content is not null")
+    rows = _files(spark, root, dirs).filter("not broken")
+    return rows.select("fname", "path", "source_dir", T.normal_newlines(F.col("content")).alias("content"))
 
 
 def broken(spark: SparkSession, root: str, dirs: tuple[str, ...]) -> DataFrame:
     """(fname, path) of notes that are no valid UTF-8."""
-    files = _files(spark, root, dirs, recursive=True)
-    if files is None:
-        return spark.createDataFrame([], "fname string, path string")
-    return files.filter(F.try_validate_utf8(F.col("content").cast("string")).isNull()).select(file_name(F.col("path")).alias("fname"), "path")
+    return _files(spark, root, dirs).filter("broken").select("fname", "path")
 
 
 def list_names(spark: SparkSession, root: str, dirs: tuple[str, ...]) -> DataFrame:
-    """(fname, source_dir) of .md files directly in the folders (S2); contents are not read."""
-    files = _files(spark, root, dirs, recursive=False)
-    if files is None:
-        return spark.createDataFrame([], "fname string, source_dir string")
-    return files.select(file_name(F.col("path")).alias("fname"), "source_dir")
+    """(fname, source_dir) of .md files directly in the folders (S2); no file is opened."""
+    return _files(spark, root, dirs, content=False, recursive=False).select("fname", "source_dir")
 
 
 def parse(notes: DataFrame) -> DataFrame:

@@ -7,6 +7,8 @@ import gc
 import shutil
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -26,6 +28,23 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Gives the executors' Python workers this package, once for each application; local sessions have it."""
+    context = spark.sparkContext
+    if context.applicationId in _shipped or (context.master.startswith("local") and not context.master.startswith("local-cluster")):
+        return
+    root = Path(__file__).resolve().parent
+    held = Path(tempfile.mkdtemp(prefix="noteloom-core-")) / "noteloom_core.zip"
+    with zipfile.ZipFile(held, "w", zipfile.ZIP_DEFLATED) as archive:
+        for path in sorted(root.rglob("*.py")):
+            archive.write(path, path.relative_to(root.parent))
+    context.addPyFile(str(held))
+    _shipped.add(context.applicationId)
+
+
 def release(spark: SparkSession) -> None:
     """Lets the context's cleaner see which shuffles and broadcasts no plan needs any more, so that executors' disks follow the step at hand."""
     gc.collect()

@@ -61,13 +61,13 @@ def test_reindex(spark, root):
     assert (wiki / "dates/2025/2025-01.md").read_text(encoding="utf-8").startswith("---\ndescription:\n---\n\n# 2025-01\n\n- [[2025-01-01.md]]")
     assert not (wiki / "dates/2025/2025-02.md").exists()  # folders below are not searched for dates
     again = Vault(spark, root).reindex()
-    assert again == {**done, "deleted": 0}
+    assert again == {**done, "written": 0, "deleted": 0} and done["written"] == done["tags"] + done["months"]
 
 
 def test_analyze_queue_research_lint(spark, root):
     held = Vault(spark, root)
     assert [r["fname"] for r in held.queue().collect()] == ["202501010015 Разобрать.md"]
-    assert render.queue_listing(held.queue())[0] == "202501010015 Разобрать.md\n"
+    assert render.queue_listing(held.queue(), 10) == ("202501010015 Разобрать.md\n", "Found 1 note(s) with #need-processing in frontmatter (limit 10).")
     plan = held.analyze().collect()
     assert all(r["rank"] <= 20 for r in plan)
     assert "# Link Suggestions (Graph)" in (Path(root) / "wiki/data/link-suggestions.md").read_text(encoding="utf-8")
@@ -81,7 +81,8 @@ def test_analyze_queue_research_lint(spark, root):
 
 def test_empty_vault(spark, tmp_path):
     held = Vault(spark, str(tmp_path))
-    assert held.reindex() == {"tags": 0, "months": 0, "deleted": 0, "nodes": 0, "edges": 0}
+    assert held.reindex() == {"tags": 0, "months": 0, "written": 0, "deleted": 0, "nodes": 0, "edges": 0}
+    assert json.loads((tmp_path / "wiki/data/links-graph.json").read_text(encoding="utf-8"))["nodes"] == {}
     assert held.analyze().count() == 0 and held.queue().count() == 0
 
 
@@ -185,13 +186,14 @@ def test_malformed_and_edits(spark):
     assert [r["item"] for r in lint.malformed_links(notes).collect()] == ["[[x]]", '[["z"]]']
     parsed = vault.parse(notes)
     added = edit.add_links(parsed, spark.createDataFrame([("n.md", "x"), ("n.md", "new"), ("m.md", "new")], "fname string, target string"))
+    assert {r["fname"]: r["change"] for r in added.collect()} == {"n.md": "added links: [[new]]", "m.md": "added links: [[new]]"}
     by_name = {r["fname"]: r["content"] for r in added.collect()}
     assert by_name["n.md"].count('  - "[[x]]"') == 1 and '  - "[[new]]"' in by_name["n.md"] and by_name["n.md"].endswith("---\n\nbody")
     assert by_name["m.md"] == '---\nlinks:\n  - "[[new]]"\n---\n\nno front'
     assert [r["fname"] for r in edit.plan(added, 10).collect()] == ["n.md"]
     with pytest.raises(PermissionError):
         edit.apply(edit.plan(added, 10))
-    assert edit.set_project(parsed, spark.createDataFrame([("n.md", "P")], "fname string, project string")).first()["content"].count("project: P") == 1
+    assert edit.set_project(parsed, spark.createDataFrame([("n.md", "P")], "fname string, project string")).first()["content"].count('project: "[[P]]"') == 1
 
 
 def test_tag_rules_and_search(spark):
@@ -264,41 +266,86 @@ def test_graph_json_round_trip(spark, root):
     assert set(edges.collect()) == set(graph.edges(held.parsed).select("src", "dst").collect())
 
 
-def test_ingest_and_apply(spark, root):
-    note = Path(root) / "atoms/202501010015 Разобрать.md"
-    note.rename(note.with_name("202501010015 Спорт весной.md"))
-    (Path(root) / "projects").mkdir()
-    (Path(root) / "projects/Спорт 2025.md").write_text("---\ntags: [p]\n---\n", encoding="utf-8")
-    held = Vault(spark, root)
+INGEST = {
+    "atoms/202501010010 Графы и базы данных.md": "---\ntags:\n  - need-processing\n  - own\nlinks:\n  - \"[[202501010013 Связь]]\"\nup: \"[[Вверх]]\"\n---\nтекст",
+    "atoms/202501010011 Про обход.md": "---\ntags: [graph]\n---\nобход в ширину",  # only the suggested tag leads to it
+    "atoms/202501010012 Заметка.md": "---\ntags: [x]\n---\nГде лежат БАЗЫ ДАННЫХ?",  # holds a phrase of the title
+    "atoms/202501010013 Связь.md": "---\ntags: [own, graph]\n---\nграфы",  # linked already
+    "atoms/202501010014 Другое.md": "---\ntags: [own]\n---\nбазы, затем данных",  # both words, not the phrase
+    "daily notes/2025-01-02 графы.md": "---\ntags: [daily-note]\n---\nграфы и базы данных",
+    "atoms/202501010021 Базы для сайта.md": "---\ntags: [project]\n---\nплан",
+    "projects/Графы базы данных.md": "---\ntags: [p]\n---\n",
+}
+
+
+@pytest.fixture
+def ingest_root(tmp_path):
+    for name, content in INGEST.items():
+        path = tmp_path / name
+        path.parent.mkdir(parents=True, exist_ok=True)
+        path.write_text(content, encoding="utf-8")
+    tags = tmp_path / "wiki/tags"
+    tags.mkdir(parents=True)
+    (tags / "graph.md").write_text("---\ndescription: Графы, обходы\n---\n\n# #graph\n", encoding="utf-8")
+    (tmp_path / "wiki/LOG.md").write_text("## 2024-01-01 00:00\n\nwritten by hand\n", encoding="utf-8")
+    return str(tmp_path)
+
+
+def test_ingest_by_contract(spark, ingest_root):
+    """Tags by name and description, candidates by suggested and own tags and by phrases in bodies, no daily notes, projects by their tag."""
+    root, name = Path(ingest_root), "202501010010 Графы и базы данных.md"
+    note = root / "atoms" / name
+    held = Vault(spark, ingest_root)
+    held.reindex(at=datetime(2025, 1, 1))
     suggested = held.ingest()
     [row] = suggested.collect()
-    assert row["new_links"] == ["202501010002 Спорт.md"] and row["project"] == "Спорт 2025.md" and row["rank"] == 1
-    assert "| 1 | [[202501010015 Спорт весной.md]] |" in render.ingest_preview([row])
+    assert row["new_tags"] == ["graph"] and row["tags"] == ["need-processing", "own"]
+    # Заметка holds "базы данных", "базы" and "данных"; Другое the tag own and two words; Про обход the tag graph; Базы для сайта one word in its title.
+    assert row["new_links"] == ["202501010012 Заметка.md", "202501010014 Другое.md", "202501010011 Про обход.md", "202501010021 Базы для сайта.md"]
+    assert row["project"] == "202501010021 Базы для сайта.md"
+    preview = render.ingest_preview([row]).splitlines()
+    assert preview[0] == "| # | Заметка | Текущие теги | Предлагаемые теги | Предлагаемые связи | Проект |"
+    assert preview[2].startswith(f"| 1 | [[{name}]] | need-processing, own | graph | [[202501010012 Заметка.md]], ") and preview[2].endswith(" | [[202501010021 Базы для сайта.md]] |")
     with pytest.raises(PermissionError):
         held.apply_ingest(suggested)
-    assert "links:" not in note.with_name("202501010015 Спорт весной.md").read_text(encoding="utf-8")
-    at = datetime(2025, 1, 2, 3, 4)
-    assert len(held.apply_ingest(suggested, confirmed=True, at=at)) == 1
-    text = note.with_name("202501010015 Спорт весной.md").read_text(encoding="utf-8")
-    assert '  - "[[202501010002 Спорт.md]]"' in text and "project: Спорт 2025.md" in text and "  - Need-Processing" in text
-    log = (Path(root) / "wiki/log.md").read_text(encoding="utf-8")
-    assert log.startswith("## 2025-01-02 03:04\n\n**Command:** wiki-ingest") and "- [[202501010015 Спорт весной.md]]" in log
+    assert "project:" not in note.read_text(encoding="utf-8")
+    assert held.apply_ingest(suggested, confirmed=True, at=datetime(2025, 1, 2, 3, 4)) == [f"atoms/{name}"]
+    text = note.read_text(encoding="utf-8")
+    assert '\nproject: "[[202501010021 Базы для сайта.md]]"\n' in text and '\nup: "[[Вверх]]"\n' in text
+    assert '  - "[[202501010013 Связь]]"\n  - "[[202501010012 Заметка.md]]"\n' in text and "  - need-processing\n  - own\n  - graph\n" in text
+    assert f"- [[{name}]]" in (root / "wiki/tags/graph.md").read_text(encoding="utf-8")
+    log = (root / "wiki/LOG.md").read_text(encoding="utf-8")
+    assert log.startswith(f"## 2025-01-02 03:04\n\n**Command:** wiki-ingest\n\n1 notes changed\n\n### Changes\n- atoms/{name}: added tags: graph; added links: [[202501010012 Заметка.md]], ")
+    assert "; set project: [[202501010021 Базы для сайта.md]]\n" in log and log.index("wiki-ingest") < log.index("wiki-reindex") < log.index("written by hand")
     again = held.ingest().collect()[0]
-    assert again["new_links"] == [] and again["project"] is None  # linked by now, and it has a project
-    held.apply_links(spark.createDataFrame([("202501010030 Один.md", "202501010003 Бег.md")], "a string, b string"), confirmed=True, at=datetime(2025, 1, 3))
-    log = (Path(root) / "wiki/log.md").read_text(encoding="utf-8")
-    assert log.index("wiki-analyze") < log.index("wiki-ingest")
-    assert ("202501010030 Один.md", "202501010003 Бег.md") in {tuple(r) for r in graph.edges(held.parsed).select("src", "dst").collect()}
+    assert again["new_tags"] == [] and again["new_links"] == [] and again["project"] is None
+
+
+def test_every_command_is_logged(spark, ingest_root):
+    held, wiki = Vault(spark, ingest_root), Path(ingest_root) / "wiki"
+    before = {p: p.read_bytes() for p in Path(ingest_root).rglob("*.md") if wiki not in p.parents}
+    path = held.research_document("graph / теория", at=datetime(2025, 1, 5, 10, 30))
+    assert path == wiki / "research/202501051030 graph - теория.md" and 'topic: "graph / теория"' in path.read_text(encoding="utf-8")
+    held.lint(at=datetime(2025, 1, 6))
+    held.analyze(at=datetime(2025, 1, 7))
+    assert {p: p.read_bytes() for p in before} == before
+    held.apply_links(spark.createDataFrame([("202501010012 Заметка.md", "202501010011 Про обход.md"), ("202501010013 Связь.md", "x.md")], "a string, b string"), confirmed=True, at=datetime(2025, 1, 8))
+    held.reindex(at=datetime(2025, 1, 9))
+    commands = [line.split()[1] for line in (wiki / "LOG.md").read_text(encoding="utf-8").splitlines() if line.startswith("**Command:**")]
+    assert commands == ["wiki-reindex", "wiki-analyze", "wiki-analyze", "wiki-lint", "wiki-research"]
+    assert "- atoms/202501010012 Заметка.md: added links: [[202501010011 Про обход.md]]\n- atoms/202501010013 Связь.md: added links: [[x.md]]\n" in (wiki / "LOG.md").read_text(encoding="utf-8")
+    assert held.log.entries().filter("command is not null").count() == 5 and held.log.entries().select("id").distinct().count() == 6
 
 
 def test_commands(spark, root, capsys):
     from noteloom.__main__ import main
 
     main(["queue", root], spark)
-    assert capsys.readouterr().out.splitlines()[:2] == ["202501010015 Разобрать.md", "1 notes to process"]
+    shown = capsys.readouterr()
+    assert shown.out == "202501010015 Разобрать.md\n" and "Found 1 note(s) with #need-processing in frontmatter (limit 10)." in shown.err
     main(["research", root, "sport"], spark)
     path = Path(capsys.readouterr().out.strip())
-    assert path.name.endswith(" sport.md") and "- [[202501010002 Спорт.md]]" in path.read_text(encoding="utf-8")
+    assert path.parent == Path(root) / "wiki/research" and path.name.endswith(" sport.md") and "- [[202501010002 Спорт.md]]" in path.read_text(encoding="utf-8")
     main(["lint", root], spark)
     assert "broken_links: 1" in capsys.readouterr().out
     with pytest.raises(SystemExit):
