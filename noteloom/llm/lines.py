@@ -484,7 +484,8 @@ def strip(docs: DataFrame, t: float = SIMILARITY, least: int = LEAST) -> tuple[D
     lines = F.split(text, "\n")
     count = F.coalesce(F.octet_length(text) - F.octet_length(F.replace(text, F.lit("\n"), F.lit(""))) + 1, F.lit(0)).cast("long").alias(n_lines)
     left = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col(gone))
-    kept = F.array_join(F.transform(left, lambda k: F.get(lines, k)), "\n")
+    # In an array of one, so that a text is split once and not for each line.
+    kept = F.array_join(F.get(F.transform(F.array(lines), lambda held: F.transform(left, lambda k: F.get(held, k))), F.lit(0)), "\n")
 
     def shown(value: Column) -> list[Column]:
         return [value.alias("text") if c == "text" else column for c, column in zip(docs.columns, columns, strict=True)]
