@@ -114,48 +114,41 @@ def ingest_tags(fm: Column) -> Column:
     return F.coalesce(F.filter(found, lambda t: t != ""), _none())
 
 
-WIKILINK = r"\[\[[^\]]+\]\]"
-
-
-def unwrap(value: Column) -> Column:
-    """A frontmatter value as a list (P4): outer quotes off, then the wikilinks in it, or the value itself."""
-    value = strip(F.regexp_replace(strip(value), r"""(?s)^(["'])(.*)\1$""", "$2"))
-    links = F.regexp_extract_all(value, F.lit(WIKILINK), 0)
-    return F.when(F.size(links) > 0, links).otherwise(F.array(value))
+#: The fold over a frontmatter's lines: the open list's key and items, and the fields so far.
+FIELDS = r"""
+aggregate(transform(split({text}, '\n'), l -> regexp_replace(l, '(?U)^\\s+|\\s+$', '')),
+  named_struct('open', false, 'key', '', 'held', cast(array() AS array<string>), 'out', cast(map() AS map<string, array<string>>)),
+  (h, l) -> CASE
+    WHEN l = '' THEN h
+    WHEN h.open AND startswith(l, '-') THEN named_struct('open', true, 'key', h.key, 'held', concat(h.held, filter({item}, x -> x <> '')), 'out', h.out)
+    WHEN contains(l, ':') THEN named_struct('open', {value} = '', 'key', {key}, 'held', cast(array() AS array<string>),
+      'out', CASE WHEN {value} = '' THEN {flushed} ELSE map_concat(map_filter({flushed}, (k, v) -> k <> {key}), map({key}, {whole})) END)
+    ELSE named_struct('open', false, 'key', '', 'held', cast(array() AS array<string>), 'out', {flushed}) END,
+  h -> {flushed})"""
 
 
-def fields(fm: Column) -> Column:
-    """Every field of a frontmatter as a map to lists (P3); inline lists stay one string, the last of equal keys wins.
+def fields_sql(text: str) -> str:
+    """Every field of a frontmatter's text as a map to lists (P3), in SQL; inline lists stay one string, the last of equal keys wins.
 
     A line with a colon sets a field; with nothing after it, it opens a block list, to which ``-`` lines add and which
-    any other line ends. A list without items leaves no field.
+    any other line ends. A list without items leaves no field. Values lose their quotes and are the wikilinks in them, or themselves (P4).
     """
-    entry = "array<struct<k:string,v:array<string>>>"
-    start = F.struct(F.lit(False).alias("open"), F.lit("").alias("key"), _none().alias("held"), F.expr(f"cast(array() as {entry})").alias("out"))
+    stripped = lambda x: f"regexp_replace({x}, '(?U)^\\\\s+|\\\\s+$', '')"
+    bare = lambda x: stripped(f"""regexp_replace({stripped(x)}, '(?s)^(["\\'])(.*)\\\\1$', '$2')""")
+    links = lambda x: f"regexp_extract_all({x}, '\\\\[\\\\[[^\\\\]]+\\\\]\\\\]', 0)"
+    listed = lambda x: f"CASE WHEN size({links(bare(x))}) > 0 THEN {links(bare(x))} ELSE array({bare(x)}) END"
+    value = stripped("regexp_replace(l, '(?s)^[^:]*:', '')")
+    flushed = "(CASE WHEN h.open AND size(h.held) > 0 THEN map_concat(map_filter(h.out, (k, v) -> k <> h.key), map(h.key, h.held)) ELSE h.out END)"
+    parts = {"{text}": text, "{item}": listed("substring(l, 2)"), "{value}": value, "{key}": stripped("substring_index(l, ':', 1)"), "{whole}": listed(value), "{flushed}": flushed}
+    out = FIELDS
+    for name, part in parts.items():
+        out = out.replace(name, part)
+    return out
 
-    def flushed(held: Column) -> Column:
-        mine = F.struct(held["key"].alias("k"), held["held"].alias("v"))
-        return F.when(held["open"] & (F.size(held["held"]) > 0), F.concat(held["out"], F.array(mine))).otherwise(held["out"])
 
-    def step(held: Column, line: Column) -> Column:
-        bare = strip(line)
-        is_item = held["open"] & bare.startswith("-")
-        key, value = strip(F.substring_index(bare, ":", 1)), strip(F.regexp_replace(bare, r"(?s)^[^:]*:", ""))
-        is_field = ~is_item & bare.contains(":")
-        item = unwrap(F.regexp_replace(bare, r"^-", ""))
-        added = F.concat(held["held"], F.filter(item, lambda x: x != ""))
-        whole = F.concat(flushed(held), F.array(F.struct(key.alias("k"), unwrap(value).alias("v"))))
-        return (
-            F.when(bare == "", held)
-            .when(is_item, F.struct(held["open"].alias("open"), held["key"].alias("key"), added.alias("held"), held["out"].alias("out")))
-            .when(is_field & (value == ""), F.struct(F.lit(True).alias("open"), key.alias("key"), _none().alias("held"), flushed(held).alias("out")))
-            .when(is_field, F.struct(F.lit(False).alias("open"), F.lit("").alias("key"), _none().alias("held"), whole.alias("out")))
-            .otherwise(F.struct(F.lit(False).alias("open"), F.lit("").alias("key"), _none().alias("held"), flushed(held).alias("out")))
-        )
-
-    found = F.coalesce(F.aggregate(F.split(fm, "\n"), start, step, flushed), F.expr(f"cast(array() as {entry})"))
-    last = F.filter(found, lambda e, i: ~F.exists(F.slice(found, i + 2, F.greatest(F.size(found) - i - 1, F.lit(0))), lambda later: later["k"] == e["k"]))
-    return F.map_from_entries(last)
+def fields(name: str) -> Column:
+    """``fields_sql`` of the column of that name."""
+    return F.expr(fields_sql(f"`{name}`"))
 
 
 def link_targets(text: Column) -> Column:
@@ -191,15 +184,13 @@ def is_valid_tag(tag: Column) -> Column:
 
 def tokens(x: Column, stop: tuple[str, ...] = STOP_WORDS + MORE_STOP_WORDS) -> Column:
     """Lower-cased words of Cyrillic or Latin letters and digits, two or more, without stop words."""
-    held = F.array(*[F.lit(w) for w in stop])
-    return F.filter(F.regexp_extract_all(F.lower(x), F.lit(r"[а-яёa-z0-9]{2,}"), 0), lambda w: ~F.array_contains(held, w))
+    return F.filter(F.regexp_extract_all(F.lower(x), F.lit(r"[а-яёa-z0-9]{2,}"), 0), lambda w: ~w.isin(*stop))
 
 
 def title_keywords(title: Column, stop: tuple[str, ...] = STOP_WORDS) -> Column:
     """Words of a title without its time stamp, stop words and single letters."""
-    held = F.array(*[F.lit(w) for w in stop])
     words = F.split(strip(F.lower(F.regexp_replace(title, r"^\d{12}\s+", ""))), r"(?U)\s+")
-    return F.array_distinct(F.filter(words, lambda w: (F.length(w) > 1) & ~F.array_contains(held, w)))
+    return F.array_distinct(F.filter(words, lambda w: (F.length(w) > 1) & ~w.isin(*stop)))
 
 
 def date_part(source_dir: Column, fname: Column, group: int) -> Column:
@@ -221,38 +212,11 @@ def first_n(names: Column, n: int, dash: str = "—") -> Column:
     return F.when(F.size(names) == 0, F.lit(dash)).otherwise(F.array_join(F.slice(names, 1, n), ", "))
 
 
-#: ``fields`` of a frontmatter's text as SQL, for sessions that have no Python at hand.
-FIELDS_SQL = r"""
-aggregate(transform(split(t, '\n'), l -> regexp_replace(l, '(?U)^\\s+|\\s+$', '')),
-  named_struct('open', false, 'key', '', 'held', cast(array() AS array<string>), 'out', cast(map() AS map<string, array<string>>)),
-  (h, l) -> CASE
-    WHEN l = '' THEN h
-    WHEN h.open AND startswith(l, '-') THEN named_struct('open', true, 'key', h.key, 'held', concat(h.held, filter({item}, x -> x <> '')), 'out', h.out)
-    WHEN contains(l, ':') THEN named_struct('open', {value} = '', 'key', {key}, 'held', cast(array() AS array<string>),
-      'out', CASE WHEN {value} = '' THEN {flushed} ELSE map_concat(map_filter({flushed}, (k, v) -> k <> {key}), map({key}, {whole})) END)
-    ELSE named_struct('open', false, 'key', '', 'held', cast(array() AS array<string>), 'out', {flushed}) END,
-  h -> {flushed})"""
-
-
-def _fields_sql() -> str:
-    strip_ = lambda x: f"regexp_replace({x}, '(?U)^\\\\s+|\\\\s+$', '')"
-    bare = lambda x: strip_(f"""regexp_replace({strip_(x)}, '(?s)^(["\\'])(.*)\\\\1$', '$2')""")
-    links = lambda x: f"regexp_extract_all({x}, '\\\\[\\\\[[^\\\\]]+\\\\]\\\\]', 0)"
-    listed = lambda x: f"CASE WHEN size({links(bare(x))}) > 0 THEN {links(bare(x))} ELSE array({bare(x)}) END"
-    value = strip_("regexp_replace(l, '(?s)^[^:]*:', '')")
-    flushed = "CASE WHEN h.open AND size(h.held) > 0 THEN map_concat(map_filter(h.out, (k, v) -> k <> h.key), map(h.key, h.held)) ELSE h.out END"
-    parts = {"{item}": listed("substring(l, 2)"), "{value}": value, "{key}": strip_("substring_index(l, ':', 1)"), "{whole}": listed(value), "{flushed}": f"({flushed})"}
-    out = FIELDS_SQL
-    for name, text in parts.items():
-        out = out.replace(name, text)
-    return out
-
-
 def register(spark: SparkSession) -> None:
     """The expressions most of use in SQL, as functions that Catalyst inlines."""
     for name, argument, returns, expression in (
         ("wikilinks", "t STRING", "ARRAY<STRING>", r"array_distinct(filter(transform(regexp_extract_all(t, '\\[\\[([^\\]]+)\\]\\]', 1), x -> regexp_replace(split(split(x, '[|]', 2)[0], '#', 2)[0], '(?U)^\\s+|\\s+$', '')), x -> x <> ''))"),
-        ("frontmatter_map", "t STRING", "MAP<STRING, ARRAY<STRING>>", _fields_sql()),
+        ("frontmatter_map", "t STRING", "MAP<STRING, ARRAY<STRING>>", fields_sql('t')),
         ("is_valid_tag", "t STRING", "BOOLEAN", r"NOT (t RLIKE '^\\p{Nd}') AND NOT (t RLIKE '^[0-9a-fA-F]{3,8}$')"),
         ("tokenize_ru", "t STRING", "ARRAY<STRING>", "filter(regexp_extract_all(lower(t), '[а-яёa-z0-9]{2,}', 0), w -> NOT array_contains(array(" + ", ".join(f"'{w}'" for w in STOP_WORDS + MORE_STOP_WORDS) + "), w))"),
         ("note_frontmatter", "t STRING", "STRING", "CASE WHEN startswith(t, '---') AND size(split(t, '---', 3)) = 3 THEN split(t, '---', 3)[1] END"),

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -39,12 +40,46 @@ def propagate(labels: np.ndarray, start: np.ndarray, near: np.ndarray, max_sweep
     return labels
 
 
-def clusters(nodes: DataFrame, between: DataFrame, found: DataFrame, max_sweeps: int = 20) -> DataFrame:
+#: Link ends of a component up to which one task works on it.
+MOST_LINKS = 20_000_000
+
+
+def waves(links: DataFrame, max_sweeps: int) -> DataFrame:
+    """(label, cluster) by the same sweeps over links(a, b) in both orientations, a node standing for its place in the order.
+
+    In a sweep a node waits for its neighbours that come before it and sees the others as the last sweep left them. So a node's wave is one more than
+    the latest of those it waits for, all nodes of a wave are decided at once, and a sweep is a join for each wave; nothing is held in one place.
+    """
+    waits = cut(links.filter("b < a"), "waits")
+    level, changed = cut(links.select(F.col("a").alias("label")).distinct().withColumn("wave", F.lit(0)), "waves"), True
+    while changed:
+        after = waits.join(level.select(F.col("label").alias("b"), "wave"), "b").groupBy(F.col("a").alias("label")).agg((F.max("wave") + 1).alias("later"))
+        moved = cut(level.join(after, "label", "left").select("label", F.coalesce("later", F.lit(0)).alias("wave"), (F.coalesce("later", F.lit(0)) != F.col("wave")).alias("moved")), "waves")
+        level, changed = moved.select("label", "wave"), moved.filter("moved").limit(1).count() > 0
+    dealt = cut(links.join(level.select(F.col("label").alias("a"), "wave"), "a"), "wave-links")
+    last = level.agg(F.max("wave")).first()[0]
+    held = [] if last is None else [level.filter(F.col("wave") == k).select("label", F.col("label").alias("cluster")) for k in range(last + 1)]
+    for _ in range(max_sweeps):
+        changed = 0
+        for k in range(len(held)):
+            now = reduce(DataFrame.union, held)
+            votes = dealt.filter(F.col("wave") == k).join(now.select(F.col("label").alias("b"), "cluster"), "b").groupBy("a", "cluster").agg(F.count(F.lit(1)).alias("n"))
+            most = votes.groupBy(F.col("a").alias("label")).agg(F.min(F.struct((-F.col("n")).alias("n"), "cluster")).alias("best"))
+            new = cut(most.select("label", "best.cluster").join(held[k].withColumnRenamed("cluster", "before"), "label"), "wave-labels")
+            changed += new.filter("cluster <> before").count()
+            held[k] = new.select("label", "cluster")
+        if not changed:
+            break
+    return reduce(DataFrame.union, held) if held else level.select("label", F.col("label").alias("cluster"))
+
+
+def clusters(nodes: DataFrame, between: DataFrame, found: DataFrame, max_sweeps: int = 20, most_links: int = MOST_LINKS) -> DataFrame:
     """(fname, cluster) by asynchronous label propagation.
 
     Labels start as the names' ranks, which stand for the names: a component travels as numbers. A sweep is a chain of
     single decisions and never leaves a component, so each component of two notes and more is worked on by one
-    task, in arrays of 8 bytes for each node and link; a component of a million nodes and ten million links takes under 200 MB.
+    task, in arrays of 8 bytes for each node and link end, if it has at most ``most_links`` of these; larger ones are swept in ``waves``
+    over all tasks, with the same result.
     """
     ranked = ranks(nodes)
     number = lambda side: between.join(ranked.select(F.col("fname").alias(side), F.col("label").alias(f"label_{side}")), side)
@@ -62,8 +97,16 @@ def clusters(nodes: DataFrame, between: DataFrame, found: DataFrame, max_sweeps:
         names = pa.compute.take(group.column("fname"), pa.array(order))
         return pa.table({"fname": names, "cluster": pa.array(propagate(own.copy(), start, near, max_sweeps), pa.int64())})
 
-    worked = rows.filter("near is not null").select("component", "fname", "label", "near").groupBy("component").applyInArrow(work, "fname string, cluster long")
-    return worked.union(rows.filter("near is null").select("fname", F.col("label").alias("cluster")))
+    linked = rows.filter("near is not null").select("component", "fname", "label", "near")
+    large = cut(linked.groupBy("component").agg(F.sum(F.size("near")).alias("ends")).filter(F.col("ends") > most_links).select("component"), "large")
+    some = large.limit(1).count() > 0
+    worked = (linked.join(large, "component", "left_anti") if some else linked).groupBy("component").applyInArrow(work, "fname string, cluster long")
+    out = worked.union(rows.filter("near is null").select("fname", F.col("label").alias("cluster")))
+    if some:
+        mine = linked.join(large, "component", "left_semi")
+        swept = waves(mine.select(F.col("label").alias("a"), F.explode("near").alias("b")), max_sweeps)
+        out = out.union(mine.select("fname", "label").join(swept, "label").select("fname", "cluster"))
+    return out
 
 
 def ranks(nodes: DataFrame) -> DataFrame:

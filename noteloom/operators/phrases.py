@@ -31,8 +31,7 @@ def key_phrases(titles: DataFrame, stop: tuple[str, ...] = T.STOP_WORDS) -> Data
 
     The terms of a phrase are joined by a space.
     """
-    held = F.array(*[F.lit(w) for w in stop])
-    marked = F.transform(terms(title(F.col("fname"))), lambda w: F.when((F.length(w) > 1) & ~F.array_contains(held, w), w).otherwise(F.lit("\n")))
+    marked = F.transform(terms(title(F.col("fname"))), lambda w: F.when((F.length(w) > 1) & ~w.isin(*stop), w).otherwise(F.lit("\n")))
     runs = F.filter(F.transform(F.split(F.array_join(marked, " "), "\n"), T.strip), lambda p: p != "")
     return titles.select("fname", F.explode(F.array_union(runs, F.flatten(F.transform(runs, lambda p: F.split(p, " "))))).alias("phrase")).distinct()
 

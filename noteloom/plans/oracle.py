@@ -16,13 +16,15 @@ WITH RECURSIVE d AS (
   FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id),
 p AS (
   SELECT *,
-    CASE WHEN doc_id % 5 <> 4 AND h <> doc_id THEN {_name("h")} END AS la,
+    CASE WHEN doc_id % 5 <> 4 AND h <> doc_id AND doc_id % 11 <> 5 THEN {_name("h")} END AS la,
     CASE WHEN doc_id % 3 = 0 AND (doc_id * 7 + 3) % 25 + h <> doc_id THEN {_name("(doc_id * 7 + 3) % 25 + h")} END AS lb,
     CASE WHEN doc_id % 100 = 0 THEN {_name("doc_id + 25")} END AS lc,
     CASE WHEN doc_id % 37 = 0 THEN concat('missing-', doc_id % 4, '.md') END AS ld,
-    list_filter([source, lang, CASE WHEN quality = 1 THEN 'quality' END, CASE WHEN toxic = 1 THEN 'toxic' END, CASE WHEN doc_id % 10 = 0 THEN 'need-processing' END], lambda x: x IS NOT NULL) AS tags
+    list_filter([source, lang, CASE WHEN quality = 1 THEN 'quality' END, CASE WHEN toxic = 1 THEN 'toxic' END, CASE WHEN doc_id % 10 = 0 OR doc_id % 400 = 27 THEN 'need-processing' END], lambda x: x IS NOT NULL) AS items,
+    CASE doc_id % 11 WHEN 5 THEN [] WHEN 7 THEN [source] ELSE items END AS itags,
+    CASE WHEN doc_id % 11 = 6 THEN [concat('[', array_to_string(list_transform(items, lambda x: CASE WHEN x = 'toxic' THEN '"toxic"' ELSE x END), ', '), ']')] ELSE itags END AS tags
   FROM d),
-t AS (SELECT * FROM (SELECT DISTINCT lower(unnest(tags)) AS tag, fname FROM p) WHERE tag <> 'need-processing'),
+t AS (SELECT * FROM (SELECT DISTINCT lower(unnest(itags)) AS tag, fname FROM p) WHERE tag <> 'need-processing'),
 i AS (SELECT tag, count(*) AS n_files FROM t GROUP BY tag),
 e AS (SELECT * FROM (SELECT DISTINCT fname AS src, unnest([la, lb, lc, ld]) AS dst FROM p) WHERE dst IS NOT NULL),
 k AS (SELECT src, dst FROM e WHERE dst IN (SELECT fname FROM p)),
@@ -38,7 +40,7 @@ r AS (SELECT fname AS a, fname AS b FROM p UNION SELECT r.a, u.b FROM r JOIN u O
 c AS (SELECT a AS fname, min(b) AS component FROM r GROUP BY a)"""
 
 LINKS = """,
-x AS (SELECT fname, tags, degree_out, unnest(links_out) AS dst FROM nd WHERE source_dir <> 'daily notes' AND len(list_filter(tags, lambda v: v <> 'need-processing' AND v <> 'daily-note')) > 0),
+x AS (SELECT fname, tags, degree_out, unnest(links_out) AS dst FROM nd WHERE source_dir <> 'daily notes' AND (len(tags) = 0 OR len(list_filter(tags, lambda v: v <> 'need-processing' AND v <> 'daily-note')) > 0)),
 lp AS (
   SELECT a.fname AS a, b.fname AS b, count(*) AS common, any_value(a.degree_out) AS na, any_value(b.degree_out) AS nb, list(a.dst ORDER BY a.dst)[1:5] AS shared,
     any_value(a.tags) AS ta, any_value(b.tags) AS tb
@@ -50,8 +52,8 @@ ls AS (SELECT row_number() OVER (ORDER BY common DESC, jaccard DESC, a, b) AS ra
 WEIGHTS = """,
 f AS (SELECT * FROM p),
 g AS (
-  SELECT fname, regexp_extract_all(lower(concat(text, ' #face #2024x ', CASE WHEN lb IS NULL THEN '' ELSE ' see ' END, CASE WHEN lc IS NULL THEN '' ELSE ' and ' END, CASE WHEN ld IS NULL THEN '' ELSE ' or ' END)), '[а-яёa-z0-9]{2,}') AS w
-  FROM f WHERE source_dir <> 'daily notes' AND len(list_filter(tags, lambda v: v <> 'need-processing' AND v <> 'daily-note')) > 0),
+  SELECT fname, regexp_extract_all(lower(concat(CASE WHEN doc_id % 11 = 5 THEN '' ELSE text END, ' #face #2024x ', CASE WHEN lb IS NULL THEN '' ELSE ' see ' END, CASE WHEN lc IS NULL THEN '' ELSE ' and ' END, CASE WHEN ld IS NULL THEN '' ELSE ' or ' END)), '[а-яёa-z0-9]{2,}') AS w
+  FROM f WHERE source_dir <> 'daily notes' AND (len(tags) = 0 OR len(list_filter(tags, lambda v: v <> 'need-processing' AND v <> 'daily-note')) > 0)),
 q AS (SELECT fname, unnest(w) AS term FROM g WHERE len(w) >= 50),
 tf AS (SELECT fname, term, count(*) AS n FROM q GROUP BY fname, term),
 df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
@@ -71,7 +73,9 @@ ss AS (SELECT row_number() OVER (ORDER BY similarity DESC, a, b) AS rank, sj.*,
 FIRST = ("f AS (SELECT * FROM p)", "f AS (SELECT * FROM p ORDER BY fname LIMIT 1500)")
 
 QUEUE = """,
-z AS (SELECT row_number() OVER (ORDER BY fname) AS rank, fname, doc_id, concat('atoms/', fname) AS path FROM p WHERE source_dir = 'atoms' AND doc_id % 10 = 0 QUALIFY rank <= 10)"""
+zq AS (SELECT row_number() OVER (ORDER BY source_dir = 'atoms', fname) AS rank, fname, doc_id, concat(source_dir, '/', fname) AS path, source_dir FROM p WHERE list_contains(itags, 'need-processing')),
+z AS (SELECT * FROM zq WHERE rank <= 10),
+zp AS (SELECT *, unnest(CASE WHEN source_dir = 'atoms' THEN [concat('n', doc_id)] ELSE [fname[1:10], concat('n', doc_id), concat(fname[1:10], ' n', doc_id)] END) AS phrase FROM zq)"""
 
 #: Suggested tags: those whose name or description contains the keyword of a title, at most five.
 SUGGESTED = """,
@@ -81,14 +85,14 @@ st AS (SELECT fname, row_number() OVER (PARTITION BY fname ORDER BY score DESC,
 #: Title and body of each note as terms with spaces around them.
 HAY = r""",
 h AS (SELECT fname, concat(' ', array_to_string(regexp_extract_all(lower(regexp_replace(regexp_replace(fname, '\.md$', ''), '^\d{12}\s+', '')), '[\p{L}\p{N}_-]+'), ' '), ' | ',
-  array_to_string(regexp_extract_all(lower(concat_ws(chr(10), text, '#face #2024x #hidden', regexp_replace(lb, '\.md$', ' alias'), regexp_replace(lc, '\.md$', ' heading'), regexp_replace(ld, '\.md$', ''))), '[\p{L}\p{N}_-]+'), ' '), ' ') AS hay FROM p)"""
+  array_to_string(regexp_extract_all(lower(concat_ws(chr(10), text, CASE WHEN doc_id % 11 = 5 THEN 'x --- lost --- x' END, '#face #2024x #hidden', regexp_replace(lb, '\.md$', ' alias'), regexp_replace(lc, '\.md$', ' heading'), regexp_replace(ld, '\.md$', ''))), '[\p{L}\p{N}_-]+'), ' '), ' ') AS hay FROM p)"""
 
 MOC = """,
 m AS (SELECT row_number() OVER (ORDER BY degree_out + degree_in DESC, fname) AS rank, * FROM nd WHERE degree_out + degree_in >= 5 QUALIFY rank <= 50)"""
 
 NL = "chr(10)"
 #: A note's body as the rewritten note keeps it.
-BODY = f"""ltrim(concat(text, {NL}, '#face #2024x', {NL}, '```', {NL}, '#hidden', {NL}, '```', {NL},
+BODY = f"""ltrim(concat(text, CASE WHEN doc_id % 11 = 5 THEN concat({NL}, '---', {NL}, 'lost', {NL}, '---') ELSE '' END, {NL}, '#face #2024x', {NL}, '```', {NL}, '#hidden', {NL}, '```', {NL},
   CASE WHEN lb IS NULL THEN '' ELSE concat('see [[', regexp_replace(lb, '\\.md$', ''), '|alias]]', {NL}) END,
   CASE WHEN lc IS NULL THEN '' ELSE concat('and [[', regexp_replace(lc, '\\.md$', ''), '#heading]]', {NL}) END,
   CASE WHEN ld IS NULL THEN '' ELSE concat('or [[', regexp_replace(ld, '\\.md$', ''), ']]', {NL}) END), {NL})"""
@@ -97,7 +101,8 @@ LINK = f"""concat('  - "[[', regexp_replace(la, '\\.md$', ''), ']]"', {NL})"""
 
 def _content(tags: str, links: str, more: str = "''") -> str:
     listed = f"array_to_string(list_transform({tags}, lambda v: concat('  - ', v, {NL})), '')"
-    return f"md5(concat('---', {NL}, 'description: note ', doc_id, {NL}, 'tags:', {NL}, {listed}, {links}, {more}, '---', {NL}, {NL}, {BODY}))"
+    told = f"CASE WHEN doc_id % 11 = 5 THEN '' ELSE concat('description: note ', doc_id, {NL}) END"
+    return f"md5(concat('---', {NL}, {told}, CASE WHEN len({tags}) = 0 THEN '' ELSE concat('tags:', {NL}, {listed}) END, {links}, {more}, '---', {NL}, {NL}, {BODY}))"
 
 
 OWN_LINKS = f"CASE WHEN la IS NULL THEN '' ELSE concat('links:', {NL}, {LINK}) END"
@@ -106,9 +111,15 @@ NEW_LINKS = f"""concat('links:', {NL}, CASE WHEN la IS NULL THEN '' ELSE {LINK}
 ORACLE: dict[str, str] = {
     "tag_index_counts": BASE + " SELECT tag, n_files FROM i",
     "tag_index_files": BASE + " SELECT tag, string_agg(fname, ',' ORDER BY fname) AS files FROM t GROUP BY tag",
+    "tag_index_chunks": BASE + """,
+        r AS (SELECT tag, fname, (row_number() OVER (PARTITION BY tag ORDER BY fname) - 1) // 100 AS chunk FROM t)
+        SELECT tag, chunk::BIGINT AS chunk, count(*) AS n_files, min(fname) AS first, max(fname) AS last, string_agg(fname, ',' ORDER BY fname) AS files FROM r GROUP BY tag, chunk""",
+    "month_chunks": BASE + """,
+        s AS (SELECT fname, concat(lpad(cast(2023 + doc_id % 3 AS varchar), 4, '0'), '-', lpad(cast(1 + doc_id % 12 AS varchar), 2, '0')) AS month FROM p)
+        SELECT month, ((count(*) + 99) // 100)::BIGINT AS chunks, count(*) AS n, min(fname) AS first, max(fname) AS last FROM s GROUP BY month""",
     "tag_search": BASE + " SELECT fname FROM t WHERE tag = 'en'",
     "tags_consolidated": BASE + " SELECT tag, concat('about ', tag) AS description FROM i WHERE regexp_matches(tag, '[13579]$')",
-    "stale_tags": BASE + " SELECT DISTINCT lower(unnest(tags)) AS tag FROM p EXCEPT SELECT tag FROM i",
+    "stale_tags": BASE + " SELECT DISTINCT lower(unnest(itags)) AS tag FROM p EXCEPT SELECT tag FROM i",
     "graph_edges": BASE + " SELECT src, dst FROM e",
     "graph_nodes_degrees": BASE + " SELECT fname, source_dir, array_to_string(tags, ',') AS tags, degree_out, degree_in, array_to_string(links_in, ',') AS links_in FROM nd",
     "graph_stats": BASE + """
@@ -156,14 +167,14 @@ ORACLE: dict[str, str] = {
     "ingest_links": BASE + QUEUE + SUGGESTED + HAY + """,
         g AS (SELECT fname, tag FROM z JOIN t USING (fname) UNION SELECT fname, tag FROM st),
         v AS (SELECT g.fname, b.fname AS candidate, count(*) AS n FROM g JOIN t b ON b.tag = g.tag GROUP BY g.fname, b.fname
-          UNION ALL SELECT z.fname, h.fname, 1 FROM z JOIN h ON contains(h.hay, concat(' n', z.doc_id, ' '))),
+          UNION ALL SELECT zp.fname, h.fname, 1 FROM zp JOIN h ON contains(h.hay, concat(' ', zp.phrase, ' ')) WHERE zp.rank <= 10),
         s AS (SELECT fname, candidate, sum(n)::BIGINT AS score FROM v WHERE candidate <> fname AND NOT EXISTS (SELECT 1 FROM e WHERE e.src = v.fname AND e.dst = v.candidate) GROUP BY fname, candidate),
         r AS (SELECT fname, row_number() OVER (PARTITION BY fname ORDER BY score DESC, candidate) AS rank, candidate, score FROM s)
         SELECT * FROM r WHERE rank <= 5""",
-    "ingest_phrase_links": BASE + HAY + """
-        SELECT z.fname, concat('n', z.doc_id) AS phrase, h.fname AS candidate FROM p z JOIN h ON contains(h.hay, concat(' n', z.doc_id, ' ')) WHERE z.source_dir = 'atoms' AND z.doc_id % 10 = 0""",
+    "ingest_phrase_links": BASE + QUEUE + HAY + """
+        SELECT zp.fname, zp.phrase, h.fname AS candidate FROM zp JOIN h ON contains(h.hay, concat(' ', zp.phrase, ' '))""",
     "ingest_project": BASE + QUEUE + """
-        SELECT z.fname, 1::BIGINT AS rank, concat('plan n', o.doc_id, '0.md') AS project, 1::BIGINT AS score FROM z JOIN p o ON o.doc_id * 10 = z.doc_id WHERE o.quality = 1 AND o.doc_id > 0""",
+        SELECT z.fname, 1::BIGINT AS rank, concat('plan n', o.doc_id, '0.md') AS project, 1::BIGINT AS score FROM z JOIN p o ON o.doc_id * 10 = z.doc_id WHERE list_contains(o.itags, 'quality') AND o.doc_id > 0""",
     "research_topics": BASE + """,
         w AS (SELECT DISTINCT concat_ws(' ', upper(lang), source, 'quality and rc1') AS topic FROM documents),
         s AS (SELECT topic, tag, len(list_filter(list_distinct(string_split(lower(topic), ' ')), lambda k: contains(lower(concat(tag, ' about ', tag, ' notes')), k)))::BIGINT AS score FROM w, i),
@@ -183,6 +194,6 @@ ORACLE: dict[str, str] = {
     "lint_moc": BASE + MOC + ", s AS (SELECT fname, unnest(links_out[1:5]) AS linked FROM m) SELECT fname, linked FROM s WHERE linked NOT IN (SELECT fname FROM p)",
     "lint_malformed": BASE + " SELECT fname, concat('[[', regexp_replace(la, '\\.md$', ''), ']]') AS item FROM p WHERE la IS NOT NULL AND doc_id % 3 = 2",
     "edit_add_link": BASE + f" SELECT fname, {_content('tags', NEW_LINKS)} AS digest FROM p",
-    "edit_merge_tags": BASE + f" SELECT fname, {_content("list_concat(tags, CASE WHEN quality = 1 THEN ['new'] ELSE ['new', 'quality'] END)", OWN_LINKS)} AS digest FROM p",
+    "edit_merge_tags": BASE + f" SELECT fname, {_content("list_concat(tags, CASE WHEN list_contains(tags, 'quality') THEN ['new'] ELSE ['new', 'quality'] END)", OWN_LINKS)} AS digest FROM p",
     "edit_project": BASE + f" SELECT fname, {_content('tags', OWN_LINKS, f"concat('project: \"[[P ', source_dir, ']]\"', {NL})")} AS digest FROM p",
 }

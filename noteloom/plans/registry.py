@@ -13,13 +13,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from noteloom.config import Config
-from noteloom.operators import analyze, clusters, components, dates, edit, graph, ingest, lint, moc, phrases, research, suggest, tags, tfidf
+from noteloom.operators import analyze, clusters, components, dates, edit, graph, ingest, lint, moc, phrases, postings, research, suggest, tags, tfidf
 from noteloom.plans.oracle import ORACLE  # noqa: F401
 from noteloom.sources import overlay, vault
 from noteloom.storage import cut
 
-#: The overlay's daily notes take part in the graph, so that exclusion rules have something to exclude.
-CONFIG = Config(graph_dirs=("atoms", "daily notes"), excluded_suggestion_tags=("need-processing", "daily-note"))
+#: The overlay's daily notes take part in the graph, so that exclusion rules have something to exclude, and come first in the queue.
+CONFIG = Config(graph_dirs=("atoms", "daily notes"), ingest_dirs=("daily notes", "atoms"), excluded_suggestion_tags=("need-processing", "daily-note"))
 TOPIC = "EN quality src3 notes"
 
 
@@ -60,6 +60,19 @@ def tag_index_files(spark, sf_dir):
     return tags.tag_index(_tags(spark, sf_dir)).select("tag", joined("files").alias("files"))
 
 
+def tag_index_chunks(spark, sf_dir):
+    """The tag index as chunks of 100 notes."""
+    chunks = postings.build(_tags(spark, sf_dir).select(F.col("tag").alias("key"), F.col("fname").alias("name")), chunk=100)
+    return chunks.select(F.col("key").alias("tag"), "chunk", F.col("n").alias("n_files"), "first", "last", joined("names").alias("files"))
+
+
+def month_chunks(spark, sf_dir):
+    """The directory of the calendar's lists, in chunks of 100 notes."""
+    found = dates.dated(_notes(spark, sf_dir).select("fname", "source_dir"))
+    chunks = postings.build(found.select(F.concat_ws("-", "year", "month").alias("key"), F.col("fname").alias("name")), chunk=100)
+    return postings.directory(chunks).withColumnRenamed("key", "month")
+
+
 def tag_search(spark, sf_dir):
     return tags.search(_tags(spark, sf_dir), "EN")
 
@@ -291,7 +304,7 @@ def edit_project(spark, sf_dir):
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__.rstrip("_"): f
     for f in (
-        tag_index_counts, tag_index_files, tag_search, tags_consolidated, stale_tags, graph_edges, graph_nodes_degrees, graph_stats, orphans, hubs_top20,
+        tag_index_counts, tag_index_files, tag_index_chunks, month_chunks, tag_search, tags_consolidated, stale_tags, graph_edges, graph_nodes_degrees, graph_stats, orphans, hubs_top20,
         components_, component_size_classes, clusters_lpa, cluster_tag_report, cluster_tag_report_lpa, bridges, link_suggestions, link_pairs_all,
         semantic_suggestions, semantic_pairs_all, tfidf_weights, moc_index, dates_index, needs_processing, analyze_plan, ingest_tags, ingest_links,
         ingest_phrase_links, ingest_project, research_notes, research_tags, research_topics, lint_broken_links, lint_missing_desc, lint_index_drift, lint_orphans, lint_moc, lint_malformed,

@@ -108,11 +108,12 @@ class Vault:
         return done
 
     def publish_graph(self, totals: DataFrame) -> str:
-        """A new version of the graph, and its export as JSON; returns the version's name."""
-        edges = graph.edges(self.parsed)
-        version = snapshots.publish(self.wiki, self.clustered, edges, totals)
-        nodes, edges, totals = snapshots.read(self.spark, self.wiki, version)
-        markdown.write(artefacts.graph_lines(nodes, edges, totals, f"{self.wiki}/data/links-graph.json"))
+        """A new version of the graph and its export as JSON, unless nothing changed; returns the version's name."""
+        version, new = snapshots.publish(self.wiki, self.clustered, graph.edges(self.parsed), totals)
+        export = self.wiki / "data" / "links-graph.json"
+        if new or not export.exists():
+            nodes, edges, totals = snapshots.read(self.spark, self.wiki, version)
+            markdown.write(artefacts.graph_lines(nodes, edges, totals, str(export)))
         return version
 
     def reindex(self, at: datetime | None = None) -> dict[str, int]:

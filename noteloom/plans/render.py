@@ -26,8 +26,12 @@ PREVIEW = ("#", "Заметка", "Текущие теги", "Предлагае
 
 
 def _write(path: Path, lines: Iterable[str]) -> None:
+    """Writes the file, unless it has these lines already."""
+    text = "\n".join(lines) + "\n"
+    if path.exists() and path.read_text(encoding="utf-8") == text:
+        return
     path.parent.mkdir(parents=True, exist_ok=True)
-    path.write_text("\n".join(lines) + "\n", encoding="utf-8")
+    path.write_text(text, encoding="utf-8")
 
 
 def _head(description: str) -> list[str]:

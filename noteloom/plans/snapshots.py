@@ -13,6 +13,7 @@ from datetime import datetime
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 TABLES = ("nodes", "edges", "totals")
 
@@ -21,27 +22,44 @@ def _folder(wiki: Path | str) -> Path:
     return Path(wiki) / "data" / "graph"
 
 
-def publish(wiki: Path | str, nodes: DataFrame, edges: DataFrame, totals: DataFrame, keep: int = 3) -> str:
-    """Writes a version and moves the pointer to it; returns its name."""
-    folder = _folder(wiki)
+def digest(*tables: DataFrame) -> str:
+    """What the rows of the tables sum to, in any order: counts, and two sums of hashes of whole rows."""
+    out = []
+    for table in tables:
+        sums = [F.coalesce(F.sum(F.pmod(F.xxhash64(F.lit(seed), *table.columns), F.lit(1 << 31))), F.lit(0)) for seed in (1, 2)]
+        out += table.agg(F.count(F.lit(1)), *sums).first()
+    return "-".join(map(str, out))
+
+
+def publish(wiki: Path | str, nodes: DataFrame, edges: DataFrame, totals: DataFrame, keep: int = 3) -> tuple[str, bool]:
+    """Writes a version and moves the pointer to it; returns its name, and whether it is new: what equals the current version is not written again."""
+    folder, sums = _folder(wiki), digest(nodes, edges, totals)
+    held = _pointer(wiki)
+    if held is not None and held.get("digest") == sums:
+        return held["version"], False
     version = f"v{datetime.now():%Y%m%d%H%M%S%f}-{uuid.uuid4().hex[:6]}"
     for name, table in zip(TABLES, (nodes, edges, totals), strict=True):
         table.write.parquet(str(folder / version / name))
     aside = folder / f".{version}.part"
-    aside.write_text(json.dumps({"version": version}), encoding="utf-8")
+    aside.write_text(json.dumps({"version": version, "digest": sums}), encoding="utf-8")
     aside.replace(folder / "current.json")
     for old in versions(wiki)[:-keep]:
         shutil.rmtree(folder / old, ignore_errors=True)
-    return version
+    return version, True
 
 
 def versions(wiki: Path | str) -> list[str]:
     return sorted(p.name for p in _folder(wiki).glob("v*") if p.is_dir())
 
 
-def current(wiki: Path | str) -> str | None:
+def _pointer(wiki: Path | str) -> dict | None:
     path = _folder(wiki) / "current.json"
-    return json.loads(path.read_text(encoding="utf-8"))["version"] if path.exists() else None
+    return json.loads(path.read_text(encoding="utf-8")) if path.exists() else None
+
+
+def current(wiki: Path | str) -> str | None:
+    held = _pointer(wiki)
+    return held and held["version"]
 
 
 def read(spark: SparkSession, wiki: Path | str, version: str | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:

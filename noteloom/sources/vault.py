@@ -60,7 +60,7 @@ def list_names(spark: SparkSession, root: str, dirs: tuple[str, ...]) -> DataFra
 def parse(notes: DataFrame) -> DataFrame:
     """notes with fm_text, body, fields, tags and the targets of frontmatter and body links."""
     fm, rows = T.frontmatter(F.col("content")), notes
-    rows = rows.withColumn("fm_text", fm).withColumn("body", T.body(F.col("content"))).withColumn("fields", T.fields(F.col("fm_text")))
+    rows = rows.withColumn("fm_text", fm).withColumn("body", T.body(F.col("content"))).withColumn("fields", T.fields("fm_text"))
     none = F.expr("cast(array() as array<string>)")
     listed = lambda key: F.coalesce(F.try_element_at(F.col("fields"), F.lit(key)), none)
     return (

@@ -119,6 +119,7 @@ def test_a_reader_sees_one_version(spark, tmp_path):
         assert [t.first()["k"] for t in before] == [1, 1, 1] and [t.first()["k"] for t in snapshots.read(spark, tmp_path)] == [k] * 3
     for k in range(5, 9):
         snapshots.publish(tmp_path, *table(k), keep=2)
+    assert snapshots.publish(tmp_path, *table(8)) == (snapshots.current(tmp_path), False)  # as it is already
     assert len(snapshots.versions(tmp_path)) == 2 and snapshots.current(tmp_path) == snapshots.versions(tmp_path)[-1]
 
 
@@ -127,6 +128,9 @@ def test_graph_of_a_vault_as_snapshot_and_json(spark, tmp_path):
         (tmp_path / "atoms").mkdir(exist_ok=True)
         (tmp_path / f"atoms/{name}.md").write_text(text)
     Vault(spark, str(tmp_path)).reindex()
+    old = {p: p.stat().st_mtime_ns for p in (tmp_path / "wiki").rglob("*") if p.is_file() and "oplog" not in p.parts and p.name != "LOG.md"}
+    Vault(spark, str(tmp_path)).reindex()
+    assert {p: p.stat().st_mtime_ns for p in (tmp_path / "wiki").rglob("*") if p.is_file() and "oplog" not in p.parts and p.name != "LOG.md"} == old  # only the log grew
     nodes, edges, totals = snapshots.read(spark, tmp_path / "wiki")
     data = json.loads((tmp_path / "wiki/data/links-graph.json").read_text())
     assert data["stats"] == totals.first().asDict() and len(data["edges"]) == edges.count() == 4
