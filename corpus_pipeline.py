@@ -5,7 +5,10 @@ shared folder and reads them back as the next one's docs. All stages but the las
 of ``documents``; rows that a stage keeps but shortens get their new n_chars.
 
 Defined results: a null text is an empty one to every stage; documents without words stay and
-become one group in near-dedup, of which the first stays; an empty table gives no rows.
+become one group in near-dedup, of which the first stays; very long texts pass every stage whole; rows that
+repeat a doc_id are scored, mixed and packed each, and do not remove each other's lines of one place; of equal lines and
+groups the smallest doc_id is the first; rows without a doc_id stay; other columns, whatever their names, are carried along by
+all stages but the last; an empty table gives no rows.
 """
 
 from __future__ import annotations

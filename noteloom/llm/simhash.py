@@ -14,7 +14,8 @@ most one for each fingerprint it was given.
 Defined results: words are runs of characters other than the six ASCII white-space characters; a
 text with fewer words than a shingle is one shingle; a null, empty or blank text has fingerprint 0
 and is linked like any other; equal texts share a fingerprint and so a component; rows whose key is
-null keep their fingerprint and get no component.
+null keep their fingerprint and get no component; very long texts are taken whole; of a group the smallest doc_id
+is the first, and rows that repeat a doc_id stay or go together; other columns, whatever their names, are carried along; an empty table gives no rows.
 """
 
 from __future__ import annotations

@@ -11,7 +11,9 @@ Bounds: a vote has three values and there are VOTERS voters, so there are at mos
 the classifier sees at most ``most_positive`` and ``most_negative`` labelled rows (all there are, below that).
 
 Defined results: a null or empty text has no words and gets the score of the bias alone; case does
-not matter; repeated rows get equal scores; without labelled training rows the fixed lexicons decide.
+not matter; repeated rows get equal scores; without labelled training rows the fixed lexicons decide; a row
+without a doc_id has no label and is scored like any other; very long texts are scored whole; equally good training rows are taken by
+a hash of their id; other columns, whatever their names, are not looked at, and ``keep_clean`` carries them along; an empty table gives no rows.
 """
 
 from __future__ import annotations
