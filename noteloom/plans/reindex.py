@@ -101,11 +101,11 @@ class Vault:
     def tags(self) -> artefacts.Published:
         """Writes the tag files and their index where they differ and deletes the files of tags that are gone."""
         described = cut(self.described_tags(), "described-tags")
-        done = artefacts.publish(artefacts.tag_lines(self.note_tags, described, f"{self.wiki}/tags"), self._written("tags").filter(F.col("path").rlike(r"/tags/[^/]+\.md$")).select("path", "content"))
         index = f"{self.wiki}/tags-index.md"
-        there = self.spark.read.text(index, wholetext=True) if Path(index).exists() else self.spark.createDataFrame([], "value string")
-        artefacts.publish(artefacts.index_lines(described, index), there.select(F.lit(index).alias("path"), F.col("value").alias("content")))
-        return done
+        there = self._written("tags").filter(F.col("path").rlike(r"/tags/[^/]+\.md$")).select("path", "content")
+        if Path(index).exists():
+            there = there.union(self.spark.read.text(index, wholetext=True).select(F.lit(index).alias("path"), F.col("value").alias("content")))
+        return artefacts.publish(artefacts.tag_lines(self.note_tags, described, f"{self.wiki}/tags").union(artefacts.index_lines(described, index)), there)
 
     def publish_graph(self, totals: DataFrame) -> str:
         """A new version of the graph and its export as JSON, unless nothing changed; returns the version's name."""
@@ -130,7 +130,8 @@ class Vault:
         )
         render.moc_index(moc.moc_index(self.clustered, self.config).orderBy("rank").collect(), self.wiki / "moc-index.md")
         dated = self.months()
-        done = {"tags": tagged.files, "months": dated.files, "written": tagged.written + dated.written, "deleted": tagged.deleted + dated.deleted, "nodes": totals["total_nodes"], "edges": totals["total_edges"]}
+        # Of the files of tags one is their index.
+        done = {"tags": tagged.files - 1, "months": dated.files, "written": tagged.written + dated.written, "deleted": tagged.deleted + dated.deleted, "nodes": totals["total_nodes"], "edges": totals["total_edges"]}
         self.log.append("wiki-reindex", f"{done['tags']} tags, {done['months']} months, {done['nodes']} nodes, {done['edges']} edges; {done['written']} files written, {done['deleted']} deleted", at=at)
         return done
 
