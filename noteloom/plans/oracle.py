@@ -172,7 +172,9 @@ ORACLE: dict[str, str] = {
         r AS (SELECT fname, row_number() OVER (PARTITION BY fname ORDER BY score DESC, candidate) AS rank, candidate, score FROM s)
         SELECT * FROM r WHERE rank <= 5""",
     "ingest_phrase_links": BASE + QUEUE + HAY + """
-        SELECT zp.fname, zp.phrase, h.fname AS candidate FROM zp JOIN h ON contains(h.hay, concat(' ', zp.phrase, ' '))""",
+,
+        zg AS (SELECT phrase, count(*) AS n_notes FROM zp GROUP BY phrase)
+        SELECT zg.phrase, n_notes, h.fname AS candidate FROM zg JOIN h ON contains(h.hay, concat(' ', zg.phrase, ' '))""",
     "ingest_project": BASE + QUEUE + """
         SELECT z.fname, 1::BIGINT AS rank, concat('plan n', o.doc_id, '0.md') AS project, 1::BIGINT AS score FROM z JOIN p o ON o.doc_id * 10 = z.doc_id WHERE list_contains(o.itags, 'quality') AND o.doc_id > 0""",
     "research_topics": BASE + """,

@@ -219,10 +219,14 @@ def ingest_links(spark, sf_dir):
 
 
 def ingest_phrase_links(spark, sf_dir):
-    """For every unprocessed note, whatever their number, the notes whose title or body holds a key phrase of its title."""
+    """For the key phrases of all unprocessed notes, whatever their number, how many of their titles have them and which notes' titles or bodies hold them.
+
+    Notes that share a phrase are counted, not set against all holders of it one by one.
+    """
     notes = _notes(spark, sf_dir)
-    wanted = phrases.key_phrases(ingest.unprocessed(notes, CONFIG).select("fname"))
-    return wanted.join(phrases.holders(notes, wanted).withColumnRenamed("fname", "candidate"), "phrase").select("fname", "phrase", "candidate")
+    wanted = cut(phrases.key_phrases(ingest.unprocessed(notes, CONFIG).select("fname")), "key-phrases")
+    asked = wanted.groupBy("phrase").agg(F.count(F.lit(1)).alias("n_notes"))
+    return phrases.holders(notes, asked).withColumnRenamed("fname", "candidate").join(asked, "phrase").select("phrase", "n_notes", "candidate")
 
 
 def ingest_project(spark, sf_dir):
