@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from noteloom.plans import artefacts, snapshots
 from noteloom.plans.reindex import Vault
-from noteloom.sources import markdown, vault
+from noteloom.sources import graph_json, markdown, vault
 
 
 @pytest.fixture
@@ -135,6 +135,12 @@ def test_graph_of_a_vault_as_snapshot_and_json(spark, tmp_path):
     data = json.loads((tmp_path / "wiki/data/links-graph.json").read_text())
     assert data["stats"] == totals.first().asDict() and len(data["edges"]) == edges.count() == 4
     assert list(data["nodes"]) == sorted(r["fname"] for r in nodes.collect()) and data["nodes"]["a.md"]["links_out"] == ["b.md", "c.md"]
+    odd = tmp_path / "other.json"
+    odd.write_text(json.dumps({"nodes": data["nodes"], "edges": data["edges"]}, indent=1))
+    for path in (tmp_path / "wiki/data/links-graph.json", odd):
+        read, links = graph_json.read(spark, str(path))
+        assert {r["fname"]: (r["links_out"], r["degree_in"], r["cluster"]) for r in read.collect()} == {r["fname"]: (r["links_out"], r["degree_in"], r["cluster"]) for r in nodes.collect()}
+        assert sorted(tuple(r) for r in links.collect()) == sorted((r["src"], r["dst"]) for r in edges.collect())
     members = {}
     for r in nodes.orderBy("fname").collect():
         members.setdefault(str(r["cluster"]), []).append(r["fname"])
