@@ -9,23 +9,20 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from noteloom.storage import spread
-
 
 def _sql(spark: SparkSession, sf_dir: str, query: str) -> DataFrame:
     tables = {n: spark.read.parquet(f"{sf_dir}/{n}.parquet") for n in ("documents", "labels")}
-    tables["documents"] = spread(tables["documents"])
     return spark.sql(query, **tables)
 
 
 def notes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """NOTES of all documents."""
+    """NOTES of all documents. Labels grow with them, so both are dealt by key at any size; that spreads the parsing too."""
     return _sql(
         spark,
         sf_dir,
         r"""
         WITH d AS (
-          SELECT d.doc_id, coalesce(d.text, '') AS text, d.source, upper(d.lang) AS lang, l.quality, l.toxic, d.doc_id - d.doc_id % 25 AS h,
+          SELECT /*+ MERGE(l) */ d.doc_id, coalesce(d.text, '') AS text, d.source, upper(d.lang) AS lang, l.quality, l.toxic, d.doc_id - d.doc_id % 25 AS h,
             CASE WHEN d.doc_id % 20 = 7 THEN 'daily notes' ELSE 'atoms' END AS source_dir
           FROM {documents} d LEFT JOIN {labels} l ON d.doc_id = l.doc_id),
         n AS (

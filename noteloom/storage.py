@@ -45,12 +45,6 @@ def ship(spark: SparkSession) -> None:
     _shipped.add(context.applicationId)
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """df over at least as many partitions as there are cores: a table of few files or row groups would be parsed by few tasks."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
-
-
 def release(spark: SparkSession) -> None:
     """Lets the context's cleaner see which shuffles and broadcasts no plan needs any more, so that executors' disks follow the step at hand."""
     gc.collect()
