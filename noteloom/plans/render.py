@@ -12,14 +12,18 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, Row
 
-#: Fixed texts of the artefacts.
+#: Fixed texts of the reports: descriptions, headings and heads of tables, in the order of the files.
 TEXTS = {
     "stats": "Статистика графа связей: хабы, сироты, мосты, кластеры, компоненты связности.",
     "links": "Топ предложений по связям на основе графового анализа (Common Neighbours + Jaccard).",
     "semantic": "Топ семантических предложений по связям на основе TF-IDF косинусного сходства.",
     "moc": "Индекс MOC-хабов (Maps of Content) — заметки-оглавления с высоким количеством связей.",
 }
-
+STATS, COMPONENTS, ORPHANS, BRIDGES, CLUSTERS = "# Graph Statistics", "## Компоненты связности", "## Сироты (без связей)", "## Мосты (межкластерные заметки)", "## Кластеры (label propagation)"
+HUB_TABLE = ("| # | Заметка | Degree | Out | In | Теги |", "|---|---------|--------|-----|----|------|")
+LINKS, SEMANTIC, MOC, DETAILS = "# Link Suggestions (Graph)", "# Semantic Link Suggestions (TF-IDF)", "# MOC index", "## Детали"
+LINK_TABLE = ("| # | Заметка A | Заметка B | Common | Jaccard | Общие теги |", "|---|-----------|-----------|--------|---------|------------|")
+SEMANTIC_TABLE = ("| # | Заметка A | Заметка B | Similarity | Общие теги |", "|---|-----------|-----------|------------|------------|")
 #: Fixed texts: the sections of a research document, and the columns of the preview of suggestions for the queue.
 SECTIONS = ("Краткий снимок", "Ключевые находки", "Выводы", "Источники")
 PREVIEW = ("#", "Заметка", "Текущие теги", "Предлагаемые теги", "Предлагаемые связи", "Проект")
@@ -48,16 +52,16 @@ def _links(names: Iterable[str]) -> str:
 
 def graph_stats(sizes: Row, hubs: list[Row], orphans: list[str], n_orphans: int, bridges: list[Row], report: Iterable[Row], n_clusters: int, path: str | Path) -> None:
     """orphans: the first ones of n_orphans; report: an iterator over n_clusters rows."""
-    lines = [*_head(TEXTS["stats"]), "# Graph Statistics", "", "## Компоненты связности"]
+    lines = [*_head(TEXTS["stats"]), STATS, "", COMPONENTS]
     lines += [f"- Всего компонент: {sizes['components']}", f"- Гигантская компонента: {sizes['giant']} заметок", f"- Мелких компонент (2–5 заметок): {sizes['small']}", f"- Изолированных (размер 1): {sizes['isolated']}", ""]
-    lines += [f"## Хабы (top-{len(hubs)})", "", "| # | Заметка | Degree | Out | In | Теги |", "|---|---------|--------|-----|----|------|"]
+    lines += [f"## Хабы (top-{len(hubs)})", "", *HUB_TABLE]
     lines += [f"| {k} | [[{h['fname']}]] | {h['degree']} | {h['degree_out']} | {h['degree_in']} | {_code(h['tags'][:3])} |" for k, h in enumerate(hubs, 1)]
-    lines += ["", "## Сироты (без связей)", f"Всего: {n_orphans} заметок", "", *[f"- [[{o}]]" for o in orphans]]
+    lines += ["", ORPHANS, f"Всего: {n_orphans} заметок", "", *[f"- [[{o}]]" for o in orphans]]
     lines += [f"- ... и ещё {n_orphans - len(orphans)}"] if n_orphans > len(orphans) else []
-    lines += ["", "## Мосты (межкластерные заметки)", ""]
+    lines += ["", BRIDGES, ""]
     for k, b in enumerate(bridges, 1):
         lines += [f"### {k}. [[{b['name']}]] (degree {b['degree']})", f"- Теги: {_code(b['tags'])}", f"- Теги соседей: {_code(b['neighbor_tags'][:5], '')}", f"- Пересечение: {_code(b['overlap'])}", ""]
-    lines += ["## Кластеры (label propagation)", f"Всего кластеров: {n_clusters}", ""]
+    lines += [CLUSTERS, f"Всего кластеров: {n_clusters}", ""]
     for c in report:
         tags = ", ".join(f"`{t['tag']}` ({t['count']})" for t in c["top_tags"]) or "—"
         lines += [f"### Кластер {c['cluster']} (размер: {c['size']})", f"- Топ-теги: {tags}", f"- Заметки: {_links(c['members'])}"]
@@ -67,27 +71,27 @@ def graph_stats(sizes: Row, hubs: list[Row], orphans: list[str], n_orphans: int,
 
 
 def link_suggestions(rows: list[Row], stats: Row, path: str | Path) -> None:
-    lines = [*_head(TEXTS["links"]), "# Link Suggestions (Graph)", "", f"Всего заметок: {stats['total_nodes']}, рёбер: {stats['total_edges']}", f"Найдено предложений: {len(rows)}", ""]
-    lines += ["| # | Заметка A | Заметка B | Common | Jaccard | Общие теги |", "|---|-----------|-----------|--------|---------|------------|"]
+    lines = [*_head(TEXTS["links"]), LINKS, "", f"Всего заметок: {stats['total_nodes']}, рёбер: {stats['total_edges']}", f"Найдено предложений: {len(rows)}", ""]
+    lines += LINK_TABLE
     lines += [f"| {r['rank']} | [[{r['a']}]] | [[{r['b']}]] | {r['common']} | {r['jaccard']} | {_code(r['shared_tags'])} |" for r in rows]
-    lines += ["", "## Детали", ""]
+    lines += ["", DETAILS, ""]
     for r in rows:
         lines += [f"### {r['rank']}. [[{r['a']}]] ↔ [[{r['b']}]]", f"- Common neighbours ({r['common']}): {_links(r['shared_neighbors'])}", f"- Jaccard: {r['jaccard']}", f"- Tags A: {_code(r['tags_a'])}", f"- Tags B: {_code(r['tags_b'])}", ""]
     _write(Path(path), lines)
 
 
 def semantic_suggestions(rows: list[Row], least: float, path: str | Path) -> None:
-    lines = [*_head(TEXTS["semantic"]), "# Semantic Link Suggestions (TF-IDF)", "", f"Найдено предложений: {len(rows)} (min similarity: {least})", ""]
-    lines += ["| # | Заметка A | Заметка B | Similarity | Общие теги |", "|---|-----------|-----------|------------|------------|"]
+    lines = [*_head(TEXTS["semantic"]), SEMANTIC, "", f"Найдено предложений: {len(rows)} (min similarity: {least})", ""]
+    lines += SEMANTIC_TABLE
     lines += [f"| {r['rank']} | [[{r['a']}]] | [[{r['b']}]] | {r['similarity']} | {_code(r['shared_tags'])} |" for r in rows]
-    lines += ["", "## Детали", ""]
+    lines += ["", DETAILS, ""]
     for r in rows:
         lines += [f"### {r['rank']}. [[{r['a']}]] ↔ [[{r['b']}]]", f"- Similarity: {r['similarity']}", f"- Tags A: {_code(r['tags_a'])}", f"- Tags B: {_code(r['tags_b'])}", ""]
     _write(Path(path), lines)
 
 
 def moc_index(rows: list[Row], path: str | Path) -> None:
-    lines = [*_head(TEXTS["moc"]), "# MOC index", ""]
+    lines = [*_head(TEXTS["moc"]), MOC, ""]
     for r in rows:
         lines += [f"## {r['rank']}. [[{r['fname']}]]", f"- Degree: {r['degree']} (out: {r['degree_out']}, in: {r['degree_in']})", f"- Tags: {_code(r['tags'])}", f"- Cluster: {r['cluster']} (size: {r['cluster_size']})", f"- Linked: {_links(r['linked'])}"]
         lines += [f"  ... и ещё {r['more']}"] if r["more"] else []
