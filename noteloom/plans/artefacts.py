@@ -64,6 +64,25 @@ def month_lines(dated: DataFrame, described: DataFrame, folder: str) -> DataFram
     return _head(described, path, head).union(_listed(dated.select("year", "month", "fname"), path, F.col("fname"), _bullet(F.col("fname"))))
 
 
+def stats_lines(head: list[str], report: DataFrame, path: str) -> DataFrame:
+    """LINES of the report on the graph (K5): its bounded head, and the clusters of report(cluster, size, top_tags, members), largest first."""
+    spark = report.sparkSession
+    first = spark.createDataFrame([(k, line) for k, line in enumerate(head)], "place int, line string").select(F.lit(path).alias("path"), "place", F.lit("").alias("key"), "line")
+    link = lambda x: F.concat(F.lit("[["), x, F.lit("]]"))
+    tags = F.array_join(F.transform("top_tags", lambda t: F.concat(F.lit("`"), t["tag"], F.lit("` ("), t["count"].cast("string"), F.lit(")"))), ", ")
+    more = F.col("size") - F.size("members")
+    lines = F.array_compact(F.array(
+        F.concat(F.lit("### Кластер "), F.col("cluster").cast("string"), F.lit(" (размер: "), F.col("size").cast("string"), F.lit(")")),
+        F.concat(F.lit("- Топ-теги: "), F.when(tags == "", F.lit("—")).otherwise(tags)),
+        F.concat(F.lit("- Заметки: "), F.array_join(F.transform("members", link), ", ")),
+        F.when(more > 0, F.concat(F.lit("  ... и ещё "), more.cast("string"))),
+        F.lit(""),
+    ))
+    order = F.concat(F.lpad((F.lit(10**15) - F.col("size")).cast("string"), 16, "0"), F.lpad(F.col("cluster").cast("string"), 20, "0"))
+    rows = report.select(order.alias("order"), F.posexplode(lines).alias("k", "line"))
+    return first.union(rows.select(F.lit(path).alias("path"), F.lit(LIST).alias("place"), F.concat("order", F.col("k").cast("string")).alias("key"), "line"))
+
+
 def graph_lines(nodes: DataFrame, edges: DataFrame, totals: DataFrame, path: str) -> DataFrame:
     """LINES of one JSON object of totals, nodes by name, edges and, once nodes have one, clusters (K3)."""
     one = lambda place, line: _head(nodes.sparkSession.range(1), F.lit(path), F.array(F.lit(line))).withColumn("place", F.lit(place))

@@ -52,6 +52,11 @@ class Vault:
         """(fname, path, content) of the artefacts of an earlier run below wiki/folder."""
         return vault.read_notes(self.spark, str(self.wiki), (folder,)).select("fname", "path", "content")
 
+    def _whole(self, path: str) -> DataFrame:
+        """(path, content) of a file, if it is there."""
+        held = self.spark.read.text(path, wholetext=True) if Path(path).exists() else self.spark.createDataFrame([], "value string")
+        return held.select(F.lit(path).alias("path"), F.col("value").alias("content"))
+
     def prior_descriptions(self, folder: str) -> DataFrame:
         """(name, description) of the artefacts of an earlier run below wiki/folder."""
         return self._written(folder).select(F.regexp_replace("fname", r"\.md$", "").alias("name"), T.description(T.frontmatter(F.col("content"))).alias("description"))
@@ -102,9 +107,7 @@ class Vault:
         """Writes the tag files and their index where they differ and deletes the files of tags that are gone."""
         described = cut(self.described_tags(), "described-tags")
         index = f"{self.wiki}/tags-index.md"
-        there = self._written("tags").filter(F.col("path").rlike(r"/tags/[^/]+\.md$")).select("path", "content")
-        if Path(index).exists():
-            there = there.union(self.spark.read.text(index, wholetext=True).select(F.lit(index).alias("path"), F.col("value").alias("content")))
+        there = self._written("tags").filter(F.col("path").rlike(r"/tags/[^/]+\.md$")).select("path", "content").union(self._whole(index))
         return artefacts.publish(artefacts.tag_lines(self.note_tags, described, f"{self.wiki}/tags").union(artefacts.index_lines(described, index)), there)
 
     def publish_graph(self, totals: DataFrame) -> str:
@@ -122,12 +125,14 @@ class Vault:
         held = cut(graph.stats(self.parsed, self.nodes), "totals")
         self.publish_graph(held)
         totals = held.first()
-        report = cut(clusters.report(self.clusters, self.nodes.select("fname", F.explode("tags").alias("tag"))), "report").orderBy(F.desc("size"), "cluster")
+        report = cut(clusters.report(self.clusters, self.nodes.select("fname", F.explode("tags").alias("tag"))), "report")
         orphans = analyze.orphans(self.nodes)
-        render.graph_stats(
+        head = render.graph_stats(
             components.size_classes(self.components).first(), analyze.hubs(self.nodes, self.config.top_n).collect(), [r["fname"] for r in orphans.limit(self.config.top_n).collect()], orphans.count(),
-            analyze.bridges(self.nodes, self.config.top_n).collect(), report.toLocalIterator(), report.count(), self.wiki / "data" / "graph-stats.md",
+            analyze.bridges(self.nodes, self.config.top_n).collect(), report.count(),
         )
+        path = f"{self.wiki}/data/graph-stats.md"
+        artefacts.publish(artefacts.stats_lines(head, report, path), self._whole(path))
         render.moc_index(moc.moc_index(self.clustered, self.config).orderBy("rank").collect(), self.wiki / "moc-index.md")
         dated = self.months()
         # Of the files of tags one is their index.

@@ -50,8 +50,8 @@ def _links(names: Iterable[str]) -> str:
     return ", ".join(f"[[{n}]]" for n in names)
 
 
-def graph_stats(sizes: Row, hubs: list[Row], orphans: list[str], n_orphans: int, bridges: list[Row], report: Iterable[Row], n_clusters: int, path: str | Path) -> None:
-    """orphans: the first ones of n_orphans; report: an iterator over n_clusters rows."""
+def graph_stats(sizes: Row, hubs: list[Row], orphans: list[str], n_orphans: int, bridges: list[Row], n_clusters: int) -> list[str]:
+    """The report's lines up to its clusters, which ``artefacts.stats_lines`` adds; orphans: the first ones of n_orphans."""
     lines = [*_head(TEXTS["stats"]), STATS, "", COMPONENTS]
     lines += [f"- Всего компонент: {sizes['components']}", f"- Гигантская компонента: {sizes['giant']} заметок", f"- Мелких компонент (2–5 заметок): {sizes['small']}", f"- Изолированных (размер 1): {sizes['isolated']}", ""]
     lines += [f"## Хабы (top-{len(hubs)})", "", *HUB_TABLE]
@@ -61,13 +61,7 @@ def graph_stats(sizes: Row, hubs: list[Row], orphans: list[str], n_orphans: int,
     lines += ["", BRIDGES, ""]
     for k, b in enumerate(bridges, 1):
         lines += [f"### {k}. [[{b['name']}]] (degree {b['degree']})", f"- Теги: {_code(b['tags'])}", f"- Теги соседей: {_code(b['neighbor_tags'][:5], '')}", f"- Пересечение: {_code(b['overlap'])}", ""]
-    lines += [CLUSTERS, f"Всего кластеров: {n_clusters}", ""]
-    for c in report:
-        tags = ", ".join(f"`{t['tag']}` ({t['count']})" for t in c["top_tags"]) or "—"
-        lines += [f"### Кластер {c['cluster']} (размер: {c['size']})", f"- Топ-теги: {tags}", f"- Заметки: {_links(c['members'])}"]
-        lines += [f"  ... и ещё {c['size'] - len(c['members'])}"] if c["size"] > len(c["members"]) else []
-        lines.append("")
-    _write(Path(path), lines)
+    return [*lines, CLUSTERS, f"Всего кластеров: {n_clusters}", ""]
 
 
 def link_suggestions(rows: list[Row], stats: Row, path: str | Path) -> None:

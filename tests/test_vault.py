@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from noteloom import config as settings
 from noteloom.operators import analyze, clusters, components, edit, graph, ingest, lint, suggest, tags, tfidf
-from noteloom.plans import render
+from noteloom.plans import artefacts, render
 from noteloom.plans.reindex import Vault
 from noteloom.sources import graph_json, vault
 from noteloom.streaming import incremental
@@ -367,11 +367,17 @@ def test_commands(spark, root, capsys):
         main(["research", root], spark)
 
 
-def test_reports_say_how_much_is_left_out(spark, tmp_path):
-    rows = [{"cluster": 3, "size": 12, "top_tags": [], "members": [f"m{k}.md" for k in range(10)]}]
-    render.graph_stats({"components": 1, "giant": 12, "small": 0, "isolated": 0}, [], ["o.md"], 5, [], iter(rows), 1, tmp_path / "s.md")
-    text = (tmp_path / "s.md").read_text(encoding="utf-8")
-    assert "  ... и ещё 2\n" in text and "- ... и ещё 4\n" in text and "Всего кластеров: 1" in text
+def test_reports_say_how_much_is_left_out(spark):
+    rows = [(3, 12, [], [f"m{k}.md" for k in range(10)]), (10, 3, [("a", 2), ("b", 1)], ["x.md", "y.md", "z.md"]), (4, 12, [], ["q.md"] * 10)]
+    report = spark.createDataFrame(rows, "cluster long, size long, top_tags array<struct<tag:string,count:long>>, members array<string>")
+    head = render.graph_stats({"components": 1, "giant": 12, "small": 0, "isolated": 0}, [], ["o.md"], 5, [], 3)
+    lines = [r["line"] for r in artefacts.stats_lines(head, report, "/p").orderBy("place", "key").collect()]
+    assert lines[: len(head)] == head and "- ... и ещё 4" in head and head[-2:] == ["Всего кластеров: 3", ""]
+    assert lines[len(head) :] == [
+        "### Кластер 3 (размер: 12)", "- Топ-теги: —", "- Заметки: " + ", ".join(f"[[m{k}.md]]" for k in range(10)), "  ... и ещё 2", "",
+        "### Кластер 4 (размер: 12)", "- Топ-теги: —", "- Заметки: " + ", ".join(["[[q.md]]"] * 10), "  ... и ещё 2", "",
+        "### Кластер 10 (размер: 3)", "- Топ-теги: `a` (2), `b` (1)", "- Заметки: [[x.md]], [[y.md]], [[z.md]]", "",
+    ]
 
 
 def test_frontmatter_map_in_sql(spark):
