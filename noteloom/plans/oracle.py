@@ -116,7 +116,9 @@ ORACLE: dict[str, str] = {
         SELECT tag, chunk::BIGINT AS chunk, count(*) AS n_files, min(fname) AS first, max(fname) AS last, string_agg(fname, ',' ORDER BY fname) AS files FROM r GROUP BY tag, chunk""",
     "month_chunks": BASE + """,
         s AS (SELECT fname, concat(lpad(cast(2023 + doc_id % 3 AS varchar), 4, '0'), '-', lpad(cast(1 + doc_id % 12 AS varchar), 2, '0')) AS month FROM p)
-        SELECT month, ((count(*) + 99) // 100)::BIGINT AS chunks, count(*) AS n, min(fname) AS first, max(fname) AS last FROM s GROUP BY month""",
+,
+        r AS (SELECT month, fname, (row_number() OVER (PARTITION BY month ORDER BY fname) - 1) // 100 AS chunk, count(*) OVER (PARTITION BY month) AS n_month FROM s)
+        SELECT month, chunk::BIGINT AS chunk, ((any_value(n_month) + 99) // 100)::BIGINT AS chunks, count(*) AS n, any_value(n_month) AS n_month, min(fname) AS first, max(fname) AS last FROM r GROUP BY month, chunk""",
     "tag_search": BASE + " SELECT fname FROM t WHERE tag = 'en'",
     "tags_consolidated": BASE + " SELECT tag, concat('about ', tag) AS description FROM i WHERE regexp_matches(tag, '[13579]$')",
     "stale_tags": BASE + " SELECT DISTINCT lower(unnest(itags)) AS tag FROM p EXCEPT SELECT tag FROM i",

@@ -67,10 +67,11 @@ def tag_index_chunks(spark, sf_dir):
 
 
 def month_chunks(spark, sf_dir):
-    """The directory of the calendar's lists, in chunks of 100 notes."""
+    """The calendar as chunks of 100 notes, and the number of chunks of each month by the directory."""
     found = dates.dated(_notes(spark, sf_dir).select("fname", "source_dir"))
-    chunks = postings.build(found.select(F.concat_ws("-", "year", "month").alias("key"), F.col("fname").alias("name")), chunk=100)
-    return postings.directory(chunks).withColumnRenamed("key", "month")
+    chunks = cut(postings.build(found.select(F.concat_ws("-", "year", "month").alias("key"), F.col("fname").alias("name")), chunk=100), "chunks")
+    known = postings.directory(chunks).select("key", "chunks", F.col("n").alias("n_month"))
+    return chunks.join(known, "key").select(F.col("key").alias("month"), "chunk", "chunks", "n", "n_month", "first", "last")
 
 
 def tag_search(spark, sf_dir):

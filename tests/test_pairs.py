@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from noteloom import config as settings
-from noteloom.operators import graph, pairs, phrases, research, suggest, tfidf
+from noteloom.operators import graph, pairs, phrases, postings, research, suggest, tfidf
 from noteloom.sources import vault
 
 
@@ -109,6 +109,22 @@ def test_phrases_stand_in_title_or_body_term_by_term(spark):
     assert found == {"теория графов": {"202501010001 Теория графов.md", "b.md"}, "теория": {"202501010001 Теория графов.md", "b.md", "c.md", "d теория.md"}, "графов": {"202501010001 Теория графов.md", "b.md", "c.md", "d теория.md", "e.md"}, "данные": {"b.md"}}
 
 
+def test_posting_lists_in_chunks(spark):
+    """Chunks do not depend on how rows are dealt, hold at most their number of names, and pages open only what they need."""
+    rng = random.Random(6)
+    lists = {"hot": sorted(f"n{k:05}" for k in range(2345)), "mid": sorted({f"m{rng.randrange(500)}" for _ in range(300)}), "one": ["x"]}
+    rows = spark.createDataFrame([(k, n) for k, names in lists.items() for n in names] + [("one", "x")], "key string, name string")
+    for dealt in (rows.repartition(1), rows.repartition(7)):
+        chunks = postings.build(dealt, chunk=100)
+        held = {(r["key"], r["chunk"]): (r["n"], r["first"], r["last"], r["names"]) for r in chunks.collect()}
+        wanted = {(k, i // 100): (len(p), p[0], p[-1], p) for k, names in lists.items() for i in range(0, len(names), 100) if (p := names[i : i + 100])}
+        assert held == wanted
+    assert {tuple(r) for r in postings.directory(chunks).collect()} == {(k, -(-len(v) // 100), len(v), v[0], v[-1]) for k, v in lists.items()}
+    assert [r["name"] for r in postings.page(chunks, "hot", 195, 120, chunk=100).collect()] == lists["hot"][195:315]
+    assert sorted(r["name"] for r in postings.between(chunks, "mid", "m2", "m33").collect()) == [n for n in lists["mid"] if "m2" <= n <= "m33"]
+    assert postings.build(rows.limit(0)).count() == 0
+
+
 def test_keywords_inside_tags(spark):
     rng = random.Random(8)
     texts = [(f"t{k}", "".join(rng.choice("abAB ё") for _ in range(rng.randint(0, 12)))) for k in range(200)]
