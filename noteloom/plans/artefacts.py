@@ -15,6 +15,10 @@ from pyspark.sql import functions as F
 from noteloom.sources import markdown
 from noteloom.storage import cut
 
+#: Fixed texts of the files: the index of tags, and the lines of a cluster in the report on the graph.
+INDEX_HEAD = "# Tags index"
+CLUSTER, SIZE, TOP_TAGS, MEMBERS, MORE = "### Кластер ", " (размер: ", "- Топ-теги: ", "- Заметки: ", "  ... и ещё "
+
 LINES = "path string, place int, key string, line string"
 #: The place of a file's list, after its head.
 LIST = 1000
@@ -51,7 +55,7 @@ def tag_lines(tags: DataFrame, described: DataFrame, folder: str) -> DataFrame:
 
 def index_lines(described: DataFrame, path: str) -> DataFrame:
     """LINES of the index of tags that have a description, by file name (K2)."""
-    head = _head(described.sparkSession.range(1), F.lit(path), F.array(F.lit("# Tags index"), F.lit("")))
+    head = _head(described.sparkSession.range(1), F.lit(path), F.array(F.lit(INDEX_HEAD), F.lit("")))
     rows = described.filter("description is not null")
     return head.union(_listed(rows, F.lit(path), F.concat("tag", F.lit(".md")), F.concat(F.lit("- #"), "tag", F.lit(" — "), "description")))
 
@@ -72,10 +76,10 @@ def stats_lines(head: list[str], report: DataFrame, path: str) -> DataFrame:
     tags = F.array_join(F.transform("top_tags", lambda t: F.concat(F.lit("`"), t["tag"], F.lit("` ("), t["count"].cast("string"), F.lit(")"))), ", ")
     more = F.col("size") - F.size("members")
     lines = F.array_compact(F.array(
-        F.concat(F.lit("### Кластер "), F.col("cluster").cast("string"), F.lit(" (размер: "), F.col("size").cast("string"), F.lit(")")),
-        F.concat(F.lit("- Топ-теги: "), F.when(tags == "", F.lit("—")).otherwise(tags)),
-        F.concat(F.lit("- Заметки: "), F.array_join(F.transform("members", link), ", ")),
-        F.when(more > 0, F.concat(F.lit("  ... и ещё "), more.cast("string"))),
+        F.concat(F.lit(CLUSTER), F.col("cluster").cast("string"), F.lit(SIZE), F.col("size").cast("string"), F.lit(")")),
+        F.concat(F.lit(TOP_TAGS), F.when(tags == "", F.lit("—")).otherwise(tags)),
+        F.concat(F.lit(MEMBERS), F.array_join(F.transform("members", link), ", ")),
+        F.when(more > 0, F.concat(F.lit(MORE), more.cast("string"))),
         F.lit(""),
     ))
     order = F.concat(F.lpad((F.lit(10**15) - F.col("size")).cast("string"), 16, "0"), F.lpad(F.col("cluster").cast("string"), 20, "0"))

@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 #: An entry: its id, when and by which command, what was done, and a line for each file that was changed. ``raw`` is the text of an
 #: older log that was there before the table.
 ENTRY = "id string, ts timestamp, command string, summary string, changes array<string>, raw string"
+#: Fixed texts of an entry, and the commands that are logged.
+COMMAND, CHANGES = "**Command:**", "### Changes"
 COMMANDS = ("wiki-reindex", "wiki-research", "wiki-analyze", "wiki-lint", "wiki-ingest")
 
 
@@ -54,7 +56,7 @@ class OpLog:
 
 
 def text(command: str, summary: str, changes: list[str], at: datetime) -> str:
-    lines = [f"## {at:%Y-%m-%d %H:%M}", "", f"**Command:** {command}", "", summary]
+    lines = [f"## {at:%Y-%m-%d %H:%M}", "", f"{COMMAND} {command}", "", summary]
     if changes:
-        lines += ["", "### Changes", *[f"- {c}" for c in changes]]
+        lines += ["", CHANGES, *[f"- {c}" for c in changes]]
     return "\n".join(lines) + "\n"
