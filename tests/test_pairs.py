@@ -82,6 +82,34 @@ def test_cosine_join_is_exact_and_forms_few_pairs(spark, least):
     assert len(found) <= tried <= max(shared / 4, 2.5 * len(found))
 
 
+def test_rare_and_common_terms_weigh_alike(spark, monkeypatch):
+    """Weights do not depend on which terms every task gets; terms and notes are not dealt together with all their tokens twice."""
+    docs = spark.createDataFrame([*made_docs(random.Random(9), 60), ("none", []), ("null", None)], "fname string, tokens array<string>")
+    whole = {(r["fname"], r["term"]): (r["df"], r["w"]) for r in tfidf.weights(docs).collect()}
+    lengths = Counter()
+    for (fname, _), (_, w) in whole.items():
+        lengths[fname] += w * w
+    assert len(lengths) == 60 and all(abs(x - 1) < 1e-9 for x in lengths.values())
+    plan = tfidf.weights(docs)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in plan and "Aggregate" not in plan
+    monkeypatch.setattr(tfidf, "MOST_TERMS", 30)
+    parts = {(r["fname"], r["term"]): (r["df"], r["w"]) for r in tfidf.weights(docs).collect()}
+    assert parts.keys() == whole.keys() and all(parts[k][0] == d and abs(parts[k][1] - w) < 1e-12 for k, (d, w) in whole.items())
+
+
+def test_the_whole_corpus_is_that_of_the_nodes(spark):
+    """Of files with equal names the one with the largest path counts, excluded and short notes have no tokens."""
+    long = " ".join(f"word{k}" for k in range(60))
+    rows = [("a.md", "atoms/1/a.md", "atoms", long), ("a.md", "atoms/2/a.md", "atoms", long.replace("word", "term")), ("b.md", "atoms/b.md", "atoms", "short"), ("c.md", "daily notes/c.md", "daily notes", long)]
+    rows += [("d.md", "atoms/d.md", "atoms", "---\ntags: daily-note\n---\n" + long), ("e.md", "atoms/e.md", "atoms", long), ("f.md", "atoms/f.md", "atoms", None)]
+    notes = spark.createDataFrame(rows, vault.NOTES)
+    config = settings.Config(max_semantic_notes=None)
+    nodes = graph.nodes(vault.parse(notes))
+    plain = {r["fname"]: r["tokens"] for r in tfidf.corpus(nodes, notes, config).collect() if r["tokens"]}
+    whole = {r["fname"]: r["tokens"] for r in tfidf.whole_corpus(vault.parse(notes), config).collect() if r["tokens"]}
+    assert whole == plain and set(whole) == {"a.md", "e.md"} and whole["a.md"][0] == "term0"
+
+
 def test_all_pairs_are_refused_beyond_a_bound(spark, monkeypatch):
     held = spark.createDataFrame([("a", "t", 2, 1.0), ("b", "t", 2, 1.0), ("c", "u", 1, 1.0)], "fname string, term string, df long, w double")
     assert tfidf.similar(held, 0.0).count() == 3
