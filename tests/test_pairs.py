@@ -82,6 +82,28 @@ def test_cosine_join_is_exact_and_forms_few_pairs(spark, least):
     assert len(found) <= tried <= max(shared / 4, 2.5 * len(found))
 
 
+@pytest.mark.parametrize("block, tile, dense, columns, listed", [(64, 16, 0.01, 8, 100), (1000, 1000, 2.0, 8, 1 << 20), (100, 7, 0.0, 3, 10)])
+def test_blocks_of_notes_make_the_same_pairs_and_deal_none(spark, monkeypatch, block, tile, dense, columns, listed):
+    """Pairs of blocks agree with all pairs, however terms are dealt with, and nothing is dealt after blocks have met."""
+    for name, value in (("BLOCK", block), ("TILE", tile), ("DENSE", dense), ("COLUMNS", columns), ("LISTED", listed)):
+        monkeypatch.setattr(tfidf, name, value)
+    docs = made_docs(random.Random(5), 250)
+    docs += [(f"copy{k}", docs[7][1]) for k in range(20)]
+    held = tfidf.weights(spark.createDataFrame(docs, "fname string, tokens array<string>"))
+    vectors = {}
+    for r in held.collect():
+        vectors.setdefault(r["fname"], {})[r["term"]] = r["w"]
+    links = [("d0007", "copy3"), ("d0001", "copy3"), ("d0001", "gone"), *[(f"d{k:04}", f"d{k + 1:04}") for k in range(0, 200, 3)]]
+    every = {(a, b) for a, b in links} | {(b, a) for a, b in links}
+    wanted = {(a, b): sum(w * vectors[b].get(t, 0) for t, w in vectors[a].items()) for a, b in combinations(sorted(vectors), 2) if (a, b) not in every}
+    met = tfidf.cells(held, 0.3, spark.createDataFrame(sorted(every), "a string, b string"))
+    found = [(r["a"], r["b"], r["similarity"]) for r in met.collect()]
+    assert sorted((a, b) for a, b, _ in found) == sorted(k for k, s in wanted.items() if s >= 0.3)
+    assert all(abs(s - wanted[a, b]) <= 1e-4 for a, b, s in found)
+    plan = met._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" in plan and "Exchange" not in plan.split("CartesianProduct")[0]
+
+
 def test_rare_and_common_terms_weigh_alike(spark, monkeypatch):
     """Weights do not depend on which terms every task gets; terms and notes are not dealt together with all their tokens twice."""
     docs = spark.createDataFrame([*made_docs(random.Random(9), 60), ("none", []), ("null", None)], "fname string, tokens array<string>")
