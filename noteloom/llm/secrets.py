@@ -19,6 +19,9 @@ table gives no rows.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -30,6 +33,10 @@ BASE = {
     "access": (r"AKIA[A-Z0-9]+", 0, 18),
     "hex": (r"[0-9a-f]{16,}", 0, 16),  # runs below 16 are dropped anyway, and runs do not touch
 }
+#: What a text has to hold, in lower case, for a pattern of these kinds to match, or else a run (RUN): looked for first, as that is much cheaper than the patterns.
+WORDS = {"assign": ("assw", "secret", "token", "api"), "access": ("akia",), "hex": ()}
+#: The beginning of a run that may hold a match of the kinds without words.
+RUN = r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16}"
 #: Further candidates: pattern, group that holds the value, its least length, and patterns that the value has to hold.
 MORE = (
     (r"[A-Za-z0-9+/_-]{20,}", 0, 20, ("[a-z]", "[A-Z]", "[0-9]")),
@@ -37,6 +44,8 @@ MORE = (
     (r"""(?i)\b(pwd|pass|auth|bearer|credentials?|passphrase|private_?key|access_?key)["']?\x20*[:=\x20]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 12, ("[0-9]", "[A-Za-z]")),
     (r"[a-z][a-z0-9+.-]*://[^\s/:@]+:([^\s/:@]+)@", 1, 6, ()),
 )
+#: The same for these.
+MORE_WORDS = ((), (), ("pwd", "pass", "auth", "bearer", "credential", "key"), ("://",))
 #: From so many owners, or repositories, on a value counts as a widely copied example.
 COPIED_OWNERS, COPIED_REPOSITORIES = 3, 25
 #: Matches of a text that are folded at once.
@@ -45,9 +54,11 @@ OPEN, MIDDLE, CLOSE = "\ue000", "\ue001", "\ue002"
 SPAN = "array<struct<start:int,rank:int,end:int,value:bigint>>"
 
 
-def _marked_spans(text: Column, pattern: str, group: int, least: int, rank: int, held_by: tuple[str, ...] = ()) -> Column:
-    """The pattern's matches whose value has ``least`` characters or more and holds each pattern of ``held_by``, as SPAN."""
-    marked = F.split(F.regexp_replace(text, pattern, f"{OPEN}$0{MIDDLE}${group}{CLOSE}"), OPEN)
+def _marked_spans(text: Column, ready: Column, pattern: str, group: int, least: int, rank: int, held_by: tuple[str, ...] = ()) -> Column:
+    """The pattern's matches whose value has ``least`` characters or more and holds each pattern of ``held_by``, as SPAN.
+
+    A text has a match only if it is ``ready``; those that have one are marked and split once, however many matches they have.
+    """
     none = F.expr(f"cast(array() as {SPAN})")
 
     def step(held: Column, part: Column) -> Column:
@@ -59,17 +70,23 @@ def _marked_spans(text: Column, pattern: str, group: int, least: int, rank: int,
             good = good & value.rlike(x)
         return F.struct((end + F.length(F.substring_index(part, CLOSE, -1))).alias("at"), F.when(good, F.concat(held["out"], F.array(span))).otherwise(held["out"]).alias("out"))
 
-    def block(k: Column) -> Column:
-        """Length and spans of a block of matches, as from its own start."""
-        return F.aggregate(F.slice(marked, 2 + k * FOLDED, F.lit(FOLDED)), F.struct(F.lit(0).alias("at"), none.alias("out")), step)
-
     def place(held: Column, part: Column) -> Column:
         moved = F.transform(part["out"], lambda s: F.struct((held["at"] + s["start"]).alias("start"), s["rank"], (held["at"] + s["end"]).alias("end"), s["value"]))
         return F.struct((held["at"] + part["at"]).alias("at"), F.concat(held["out"], F.array(moved)).alias("out"))
 
-    blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(marked) - 2) / FOLDED).cast("int")), block)
-    start = F.struct(F.length(marked[0]).alias("at"), F.expr(f"cast(array() as array<{SPAN}>)").alias("out"))
-    return F.when(text.rlike(pattern), F.flatten(F.aggregate(blocks, start, place)["out"])).otherwise(none)
+    def spans(marked: Column) -> Column:
+        """``marked`` is a variable here: what it stands for is not made again for each block."""
+
+        def block(k: Column) -> Column:
+            """Length and spans of a block of matches, as from its own start."""
+            return F.aggregate(F.slice(marked, 2 + k * FOLDED, F.lit(FOLDED)), F.struct(F.lit(0).alias("at"), none.alias("out")), step)
+
+        blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(marked) - 2) / FOLDED).cast("int")), block)
+        start = F.struct(F.length(marked[0]).alias("at"), F.expr(f"cast(array() as array<{SPAN}>)").alias("out"))
+        return F.flatten(F.aggregate(blocks, start, place)["out"])
+
+    marked = F.split(F.regexp_replace(text, pattern, f"{OPEN}$0{MIDDLE}${group}{CLOSE}"), OPEN)
+    return F.when(ready & text.rlike(pattern), F.get(F.transform(F.array(marked), spans), F.lit(0))).otherwise(none)
 
 
 def candidates(docs: DataFrame, source: str = "source") -> DataFrame:
@@ -77,8 +94,10 @@ def candidates(docs: DataFrame, source: str = "source") -> DataFrame:
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     held = docs.select("doc_id", F.col(source).cast("string").alias("owner"), text.alias("text"))
     held = held.withColumn("text", F.when(F.col("text").rlike(f"[{OPEN}{MIDDLE}{CLOSE}]"), F.translate("text", OPEN + MIDDLE + CLOSE, "\ufffd" * 3)).otherwise(F.col("text")))
-    found = [_marked_spans(F.col("text"), *rule, rank) for rank, rule in enumerate(BASE.values())]
-    found += [_marked_spans(F.col("text"), *rule, len(BASE), held_by) for *rule, held_by in MORE]
+    held = held.withColumns({"low": F.lower("text"), "run": F.col("text").rlike(RUN)})
+    ready = lambda words: reduce(or_, [F.contains("low", F.lit(w)) for w in words]) if words else F.col("run")
+    found = [_marked_spans(F.col("text"), ready(WORDS[kind]), *rule, rank) for rank, (kind, rule) in enumerate(BASE.items())]
+    found += [_marked_spans(F.col("text"), ready(words), *rule, len(BASE), held_by) for (*rule, held_by), words in zip(MORE, MORE_WORDS)]
     return held.select(F.monotonically_increasing_id().alias("row"), "doc_id", "owner", F.array_distinct(F.concat(*found)).alias("spans"))
 
 

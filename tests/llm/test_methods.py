@@ -325,6 +325,24 @@ def test_many_matches_of_one_text(spark):
     assert [(s["start"], s["end"]) for s in found["spans"] if s["rank"] == 0] == spans and len(spans) == 1000
 
 
+def test_matches_are_marked_once_and_only_where_they_may_be(spark):
+    """A pattern is looked for only in texts that hold what it needs, and what it marks is not made again for each block of matches."""
+    import re
+
+    texts = ["PaSsWoRd: abcdefghijkl0", "ToKeN=abcdefghijkl1", "aPi_KeY = abcdefghijkl2", "x AKIA" + "B1" * 8, "+" * 7 + "0123456789abcdef", "é0123456789ABCDEF.", "PWD=abcdefghijkl3", "Private_Key abcdefghijkl4", "ftp://me:s3cretpw@host", "Zx9" * 7, "акia"]
+    rows = spark.createDataFrame([(k, t, f"s{k}") for k, t in enumerate(texts)], "doc_id long, text string, source string")
+    found = {r["doc_id"]: [(s["start"], s["rank"], s["end"]) for s in r["spans"]] for r in secrets.candidates(rows).collect()}
+    for k, text_ in enumerate(texts):
+        wanted = set()
+        for rank, (pattern, group, least) in enumerate(secrets.BASE.values()):
+            wanted |= {(m.start(), rank, m.end()) for m in re.finditer(pattern, text_) if len(m[group]) >= least}
+        for pattern, group, least, held_by in secrets.MORE:
+            wanted |= {(m.start(), 3, m.end()) for m in re.finditer(pattern, text_) if len(m[group]) >= least and all(re.search(x, m[group]) for x in held_by)}
+        assert set(found[k]) == wanted and bool(wanted) == (k < len(texts) - 1)
+    plans = secrets.candidates(rows)._jdf.queryExecution().optimizedPlan().toString()
+    assert plans.count("regexp_replace(text") == len(secrets.BASE) + len(secrets.MORE)
+
+
 def test_quality_separates_junk(spark):
     docs = table(spark, "/root/testdata/sf0.01", "documents")
     labels = {r["doc_id"]: r["quality"] for r in table(spark, "/root/testdata/sf0.01", "labels").collect()}
