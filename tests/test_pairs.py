@@ -51,6 +51,29 @@ def test_link_counts_of_random_graphs(spark):
     assert all(abs(found[k][1] - wanted[k][1]) <= 1e-4 for k in wanted)
 
 
+@pytest.mark.parametrize("carried", [0, 2, 4, 64])
+def test_link_pairs_are_finished_where_they_meet(spark, monkeypatch, carried):
+    """Short and long notes agree with all pairs; pairs of short ones are not dealt again."""
+    monkeypatch.setattr(suggest, "CARRIED", carried)
+    rng = random.Random(4)
+    names = [f"n{k:02}.md" for k in range(40)]
+    links = {n: sorted({rng.choice([*names, "hub.md", "hub.md"]) for _ in range(rng.randint(0, 7))} - {n}) for n in names}
+    dirs = {n: "daily notes" if k % 7 == 0 else "atoms" for k, n in enumerate(names)}
+    parsed = spark.createDataFrame([(n, f"{dirs[n]}/{n}", dirs[n], [], links[n], []) for n in names], "fname string, path string, source_dir string, tags array<string>, links_fm array<string>, links_body array<string>")
+    for mode, drop in (("either", lambda a, b: "daily notes" in (dirs[a], dirs[b])), ("both", lambda a, b: dirs[a] == dirs[b] == "daily notes")):
+        counts = suggest.link_counts(graph.nodes(parsed), settings.Config(exclude_mode=mode))
+        found = sorted((r["a"], r["b"], r["common"], round(r["jaccard"], 3)) for r in counts.collect())
+        wanted = []
+        for a, b in combinations(names, 2):
+            both = set(links[a]) & set(links[b])
+            if both and b not in links[a] and not drop(a, b):
+                wanted.append((a, b, len(both), len(both) / len(set(links[a]) | set(links[b]))))
+        assert [x[:3] for x in found] == [x[:3] for x in wanted] and all(abs(x[3] - y[3]) < 1e-3 for x, y in zip(found, wanted))
+    if carried == 64:
+        plan = counts._jdf.queryExecution().optimizedPlan().toString()
+        assert "Aggregate" not in plan.split("Join")[0] and plan.count("Join Inner") == 3 and "LeftAnti" not in plan
+
+
 def made_docs(rng, n):
     """Documents of a few topics with common words everywhere."""
     out = []
