@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -55,9 +58,13 @@ def tag_suggestions(words: DataFrame, index: DataFrame, assigned: DataFrame, n:
 
 
 def only_daily(notes: DataFrame) -> DataFrame:
-    """(fname) of the notes that have tags, and none but those of daily notes; a name of several notes is one if all are."""
+    """(fname) of the notes that have tags, and none but those of daily notes; a name of several notes is one if all are.
+
+    Tags are looked for only in notes in which such a tag stands somewhere.
+    """
     found = F.transform(F.array_union(T.index_tags(T.frontmatter(F.col("content"))), T.hashtags(T.body(F.col("content")))), lambda t: F.lower(t))
-    return notes.select("fname", only_tags(found, DAILY).alias("daily")).groupBy("fname").agg(F.bool_and("daily").alias("daily")).filter("daily").select("fname")
+    some = reduce(or_, [F.contains(F.lower("content"), F.lit(t)) for t in DAILY])
+    return notes.select("fname", F.when(some, only_tags(found, DAILY)).when(~some, F.lit(False)).alias("daily")).groupBy("fname").agg(F.bool_and("daily").alias("daily")).filter("daily").select("fname")
 
 
 def link_suggestions(queue: DataFrame, notes: DataFrame, tags: DataFrame, links: DataFrame, suggested: DataFrame, n: int = 5) -> DataFrame:

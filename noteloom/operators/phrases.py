@@ -36,12 +36,21 @@ def key_phrases(titles: DataFrame, stop: tuple[str, ...] = T.STOP_WORDS) -> Data
     return titles.select("fname", F.explode(F.array_union(runs, F.flatten(F.transform(runs, lambda p: F.split(p, " "))))).alias("phrase")).distinct()
 
 
+#: Terms up to which the places of others are left out inside a note's row, before rows are made of them.
+FEW_TERMS = 1000
+
+
 def postings(notes: DataFrame, wanted: DataFrame) -> DataFrame:
     """(term, path, fname, place): where the terms of wanted(term) stand in title and body of notes(fname, path, content).
 
     Every text is read once, however many terms are wanted; an empty term keeps phrases from running from a title into the body.
     """
     text = F.concat(terms(title(F.col("fname"))), F.array(F.lit("")), terms(T.body(F.col("content"))))
+    few = [r[0] for r in wanted.limit(FEW_TERMS + 1).collect()]
+    if len(few) <= FEW_TERMS:
+        places = F.transform(text, lambda w, k: F.when(w.isin(*few), F.struct(k.alias("place"), w.alias("term"))))
+        found = notes.select("path", "fname", F.explode(F.filter(places, lambda p: p.isNotNull())).alias("p"))
+        return found.select(F.col("p.term").alias("term"), "path", "fname", F.col("p.place").alias("place"))
     return notes.select("path", "fname", F.posexplode(text).alias("place", "term")).join(wanted, "term", "left_semi")
 
 

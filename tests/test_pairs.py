@@ -182,6 +182,18 @@ def test_phrases_stand_in_title_or_body_term_by_term(spark):
     assert found == {"теория графов": {"202501010001 Теория графов.md", "b.md"}, "теория": {"202501010001 Теория графов.md", "b.md", "c.md", "d теория.md"}, "графов": {"202501010001 Теория графов.md", "b.md", "c.md", "d теория.md", "e.md"}, "данные": {"b.md"}}
 
 
+def test_places_of_few_and_of_many_terms(spark, monkeypatch):
+    """Few wanted terms are picked inside a note's row, with the places that the join by term gives."""
+    notes = spark.createDataFrame([("a b.md", "x/a b.md", "x", "b c\na"), ("c.md", "x/c.md", "x", "---\nq: a\n---\nA-b a"), ("d.md", "x/d.md", "x", None)], vault.NOTES)
+    wanted = spark.createDataFrame([("a",), ("c",), ("md",)], "term string")
+    few = phrases.postings(notes, wanted)
+    assert "Join" not in few._jdf.queryExecution().optimizedPlan().toString()
+    found = sorted(tuple(r[c] for c in ("term", "path", "place")) for r in few.collect())
+    assert found == [("a", "x/a b.md", 0), ("a", "x/a b.md", 5), ("a", "x/c.md", 3), ("c", "x/a b.md", 4), ("c", "x/c.md", 0)]
+    monkeypatch.setattr(phrases, "FEW_TERMS", 2)
+    assert sorted(tuple(r[c] for c in ("term", "path", "place")) for r in phrases.postings(notes, wanted).collect()) == found
+
+
 def test_posting_lists_in_chunks(spark):
     """Chunks do not depend on how rows are dealt, hold at most their number of names, and pages open only what they need."""
     rng = random.Random(6)
