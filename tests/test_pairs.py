@@ -2,9 +2,12 @@
 
 import math
 import random
+import tracemalloc
 from collections import Counter
 from itertools import combinations
 
+import duckdb
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -127,6 +130,40 @@ def test_blocks_of_notes_make_the_same_pairs_and_deal_none(spark, monkeypatch, b
     assert "CartesianProduct" in plan and "Exchange" not in plan.split("CartesianProduct")[0]
 
 
+def as_block(number, notes, linked=()):
+    """A block of notes {name: {term: weight}}, as a task gets it."""
+    rows = [(number, name, term, w) for name, held in notes.items() for term, w in held.items()]
+    made = [pa.table(dict(zip(names, map(list, zip(*rows)) if rows else [[]] * len(names)))) for names, rows in ((("block", "fname", "term", "w"), rows), (("block", "a", "b"), [(number, *x) for x in linked]))]
+    made[1] = made[1].cast(pa.schema({"block": pa.int32(), "a": pa.string(), "b": pa.string()}))
+    row = tfidf._block((number,), *made)
+    return {c: v.values if isinstance(v := row[c][0], pa.ListScalar) else v.as_py() for c in row.column_names}
+
+
+def test_listed_pairs_of_terms_need_no_more_room_than_a_tile():
+    """Two blocks of 1,500 notes list four million products, at most LISTED of them at once."""
+    rng = random.Random(8)
+    x, y = (as_block(k, {f"n{k}-{i:04}": {f"t{t}": 0.1 for t in rng.sample(range(2000), 60)} for i in range(1500)}) for k in (0, 1))
+    tracemalloc.start()
+    found = sum(len(s) for _, _, s in tfidf._met(x, y, 0.05))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert found > 10_000 and peak < 30_000_000
+
+
+def test_pairs_leave_the_task_named_in_order_and_rounded_as_in_sql(spark):
+    """Nothing is left to do for a pair after its task: names stand in order, whatever their block, and halves are rounded up."""
+    x = as_block(0, {"b": {"t": 0.5}, "é": {"t": 1.0}, "d": {"t": 0.30005}, "Z": {"t": 0.7}}, [("b", "c")])
+    y = as_block(1, {"a": {"t": 1.0}, "c": {"t": 0.62345}, "😀": {"t": 0.9}})
+    found = [tuple(r.values()) for one, other in ((x, y), (x, x), (y, y)) for batch in tfidf._named(one, other, 0.2) for r in batch.to_pylist()]
+    w = {"b": 0.5, "é": 1.0, "d": 0.30005, "Z": 0.7, "a": 1.0, "c": 0.62345, "😀": 0.9}
+    pairs_ = [(a, b) for a, b in combinations(sorted(w), 2) if (a, b) != ("b", "c") and w[a] * w[b] >= 0.2]
+    sql = duckdb.execute("SELECT list(round(s, 4)) FROM (SELECT unnest($1::DOUBLE[]) AS s)", [[w[a] * w[b] for a, b in pairs_]]).fetchone()[0]
+    assert sorted(found) == [(a, b, s) for (a, b), s in zip(pairs_, sql)]
+    held = spark.createDataFrame([("x", "t", 2, 0.5), ("y", "t", 2, 0.5)], "fname string, term string, df long, w double")
+    plan = tfidf.cells(held, 0.2, spark.createDataFrame([], "a string, b string"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.startswith("MapInArrow")
+
+
 def test_rare_and_common_terms_weigh_alike(spark, monkeypatch):
     """Weights do not depend on which terms every task gets; terms and notes are not dealt together with all their tokens twice."""
     docs = spark.createDataFrame([*made_docs(random.Random(9), 60), ("none", []), ("null", None)], "fname string, tokens array<string>")
