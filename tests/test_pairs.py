@@ -150,6 +150,13 @@ def test_listed_pairs_of_terms_need_no_more_room_than_a_tile():
     assert found > 10_000 and peak < 30_000_000
 
 
+def test_a_block_holds_each_weight_once():
+    """What blocks take of the disk beside names and words is little more than their weights."""
+    rng = random.Random(9)
+    x = as_block(0, {f"n{i:04}": {f"t{t}": 0.1 for t in rng.sample(range(500), 60)} for i in range(1000)})
+    assert sum(len(v) for v in x.values() if isinstance(v, bytes)) < 1.3 * 8 * 60_000
+
+
 def test_pairs_leave_the_task_named_in_order_and_rounded_as_in_sql(spark):
     """Nothing is left to do for a pair after its task: names stand in order, whatever their block, and halves are rounded up."""
     x = as_block(0, {"b": {"t": 0.5}, "é": {"t": 1.0}, "d": {"t": 0.30005}, "Z": {"t": 0.7}}, [("b", "c")])
